@@ -36,7 +36,7 @@ def null_if_cancelled(col: ColumnOrName) -> Column:
 
 def parse_us_date(col: ColumnOrName) -> Column:
     """``m/d/Y`` text to DATE; one- or two-digit month and day; bad text is null."""
-    return F.try_to_date(_c(col), F.lit("M/d/yyyy"))
+    return F.try_to_date(_c(col), "M/d/yyyy")
 
 
 def parse_datetime_to_date(col: ColumnOrName) -> Column:

@@ -32,26 +32,38 @@ PAGE = "page"
 def assign_pages(
     elements: DataFrame,
     group_cols: Sequence[str],
-    element_key: str,
+    element_key: str | Column,
     page_size: int | None = DEFAULT_PAGE_SIZE,
 ) -> DataFrame:
     """Add a ``page`` column so that no (group, page) holds more than
     ``page_size`` elements. ``page_size=None`` turns paging off (page 0)."""
+    return assign_pages_info(elements, group_cols, element_key, page_size)[0]
+
+
+def assign_pages_info(
+    elements: DataFrame,
+    group_cols: Sequence[str],
+    element_key: str | Column,
+    page_size: int | None = DEFAULT_PAGE_SIZE,
+) -> tuple[DataFrame, bool]:
+    """``assign_pages`` plus whether any group was split (then per-group totals
+    must be summed over pages)."""
     if page_size is None:
-        return elements.withColumn(PAGE, F.lit(0).cast("long"))
+        return elements.withColumn(PAGE, F.lit(0).cast("long")), False
+    key = F.col(element_key) if isinstance(element_key, str) else element_key
     counts = elements.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > F.lit(page_size)).select(*group_cols)
     n_hot = hot.limit(BROADCAST_KEY_LIMIT + 1).count()
     if n_hot == 0:
-        return elements.withColumn(PAGE, F.lit(0).cast("long"))
+        return elements.withColumn(PAGE, F.lit(0).cast("long")), False
     hot = hot.withColumn("_hot", F.lit(True))
     side = F.broadcast(hot) if n_hot <= BROADCAST_KEY_LIMIT else hot
     page = (
-        F.when(F.col("_hot"), F.floor(F.col(element_key) / F.lit(page_size)))
+        F.when(F.col("_hot"), F.floor(key / F.lit(page_size)))
         .otherwise(F.lit(0))
         .cast("long")
     )
-    return elements.join(side, list(group_cols), "left").withColumn(PAGE, page).drop("_hot")
+    return elements.join(side, list(group_cols), "left").withColumn(PAGE, page).drop("_hot"), True
 
 
 def sorted_array(sort_key: Column | str, value: Column) -> Column:
@@ -78,3 +90,24 @@ def ordered_concat(sort_key: Column | str, text: Column, sep: str = ",") -> Colu
     Null texts are skipped; a group without any text gives null, not '' (AG15).
     """
     return F.nullif(F.array_join(sorted_distinct_array(sort_key, text), sep), F.lit(""))
+
+
+def collect_paged(
+    elements: DataFrame,
+    group_cols: Sequence[str],
+    element_key: str | Column,
+    aggs: Sequence[Column],
+    page_size: int | None = DEFAULT_PAGE_SIZE,
+) -> tuple[DataFrame, bool]:
+    """Group ``elements`` by ``group_cols`` (and ``page`` where a group is split)
+    and apply ``aggs``. Returns the grouped frame, which always has ``page``,
+    and whether any group was split.
+
+    Without a split the grouping is by ``group_cols`` alone, so a following
+    join on the same keys reuses the aggregate's hash partitioning.
+    """
+    paged, split = assign_pages_info(elements, group_cols, element_key, page_size)
+    if split:
+        return paged.groupBy(*group_cols, PAGE).agg(*aggs), True
+    grouped = paged.groupBy(*group_cols).agg(*aggs)
+    return grouped.withColumn(PAGE, F.lit(0).cast("long")), False

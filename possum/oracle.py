@@ -75,6 +75,189 @@ PRODUCT_BUYERS = with_pos(
 )
 
 
+
+STATE = "AMERICA"
+MONTH = 5
+PRODUCT_ID = 1
+TOTAL_OVER = 400000
+QUANTITY_OVER = 50
+TOP_K = 20
+AS_OF = "2024-01-01 00:00:00"
+
+ORDER_LINES = with_pos(body="SELECT order_id, product_id, quantity, n_rows FROM pos_orderline")
+
+CLEAN_CUSTOMERS = with_pos(body="""
+SELECT id, firstName, lastName, email, address1, address2, phone,
+       strftime(birthdate, '%Y-%m-%d') AS birthdate, zip
+FROM pos_customer""")
+
+CITIES = with_pos(body="""
+SELECT lpad(CAST(c.c_nationkey AS VARCHAR), 5, '0') AS zip,
+       min({'c': n.n_name, 's': r.r_name}).c AS city,
+       min({'c': n.n_name, 's': r.r_name}).s AS state
+FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+     LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+GROUP BY 1""")
+
+CLEAN_ORDERS = with_pos(body="""
+SELECT id, strftime(datePlaced, '%Y-%m-%d') AS datePlaced,
+       strftime(dateShipped, '%Y-%m-%d') AS dateShipped, customer_id
+FROM pos_order""")
+
+CLEAN_PRODUCTS = with_pos(body="""
+SELECT id, name, CAST(currentPrice AS DOUBLE) AS currentPrice, availableQuantity FROM pos_product""")
+
+PRICE_HISTORY_INITIAL = with_pos(body=f"""
+SELECT id AS product_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS oldPrice,
+       CAST(currentPrice AS DOUBLE) AS newPrice, '{AS_OF}' AS ts
+FROM pos_product""")
+
+# --- documents ----------------------------------------------------------------
+
+PROD_CTES = (
+    """pairs AS (SELECT DISTINCT ol.product_id, o.customer_id
+                 FROM pos_orderline ol JOIN pos_order o ON o.id = ol.order_id)""",
+    """buyers AS (SELECT pr.product_id, pr.customer_id, c.firstName || ' ' || c.lastName AS CustomerName
+                  FROM pairs pr JOIN pos_customer c ON c.id = pr.customer_id)""",
+    f"""parr AS (SELECT product_id, page,
+                  list({{'CustomerID': customer_id, 'CustomerName': CustomerName}} ORDER BY customer_id)
+                    AS ProductBuyers
+                FROM {paged('buyers', 'product_id', 'customer_id')} GROUP BY product_id, page)""",
+    """prod AS (SELECT a.product_id AS ProductID, a.page, p.name AS ProductName, a.ProductBuyers
+                FROM parr a JOIN pos_product p ON p.id = a.product_id)""",
+)
+
+PROD_DOCS = with_pos(*PROD_CTES, body="""
+SELECT ProductID, page,
+       to_json({'ProductID': ProductID, 'ProductName': ProductName, 'ProductBuyers': ProductBuyers}) AS doc
+FROM prod""")
+
+PRODUCT_RECALL = with_pos(*PROD_CTES, body=f"""
+SELECT ProductID, page, ProductName, to_json(ProductBuyers) AS ProductBuyers
+FROM prod WHERE ProductID = {PRODUCT_ID}""")
+
+
+def cust_ctes(customer_filter: str = "TRUE") -> tuple[str, ...]:
+    return (
+        """lines AS (SELECT ol.order_id, ol.product_id, ol.quantity, p.name AS ProductName,
+                           p.currentPrice * ol.quantity AS amount
+                    FROM pos_orderline ol JOIN pos_product p ON p.id = ol.product_id)""",
+        f"""opages AS (SELECT order_id, page, SUM(amount) AS amount,
+                             list({{'ProductID': product_id, 'Quantity': quantity, 'ProductName': ProductName}}
+                                  ORDER BY product_id) AS Items
+                      FROM {paged('lines', 'order_id', 'product_id')} GROUP BY order_id, page)""",
+        """ototal AS (SELECT order_id, SUM(amount) AS total FROM opages GROUP BY order_id)""",
+        """elems AS (SELECT o.customer_id, op.order_id AS OrderID, op.page AS item_page,
+                           {'OrderID': op.order_id,
+                            'OrderTotal': CAST(ROUND(t.total, 2) AS DECIMAL(18,2)),
+                            'OrderDate': o.datePlaced, 'ShippingDate': o.dateShipped,
+                            'Items': op.Items} AS element
+                    FROM opages op JOIN ototal t USING (order_id) JOIN pos_order o ON o.id = op.order_id)""",
+        f"""carr AS (SELECT customer_id, page, list(element ORDER BY OrderID, item_page) AS Orders
+                    FROM {paged('elems', 'customer_id', 'OrderID')} GROUP BY customer_id, page)""",
+        f"""cbase AS (SELECT cu.id AS customer_id, cu.firstName || ' ' || cu.lastName AS CustomerName,
+                            cu.address1 || CASE WHEN cu.address2 IS NOT NULL THEN ' #' || cu.address2 ELSE '' END
+                              AS PrintedAddress1,
+                            ci.city || ', ' || ci.state || '   ' || cu.zip AS PrintedAddress2, ci.state
+                     FROM pos_customer cu JOIN pos_city ci ON ci.zip = cu.zip
+                     WHERE {customer_filter})""",
+        """cust AS (SELECT b.customer_id AS CustomerID, COALESCE(a.page, 0) AS page, b.state, b.CustomerName,
+                          b.PrintedAddress1, b.PrintedAddress2, COALESCE(a.Orders, []) AS Orders
+                   FROM cbase b LEFT JOIN carr a USING (customer_id))""",
+    )
+
+
+CUST_JSON = """to_json({'CustomerID': CustomerID, 'CustomerName': CustomerName,
+                        'PrintedAddress1': PrintedAddress1, 'PrintedAddress2': PrintedAddress2,
+                        'Orders': Orders})"""
+
+CUST_DOCS = with_pos(*cust_ctes(), body=f"SELECT CustomerID, page, {CUST_JSON} AS doc FROM cust")
+
+CUSTOMERS_IN_STATE = with_pos(*cust_ctes(f"ci.state = '{STATE}'"), body=f"""
+SELECT CustomerID, page, {CUST_JSON} AS doc FROM cust
+WHERE regexp_matches(PrintedAddress2, '.* {STATE}   .*')""")
+
+VIP_CUSTOMERS = with_pos(*cust_ctes(), """tot AS (
+  SELECT CustomerID, CustomerName,
+         CAST(SUM(COALESCE(list_sum(list_transform(Orders, lambda o: o.OrderTotal)), 0)) AS DECIMAL(28,2))
+           AS totalOrderCost
+  FROM cust GROUP BY CustomerID, CustomerName)""", body="""
+SELECT CustomerID, CustomerName, CAST(totalOrderCost AS DOUBLE) AS totalOrderCost FROM tot
+WHERE totalOrderCost = (SELECT MAX(totalOrderCost) FROM tot)""")
+
+ORDER_ANOMALIES = with_pos(*cust_ctes(), body=f"""
+SELECT CustomerID, page, {CUST_JSON} AS doc FROM cust
+WHERE len(list_filter(Orders, lambda o: o.OrderTotal > {TOTAL_OVER}
+          OR len(list_filter(o.Items, lambda i: i.Quantity > {QUANTITY_OVER})) > 0)) > 0""")
+
+
+def sales_ctes(with_month: bool) -> tuple[str, ...]:
+    month = "CAST(month(o.datePlaced) AS INTEGER) AS OrderMonth," if with_month else ""
+    mkey = "zl.OrderMonth," if with_month else ""
+    qty = "zl.quantity" if with_month else "COALESCE(zl.quantity, 0)"
+    return (
+        f"""zl AS (SELECT c.zip, {month} ol.product_id, ol.quantity
+                  FROM pos_orderline ol JOIN pos_order o ON o.id = ol.order_id
+                       JOIN pos_customer c ON c.id = o.customer_id)""",
+        f"""facts AS (SELECT zl.zip, {mkey} p.id AS ProductID, p.name AS ProductName,
+                            CAST(SUM({qty}) AS BIGINT) AS TotalPurchases,
+                            CAST(ROUND(SUM({qty} * p.currentPrice), 2) AS DECIMAL(18,2)) AS TotalSales
+                     FROM zl JOIN pos_product p ON p.id = zl.product_id
+                     GROUP BY zl.zip, {mkey} p.id, p.name)""",
+    )
+
+
+POPULAR = """{'TotalPurchases': TotalPurchases, 'TotalSales': TotalSales,
+              'ProductID': ProductID, 'ProductName': ProductName}"""
+
+ZIP_POPULARITY = with_pos(*sales_ctes(False), f"""zarr AS (
+  SELECT zip, page, list({POPULAR} ORDER BY ProductID) AS PopularProducts
+  FROM {paged('facts', 'zip', 'ProductID')} GROUP BY zip, page)""", body="""
+SELECT a.zip AS ZIP, a.page,
+       to_json({'ZIP': a.zip, 'State': ci.state, 'City': ci.city, 'PopularProducts': a.PopularProducts}) AS doc
+FROM zarr a JOIN pos_city ci ON ci.zip = a.zip""")
+
+STATE_MONTH_POPULARITY = with_pos(*sales_ctes(True), """keyed AS (
+  SELECT f.*, ci.state, f.ProductID * 100000 + CAST(f.zip AS BIGINT) AS k
+  FROM facts f JOIN pos_city ci ON ci.zip = f.zip)""", f"""smarr AS (
+  SELECT state, OrderMonth, page, list({POPULAR} ORDER BY k) AS PopularProducts
+  FROM {paged('keyed', 'state, OrderMonth', 'k')} GROUP BY state, OrderMonth, page)""", body="""
+SELECT OrderMonth, state AS State, page,
+       to_json({'OrderMonth': OrderMonth, 'State': state, 'PopularProducts': PopularProducts}) AS doc
+FROM smarr""")
+
+STATE_TOP_PRODUCTS = with_pos(*sales_ctes(False), body=f"""
+SELECT f.ProductID, min(f.ProductName) AS ProductName, CAST(SUM(f.TotalPurchases) AS BIGINT) AS TotalStatePurchases
+FROM facts f JOIN pos_city ci ON ci.zip = f.zip
+WHERE ci.state = '{STATE}'
+GROUP BY f.ProductID
+ORDER BY TotalStatePurchases DESC, f.ProductID
+LIMIT {TOP_K}""")
+
+STATE_MONTH_PRODUCTS = with_pos(*sales_ctes(True), body=f"""
+SELECT f.ProductID, min(f.ProductName) AS ProductName, CAST(SUM(f.TotalPurchases) AS BIGINT) AS TotalStatePurchases
+FROM facts f JOIN pos_city ci ON ci.zip = f.zip
+WHERE ci.state = '{STATE}' AND f.OrderMonth = {MONTH}
+GROUP BY f.ProductID
+ORDER BY TotalStatePurchases DESC, f.ProductID""")
+
+
 SQL: dict[str, str] = {
     "product_buyers": PRODUCT_BUYERS,
+    "order_lines": ORDER_LINES,
+    "clean_customers": CLEAN_CUSTOMERS,
+    "clean_orders": CLEAN_ORDERS,
+    "clean_products": CLEAN_PRODUCTS,
+    "cities": CITIES,
+    "price_history_initial": PRICE_HISTORY_INITIAL,
+    "prod_docs": PROD_DOCS,
+    "cust_docs": CUST_DOCS,
+    "zip_popularity": ZIP_POPULARITY,
+    "state_month_popularity": STATE_MONTH_POPULARITY,
+    "customers_in_state": CUSTOMERS_IN_STATE,
+    "vip_customers": VIP_CUSTOMERS,
+    "product_recall": PRODUCT_RECALL,
+    "order_anomalies": ORDER_ANOMALIES,
+    "state_top_products": STATE_TOP_PRODUCTS,
+    "state_month_products": STATE_MONTH_PRODUCTS,
 }
