@@ -61,9 +61,10 @@ def paged(source: str, group: str, key: str) -> str:
     """
 
 
-PRODUCT_BUYERS = with_pos(
-    """pairs AS (SELECT DISTINCT ol.product_id, o.customer_id
-                 FROM pos_orderline ol JOIN pos_order o ON o.id = ol.order_id)""",
+def product_buyers_sql(*ctes: str, orderline: str = "pos_orderline") -> str:
+    return with_pos(*ctes,
+    f"""pairs AS (SELECT DISTINCT ol.product_id, o.customer_id
+                 FROM {orderline} ol JOIN pos_order o ON o.id = ol.order_id)""",
     """named AS (SELECT pr.product_id, pr.customer_id,
                         CAST(c.id AS VARCHAR) || ' ' || c.firstName || ' ' || c.lastName AS buyer
                  FROM pairs pr JOIN pos_customer c ON c.id = pr.customer_id)""",
@@ -72,7 +73,10 @@ PRODUCT_BUYERS = with_pos(
                  FROM {paged('named', 'product_id', 'customer_id')} GROUP BY product_id, page)""",
     body="""SELECT p.id AS productID, p.name AS productName, COALESCE(l.page, 0) AS page, l.customers
             FROM pos_product p LEFT JOIN lists l ON l.product_id = p.id""",
-)
+    )
+
+
+PRODUCT_BUYERS = product_buyers_sql()
 
 
 
@@ -242,6 +246,100 @@ GROUP BY f.ProductID
 ORDER BY TotalStatePurchases DESC, f.ProductID""")
 
 
+# --- changes ------------------------------------------------------------------------
+
+CUTOFF = "2000-01-01"
+SEQ = ("(CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 100000000000000"
+       " + l_orderkey * 100 + l_linenumber)")
+
+CHANGE_CTES = (
+    f"""ol_base AS (SELECT l_orderkey AS order_id, l_partkey AS product_id,
+                          CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity
+                   FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUTOFF}' GROUP BY 1, 2)""",
+    f"""ol_log AS (SELECT {SEQ} AS seq, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'I' END AS op,
+                         l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity
+                  FROM lineitem WHERE l_shipdate >= TIMESTAMP '{CUTOFF}')""",
+    """ol_last AS (SELECT * FROM (
+                    SELECT *, row_number() OVER (PARTITION BY order_id, product_id
+                                                 ORDER BY seq DESC, quantity DESC, op DESC) AS rn
+                    FROM ol_log) WHERE rn = 1)""",
+    """ol_final AS (SELECT b.order_id, b.product_id, b.quantity FROM ol_base b
+                   WHERE NOT EXISTS (SELECT 1 FROM ol_last l
+                                     WHERE l.order_id = b.order_id AND l.product_id = b.product_id)
+                   UNION ALL
+                   SELECT order_id, product_id, quantity FROM ol_last WHERE op <> 'D')""",
+)
+
+APPLY_CHANGES = with_pos(*CHANGE_CTES, body="SELECT order_id, product_id, quantity FROM ol_final")
+
+BUYERS_REFRESH = product_buyers_sql(*CHANGE_CTES, orderline="ol_final")
+
+TABLE_DIFF = with_pos(*CHANGE_CTES, body="""
+SELECT order_id, product_id, quantity, 'missing' AS side
+FROM (SELECT * FROM ol_base EXCEPT ALL SELECT * FROM ol_final)
+UNION ALL
+SELECT order_id, product_id, quantity, 'extra' AS side
+FROM (SELECT * FROM ol_final EXCEPT ALL SELECT * FROM ol_base)""")
+
+PRICE_HISTORY_CHANGES = with_pos(f"""obs AS (
+  SELECT l_partkey AS product_id, {SEQ} AS seq,
+         TRY_CAST(ROUND(TRY_CAST(p_retailprice AS DECIMAL(6,2)) * (1 - TRY_CAST(l_discount AS DECIMAL(3,2))), 2)
+                  AS DECIMAL(6,2)) AS newPrice,
+         l_shipdate AS ts
+  FROM lineitem JOIN part ON p_partkey = l_partkey)""", """w AS (
+  SELECT *, lag(newPrice) OVER win AS prev, row_number() OVER win AS rn
+  FROM obs WINDOW win AS (PARTITION BY product_id ORDER BY seq, newPrice))""", """h AS (
+  SELECT w.product_id, w.seq, CASE WHEN w.rn = 1 THEN p.currentPrice ELSE w.prev END AS oldPrice,
+         w.newPrice, w.ts
+  FROM w LEFT JOIN pos_product p ON p.id = w.product_id)""", body="""
+SELECT product_id, seq, CAST(oldPrice AS DOUBLE) AS oldPrice, CAST(newPrice AS DOUBLE) AS newPrice,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
+FROM h WHERE oldPrice <> newPrice""")
+
+# --- checks --------------------------------------------------------------------------
+
+
+def _pk(table: str, source: str, cols: list[str]) -> str:
+    key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+    nonnull = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    anynull = " OR ".join(f"{c} IS NULL" for c in cols)
+    group = ", ".join(cols)
+    return f"""
+SELECT '{table}' AS "table", 'duplicate' AS kind, {key} AS key, COUNT(*) AS n
+FROM {source} WHERE {nonnull} GROUP BY {group} HAVING COUNT(*) > 1
+UNION ALL
+SELECT '{table}', 'null key', '', COUNT(*) FROM {source} WHERE {anynull} HAVING COUNT(*) > 0"""
+
+
+PK_VIOLATIONS = with_pos(body=" UNION ALL ".join([
+    _pk("customer", "pos_customer", ["id"]),
+    _pk("city", "pos_city", ["zip"]),
+    _pk("order", "pos_order", ["id"]),
+    _pk("orderline", "pos_orderline", ["order_id", "product_id"]),
+    _pk("product", "pos_product", ["id"]),
+    _pk("lineitem", "lineitem", ["l_orderkey", "l_linenumber"]),
+]))
+
+
+def _fk(name: str, child: str, ccols: list[str], parent: str, pcols: list[str]) -> str:
+    key = "concat_ws('|', " + ", ".join(f"CAST(c.{c} AS VARCHAR)" for c in ccols) + ")"
+    match = " AND ".join(f"p.{p} = c.{c}" for c, p in zip(ccols, pcols))
+    nonnull = " AND ".join(f"c.{c} IS NOT NULL" for c in ccols)
+    group = ", ".join(f"c.{c}" for c in ccols)
+    return f"""
+SELECT '{name}' AS "constraint", {key} AS key, COUNT(*) AS n
+FROM {child} c WHERE {nonnull} AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {match})
+GROUP BY {group}"""
+
+
+FK_VIOLATIONS = with_pos(body=" UNION ALL ".join([
+    _fk("customer.zip", "pos_customer", ["zip"], "pos_city", ["zip"]),
+    _fk("order.customer_id", "pos_order", ["customer_id"], "pos_customer", ["id"]),
+    _fk("orderline.order_id", "pos_orderline", ["order_id"], "pos_order", ["id"]),
+    _fk("orderline.product_id", "pos_orderline", ["product_id"], "pos_product", ["id"]),
+]))
+
+
 SQL: dict[str, str] = {
     "product_buyers": PRODUCT_BUYERS,
     "order_lines": ORDER_LINES,
@@ -260,4 +358,10 @@ SQL: dict[str, str] = {
     "order_anomalies": ORDER_ANOMALIES,
     "state_top_products": STATE_TOP_PRODUCTS,
     "state_month_products": STATE_MONTH_PRODUCTS,
+    "apply_changes": APPLY_CHANGES,
+    "price_history_changes": PRICE_HISTORY_CHANGES,
+    "buyers_refresh": BUYERS_REFRESH,
+    "pk_violations": PK_VIOLATIONS,
+    "fk_violations": FK_VIOLATIONS,
+    "table_diff": TABLE_DIFF,
 }

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from possum import schemas
+from possum.operators import checks
+from possum.plans import changes
 from possum.plans import documents as D
 from possum.plans import etl, reports, views
 from possum.sources import testdata as td
@@ -154,6 +157,77 @@ def state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.state_month_products(facts, t.city, STATE, MONTH)
 
 
+# --- changes (CHG1-CHG4, UDF1) -------------------------------------------------------------
+
+ORDERLINE_KEY = ["order_id", "product_id"]
+PRICE_BUCKET_DAYS = 366
+
+
+def _final_orderline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.apply_changes(td.orderline_base(spark, sf_dir), td.orderline_log(spark, sf_dir),
+                                 ORDERLINE_KEY, tie_cols=["quantity"])
+
+
+def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _final_orderline(spark, sf_dir)
+
+
+def price_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = changes.price_history_changes(td.product(spark, sf_dir), td.price_log(spark, sf_dir),
+                                        bucket_width=PRICE_BUCKET_DAYS * td.SEQ_DAY)
+    return _iso(out)
+
+
+def buyers_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cached view after the change log, refreshed for touched products only."""
+    t = td.pos_tables(spark, sf_dir)
+    base = td.orderline_base(spark, sf_dir)
+    log = td.orderline_log(spark, sf_dir)
+    mv = views.product_buyers(t.product, t.customer, t.order, base)
+    final = changes.apply_changes(base, log, ORDERLINE_KEY, tie_cols=["quantity"])
+    touched = changes.touched_products(orderline_changes=log)
+    return views.refresh_product_buyers(mv, touched, t.product, t.customer, t.order, final)
+
+
+# --- checks (CHK1-CHK3) -----------------------------------------------------------------------
+
+def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = td.pos_tables(spark, sf_dir)
+    li = td.read_table(spark, sf_dir, "lineitem")
+    parts = [
+        checks.pk_violations(t.customer, schemas.PRIMARY_KEYS["customer"], "customer"),
+        checks.pk_violations(t.city, schemas.PRIMARY_KEYS["city"], "city"),
+        checks.pk_violations(t.order, schemas.PRIMARY_KEYS["order"], "order"),
+        checks.pk_violations(t.orderline, schemas.PRIMARY_KEYS["orderline"], "orderline"),
+        checks.pk_violations(t.product, schemas.PRIMARY_KEYS["product"], "product"),
+        # The raw line number is not a key of the extract: its repeats are listed.
+        checks.pk_violations(li, ["l_orderkey", "l_linenumber"], "lineitem"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = td.pos_tables(spark, sf_dir)
+    tables = {"customer": t.customer, "city": t.city, "order": t.order, "orderline": t.orderline,
+              "product": t.product}
+    parts = [
+        checks.fk_violations(tables[child], ccols, tables[parent], pcols, f"{child}.{'_'.join(ccols)}")
+        for child, ccols, parent, pcols in schemas.FOREIGN_KEYS if child in tables
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines before and after the change log: what the log changed."""
+    return checks.table_diff(td.orderline_base(spark, sf_dir), _final_orderline(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "product_buyers": product_buyers,
     "order_lines": order_lines,
@@ -172,4 +246,10 @@ QUERIES: dict[str, Query] = {
     "order_anomalies": order_anomalies,
     "state_top_products": state_top_products,
     "state_month_products": state_month_products,
+    "apply_changes": apply_changes,
+    "price_history_changes": price_history_changes,
+    "buyers_refresh": buyers_refresh,
+    "pk_violations": pk_violations,
+    "fk_violations": fk_violations,
+    "table_diff": table_diff,
 }

@@ -212,3 +212,60 @@ def raw_extracts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "orders": raw_orders(spark, sf_dir),
         "products": raw_products(spark, sf_dir),
     }
+
+
+# --- change logs cut from lineitem -------------------------------------------
+#
+# Order lines shipped before CHANGE_CUTOFF form the base snapshot; the later
+# lines are the change log in ship order: a returned line ("R") deletes its
+# (order, product) row, any other line inserts or replaces it. Sale prices
+# (list price less the line's discount) form a product price log.
+
+CHANGE_CUTOFF = "2000-01-01"
+SEQ_DAY = 100_000_000_000_000  # seq = day * SEQ_DAY + order key * 100 + line number
+
+
+def line_seq(shipdate: Column, orderkey: Column, linenumber: Column) -> Column:
+    return (F.unix_date(shipdate.cast("date")).cast("long") * F.lit(SEQ_DAY)
+            + orderkey * F.lit(100) + linenumber.cast("long"))
+
+
+def _cutoff() -> Column:
+    return F.lit(CHANGE_CUTOFF).cast("timestamp_ntz")
+
+
+def orderline_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from possum.plans.etl import order_lines_from_units
+
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < _cutoff())
+    units = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+                      F.col("l_quantity").cast("int").alias("units"))
+    return order_lines_from_units(units).select("order_id", "product_id", "quantity")
+
+
+def orderline_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= _cutoff())
+    return li.select(
+        line_seq(F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")).alias("seq"),
+        F.when(F.col("l_returnflag") == F.lit("R"), F.lit("D")).otherwise(F.lit("I")).alias("op"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+    )
+
+
+def price_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product change log (seq, op, id, name, currentPrice, availableQuantity, ts):
+    every sale sets the product's price to what the line was sold at."""
+    li = read_table(spark, sf_dir, "lineitem")
+    p = read_table(spark, sf_dir, "part")
+    sold = F.round(F.col("p_retailprice").try_cast(PRICE) * (F.lit(1) - F.col("l_discount").try_cast("decimal(3,2)")), 2)
+    return li.join(p, li.l_partkey == p.p_partkey, "inner").select(
+        line_seq(F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")).alias("seq"),
+        F.lit("U").alias("op"),
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("name"),
+        sold.try_cast(PRICE).alias("currentPrice"),
+        F.col("p_size").cast("int").alias("availableQuantity"),
+        F.col("l_shipdate").alias("ts"),
+    )
