@@ -108,6 +108,10 @@ SELECT id, strftime(datePlaced, '%Y-%m-%d') AS datePlaced,
        strftime(dateShipped, '%Y-%m-%d') AS dateShipped, customer_id
 FROM pos_order""")
 
+CSV_ORDER_LINES = with_pos(body="""
+SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(COUNT(*) AS INTEGER) AS quantity
+FROM lineitem GROUP BY l_orderkey, l_partkey""")
+
 CLEAN_PRODUCTS = with_pos(body="""
 SELECT id, name, CAST(currentPrice AS DOUBLE) AS currentPrice, availableQuantity FROM pos_product""")
 
@@ -347,6 +351,9 @@ SQL: dict[str, str] = {
     "clean_orders": CLEAN_ORDERS,
     "clean_products": CLEAN_PRODUCTS,
     "cities": CITIES,
+    "csv_customers": CLEAN_CUSTOMERS,
+    "csv_products": CLEAN_PRODUCTS,
+    "csv_order_lines": CSV_ORDER_LINES,
     "price_history_initial": PRICE_HISTORY_INITIAL,
     "prod_docs": PROD_DOCS,
     "cust_docs": CUST_DOCS,
@@ -361,6 +368,7 @@ SQL: dict[str, str] = {
     "apply_changes": APPLY_CHANGES,
     "price_history_changes": PRICE_HISTORY_CHANGES,
     "buyers_refresh": BUYERS_REFRESH,
+    "stream_refresh": BUYERS_REFRESH,
     "pk_violations": PK_VIOLATIONS,
     "fk_violations": FK_VIOLATIONS,
     "table_diff": TABLE_DIFF,

@@ -10,6 +10,7 @@ the same Python types; the library functions themselves keep exact decimals.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from possum.operators import checks
 from possum.plans import changes
 from possum.plans import documents as D
 from possum.plans import etl, reports, views
+from possum.session import ensure_checkpoint_dir
+from possum.sources import csv as csv_source
 from possum.sources import testdata as td
 from possum.sources.sinks import json_documents
 
@@ -90,6 +93,34 @@ def price_history_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(etl.price_history_initial(good, AS_OF))
 
 
+def _roundtrip(spark: SparkSession, raw: DataFrame, kind: str) -> DataFrame:
+    """Write a raw extract as CSV into the shared checkpoint folder, read it back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/{uuid.uuid4().hex}/{kind}"
+    csv_source.write_extract(raw, path)
+    return csv_source.read_extract(spark, path, kind)
+
+
+def csv_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 + SRC5: the customer extract through a CSV file and the cleaning."""
+    good, _ = etl.split_rejects(etl.clean_customers(_roundtrip(spark, td.raw_customers(spark, sf_dir), "customers")))
+    return _iso(good)
+
+
+def csv_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3: quoted names and ``"$1,234.50"`` prices through a CSV file."""
+    good, _ = etl.split_rejects(etl.clean_products(_roundtrip(spark, td.raw_products(spark, sf_dir), "products")))
+    return _iso(good)
+
+
+def csv_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4 + AG1: one raw row per unit; each lineitem row is written as one raw
+    (order, product) row, so the quantity is the number of raw rows."""
+    li = td.read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_partkey").cast("string").alias("product_id"))
+    good, _ = etl.split_rejects(etl.clean_orderline_units(_roundtrip(spark, li, "orderlines")))
+    return etl.order_lines_from_units(good.drop("units")).select("order_id", "product_id", "quantity")
+
+
 # --- documents (QRY2-QRY5) ------------------------------------------------------------
 
 def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +220,28 @@ def buyers_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.refresh_product_buyers(mv, touched, t.product, t.customer, t.order, final)
 
 
+STREAM_FILES = 4
+
+
+def _stream_maintainer(spark: SparkSession, sf_dir: str):
+    from possum.streaming.refresh import BuyerViewMaintainer, write_log
+
+    t = td.pos_tables(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+    m = BuyerViewMaintainer(spark, root, t.product, t.customer, t.order)
+    m.bootstrap(td.orderline_base(spark, sf_dir))
+    write_log(td.orderline_log(spark, sf_dir), f"{root}/log", STREAM_FILES)
+    q = m.start(f"{root}/log")
+    q.awaitTermination()
+    return m
+
+
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG5/CHG7: the change log as a file stream, applied micro-batch by
+    micro-batch; the view read back from its published version."""
+    return _stream_maintainer(spark, sf_dir).view()
+
+
 # --- checks (CHK1-CHK3) -----------------------------------------------------------------------
 
 def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +288,9 @@ QUERIES: dict[str, Query] = {
     "clean_orders": clean_orders,
     "clean_products": clean_products,
     "cities": cities,
+    "csv_customers": csv_customers,
+    "csv_products": csv_products,
+    "csv_order_lines": csv_order_lines,
     "price_history_initial": price_history_initial,
     "prod_docs": prod_docs,
     "cust_docs": cust_docs,
@@ -249,6 +305,7 @@ QUERIES: dict[str, Query] = {
     "apply_changes": apply_changes,
     "price_history_changes": price_history_changes,
     "buyers_refresh": buyers_refresh,
+    "stream_refresh": stream_refresh,
     "pk_violations": pk_violations,
     "fk_violations": fk_violations,
     "table_diff": table_diff,
