@@ -3,10 +3,12 @@
 The four files are read with their text schema (``possum.schemas.RAW``) plus a
 corrupt-record column, in PERMISSIVE mode: a malformed, short or over-long row
 keeps its raw text in ``_corrupt_record`` and becomes a reject in the cleaning
-step instead of failing the job. All columns must be selected for that to work
-(Spark parses only the selected columns otherwise), which the ``clean_*``
-functions do. Files are split by Spark, so one large extract is read by many
-tasks; there is no per-file or driver-side loop.
+step instead of failing the job. Spark parses only the selected columns of a
+CSV file by default, and then a short row goes unnoticed when its missing
+fields are not selected; ``read_extract`` therefore turns CSV column pruning
+off for the session (``spark.sql.csv.parser.columnPruning.enabled``). Files
+are split by Spark, so one large extract is read by many tasks; there is no
+per-file or driver-side loop.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ def read_extract(spark: SparkSession, path: str, kind: str, escape: str = "\\",
     """Read one extract (``customers``, ``orders``, ``products`` or
     ``orderlines``). ``escape`` is the character before a quote inside a quoted
     field: backslash (default) or ``"`` for doubled quotes (Q15)."""
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     return (
         spark.read.schema(extract_schema(kind))
         .option("header", header)
