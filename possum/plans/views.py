@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from possum.functions.cleaning import full_name
-from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, assign_pages, ordered_concat
+from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, ordered_concat
 
 
 def buyer_pairs(orderline: DataFrame, order: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def buyer_strings(pairs: DataFrame, customer: DataFrame, page_size: int | None =
         F.concat(F.col("id").cast("string"), F.lit(" "), full_name("firstName", "lastName")).alias("buyer"),
     )
     named = pairs.join(c, "customer_id", "inner")
-    paged = assign_pages(named, ["product_id"], "customer_id", page_size)
-    return paged.groupBy("product_id", PAGE).agg(ordered_concat("customer_id", F.col("buyer")).alias("customers"))
+    lists, _ = collect_paged(named, ["product_id"], "customer_id",
+                             [ordered_concat("customer_id", F.col("buyer")).alias("customers")], page_size)
+    return lists
 
 
 def product_buyers(
