@@ -10,6 +10,12 @@ when one key holds a third of all rows, groups are split into *pages*:
   ``page = floor(element_key / page_size)``. Element keys are distinct within a
   group, so no page holds more than ``page_size`` elements.
 
+Which groups are hot is decided by counting elements per group, or, cheaper,
+by an upper bound the caller computes from one base table (``counts``: the
+group columns plus ``_n``), e.g. order lines per product bound the distinct
+buyers of a product. A group under the bound is certainly under the page size;
+a group over it is paged, which still keeps every page within ``page_size``.
+
 The hot-key list has at most ``rows / page_size`` entries. It is broadcast only
 after its size was counted against ``BROADCAST_KEY_LIMIT``; beyond that it is
 joined by a shuffle, where adaptive skew-join handling splits the hot keys.
@@ -34,10 +40,11 @@ def assign_pages(
     group_cols: Sequence[str],
     element_key: str | Column,
     page_size: int | None = DEFAULT_PAGE_SIZE,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add a ``page`` column so that no (group, page) holds more than
     ``page_size`` elements. ``page_size=None`` turns paging off (page 0)."""
-    return assign_pages_info(elements, group_cols, element_key, page_size)[0]
+    return assign_pages_info(elements, group_cols, element_key, page_size, counts)[0]
 
 
 def assign_pages_info(
@@ -45,13 +52,15 @@ def assign_pages_info(
     group_cols: Sequence[str],
     element_key: str | Column,
     page_size: int | None = DEFAULT_PAGE_SIZE,
+    counts: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """``assign_pages`` plus whether any group was split (then per-group totals
     must be summed over pages)."""
     if page_size is None:
         return elements.withColumn(PAGE, F.lit(0).cast("long")), False
     key = F.col(element_key) if isinstance(element_key, str) else element_key
-    counts = elements.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = elements.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > F.lit(page_size)).select(*group_cols)
     n_hot = hot.limit(BROADCAST_KEY_LIMIT + 1).count()
     if n_hot == 0:
@@ -98,6 +107,7 @@ def collect_paged(
     element_key: str | Column,
     aggs: Sequence[Column],
     page_size: int | None = DEFAULT_PAGE_SIZE,
+    counts: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """Group ``elements`` by ``group_cols`` (and ``page`` where a group is split)
     and apply ``aggs``. Returns the grouped frame, which always has ``page``,
@@ -106,8 +116,13 @@ def collect_paged(
     Without a split the grouping is by ``group_cols`` alone, so a following
     join on the same keys reuses the aggregate's hash partitioning.
     """
-    paged, split = assign_pages_info(elements, group_cols, element_key, page_size)
+    paged, split = assign_pages_info(elements, group_cols, element_key, page_size, counts)
     if split:
         return paged.groupBy(*group_cols, PAGE).agg(*aggs), True
     grouped = paged.groupBy(*group_cols).agg(*aggs)
     return grouped.withColumn(PAGE, F.lit(0).cast("long")), False
+
+
+def group_sizes(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Rows per group of one table, the usual upper bound for ``counts``."""
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))

@@ -52,12 +52,14 @@ def with_pos(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-def paged(source: str, group: str, key: str) -> str:
-    """SQL twin of ``assign_pages``: page 0 unless the group is hot."""
+def paged(source: str, group: str, key: str, bound: str | None = None) -> str:
+    """SQL twin of ``assign_pages``: page 0 unless the group is hot. A group is
+    hot when its row count in ``bound`` (default: ``source``) exceeds the page size."""
+    bound = bound or source
     return f"""
-    (SELECT s.*, CASE WHEN n.n > {PAGE_SIZE} THEN CAST(floor(s.{key} / {PAGE_SIZE}) AS BIGINT)
+    (SELECT s.*, CASE WHEN COALESCE(n.n, 0) > {PAGE_SIZE} THEN CAST(floor(s.{key} / {PAGE_SIZE}) AS BIGINT)
                      ELSE CAST(0 AS BIGINT) END AS page
-     FROM {source} s JOIN (SELECT {group}, COUNT(*) AS n FROM {source} GROUP BY {group}) n USING ({group}))
+     FROM {source} s LEFT JOIN (SELECT {group}, COUNT(*) AS n FROM {bound} GROUP BY {group}) n USING ({group}))
     """
 
 
@@ -70,7 +72,7 @@ def product_buyers_sql(*ctes: str, orderline: str = "pos_orderline") -> str:
                  FROM pairs pr JOIN pos_customer c ON c.id = pr.customer_id)""",
     f"""lists AS (SELECT product_id, page,
                         NULLIF(string_agg(buyer, ',' ORDER BY customer_id), '') AS customers
-                 FROM {paged('named', 'product_id', 'customer_id')} GROUP BY product_id, page)""",
+                 FROM {paged('named', 'product_id', 'customer_id', orderline)} GROUP BY product_id, page)""",
     body="""SELECT p.id AS productID, p.name AS productName, COALESCE(l.page, 0) AS page, l.customers
             FROM pos_product p LEFT JOIN lists l ON l.product_id = p.id""",
     )
@@ -130,7 +132,7 @@ PROD_CTES = (
     f"""parr AS (SELECT product_id, page,
                   list({{'CustomerID': customer_id, 'CustomerName': CustomerName}} ORDER BY customer_id)
                     AS ProductBuyers
-                FROM {paged('buyers', 'product_id', 'customer_id')} GROUP BY product_id, page)""",
+                FROM {paged('buyers', 'product_id', 'customer_id', 'pos_orderline')} GROUP BY product_id, page)""",
     """prod AS (SELECT a.product_id AS ProductID, a.page, p.name AS ProductName, a.ProductBuyers
                 FROM parr a JOIN pos_product p ON p.id = a.product_id)""",
 )
@@ -153,7 +155,7 @@ def cust_ctes(customer_filter: str = "TRUE") -> tuple[str, ...]:
         f"""opages AS (SELECT order_id, page, SUM(amount) AS amount,
                              list({{'ProductID': product_id, 'Quantity': quantity, 'ProductName': ProductName}}
                                   ORDER BY product_id) AS Items
-                      FROM {paged('lines', 'order_id', 'product_id')} GROUP BY order_id, page)""",
+                      FROM {paged('lines', 'order_id', 'product_id', 'pos_orderline')} GROUP BY order_id, page)""",
         """ototal AS (SELECT order_id, SUM(amount) AS total FROM opages GROUP BY order_id)""",
         """elems AS (SELECT o.customer_id, op.order_id AS OrderID, op.page AS item_page,
                            {'OrderID': op.order_id,
@@ -162,7 +164,7 @@ def cust_ctes(customer_filter: str = "TRUE") -> tuple[str, ...]:
                             'Items': op.Items} AS element
                     FROM opages op JOIN ototal t USING (order_id) JOIN pos_order o ON o.id = op.order_id)""",
         f"""carr AS (SELECT customer_id, page, list(element ORDER BY OrderID, item_page) AS Orders
-                    FROM {paged('elems', 'customer_id', 'OrderID')} GROUP BY customer_id, page)""",
+                    FROM {paged('elems', 'customer_id', 'OrderID', 'pos_order')} GROUP BY customer_id, page)""",
         f"""cbase AS (SELECT cu.id AS customer_id, cu.firstName || ' ' || cu.lastName AS CustomerName,
                             cu.address1 || CASE WHEN cu.address2 IS NOT NULL THEN ' #' || cu.address2 ELSE '' END
                               AS PrintedAddress1,

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from possum.functions.cleaning import full_name, printed_address1, printed_address2, round_money
-from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, sorted_array
+from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, group_sizes, sorted_array
 from possum.plans.views import buyer_pairs
 
 DOC_FIELDS = {
@@ -43,7 +43,9 @@ ZIP_SPAN = 100_000
 
 def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, orderline: DataFrame,
                    page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """QRY2: products with at least one buyer (the left join acts as inner, JN3/Q2)."""
+    """QRY2: products with at least one buyer (the left join acts as inner, JN3/Q2).
+    Paged like the view: by customer id windows for products with more than
+    ``page_size`` order lines."""
     pairs = buyer_pairs(orderline, order)
     buyers = pairs.join(
         customer.select(F.col("id").alias("customer_id"),
@@ -51,7 +53,8 @@ def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, or
         "customer_id", "inner")
     element = F.struct(F.col("customer_id").alias("CustomerID"), F.col("CustomerName"))
     arrays, _ = collect_paged(buyers, ["product_id"], "customer_id",
-                              [sorted_array("customer_id", element).alias("ProductBuyers")], page_size)
+                              [sorted_array("customer_id", element).alias("ProductBuyers")], page_size,
+                              group_sizes(orderline, ["product_id"]))
     p = product.select(F.col("id").alias("product_id"), F.col("name").alias("ProductName"))
     return arrays.join(p, "product_id", "inner").select(
         F.col("product_id").alias("ProductID"), PAGE, "ProductName", "ProductBuyers")
@@ -72,7 +75,8 @@ def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
                     F.col("ProductName"))
     pages, split = collect_paged(
         lines, ["order_id"], "product_id",
-        [F.sum("amount").alias("amount"), sorted_array("product_id", item).alias("Items")], page_size)
+        [F.sum("amount").alias("amount"), sorted_array("product_id", item).alias("Items")], page_size,
+        group_sizes(orderline, ["order_id"]))
     if split:
         # A split order repeats its full total on every items page.
         totals = pages.groupBy("order_id").agg(F.sum("amount").alias("total"))
@@ -115,11 +119,12 @@ def cust_documents(customer: DataFrame, city: DataFrame, order: DataFrame, order
         o = order.join(c.select(F.col("customer_id")), "customer_id", "left_semi")
         ol = orderline.join(o.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     elements = order_documents(o, ol, product, page_size)
-    # Windows of the order id bound each page (an order split into item pages
-    # counts once per items page).
+    # A customer with more than page_size orders is paged by order id windows
+    # (an order split into item pages appears once per items page).
     arrays, _ = collect_paged(
         elements, ["customer_id"], "OrderID",
-        [sorted_array(F.struct("OrderID", "item_page"), F.col("element")).alias("Orders")], page_size)
+        [sorted_array(F.struct("OrderID", "item_page"), F.col("element")).alias("Orders")], page_size,
+        group_sizes(o, ["customer_id"]))
     return c.join(arrays, "customer_id", "left").select(
         F.col("customer_id").alias("CustomerID"),
         F.coalesce(F.col(PAGE), F.lit(0).cast("long")).alias(PAGE),

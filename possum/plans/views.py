@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from possum.functions.cleaning import full_name
-from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, ordered_concat
+from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, group_sizes, ordered_concat
 
 
 def buyer_pairs(orderline: DataFrame, order: DataFrame) -> DataFrame:
@@ -25,15 +25,18 @@ def buyer_pairs(orderline: DataFrame, order: DataFrame) -> DataFrame:
     return ol.join(o, "order_id", "inner").select("product_id", "customer_id").distinct()
 
 
-def buyer_strings(pairs: DataFrame, customer: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """(product_id, page, customers): the ordered, comma-joined buyer list."""
+def buyer_strings(pairs: DataFrame, customer: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,
+                  counts: DataFrame | None = None) -> DataFrame:
+    """(product_id, page, customers): the ordered, comma-joined buyer list.
+    ``counts`` bounds the buyers per product (see ``collect_paged``)."""
     c = customer.select(
         F.col("id").alias("customer_id"),
         F.concat(F.col("id").cast("string"), F.lit(" "), full_name("firstName", "lastName")).alias("buyer"),
     )
     named = pairs.join(c, "customer_id", "inner")
     lists, _ = collect_paged(named, ["product_id"], "customer_id",
-                             [ordered_concat("customer_id", F.col("buyer")).alias("customers")], page_size)
+                             [ordered_concat("customer_id", F.col("buyer")).alias("customers")], page_size,
+                             counts)
     return lists
 
 
@@ -44,8 +47,12 @@ def product_buyers(
     orderline: DataFrame,
     page_size: int | None = DEFAULT_PAGE_SIZE,
 ) -> DataFrame:
-    """QRY1: productID, productName, page, customers (null when never sold)."""
-    lists = buyer_strings(buyer_pairs(orderline, order), customer, page_size)
+    """QRY1: productID, productName, page, customers (null when never sold).
+
+    A product's buyers are paged when it has more than ``page_size`` order
+    lines (an upper bound of its distinct buyers, from one table)."""
+    lists = buyer_strings(buyer_pairs(orderline, order), customer, page_size,
+                          group_sizes(orderline, ["product_id"]))
     p = product.select(F.col("id").alias("product_id"), F.col("name").alias("productName"))
     return p.join(lists, "product_id", "left").select(
         F.col("product_id").alias("productID"),

@@ -99,12 +99,28 @@ def publish(spark: SparkSession, df: DataFrame, root: str, version: str | None =
     finally:
         out.close()
     final = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
+    _replace(spark, tmp, final)
     return version
 
 
+def _replace(spark: SparkSession, src, dst) -> None:
+    """Rename ``src`` over ``dst`` in one step (``FileContext.rename`` with
+    OVERWRITE), so there is no moment without a pointer. Stores without that
+    operation fall back to delete then rename."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), conf)
+        opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        fc.rename(src, dst, opts)
+    except Exception:  # noqa: BLE001 - store without atomic overwrite-rename
+        fs = dst.getFileSystem(conf)
+        if fs.exists(dst):
+            fs.delete(dst, False)
+        fs.rename(src, dst)
+
+
 def read_published(spark: SparkSession, root: str, fmt: str = "parquet",
                    schema: T.StructType | None = None) -> DataFrame:
     """Read the current version under ``root``."""
