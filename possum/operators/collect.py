@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PAGE_SIZE = 10_000
-BROADCAST_KEY_LIMIT = 1_000_000
+BROADCAST_KEY_LIMIT = 200_000
 PAGE = "page"
 
 
