@@ -239,7 +239,7 @@ def _stream_maintainer(spark: SparkSession, sf_dir: str):
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHG5/CHG7: the change log as a file stream, applied micro-batch by
     micro-batch; the view read back from its published version."""
-    return _stream_maintainer(spark, sf_dir).view()
+    return _stream_maintainer(spark, sf_dir).view().drop("bucket")
 
 
 # --- checks (CHK1-CHK3) -----------------------------------------------------------------------

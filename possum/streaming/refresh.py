@@ -2,90 +2,101 @@
 
 The reference keeps ``mv_ProductBuyers`` current with row triggers and ships
 changes to replicas through the binary log. Here the order-line change log is
-a Structured Streaming source; each micro-batch is applied in ``foreachBatch``:
-
-1. the order-line table is read at its published version, the batch's changes
-   are applied (last change per key wins) and the result is published as
-   version ``b<batch id>``;
-2. the view is refreshed for the products the batch touched (left anti join of
-   the untouched rows, recompute of the touched ones) and published as version
-   ``b<batch id>`` too.
+a Structured Streaming source and each micro-batch is applied in
+``foreachBatch``. Both tables are kept in hash buckets of the product id
+(``possum.streaming.buckets``), so a batch rewrites only the buckets it
+touches, not the whole state:
+
+1. the touched buckets (at most ``n_buckets`` small integers) are listed;
+2. the order-line rows of those buckets are merged with the batch's changes
+   (highest ``seq`` per key wins) and written as bucket version ``b<batch id>``;
+3. the view rows of those buckets are refreshed for the touched products (left
+   anti join of untouched rows, recompute of the touched ones from the order
+   lines of the same buckets) and written likewise.
 
 Each step first checks whether its table already is at ``b<batch id>``; a
-batch that is replayed after a failure therefore redoes only what is missing
-and never applies twice. State lives in files under ``root`` (a shared
-folder), so the lineage of each batch starts at the files of the batch
-before, and a lost executor only costs recomputing its tasks.
-
-Order of batches does not matter: the order-line state keeps, per key, the
-``seq`` of the change it shows and a tombstone for deleted keys, and a batch is
-merged with the state by "highest seq wins". A change that arrives late (in a
-later file than a newer change of the same key) therefore loses, as it should.
-``compact_tombstones`` drops tombstones older than a given seq.
+replayed batch redoes only what is missing. Order of batches does not matter:
+state rows carry the ``seq`` of the change they show and deletes leave
+tombstones, so a change that arrives after a newer one of the same key loses.
+``compact_tombstones`` drops tombstones older than a given seq. State is read
+from files every batch, so lineage never grows across batches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from possum.operators.collect import DEFAULT_PAGE_SIZE
 from possum.plans import changes, views
 from possum.schemas import ORDERLINE, ORDERLINE_CHANGE
-from possum.sources.sinks import current_version, publish, read_published
+from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of
 
 ORDERLINE_KEY = ["order_id", "product_id"]
+DEFAULT_BUCKETS = 64
 
+STATE_SCHEMA = T.StructType(
+    list(ORDERLINE_CHANGE.fields) + [T.StructField(BUCKET, T.IntegerType(), True)])
 
-@dataclass
-class BuyerViewMaintainer:
-    spark: SparkSession
-    root: str
-    product: DataFrame
-    customer: DataFrame
-    order: DataFrame
-    page_size: int | None = DEFAULT_PAGE_SIZE
 
-    @property
-    def orderline_root(self) -> str:
-        return f"{self.root.rstrip('/')}/orderline"
-
-    @property
-    def view_root(self) -> str:
-        return f"{self.root.rstrip('/')}/product_buyers"
+class BuyerViewMaintainer:
+    def __init__(self, spark: SparkSession, root: str, product: DataFrame, customer: DataFrame,
+                 order: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE, n_buckets: int = DEFAULT_BUCKETS):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.product = product
+        self.customer = customer
+        self.order = order
+        self.page_size = page_size
+        self.n_buckets = n_buckets
+        self.state_table = BucketedTable(spark, f"{self.root}/orderline", n_buckets)
+        self.view_table = BucketedTable(spark, f"{self.root}/product_buyers", n_buckets)
+        self._view_schema: T.StructType | None = None
+
+    def _bucket(self, col: str):
+        return bucket_of(col, self.n_buckets)
 
     def bootstrap(self, orderline: DataFrame, base_seq: int = -1) -> None:
-        """Publish the starting order lines and the view computed from them."""
+        """Write the starting order lines and the view computed from them."""
         state = orderline.select(F.lit(base_seq).cast("long").alias("seq"), F.lit("I").alias("op"),
-                                 *ORDERLINE.fieldNames())
-        publish(self.spark, state, self.orderline_root, version="base")
+                                 *ORDERLINE.fieldNames()).withColumn(BUCKET, self._bucket("product_id"))
+        self.state_table.write_all(state, "base")
         mv = views.product_buyers(self.product, self.customer, self.order, self.orderline(), self.page_size)
-        publish(self.spark, mv, self.view_root, version="base")
+        self.view_table.write_all(mv.withColumn(BUCKET, self._bucket("productID")), "base")
 
-    def state(self) -> DataFrame:
-        """Order lines with their last seq, tombstones (op ``D``) included."""
-        return read_published(self.spark, self.orderline_root)
+    def state(self, buckets=None) -> DataFrame:
+        """Order lines with their last seq and bucket, tombstones (op ``D``) included."""
+        return self.state_table.read(buckets, STATE_SCHEMA)
 
-    def orderline(self) -> DataFrame:
-        return self.state().where(F.col("op") != F.lit(changes.DELETE)).select(*ORDERLINE.fieldNames())
+    def orderline(self, buckets=None) -> DataFrame:
+        return self.state(buckets).where(F.col("op") != F.lit(changes.DELETE)).select(*ORDERLINE.fieldNames())
 
-    def view(self) -> DataFrame:
-        return read_published(self.spark, self.view_root)
+    def view(self, buckets=None) -> DataFrame:
+        if self._view_schema is None:
+            self._view_schema = self.view_table.read().schema
+        return self.view_table.read(buckets, self._view_schema)
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         version = f"b{batch_id}"
-        log = batch.select(*ORDERLINE_CHANGE.fieldNames())
-        if current_version(self.spark, self.orderline_root) != version:
-            merged = changes.latest_changes(self.state().unionByName(log), ORDERLINE_KEY, tie_cols=["quantity"])
-            publish(self.spark, merged.select(*self.state().columns), self.orderline_root, version=version)
-        if current_version(self.spark, self.view_root) != version:
-            touched = changes.touched_products(orderline_changes=log)
-            mv = views.refresh_product_buyers(self.view(), touched, self.product, self.customer, self.order,
-                                              self.orderline(), self.page_size)
-            publish(self.spark, mv, self.view_root, version=version)
+        log = batch.select(*ORDERLINE_CHANGE.fieldNames()).withColumn(BUCKET, self._bucket("product_id"))
+        todo_state = self.state_table.version() != version
+        todo_view = self.view_table.version() != version
+        if not (todo_state or todo_view):
+            return
+        # bounded by n_buckets: a handful of integers, not data
+        touched = sorted(r[0] for r in log.select(BUCKET).distinct().collect())
+        if todo_state:
+            merged = changes.latest_changes(self.state(touched).unionByName(log), ORDERLINE_KEY,
+                                            tie_cols=["quantity"])
+            self.state_table.write_buckets(merged.select(*STATE_SCHEMA.fieldNames()), version, touched)
+        if todo_view:
+            products = changes.touched_products(orderline_changes=log)
+            mv = views.refresh_product_buyers(self.view(touched).drop(BUCKET), products, self.product,
+                                              self.customer, self.order, self.orderline(touched),
+                                              self.page_size)
+            self.view_table.write_buckets(mv.withColumn(BUCKET, self._bucket("productID")), version, touched)
 
     def start(self, log_path: str, trigger: dict | None = None, max_files_per_trigger: int = 1) -> StreamingQuery:
         """Run the upkeep as a streaming query over parquet change files.
@@ -98,16 +109,15 @@ class BuyerViewMaintainer:
         stream = (self.spark.readStream.schema(ORDERLINE_CHANGE)
                   .option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path))
         writer = (stream.writeStream.foreachBatch(lambda df, bid: self.apply_batch(df, bid))
-                  .option("checkpointLocation", f"{self.root.rstrip('/')}/_stream_checkpoint"))
+                  .option("checkpointLocation", f"{self.root}/_stream_checkpoint"))
         writer = writer.trigger(**(trigger or {"availableNow": True}))
         return writer.start()
 
     def compact_tombstones(self, older_than_seq: int, version: str) -> None:
         """Drop tombstones of changes older than ``older_than_seq`` (no change
-        that old can still arrive) and publish the smaller state."""
-        st = self.state()
+        that old can still arrive), bucket by bucket in one job."""
         keep = (F.col("op") != F.lit(changes.DELETE)) | (F.col("seq") >= F.lit(older_than_seq))
-        publish(self.spark, st.where(keep), self.orderline_root, version=version)
+        self.state_table.write_all(self.state().where(keep), version)
 
 
 def write_log(log: DataFrame, path: str, n_files: int) -> None:
