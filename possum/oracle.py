@@ -367,6 +367,8 @@ SQL: dict[str, str] = {
     "order_anomalies": ORDER_ANOMALIES,
     "state_top_products": STATE_TOP_PRODUCTS,
     "state_month_products": STATE_MONTH_PRODUCTS,
+    "state_top_products_docs": STATE_TOP_PRODUCTS,
+    "state_month_products_docs": STATE_MONTH_PRODUCTS,
     "apply_changes": APPLY_CHANGES,
     "price_history_changes": PRICE_HISTORY_CHANGES,
     "buyers_refresh": BUYERS_REFRESH,

@@ -6,7 +6,8 @@
 * ``run_export``: the four document sets built from the tables and published
   atomically (``export_json.sh`` + ``sync.sh``): a new version per run, the
   pointer switched last.
-* ``run_reports``: the six document queries written as JSON (``run_queries.sh``).
+* ``run_reports``: the six document queries over the published collections,
+  written as JSON (``run_queries.sh``).
 
 Each job reads and writes a folder that all executors share; nothing passes
 through the driver. Run with ``python -m possum.plans.jobs <job> ...``.
@@ -108,21 +109,24 @@ def run_export(spark: SparkSession, table_dir: str, out_root: str, version: str
     return out
 
 
-def run_reports(spark: SparkSession, table_dir: str, out_dir: str, state: str, month: int, product_id: int,
-                total_over: float, quantity_over: int, top_k: int = 20) -> None:
-    """SNK8: q1..q6 as JSON files."""
-    t = read_tables(spark, table_dir)
-    docs = build_documents(t)
+def read_documents(spark: SparkSession, publish_root: str, fmt: str = "json") -> dict[str, DataFrame]:
+    """The current version of each published collection, with its schema."""
+    return {k: sinks.read_published(spark, f"{publish_root}/{k}", fmt, schema=schemas.DOCS[k])
+            for k in schemas.DOCS}
+
+
+def run_reports(spark: SparkSession, publish_root: str, out_dir: str, state: str, month: int, product_id: int,
+                total_over: float, quantity_over: int, top_k: int = 20, fmt: str = "json") -> None:
+    """SNK8: q1..q6 over the published collections, written as JSON files."""
+    docs = read_documents(spark, publish_root, fmt)
     cust_fields = D.DOC_FIELDS["cust"]
-    zf = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
-    mf = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
     results = {
         "q1": reports.customers_in_state(docs["cust"], state, cust_fields),
         "q2": reports.vip_customers(docs["cust"]),
         "q3": reports.product_recall(docs["prod"], product_id),
         "q4": reports.order_anomalies(docs["cust"], cust_fields, total_over, quantity_over),
-        "q5": reports.state_top_products(zf, t.city, state, top_k),
-        "q6": reports.state_month_products(mf, t.city, state, month),
+        "q5": reports.state_top_products_from_docs(docs["custom1"], state, top_k),
+        "q6": reports.state_month_products_from_docs(docs["custom2"], state, month),
     }
     for name, df in results.items():
         df.write.mode("overwrite").json(f"{out_dir}/{name}")
@@ -147,7 +151,7 @@ def main(argv: list[str] | None = None) -> None:
     x.add_argument("table_dir")
     x.add_argument("out_root")
     q = sub.add_parser("reports")
-    q.add_argument("table_dir")
+    q.add_argument("publish_root")
     q.add_argument("out_dir")
     q.add_argument("--state", default="TX")
     q.add_argument("--month", type=int, default=5)
@@ -161,7 +165,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "export":
         print(run_export(spark, args.table_dir, args.out_root))
     else:
-        run_reports(spark, args.table_dir, args.out_dir, args.state, args.month, args.product_id,
+        run_reports(spark, args.publish_root, args.out_dir, args.state, args.month, args.product_id,
                     args.total_over, args.quantity_over)
 
 

@@ -1,9 +1,11 @@
 """The six document queries (QRY6-QRY11) of the reference's ``run_queries``.
 
-q1-q4 read customer and product documents (nested DataFrames, as built by
-``possum.plans.documents`` or read back from a published set); q5 and q6
-"unwind then group" the popularity documents, which is exactly a group-by over
-the flat fact tables the documents are made from, so they read those facts.
+q1-q4 read customer and product documents: nested DataFrames as built by
+``possum.plans.documents`` (with a typed ``state`` and a ``page`` column) or
+read back from a published set (document fields only). q5 and q6 "unwind then
+group" the popularity documents (``*_from_docs``); when the flat fact tables
+the documents are made from are at hand, the same answer is a group-by over
+them, without building and exploding the arrays.
 """
 
 from __future__ import annotations
@@ -14,17 +16,22 @@ from pyspark.sql import functions as F
 from possum.sources.sinks import json_text
 
 
+def _page(docs: DataFrame):
+    return F.col("page") if "page" in docs.columns else F.lit(0).cast("long").alias("page")
+
+
 def customers_in_state(cust_docs: DataFrame, state: str, fields: list[str]) -> DataFrame:
     """QRY6 (q1): customer documents of one state.
 
-    The reference matches ``/.* TX   .*/`` on PrintedAddress2 (FLT5). The state
-    is a typed column of the documents here, so the filter is an equality that
-    Catalyst pushes below the joins into the City scan; the regular expression
-    is kept as a second, equivalent condition on the printed line.
+    The reference matches ``/.* TX   .*/`` on PrintedAddress2 (FLT5). Built
+    documents also carry the typed state, so the filter adds an equality that
+    Catalyst pushes below the joins into the City scan; published documents
+    have only the printed line and are matched by the expression alone.
     """
-    pattern = f".* {state}   .*"
-    return cust_docs.where((F.col("state") == F.lit(state)) & F.col("PrintedAddress2").rlike(pattern)).select(
-        "CustomerID", "page", json_text(fields).alias("doc"))
+    cond = F.col("PrintedAddress2").rlike(f".* {state}   .*")
+    if "state" in cust_docs.columns:
+        cond = (F.col("state") == F.lit(state)) & cond
+    return cust_docs.where(cond).select("CustomerID", _page(cust_docs), json_text(fields).alias("doc"))
 
 
 def order_cost_totals(cust_docs: DataFrame) -> DataFrame:
@@ -57,7 +64,7 @@ def product_recall(prod_docs: DataFrame, product_id: int) -> DataFrame:
     """QRY8 (q3): buyers of one product (FLT6, PRJ3). The id filter is pushed
     through the aggregation into the order-line scan."""
     return prod_docs.where(F.col("ProductID") == F.lit(product_id)).select(
-        "ProductID", "page", "ProductName", F.to_json("ProductBuyers").alias("ProductBuyers"))
+        "ProductID", _page(prod_docs), "ProductName", F.to_json("ProductBuyers").alias("ProductBuyers"))
 
 
 def order_anomalies(cust_docs: DataFrame, fields: list[str], total_over: float, quantity_over: int) -> DataFrame:
@@ -65,7 +72,8 @@ def order_anomalies(cust_docs: DataFrame, fields: list[str], total_over: float,
     a quantity above ``quantity_over`` (FLT7, ``$or`` over dotted paths)."""
     big_order = F.exists("Orders", lambda o: o["OrderTotal"] > F.lit(total_over))
     big_item = F.exists("Orders", lambda o: F.exists(o["Items"], lambda i: i["Quantity"] > F.lit(quantity_over)))
-    return cust_docs.where(big_order | big_item).select("CustomerID", "page", json_text(fields).alias("doc"))
+    return cust_docs.where(big_order | big_item).select("CustomerID", _page(cust_docs),
+                                                        json_text(fields).alias("doc"))
 
 
 def _state_products(facts: DataFrame, city: DataFrame, state: str) -> DataFrame:
@@ -89,3 +97,28 @@ def state_month_products(zip_month_facts: DataFrame, city: DataFrame, state: str
     The product name is the real name (the reference's q6 printed a constant, Q10)."""
     facts = zip_month_facts.where(F.col("OrderMonth") == F.lit(month))
     return _state_products(facts, city, state)
+
+
+def _unwind_state(docs: DataFrame, state: str) -> DataFrame:
+    """FLT4 before F21: match the state, then one row per PopularProducts element."""
+    return docs.where(F.col("State") == F.lit(state)).select(F.explode("PopularProducts").alias("p")).select(
+        "p.ProductID", "p.ProductName", "p.TotalPurchases")
+
+
+def _group_products(unwound: DataFrame) -> DataFrame:
+    return unwound.groupBy("ProductID").agg(
+        F.min("ProductName").alias("ProductName"),
+        F.sum("TotalPurchases").cast("long").alias("TotalStatePurchases"),
+    )
+
+
+def state_top_products_from_docs(zip_docs: DataFrame, state: str, k: int = 20) -> DataFrame:
+    """QRY10 (q5) over custom1 documents: match, unwind, group, sort, limit."""
+    return _group_products(_unwind_state(zip_docs, state)).orderBy(
+        F.col("TotalStatePurchases").desc(), F.col("ProductID").asc()).limit(k)
+
+
+def state_month_products_from_docs(state_month_docs: DataFrame, state: str, month: int) -> DataFrame:
+    """QRY11 (q6) over custom2 documents: match state and month, unwind, group."""
+    docs = state_month_docs.where(F.col("OrderMonth") == F.lit(month))
+    return _group_products(_unwind_state(docs, state))

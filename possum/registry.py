@@ -182,6 +182,20 @@ def state_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.state_top_products(facts, t.city, STATE, TOP_K)
 
 
+def state_top_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q5 as the reference runs it: over custom1 documents, with ``explode``."""
+    t = td.pos_tables(spark, sf_dir)
+    facts = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
+    return reports.state_top_products_from_docs(D.zip_documents(facts, t.city), STATE, TOP_K)
+
+
+def state_month_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q6 over custom2 documents, with ``explode``."""
+    t = td.pos_tables(spark, sf_dir)
+    facts = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
+    return reports.state_month_products_from_docs(D.state_month_documents(facts, t.city), STATE, MONTH)
+
+
 def state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
@@ -302,6 +316,8 @@ QUERIES: dict[str, Query] = {
     "order_anomalies": order_anomalies,
     "state_top_products": state_top_products,
     "state_month_products": state_month_products,
+    "state_top_products_docs": state_top_products_docs,
+    "state_month_products_docs": state_month_products_docs,
     "apply_changes": apply_changes,
     "price_history_changes": price_history_changes,
     "buyers_refresh": buyers_refresh,

@@ -38,7 +38,14 @@ def test_etl_export_reports(spark, tmp_dir):
     nine = next(d for d in cust if d["CustomerID"] == 9)
     assert nine["Orders"][0]["OrderTotal"] == 22.5 and nine["Orders"][0]["ShippingDate"] is None
     assert sinks.current_version(spark, f"{tmp_dir}/pub/prod") == "r1"
-    jobs.run_reports(spark, f"{tmp_dir}/tables", f"{tmp_dir}/q", "TX", 5, 1, 20, 1)
+    jobs.run_reports(spark, f"{tmp_dir}/pub", f"{tmp_dir}/q", "TX", 5, 1, 20, 1)
+    q1 = {json.loads(x["value"])["CustomerID"] for x in spark.read.text(f"{tmp_dir}/q/q1").collect()}
+    assert q1 == {9, 10, 11}
+    q5 = [json.loads(x["value"]) for x in spark.read.text(f"{tmp_dir}/q/q5").collect()]
+    assert q5 == [{"ProductID": 1, "ProductName": "Widget", "TotalStatePurchases": 3},
+                  {"ProductID": 2, "ProductName": "Gadget", "TotalStatePurchases": 1}]
+    q6 = {json.loads(x["value"])["ProductID"] for x in spark.read.text(f"{tmp_dir}/q/q6").collect()}
+    assert q6 == {1, 2}
     q2 = [json.loads(x["value"]) for x in spark.read.text(f"{tmp_dir}/q/q2").collect()]
     assert [d["CustomerID"] for d in q2] == [9]
     q4 = {json.loads(x["value"])["CustomerID"] for x in spark.read.text(f"{tmp_dir}/q/q4").collect()}
