@@ -346,6 +346,27 @@ FK_VIOLATIONS = with_pos(body=" UNION ALL ".join([
 ]))
 
 
+def _len(table: str, source: str, key: str, limits: dict[str, int]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{col}' AS "column", CAST({key} AS VARCHAR) AS key,
+                   CAST(length({col}) AS INTEGER) AS length, {limit} AS max
+            FROM {source} WHERE length({col}) > {limit}"""
+        for col, limit in limits.items())
+
+
+LENGTH_VIOLATIONS = with_pos(body=" UNION ALL ".join([
+    _len("customer", "pos_customer", "id",
+         {"firstName": 32, "lastName": 30, "email": 128, "address1": 100, "address2": 50, "phone": 32}),
+    _len("city", "pos_city", "zip", {"city": 32, "state": 4}),
+    _len("product", "pos_product", "id", {"name": 128}),
+]))
+
+COPY_COUNTS = with_pos(*CHANGE_CTES, body="""
+SELECT 'expected' AS side, COUNT(*) AS rows FROM ol_base
+UNION ALL
+SELECT 'actual' AS side, COUNT(*) AS rows FROM ol_final""")
+
+
 SQL: dict[str, str] = {
     "product_buyers": PRODUCT_BUYERS,
     "order_lines": ORDER_LINES,
@@ -376,4 +397,6 @@ SQL: dict[str, str] = {
     "pk_violations": PK_VIOLATIONS,
     "fk_violations": FK_VIOLATIONS,
     "table_diff": TABLE_DIFF,
+    "length_violations": LENGTH_VIOLATIONS,
+    "copy_counts": COPY_COUNTS,
 }

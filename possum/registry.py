@@ -290,6 +290,22 @@ def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q16: text longer than its declared VARCHAR size (reported, not cut)."""
+    t = td.pos_tables(spark, sf_dir)
+    parts = [
+        checks.length_violations(t.customer, schemas.MAX_LEN["customer"], "customer", ["id"]),
+        checks.length_violations(t.city, schemas.MAX_LEN["city"], "city", ["zip"]),
+        checks.length_violations(t.product, schemas.MAX_LEN["product"], "product", ["id"]),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK3, first step: row counts of the order lines before and after the log."""
+    return checks.count_check(td.orderline_base(spark, sf_dir), _final_orderline(spark, sf_dir))
+
+
 def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines before and after the change log: what the log changed."""
     return checks.table_diff(td.orderline_base(spark, sf_dir), _final_orderline(spark, sf_dir))
@@ -325,4 +341,6 @@ QUERIES: dict[str, Query] = {
     "pk_violations": pk_violations,
     "fk_violations": fk_violations,
     "table_diff": table_diff,
+    "length_violations": length_violations,
+    "copy_counts": copy_counts,
 }
