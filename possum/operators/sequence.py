@@ -9,7 +9,9 @@ work. ``previous_value`` splits each key into ranges of ``seq`` (buckets):
 3. a window over those per-bucket summaries (``rows / bucket_width`` rows per
    key at most) gives, for every bucket, the last row of the nearest earlier
    non-empty bucket;
-4. the first row of each bucket takes that value.
+4. the first row of each bucket takes that value (one join of the small
+   summary onto the window output, which is already partitioned by
+   (key, bucket)).
 
 The result equals the plain ``lag`` (ties in ``seq`` are broken by
 ``tie_cols``), including a null previous value, which stays distinguishable from
@@ -57,12 +59,12 @@ def previous_value(
         (F.lag("_b").over(w_b).isNotNull()).alias("_has_carry"),
     )
 
-    firsts = local.where(F.col("_rn") == 1).join(summary, [*keys, "_b"], "inner")
-    rest = local.where(F.col("_rn") > 1).select(
-        "*", F.col("_lag").alias("_carry"), F.lit(True).alias("_has_carry"))
-    both = firsts.unionByName(rest.select(*firsts.columns))
-    return both.select(
+    # The window output is hash partitioned by (key, bucket), so joining the
+    # per-bucket summary on the same columns moves only the small side.
+    joined = local.join(summary, [*keys, "_b"], "inner")
+    first = F.col("_rn") == F.lit(1)
+    return joined.select(
         *[c for c in df.columns],
-        F.col("_carry").alias(prev_col),
-        F.col("_has_carry").alias(has_prev_col),
+        F.when(first, F.col("_carry")).otherwise(F.col("_lag")).alias(prev_col),
+        F.when(first, F.col("_has_carry")).otherwise(F.lit(True)).alias(has_prev_col),
     )
