@@ -302,6 +302,19 @@ SELECT product_id, seq, CAST(oldPrice AS DOUBLE) AS oldPrice, CAST(newPrice AS D
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
 FROM h WHERE oldPrice <> newPrice""")
 
+STREAM_PRODUCT_REPLICA = with_pos(f"""plog AS (
+  SELECT {SEQ} AS seq, p_partkey AS id, p_name AS name,
+         TRY_CAST(ROUND(TRY_CAST(p_retailprice AS DECIMAL(6,2)) * (1 - TRY_CAST(l_discount AS DECIMAL(3,2))), 2)
+                  AS DECIMAL(6,2)) AS currentPrice,
+         CAST(p_size AS INTEGER) AS availableQuantity
+  FROM lineitem JOIN part ON p_partkey = l_partkey)""", """plast AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, currentPrice DESC) AS rn
+                 FROM plog) WHERE rn = 1)""", body="""
+SELECT p.id, COALESCE(l.name, p.name) AS name,
+       CAST(CASE WHEN l.id IS NULL THEN p.currentPrice ELSE l.currentPrice END AS DOUBLE) AS currentPrice,
+       COALESCE(l.availableQuantity, p.availableQuantity) AS availableQuantity
+FROM pos_product p LEFT JOIN plast l ON l.id = p.id""")
+
 # --- checks --------------------------------------------------------------------------
 
 
@@ -394,6 +407,7 @@ SQL: dict[str, str] = {
     "price_history_changes": PRICE_HISTORY_CHANGES,
     "buyers_refresh": BUYERS_REFRESH,
     "stream_refresh": BUYERS_REFRESH,
+    "stream_product_replica": STREAM_PRODUCT_REPLICA,
     "pk_violations": PK_VIOLATIONS,
     "fk_violations": FK_VIOLATIONS,
     "table_diff": TABLE_DIFF,

@@ -250,6 +250,19 @@ def _stream_maintainer(spark: SparkSession, sf_dir: str):
     return m
 
 
+def stream_product_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG5: a copy of the product table kept from the price-change stream."""
+    from possum.streaming.refresh import write_log
+    from possum.streaming.replica import TableReplica
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/replica/{uuid.uuid4().hex}"
+    replica = TableReplica(spark, f"{root}/product", schemas.PRODUCT, ["id"], "id", tie_cols=["currentPrice"])
+    replica.bootstrap(td.product(spark, sf_dir))
+    write_log(td.price_log(spark, sf_dir), f"{root}/log", STREAM_FILES)
+    replica.start(f"{root}/log", schemas.PRODUCT_CHANGE).awaitTermination()
+    return _iso(replica.current())
+
+
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHG5/CHG7: the change log as a file stream, applied micro-batch by
     micro-batch; the view read back from its published version."""
@@ -338,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "price_history_changes": price_history_changes,
     "buyers_refresh": buyers_refresh,
     "stream_refresh": stream_refresh,
+    "stream_product_replica": stream_product_replica,
     "pk_violations": pk_violations,
     "fk_violations": fk_violations,
     "table_diff": table_diff,

@@ -25,7 +25,6 @@ from files every batch, so lineage never grows across batches.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,12 +32,9 @@ from possum.operators.collect import DEFAULT_PAGE_SIZE
 from possum.plans import changes, views
 from possum.schemas import ORDERLINE, ORDERLINE_CHANGE
 from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of
+from possum.streaming.replica import DEFAULT_BUCKETS, TableReplica
 
 ORDERLINE_KEY = ["order_id", "product_id"]
-DEFAULT_BUCKETS = 64
-
-STATE_SCHEMA = T.StructType(
-    list(ORDERLINE_CHANGE.fields) + [T.StructField(BUCKET, T.IntegerType(), True)])
 
 
 class BuyerViewMaintainer:
@@ -51,27 +47,23 @@ class BuyerViewMaintainer:
         self.order = order
         self.page_size = page_size
         self.n_buckets = n_buckets
-        self.state_table = BucketedTable(spark, f"{self.root}/orderline", n_buckets)
+        # order lines and view share the bucketing by product id
+        self.lines = TableReplica(spark, f"{self.root}/orderline", ORDERLINE, ORDERLINE_KEY, "product_id",
+                                  n_buckets, tie_cols=["quantity"])
         self.view_table = BucketedTable(spark, f"{self.root}/product_buyers", n_buckets)
         self._view_schema: T.StructType | None = None
 
-    def _bucket(self, col: str):
-        return bucket_of(col, self.n_buckets)
-
     def bootstrap(self, orderline: DataFrame, base_seq: int = -1) -> None:
         """Write the starting order lines and the view computed from them."""
-        state = orderline.select(F.lit(base_seq).cast("long").alias("seq"), F.lit("I").alias("op"),
-                                 *ORDERLINE.fieldNames()).withColumn(BUCKET, self._bucket("product_id"))
-        self.state_table.write_all(state, "base")
+        self.lines.bootstrap(orderline, base_seq)
         mv = views.product_buyers(self.product, self.customer, self.order, self.orderline(), self.page_size)
-        self.view_table.write_all(mv.withColumn(BUCKET, self._bucket("productID")), "base")
+        self.view_table.write_all(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)), "base")
 
     def state(self, buckets=None) -> DataFrame:
-        """Order lines with their last seq and bucket, tombstones (op ``D``) included."""
-        return self.state_table.read(buckets, STATE_SCHEMA)
+        return self.lines.state(buckets)
 
     def orderline(self, buckets=None) -> DataFrame:
-        return self.state(buckets).where(F.col("op") != F.lit(changes.DELETE)).select(*ORDERLINE.fieldNames())
+        return self.lines.current(buckets)
 
     def view(self, buckets=None) -> DataFrame:
         if self._view_schema is None:
@@ -80,44 +72,25 @@ class BuyerViewMaintainer:
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         version = f"b{batch_id}"
-        log = batch.select(*ORDERLINE_CHANGE.fieldNames()).withColumn(BUCKET, self._bucket("product_id"))
-        todo_state = self.state_table.version() != version
-        todo_view = self.view_table.version() != version
-        if not (todo_state or todo_view):
+        if self.lines.version() == version and self.view_table.version() == version:
             return
-        # bounded by n_buckets: a handful of integers, not data
-        touched = sorted(r[0] for r in log.select(BUCKET).distinct().collect())
-        if todo_state:
-            merged = changes.latest_changes(self.state(touched).unionByName(log), ORDERLINE_KEY,
-                                            tie_cols=["quantity"])
-            self.state_table.write_buckets(merged.select(*STATE_SCHEMA.fieldNames()), version, touched)
-        if todo_view:
+        log = self.lines.prepare(batch.select(*ORDERLINE_CHANGE.fieldNames()))
+        touched = self.lines.apply(log, version)
+        if self.view_table.version() != version:
             products = changes.touched_products(orderline_changes=log)
             mv = views.refresh_product_buyers(self.view(touched).drop(BUCKET), products, self.product,
                                               self.customer, self.order, self.orderline(touched),
                                               self.page_size)
-            self.view_table.write_buckets(mv.withColumn(BUCKET, self._bucket("productID")), version, touched)
+            self.view_table.write_buckets(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)),
+                                          version, touched)
 
     def start(self, log_path: str, trigger: dict | None = None, max_files_per_trigger: int = 1) -> StreamingQuery:
-        """Run the upkeep as a streaming query over parquet change files.
-
-        ``trigger`` is passed to ``DataStreamWriter.trigger``: the default
-        ``availableNow`` drains what is there and stops (run it from any
-        scheduler, CHG7); ``{"processingTime": "15 minutes"}`` keeps it running
-        on the reference's cadence. A streaming query never overlaps itself,
-        which replaces the reference's lock file."""
-        stream = (self.spark.readStream.schema(ORDERLINE_CHANGE)
-                  .option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path))
-        writer = (stream.writeStream.foreachBatch(lambda df, bid: self.apply_batch(df, bid))
-                  .option("checkpointLocation", f"{self.root}/_stream_checkpoint"))
-        writer = writer.trigger(**(trigger or {"availableNow": True}))
-        return writer.start()
+        """Run the upkeep as a streaming query over parquet change files
+        (trigger as in ``TableReplica.start``)."""
+        return self.lines.start(log_path, ORDERLINE_CHANGE, self.apply_batch, trigger, max_files_per_trigger)
 
     def compact_tombstones(self, older_than_seq: int, version: str) -> None:
-        """Drop tombstones of changes older than ``older_than_seq`` (no change
-        that old can still arrive), bucket by bucket in one job."""
-        keep = (F.col("op") != F.lit(changes.DELETE)) | (F.col("seq") >= F.lit(older_than_seq))
-        self.state_table.write_all(self.state().where(keep), version)
+        self.lines.compact_tombstones(older_than_seq, version)
 
 
 def write_log(log: DataFrame, path: str, n_files: int) -> None:

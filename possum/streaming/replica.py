@@ -1,0 +1,95 @@
+"""A read-only copy of a table kept from its change log (CHG4 inside CHG5).
+
+The reference replicates row changes to a replica through the binary log.
+Here a change log (``seq``, ``op``, row image) is applied micro-batch by
+micro-batch in ``foreachBatch``; the copy is a ``BucketedTable`` so a batch
+rewrites only the buckets its keys fall into. Per key the change with the
+highest ``seq`` wins and deletes leave tombstones, so batches may arrive in any
+order, and a replayed batch (same version) is skipped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from possum.plans import changes
+from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of
+
+DEFAULT_BUCKETS = 64
+
+
+class TableReplica:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key_cols: Sequence[str],
+                 bucket_key: str, n_buckets: int = DEFAULT_BUCKETS, tie_cols: Sequence[str] = ()):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.schema = schema
+        self.key_cols = list(key_cols)
+        self.bucket_key = bucket_key
+        self.n_buckets = n_buckets
+        self.tie_cols = list(tie_cols)
+        self.table = BucketedTable(spark, self.root, n_buckets)
+        self.state_schema = T.StructType(
+            [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())]
+            + list(schema.fields) + [T.StructField(BUCKET, T.IntegerType())])
+
+    def bucket(self) -> F.Column:
+        return bucket_of(self.bucket_key, self.n_buckets)
+
+    def bootstrap(self, snapshot: DataFrame, base_seq: int = -1, version: str = "base") -> None:
+        state = snapshot.select(F.lit(base_seq).cast("long").alias("seq"), F.lit("I").alias("op"),
+                                *self.schema.fieldNames()).withColumn(BUCKET, self.bucket())
+        self.table.write_all(state, version)
+
+    def state(self, buckets=None) -> DataFrame:
+        """Rows with the seq of the change they show; tombstones (op ``D``) included."""
+        return self.table.read(buckets, self.state_schema)
+
+    def current(self, buckets=None) -> DataFrame:
+        """The replicated table (deleted keys left out)."""
+        return self.state(buckets).where(F.col("op") != F.lit(changes.DELETE)).select(*self.schema.fieldNames())
+
+    def version(self) -> str | None:
+        return self.table.version()
+
+    def prepare(self, log: DataFrame) -> DataFrame:
+        return log.select("seq", "op", *self.schema.fieldNames()).withColumn(BUCKET, self.bucket())
+
+    def touched_buckets(self, log: DataFrame) -> list[int]:
+        """The buckets a (prepared) log touches: at most ``n_buckets`` integers."""
+        return sorted(r[0] for r in log.select(BUCKET).distinct().collect())
+
+    def apply(self, log: DataFrame, version: str, touched: list[int] | None = None) -> list[int]:
+        """Merge a prepared log into the copy as ``version``; skip when the copy
+        already is at that version. Returns the touched buckets."""
+        touched = self.touched_buckets(log) if touched is None else touched
+        if self.version() != version:
+            merged = changes.latest_changes(self.state(touched).unionByName(log), self.key_cols,
+                                            tie_cols=self.tie_cols)
+            self.table.write_buckets(merged.select(*self.state_schema.fieldNames()), version, touched)
+        return touched
+
+    def compact_tombstones(self, older_than_seq: int, version: str) -> None:
+        """Drop tombstones of changes older than ``older_than_seq``."""
+        keep = (F.col("op") != F.lit(changes.DELETE)) | (F.col("seq") >= F.lit(older_than_seq))
+        self.table.write_all(self.state().where(keep), version)
+
+    def start(self, log_path: str, log_schema: T.StructType,
+              on_batch: Callable[[DataFrame, int], None] | None = None,
+              trigger: dict | None = None, max_files_per_trigger: int = 1) -> StreamingQuery:
+        """Replicate from parquet change files as a streaming query.
+
+        ``trigger``: default ``availableNow`` (drain and stop, for any
+        scheduler); ``{"processingTime": "15 minutes"}`` runs on the
+        reference's cadence (CHG7). A query never overlaps itself."""
+        handler = on_batch or (lambda df, bid: self.apply(self.prepare(df), f"b{bid}"))
+        stream = (self.spark.readStream.schema(log_schema)
+                  .option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path))
+        writer = (stream.writeStream.foreachBatch(handler)
+                  .option("checkpointLocation", f"{self.root}/_stream_checkpoint"))
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
