@@ -41,10 +41,12 @@ def assign_pages(
     element_key: str | Column,
     page_size: int | None = DEFAULT_PAGE_SIZE,
     counts: DataFrame | None = None,
+    max_group_size: int | None = None,
+    key_window: int | None = None,
 ) -> DataFrame:
     """Add a ``page`` column so that no (group, page) holds more than
     ``page_size`` elements. ``page_size=None`` turns paging off (page 0)."""
-    return assign_pages_info(elements, group_cols, element_key, page_size, counts)[0]
+    return assign_pages_info(elements, group_cols, element_key, page_size, counts, max_group_size, key_window)[0]
 
 
 def assign_pages_info(
@@ -53,13 +55,30 @@ def assign_pages_info(
     element_key: str | Column,
     page_size: int | None = DEFAULT_PAGE_SIZE,
     counts: DataFrame | None = None,
+    max_group_size: int | None = None,
+    key_window: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """``assign_pages`` plus whether any group was split (then per-group totals
-    must be summed over pages)."""
-    if page_size is None:
+    must be summed over pages).
+
+    ``key_window``: width of a page in element-key units (default
+    ``page_size``), for keys that are not unique within a group: with at most
+    ``m`` elements per key value, a window of ``page_size // m`` keeps pages
+    within ``page_size``.
+
+    ``max_group_size``: a bound on every group known without a job (for
+    example one element per product); at or under ``page_size`` nothing is
+    counted. Without ``counts`` the elements are checkpointed into the shared
+    checkpoint folder first, so counting and collecting read the same files
+    instead of computing the elements twice."""
+    if page_size is None or (max_group_size is not None and max_group_size <= page_size):
         return elements.withColumn(PAGE, F.lit(0).cast("long")), False
     key = F.col(element_key) if isinstance(element_key, str) else element_key
     if counts is None:
+        from possum.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(elements.sparkSession)
+        elements = elements.checkpoint(eager=True)
         counts = elements.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > F.lit(page_size)).select(*group_cols)
     n_hot = hot.limit(BROADCAST_KEY_LIMIT + 1).count()
@@ -68,7 +87,7 @@ def assign_pages_info(
     hot = hot.withColumn("_hot", F.lit(True))
     side = F.broadcast(hot) if n_hot <= BROADCAST_KEY_LIMIT else hot
     page = (
-        F.when(F.col("_hot"), F.floor(key / F.lit(page_size)))
+        F.when(F.col("_hot"), F.floor(key / F.lit(key_window or page_size)))
         .otherwise(F.lit(0))
         .cast("long")
     )
@@ -108,6 +127,8 @@ def collect_paged(
     aggs: Sequence[Column],
     page_size: int | None = DEFAULT_PAGE_SIZE,
     counts: DataFrame | None = None,
+    max_group_size: int | None = None,
+    key_window: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Group ``elements`` by ``group_cols`` (and ``page`` where a group is split)
     and apply ``aggs``. Returns the grouped frame, which always has ``page``,
@@ -116,7 +137,8 @@ def collect_paged(
     Without a split the grouping is by ``group_cols`` alone, so a following
     join on the same keys reuses the aggregate's hash partitioning.
     """
-    paged, split = assign_pages_info(elements, group_cols, element_key, page_size, counts)
+    paged, split = assign_pages_info(elements, group_cols, element_key, page_size, counts, max_group_size,
+                                     key_window)
     if split:
         return paged.groupBy(*group_cols, PAGE).agg(*aggs), True
     grouped = paged.groupBy(*group_cols).agg(*aggs)

@@ -52,12 +52,14 @@ def with_pos(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-def paged(source: str, group: str, key: str, bound: str | None = None) -> str:
+def paged(source: str, group: str, key: str, bound: str | None = None, window: str | None = None) -> str:
     """SQL twin of ``assign_pages``: page 0 unless the group is hot. A group is
-    hot when its row count in ``bound`` (default: ``source``) exceeds the page size."""
+    hot when its row count in ``bound`` (default: ``source``) exceeds the page
+    size; a hot group is cut by windows of ``window`` (default: the page size)."""
     bound = bound or source
+    window = window or str(PAGE_SIZE)
     return f"""
-    (SELECT s.*, CASE WHEN COALESCE(n.n, 0) > {PAGE_SIZE} THEN CAST(floor(s.{key} / {PAGE_SIZE}) AS BIGINT)
+    (SELECT s.*, CASE WHEN COALESCE(n.n, 0) > {PAGE_SIZE} THEN CAST(floor(s.{key} / ({window})) AS BIGINT)
                      ELSE CAST(0 AS BIGINT) END AS page
      FROM {source} s LEFT JOIN (SELECT {group}, COUNT(*) AS n FROM {bound} GROUP BY {group}) n USING ({group}))
     """
@@ -227,11 +229,15 @@ SELECT a.zip AS ZIP, a.page,
        to_json({'ZIP': a.zip, 'State': ci.state, 'City': ci.city, 'PopularProducts': a.PopularProducts}) AS doc
 FROM zarr a JOIN pos_city ci ON ci.zip = a.zip""")
 
+# page width of custom2 in product ids: page size // most zips of any state
+SM_WINDOW = (f"(SELECT greatest(1, {PAGE_SIZE} // max(n)) FROM "
+             "(SELECT state, COUNT(*) AS n FROM pos_city GROUP BY state))")
+
 STATE_MONTH_POPULARITY = with_pos(*sales_ctes(True), """keyed AS (
   SELECT f.*, ci.state, f.ProductID * 100000 + CAST(f.zip AS BIGINT) AS k
   FROM facts f JOIN pos_city ci ON ci.zip = f.zip)""", f"""smarr AS (
   SELECT state, OrderMonth, page, list({POPULAR} ORDER BY k) AS PopularProducts
-  FROM {paged('keyed', 'state, OrderMonth', 'k')} GROUP BY state, OrderMonth, page)""", body="""
+  FROM {paged('keyed', 'state, OrderMonth', 'ProductID', window=SM_WINDOW)} GROUP BY state, OrderMonth, page)""", body="""
 SELECT OrderMonth, state AS State, page,
        to_json({'OrderMonth': OrderMonth, 'State': state, 'PopularProducts': PopularProducts}) AS doc
 FROM smarr""")

@@ -184,22 +184,36 @@ def _popular() -> Column:
         F.col("TotalPurchases"), F.col("TotalSales"), F.col("ProductID"), F.col("ProductName"))
 
 
-def zip_documents(facts: DataFrame, city: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """QRY4 (custom1): one document per zip with sales (JN5 inner join to City)."""
+def zip_documents(facts: DataFrame, city: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,
+                  n_products: int | None = None) -> DataFrame:
+    """QRY4 (custom1): one document per zip with sales (JN5 inner join to City).
+    A zip holds at most one element per product, so with ``n_products`` (the
+    product count) at most ``page_size`` no zip is counted."""
     arrays, _ = collect_paged(facts, ["zip"], "ProductID",
-                              [sorted_array("ProductID", _popular()).alias("PopularProducts")], page_size)
+                              [sorted_array("ProductID", _popular()).alias("PopularProducts")], page_size,
+                              max_group_size=n_products)
     return arrays.join(city.select("zip", "city", "state"), "zip", "inner").select(
         F.col("zip").alias("ZIP"), PAGE, F.col("state").alias("State"), F.col("city").alias("City"),
         "PopularProducts")
 
 
 def state_month_documents(facts: DataFrame, city: DataFrame,
-                          page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
+                          page_size: int | None = DEFAULT_PAGE_SIZE, n_products: int | None = None) -> DataFrame:
     """QRY5 (custom2): one document per (state, order month); one element per
     (zip, product), so a product may repeat within a state (Q7). Elements are
-    ordered by (ProductID, zip)."""
+    ordered by (ProductID, zip).
+
+    A product brings at most Z elements (Z = most zips of any state, read from
+    the small City table), so a hot (state, month) is paged by windows of
+    ``page_size // Z`` product ids, which keeps every page within
+    ``page_size``. With ``n_products``, a state-month under Z x products
+    elements is not counted at all."""
+    most_zips = city.groupBy("state").count().agg(F.max("count")).first()[0] or 1
+    bound = most_zips * n_products if n_products is not None else None
+    window = max(1, (page_size or 1) // most_zips)
     keyed = facts.join(city.select("zip", "state"), "zip", "inner").withColumn(
         "_k", F.col("ProductID") * F.lit(ZIP_SPAN) + F.col("zip").cast("long"))
-    arrays, _ = collect_paged(keyed, ["state", "OrderMonth"], "_k",
-                              [sorted_array("_k", _popular()).alias("PopularProducts")], page_size)
+    arrays, _ = collect_paged(keyed, ["state", "OrderMonth"], "ProductID",
+                              [sorted_array("_k", _popular()).alias("PopularProducts")], page_size,
+                              max_group_size=bound, key_window=window)
     return arrays.select(F.col("OrderMonth"), F.col("state").alias("State"), PAGE, "PopularProducts")

@@ -88,11 +88,12 @@ def check_tables(t: PosTables) -> DataFrame:
 def build_documents(t: PosTables) -> dict[str, DataFrame]:
     zf = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
     mf = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
+    n_products = t.product.count()
     return {
         "prod": D.prod_documents(t.product, t.customer, t.order, t.orderline),
         "cust": D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product),
-        "custom1": D.zip_documents(zf, t.city),
-        "custom2": D.state_month_documents(mf, t.city),
+        "custom1": D.zip_documents(zf, t.city, n_products=n_products),
+        "custom2": D.state_month_documents(mf, t.city, n_products=n_products),
     }
 
 

@@ -138,13 +138,14 @@ def cust_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zip_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
-    return json_documents(D.zip_documents(facts, t.city), D.DOC_FIELDS["custom1"], ["ZIP", "page"])
+    docs = D.zip_documents(facts, t.city, n_products=t.product.count())
+    return json_documents(docs, D.DOC_FIELDS["custom1"], ["ZIP", "page"])
 
 
 def state_month_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
-    docs = D.state_month_documents(facts, t.city)
+    docs = D.state_month_documents(facts, t.city, n_products=t.product.count())
     return json_documents(docs, D.DOC_FIELDS["custom2"], ["OrderMonth", "State", "page"])
 
 
@@ -186,14 +187,16 @@ def state_top_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q5 as the reference runs it: over custom1 documents, with ``explode``."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
-    return reports.state_top_products_from_docs(D.zip_documents(facts, t.city), STATE, TOP_K)
+    docs = D.zip_documents(facts, t.city, n_products=t.product.count())
+    return reports.state_top_products_from_docs(docs, STATE, TOP_K)
 
 
 def state_month_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q6 over custom2 documents, with ``explode``."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
-    return reports.state_month_products_from_docs(D.state_month_documents(facts, t.city), STATE, MONTH)
+    docs = D.state_month_documents(facts, t.city, n_products=t.product.count())
+    return reports.state_month_products_from_docs(docs, STATE, MONTH)
 
 
 def state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
