@@ -2,16 +2,17 @@
 
 Layout under ``root``::
 
-    bucket=<k>/v=<version>/part-*.parquet   one folder per written bucket version
+    v=<version>/bucket=<k>/part-*.parquet   the buckets one write touched
     _MANIFEST                               {"version": ..., "buckets": {k: version or null}}
 
-A write produces new folders only for the buckets it touches (staged under
-``_staging/<version>`` by one Spark job, then each bucket folder renamed into
-place), and then replaces the manifest in one rename. Readers follow the
-manifest, so they see either the old or the new set, never a mix; a write that
-failed half way left only folders the manifest does not name and is simply
-redone. The manifest has one entry per bucket, so its size is fixed by
-``n_buckets``, not by the data.
+A write puts the buckets it touches under a new ``v=<version>`` folder (one
+Spark job, partitioned by bucket) and then replaces the manifest in one
+rename; untouched buckets keep pointing at older version folders. Readers
+follow the manifest, so they see either the old or the new set, never a mix;
+a write that failed half way left only a folder the manifest does not name and
+is simply redone. The manifest has one entry per bucket, so its size is fixed
+by ``n_buckets``, not by the data. Old version folders no manifest names any
+more can be removed by a cleanup job once no reader uses them.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class BucketedTable:
         if m is None:
             raise FileNotFoundError(f"no table under {self.root}")
         wanted = set(range(self.n_buckets)) if buckets is None else set(buckets)
-        paths = [f"{self.root}/{BUCKET}={k}/v={v}" for k, v in sorted(m["buckets"].items(), key=lambda kv: int(kv[0]))
+        paths = [f"{self.root}/v={v}/{BUCKET}={k}" for k, v in sorted(m["buckets"].items(), key=lambda kv: int(kv[0]))
                  if v is not None and int(k) in wanted]
         if not paths:
             if schema is None:
@@ -91,23 +92,15 @@ class BucketedTable:
         rows of those buckets only, with a ``bucket`` column); a listed bucket
         without rows becomes empty. Other buckets keep their version."""
         buckets = sorted(set(int(b) for b in buckets))
-        staging = f"{self.root}/_staging/{version}"
+        target = f"{self.root}/v={version}"
         # REBALANCE by bucket: about one file per bucket, while adaptive
         # execution still splits a bucket that holds a hot product's rows.
-        df.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(staging)
+        df.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+        written = {st.getPath().getName() for st in self._fs.listStatus(self._Path(target))}
         old = self.manifest() or {"version": None, "buckets": {}}
         new_buckets = dict(old["buckets"])
         for k in buckets:
-            src = self._Path(f"{staging}/{BUCKET}={k}")
-            dst = self._Path(f"{self.root}/{BUCKET}={k}/v={version}")
-            if self._fs.exists(src):
-                if self._fs.exists(dst):  # left by an attempt that did not finish
-                    self._fs.delete(dst, True)
-                self._fs.mkdirs(dst.getParent())
-                self._fs.rename(src, dst)
-                new_buckets[str(k)] = version
-            else:
-                new_buckets[str(k)] = None
+            new_buckets[str(k)] = version if f"{BUCKET}={k}" in written else None
         self._write_manifest({"version": version, "buckets": new_buckets})
 
     def write_all(self, df: DataFrame, version: str) -> None:
