@@ -116,7 +116,8 @@ def cust_documents(customer: DataFrame, city: DataFrame, order: DataFrame, order
     )
     o, ol = order, orderline
     if restrict:
-        o = order.join(c.select(F.col("customer_id")), "customer_id", "left_semi")
+        ids = customer.select(F.col("id").alias("customer_id"))
+        o = order.join(ids, "customer_id", "left_semi")
         ol = orderline.join(o.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     elements = order_documents(o, ol, product, page_size)
     # A customer with more than page_size orders is paged by order id windows
