@@ -107,3 +107,15 @@ def test_touched_products_from_order_and_customer_changes(spark):
     got = changes.touched_products(orderline=t.orderline, order_changes=moved, customer_changes=renamed,
                                    order=t.order)
     assert sorted(r["product_id"] for r in got.collect()) == [1, 2, 3]
+
+
+def test_customer_rename_refresh_equals_rebuild(spark):
+    t = pos(spark)
+    mv = views.product_buyers(t.product, t.customer, t.order, t.orderline)
+    renamed = t.customer.withColumn("lastName", F.when(F.col("id") == 9, F.lit("Nueve")).otherwise(F.col("lastName")))
+    changed = renamed.where("id = 9").select("id")
+    touched = changes.touched_products(orderline=t.orderline, customer_changes=changed, order=t.order)
+    refreshed = views.refresh_product_buyers(mv, touched, t.product, renamed, t.order, t.orderline)
+    rebuilt = views.product_buyers(t.product, renamed, t.order, t.orderline)
+    assert table_diff(rebuilt, refreshed).count() == 0
+    assert rebuilt.where("productID = 1").first()["customers"] == "9 Nina Nueve,10 Ten Tenor"

@@ -3,7 +3,6 @@
 import json
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from possum.plans import documents as D
 from possum.plans import reports, views
