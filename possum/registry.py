@@ -208,7 +208,10 @@ def state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- changes (CHG1-CHG4, UDF1) -------------------------------------------------------------
 
 ORDERLINE_KEY = ["order_id", "product_id"]
-PRICE_BUCKET_DAYS = 366
+# seq ranges for the previous-price computation: 1/100 of a day of seq, that is
+# ranges of order keys within a day, so a product sold all day long is still
+# spread over many tasks; each bucket adds at most one summary row.
+PRICE_BUCKET = td.SEQ_DAY // 100
 
 
 def _final_orderline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +225,7 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = changes.price_history_changes(td.product(spark, sf_dir), td.price_log(spark, sf_dir),
-                                        bucket_width=PRICE_BUCKET_DAYS * td.SEQ_DAY)
+                                        bucket_width=PRICE_BUCKET)
     return _iso(out)
 
 
