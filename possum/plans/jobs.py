@@ -8,6 +8,9 @@
   pointer switched last.
 * ``run_reports``: the six document queries over the published collections,
   written as JSON (``run_queries.sh``).
+* ``run_stream``: the order-line change stream applied to the order lines
+  and the cached view (triggers + replication), drained once (``availableNow``,
+  for any scheduler) or every N minutes (the reference's 15-minute cron).
 
 Each job reads and writes a folder that all executors share; nothing passes
 through the driver. Run with ``python -m possum.plans.jobs <job> ...``.
@@ -133,6 +136,21 @@ def run_reports(spark: SparkSession, publish_root: str, out_dir: str, state: str
         df.write.mode("overwrite").json(f"{out_dir}/{name}")
 
 
+def run_stream(spark: SparkSession, table_dir: str, state_root: str, log_path: str,
+               every: str | None = None) -> None:
+    """CHG5/CHG7: keep the order lines and the view under ``state_root`` from
+    the change files in ``log_path``. The first run starts from the tables in
+    ``table_dir``; later runs continue from the stream checkpoint."""
+    from possum.streaming.refresh import BuyerViewMaintainer
+
+    t = read_tables(spark, table_dir)
+    m = BuyerViewMaintainer(spark, state_root, t.product, t.customer, t.order)
+    if m.lines.version() is None:
+        m.bootstrap(t.orderline)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    m.start(log_path, trigger=trigger).awaitTermination()
+
+
 def materialize_view(spark: SparkSession, table_dir: str, out_dir: str) -> None:
     """mv_ProductBuyers as Parquet, bucketed by product id range for lookups."""
     t = read_tables(spark, table_dir)
@@ -159,12 +177,19 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("--product-id", type=int, default=1)
     q.add_argument("--total-over", type=float, default=20000)
     q.add_argument("--quantity-over", type=int, default=10)
+    st = sub.add_parser("stream")
+    st.add_argument("table_dir")
+    st.add_argument("state_root")
+    st.add_argument("log_path")
+    st.add_argument("--every", default=None, help="e.g. '15 minutes'; default: drain once and stop")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
     if args.job == "etl":
         print(run_etl(spark, args.extract_dir, args.out_dir))
     elif args.job == "export":
         print(run_export(spark, args.table_dir, args.out_root))
+    elif args.job == "stream":
+        run_stream(spark, args.table_dir, args.state_root, args.log_path, args.every)
     else:
         run_reports(spark, args.publish_root, args.out_dir, args.state, args.month, args.product_id,
                     args.total_over, args.quantity_over)

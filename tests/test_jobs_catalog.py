@@ -46,6 +46,16 @@ def test_etl_export_reports(spark, tmp_dir):
                   {"ProductID": 2, "ProductName": "Gadget", "TotalStatePurchases": 1}]
     q6 = {json.loads(x["value"])["ProductID"] for x in spark.read.text(f"{tmp_dir}/q/q6").collect()}
     assert q6 == {1, 2}
+    # the change stream: product 2 gets a buyer, then the run is repeated (no-op)
+    from possum import schemas
+    log = spark.createDataFrame([(1, "I", 101, 2, 1)], schemas.ORDERLINE_CHANGE)
+    log.write.parquet(f"{tmp_dir}/log")
+    for _ in range(2):
+        jobs.run_stream(spark, f"{tmp_dir}/tables", f"{tmp_dir}/state", f"{tmp_dir}/log")
+    from possum.streaming.refresh import BuyerViewMaintainer
+    t = jobs.read_tables(spark, f"{tmp_dir}/tables")
+    m = BuyerViewMaintainer(spark, f"{tmp_dir}/state", t.product, t.customer, t.order)
+    assert m.view().where("productID = 2").first()["customers"] == "9 Nina Nine,10 Ten Tenor"
     q2 = [json.loads(x["value"]) for x in spark.read.text(f"{tmp_dir}/q/q2").collect()]
     assert [d["CustomerID"] for d in q2] == [9]
     q4 = {json.loads(x["value"])["CustomerID"] for x in spark.read.text(f"{tmp_dir}/q/q4").collect()}
