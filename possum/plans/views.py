@@ -86,3 +86,12 @@ def refresh_product_buyers(
     p = product.join(keys.withColumnRenamed("product_id", "id"), "id", "left_semi")
     fresh = product_buyers(p, customer, order, ol, page_size)
     return kept.unionByName(fresh.select(*mv.columns))
+
+
+def refresh_one_product(mv: DataFrame, product_id: int, product: DataFrame, customer: DataFrame,
+                        order: DataFrame, orderline: DataFrame,
+                        page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """UDF1 with the procedure's signature: recompute one product's buyers.
+    The id becomes a one-row key table and the set-based refresh does the rest."""
+    keys = mv.sparkSession.range(1).select(F.lit(product_id).cast("long").alias("product_id"))
+    return refresh_product_buyers(mv, keys, product, customer, order, orderline, page_size)
