@@ -386,6 +386,21 @@ UNION ALL
 SELECT 'actual' AS side, COUNT(*) AS rows FROM ol_final""")
 
 
+PRICE_UPDATE_DEMO = with_pos(body="""
+SELECT id AS product_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS oldPrice,
+       CAST(currentPrice AS DOUBLE) AS newPrice
+FROM pos_product WHERE id = 3
+UNION ALL
+SELECT id, CAST(1 AS BIGINT), CAST(currentPrice AS DOUBLE), CAST(currentPrice + 10.00 AS DOUBLE)
+FROM pos_product WHERE id = 3 AND currentPrice IS NOT NULL""")
+
+VIEW_INSERT_DEMO = "SELECT * FROM (" + product_buyers_sql(
+    """ol_demo AS (SELECT order_id, product_id, quantity FROM pos_orderline
+                   WHERE NOT (order_id = 1 AND product_id = 3)
+                   UNION ALL SELECT CAST(1 AS BIGINT), CAST(3 AS BIGINT), 1)""",
+    orderline="ol_demo") + ") WHERE productID = 3"
+
+
 SQL: dict[str, str] = {
     "product_buyers": PRODUCT_BUYERS,
     "order_lines": ORDER_LINES,
@@ -419,4 +434,6 @@ SQL: dict[str, str] = {
     "table_diff": TABLE_DIFF,
     "length_violations": LENGTH_VIOLATIONS,
     "copy_counts": COPY_COUNTS,
+    "price_update_demo": PRICE_UPDATE_DEMO,
+    "view_insert_demo": VIEW_INSERT_DEMO,
 }

@@ -275,6 +275,43 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_maintainer(spark, sf_dir).view().drop("bucket")
 
 
+# --- the reference's demonstration statements (CHK4) -----------------------------------------
+
+DEMO_PRODUCT = 3
+DEMO_ORDER = 1
+
+
+def price_update_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPDATE Product SET currentPrice = currentPrice + 10.00 WHERE id = 3, then
+    UPDATE Product SET availableQuantity = 0 WHERE id = 3; PriceHistory of
+    product 3: the load row and one change (the second update keeps the price)."""
+    product = td.product(spark, sf_dir)
+    raise_price = changes.updates_where(
+        product, F.col("id") == F.lit(DEMO_PRODUCT),
+        {"currentPrice": (F.col("currentPrice") + F.lit(10)).cast(schemas.PRICE)}, F.lit(1))
+    after_first = changes.apply_changes(product, raise_price, ["id"])
+    zero_stock = changes.updates_where(after_first, F.col("id") == F.lit(DEMO_PRODUCT),
+                                       {"availableQuantity": F.lit(0)}, F.lit(2))
+    log = raise_price.unionByName(zero_stock).withColumn("ts", F.lit(AS_OF).cast("timestamp"))
+    history = etl.price_history_initial(product, AS_OF).unionByName(
+        changes.price_history_changes(product, log))
+    return _iso(history.where(F.col("product_id") == F.lit(DEMO_PRODUCT)).drop("ts"))
+
+
+def view_insert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT INTO Orderline VALUES (1, 3, 1); SELECT * FROM mv_ProductBuyers
+    WHERE productID = 3 (the trigger refreshed product 3)."""
+    t = td.pos_tables(spark, sf_dir)
+    mv = views.product_buyers(t.product, t.customer, t.order, t.orderline)
+    insert = spark.range(1).select(F.lit(1).cast("long").alias("seq"), F.lit("I").alias("op"),
+                                   F.lit(DEMO_ORDER).cast("long").alias("order_id"),
+                                   F.lit(DEMO_PRODUCT).cast("long").alias("product_id"),
+                                   F.lit(1).alias("quantity"))
+    lines = changes.apply_changes(t.orderline, insert, ORDERLINE_KEY)
+    fresh = views.refresh_one_product(mv, DEMO_PRODUCT, t.product, t.customer, t.order, lines)
+    return fresh.where(F.col("productID") == F.lit(DEMO_PRODUCT))
+
+
 # --- checks (CHK1-CHK3) -----------------------------------------------------------------------
 
 def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,4 +400,6 @@ QUERIES: dict[str, Query] = {
     "table_diff": table_diff,
     "length_violations": length_violations,
     "copy_counts": copy_counts,
+    "price_update_demo": price_update_demo,
+    "view_insert_demo": view_insert_demo,
 }
