@@ -42,10 +42,11 @@ def fk_violations(child: DataFrame, child_cols: Sequence[str], parent: DataFrame
                   parent_cols: Sequence[str], constraint: str) -> DataFrame:
     """CHK2 / JN8: (constraint, key, n) for child keys with no parent row.
 
-    A left anti join; child rows with a null key are not violations (SQL
+    A left anti join (it never repeats a child row, so the parent keys need no
+    de-duplication); child rows with a null key are not violations (SQL
     foreign keys ignore them). Rows are counted per missing key."""
     ccols, pcols = list(child_cols), list(parent_cols)
-    renamed = parent.select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols)]).distinct()
+    renamed = parent.select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols)])
     nonnull = child.select(*ccols)
     for c in ccols:
         nonnull = nonnull.where(F.col(c).isNotNull())
