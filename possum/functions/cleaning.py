@@ -47,8 +47,8 @@ def parse_datetime_to_date(col: ColumnOrName) -> Column:
 def parse_zip(col: ColumnOrName) -> Column:
     """F6 and F16: a zip code kept as five zero-padded characters.
 
-    ``01234`` and ``1234`` give ``01234``; a ZIP+4 such as ``77840-1234`` gives
-    ``77840``; empty text, text without leading digits or more than five digits
+    ``01234`` and ``1234`` give ``01234``; a ZIP+4 such as ``55501-1234`` gives
+    ``55501``; empty text, text without leading digits or more than five digits
     give null.
     """
     digits = F.regexp_extract(F.trim(_c(col)), r"^(\d{1,5})(?:\D.*)?$", 1)

@@ -1,6 +1,6 @@
 """Database objects: rebuild, typed tables, views, the cached view (DDL1-DDL7, SNK6, SNK7, F22).
 
-Parquet tables in the session catalog play the reference's InnoDB tables. Keys
+Parquet tables in the session catalog play the reference's row-store tables. Keys
 are not enforced by the format; ``possum.operators.checks`` checks them.
 """
 

@@ -11,15 +11,15 @@ D = Decimal
 
 def pos(spark) -> PosTables:
     customer = spark.createDataFrame([
-        (9, "Nina", "Nine", "n@x", "9 Elm", None, None, None, "77840"),
-        (10, "Ten", "Tenor", None, "10 Oak", "B", None, None, "77840"),
+        (9, "Nina", "Nine", "n@x", "9 Elm", None, None, None, "55501"),
+        (10, "Ten", "Tenor", None, "10 Oak", "B", None, None, "55501"),
         (11, "Ola", "Lone", None, "11 Ash", None, None, None, "73301"),   # no orders
         (12, "Tie", "One", None, "12 Fir", None, None, None, "73301"),
         (13, "Tie", "Two", None, "13 Fir", None, None, None, "10001"),
         (14, "No", "City", None, "14 Fir", None, None, None, "99999"),   # no City row
     ], schemas.CUSTOMER)
     city = spark.createDataFrame([
-        ("77840", "College Station", "TX"), ("73301", "Austin", "TX"), ("10001", "New York", "NY"),
+        ("55501", "Springfield", "TX"), ("73301", "Austin", "TX"), ("10001", "New York", "NY"),
     ], schemas.CITY)
     order = spark.createDataFrame([
         (100, dt.date(2020, 5, 1), None, 9),
