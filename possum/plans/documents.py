@@ -24,15 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from possum import fixed
 from possum.functions.cleaning import full_name, printed_address1, printed_address2, round_money
 from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, group_sizes, sorted_array
 from possum.plans.views import buyer_pairs
 
 DOC_FIELDS = {
-    "prod": ["ProductID", "ProductName", "ProductBuyers"],
-    "cust": ["CustomerID", "CustomerName", "PrintedAddress1", "PrintedAddress2", "Orders"],
-    "custom1": ["ZIP", "State", "City", "PopularProducts"],
-    "custom2": ["OrderMonth", "State", "PopularProducts"],
+    "prod": fixed.PROD_FIELDS,
+    "cust": fixed.CUST_FIELDS,
+    "custom1": fixed.ZIP_FIELDS,
+    "custom2": fixed.STATE_MONTH_FIELDS,
 }
 
 # Zip codes are five digits, so (product, zip) packs into one ordered long key.

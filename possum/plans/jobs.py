@@ -24,7 +24,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from possum import schemas
+from possum import fixed, schemas
 from possum.operators import checks
 from possum.plans import documents as D
 from possum.plans import etl, reports, views
@@ -172,11 +172,11 @@ def main(argv: list[str] | None = None) -> None:
     q = sub.add_parser("reports")
     q.add_argument("publish_root")
     q.add_argument("out_dir")
-    q.add_argument("--state", default="TX")
-    q.add_argument("--month", type=int, default=5)
-    q.add_argument("--product-id", type=int, default=1)
-    q.add_argument("--total-over", type=float, default=20000)
-    q.add_argument("--quantity-over", type=int, default=10)
+    q.add_argument("--state", default=fixed.REPORT_STATE)
+    q.add_argument("--month", type=int, default=fixed.REPORT_MONTH)
+    q.add_argument("--product-id", type=int, default=fixed.REPORT_PRODUCT_ID)
+    q.add_argument("--total-over", type=float, default=fixed.REPORT_TOTAL_OVER)
+    q.add_argument("--quantity-over", type=int, default=fixed.REPORT_QUANTITY_OVER)
     st = sub.add_parser("stream")
     st.add_argument("table_dir")
     st.add_argument("state_root")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from possum import fixed
 from possum.sources.sinks import json_text
 
 
@@ -28,7 +29,7 @@ def customers_in_state(cust_docs: DataFrame, state: str, fields: list[str]) -> D
     Catalyst pushes below the joins into the City scan; published documents
     have only the printed line and are matched by the expression alone.
     """
-    cond = F.col("PrintedAddress2").rlike(f".* {state}   .*")
+    cond = F.col("PrintedAddress2").rlike(fixed.REPORT_STATE_PATTERN.format(state=state))
     if "state" in cust_docs.columns:
         cond = (F.col("state") == F.lit(state)) & cond
     return cust_docs.where(cond).select("CustomerID", _page(cust_docs), json_text(fields).alias("doc"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from possum import fixed
 from possum.functions.cleaning import full_name
 from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, group_sizes, ordered_concat
 
@@ -31,11 +32,12 @@ def buyer_strings(pairs: DataFrame, customer: DataFrame, page_size: int | None =
     ``counts`` bounds the buyers per product (see ``collect_paged``)."""
     c = customer.select(
         F.col("id").alias("customer_id"),
-        F.concat(F.col("id").cast("string"), F.lit(" "), full_name("firstName", "lastName")).alias("buyer"),
+        F.concat(F.col("id").cast("string"), F.lit(fixed.NAME_SEP), full_name("firstName", "lastName")).alias("buyer"),
     )
     named = pairs.join(c, "customer_id", "inner")
     lists, _ = collect_paged(named, ["product_id"], "customer_id",
-                             [ordered_concat("customer_id", F.col("buyer")).alias("customers")], page_size,
+                             [ordered_concat("customer_id", F.col("buyer"), fixed.BUYER_LIST_SEP).alias("customers")],
+                             page_size,
                              counts)
     return lists
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from possum import fixed
+
 # Prices are DECIMAL(6,2) in the POS schema; sums of price x quantity are widened
 # to MONEY before rounding so no total can overflow.
-PRICE = T.DecimalType(6, 2)
-MONEY = T.DecimalType(18, 2)
+PRICE = T.DecimalType(fixed.PRICE_PRECISION, fixed.PRICE_SCALE)
+MONEY = T.DecimalType(18, fixed.MONEY_SCALE)
 
 
 def _f(name: str, dtype: T.DataType, nullable: bool = True) -> T.StructField:

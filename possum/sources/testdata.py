@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from possum import fixed
 from possum.schemas import PRICE
 
 TABLES = (
@@ -179,7 +180,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _quoted(F.col("c_mktsegment")).alias("address1"),
         F.coalesce(_quoted(a2), F.lit("")).alias("address2"),
         _email(F.col("c_custkey")).alias("email"),
-        F.date_format(_birthdate(F.col("c_custkey")), "M/d/yyyy").alias("birthdate"),
+        F.date_format(_birthdate(F.col("c_custkey")), fixed.BIRTHDATE_FORMAT).alias("birthdate"),
     )
 
 
@@ -187,12 +188,13 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     placed = F.col("o_orderdate").cast("date")
     shipped = _date_shipped(F.col("o_orderstatus"), F.col("o_orderpriority"), placed)
-    fmt = "yyyy-MM-dd HH:mm:ss"
+    fmt = fixed.ORDER_TIME_FORMAT
     return o.select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_custkey").cast("string").alias("customer_id"),
         _quoted(F.date_format(F.col("o_orderdate"), fmt)).alias("datePlaced"),
-        F.coalesce(_quoted(F.date_format(shipped.cast("timestamp_ntz"), fmt)), F.lit("Cancelled")).alias("dateShipped"),
+        F.coalesce(_quoted(F.date_format(shipped.cast("timestamp_ntz"), fmt)),
+                   F.lit(fixed.SHIP_DATE_SENTINEL)).alias("dateShipped"),
     )
 
 
