@@ -121,3 +121,18 @@ def test_customer_replica_update_delete_late(spark, tmp_dir):
     now = {r["id"]: r["firstName"] for r in rep.current().collect()}
     assert now[9] == "Nia" and 10 not in now and len(now) == 5
     assert rep.table.manifest()["version"] == "b1" and before["version"] == "b0"
+
+
+def test_compact_tombstones(spark, tmp_dir):
+    from possum.streaming.replica import TableReplica
+
+    t = pos(spark)
+    rep = TableReplica(spark, f"{tmp_dir}/ol", schemas.ORDERLINE, ["order_id", "product_id"], "product_id",
+                       n_buckets=4)
+    rep.bootstrap(t.orderline)
+    dele = spark.createDataFrame([(7, "D", 100, 1, None)], schemas.ORDERLINE_CHANGE)
+    rep.apply(rep.prepare(dele), "b0")
+    assert rep.state().where("op = 'D'").count() == 1
+    rep.compact_tombstones(older_than_seq=8, version="c1")
+    assert rep.state().where("op = 'D'").count() == 0
+    assert rep.current().count() == t.orderline.count() - 1
