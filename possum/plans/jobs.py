@@ -119,6 +119,25 @@ def read_documents(spark: SparkSession, publish_root: str, fmt: str = "json") ->
             for k in schemas.DOCS}
 
 
+def register_views(spark: SparkSession, table_dir: str | None = None, publish_root: str | None = None,
+                   fmt: str = "json") -> list[str]:
+    """Temp views for SQL users: the POS tables (Customer, City, `Order`,
+    Orderline, Product) and the published collections (prod, cust, custom1,
+    custom2), e.g. ``SELECT * FROM cust WHERE exists(Orders, o -> o.OrderTotal > 20000)``."""
+    names = []
+    if table_dir:
+        t = read_tables(spark, table_dir)
+        for name, df in {"Customer": t.customer, "City": t.city, "Order": t.order, "Orderline": t.orderline,
+                         "Product": t.product}.items():
+            df.createOrReplaceTempView(name)
+            names.append(name)
+    if publish_root:
+        for name, df in read_documents(spark, publish_root, fmt).items():
+            df.createOrReplaceTempView(name)
+            names.append(name)
+    return names
+
+
 def run_reports(spark: SparkSession, publish_root: str, out_dir: str, state: str, month: int, product_id: int,
                 total_over: float, quantity_over: int, top_k: int = 20, fmt: str = "json") -> None:
     """SNK8: q1..q6 over the published collections, written as JSON files."""

@@ -46,6 +46,11 @@ def test_etl_export_reports(spark, tmp_dir):
                   {"ProductID": 2, "ProductName": "Gadget", "TotalStatePurchases": 1}]
     q6 = {json.loads(x["value"])["ProductID"] for x in spark.read.text(f"{tmp_dir}/q/q6").collect()}
     assert q6 == {1, 2}
+    # SQL over the published collections
+    jobs.register_views(spark, f"{tmp_dir}/tables", f"{tmp_dir}/pub")
+    big = spark.sql("SELECT CustomerID FROM cust WHERE exists(Orders, o -> exists(o.Items, i -> i.Quantity > 1))")
+    assert [r[0] for r in big.collect()] == [9]
+    assert spark.sql("SELECT count(*) FROM `Order` JOIN Orderline ON Orderline.order_id = `Order`.id").first()[0] == 3
     # the change stream: product 2 gets a buyer, then the run is repeated (no-op)
     from possum import schemas
     log = spark.createDataFrame([(1, "I", 101, 2, 1)], schemas.ORDERLINE_CHANGE)
