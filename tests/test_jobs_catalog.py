@@ -80,12 +80,12 @@ def test_catalog_objects(spark, tmp_dir):
     catalog.cache_view(spark, db, buckets=4)  # IF NOT EXISTS: second call keeps the table
     assert spark.table(f"{db}.mv_ProductBuyers").count() == 4
     assert "CREATE TABLE" in catalog.show_create(spark, f"{db}.mv_ProductBuyers")
-    names = {r["tableName"].lower() for r in catalog.show_tables(spark, db).collect()}
+    names = {r["tableName"].lower() for r in catalog.show_tables(spark, db).where("NOT isTemporary").collect()}
     assert {"customer", "mv_productbuyers", "v_productbuyers"} <= names
     assert catalog.sample(view, 5).count() == 4
     assert catalog.current_user(spark)
     catalog.rebuild_database(spark, db)
-    assert catalog.show_tables(spark, db).count() == 0
+    assert catalog.show_tables(spark, db).where("NOT isTemporary").count() == 0
 
 
 def test_materialized_view_lookup_skips_by_range(spark, tmp_dir):
