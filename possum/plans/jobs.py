@@ -196,6 +196,9 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("--product-id", type=int, default=fixed.REPORT_PRODUCT_ID)
     q.add_argument("--total-over", type=float, default=fixed.REPORT_TOTAL_OVER)
     q.add_argument("--quantity-over", type=int, default=fixed.REPORT_QUANTITY_OVER)
+    ck = sub.add_parser("check")
+    ck.add_argument("table_dir")
+    ck.add_argument("out_dir")
     st = sub.add_parser("stream")
     st.add_argument("table_dir")
     st.add_argument("state_root")
@@ -207,6 +210,8 @@ def main(argv: list[str] | None = None) -> None:
         print(run_etl(spark, args.extract_dir, args.out_dir))
     elif args.job == "export":
         print(run_export(spark, args.table_dir, args.out_root))
+    elif args.job == "check":
+        check_tables(read_tables(spark, args.table_dir)).write.mode("overwrite").json(args.out_dir)
     elif args.job == "stream":
         run_stream(spark, args.table_dir, args.state_root, args.log_path, args.every)
     else:

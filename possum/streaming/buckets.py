@@ -105,3 +105,19 @@ class BucketedTable:
 
     def write_all(self, df: DataFrame, version: str) -> None:
         self.write_buckets(df, version, range(self.n_buckets))
+
+    def vacuum(self) -> list[str]:
+        """Remove version folders the manifest no longer names (and staging
+        left by failed writes). Run it when no reader still uses an older
+        manifest; returns the removed folder names."""
+        m = self.manifest()
+        if m is None:
+            return []
+        live = {f"v={v}" for v in m["buckets"].values() if v is not None}
+        removed = []
+        for st in self._fs.listStatus(self._Path(self.root)):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v=") and name not in live:
+                self._fs.delete(st.getPath(), True)
+                removed.append(name)
+        return sorted(removed)

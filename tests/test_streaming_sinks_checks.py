@@ -136,3 +136,6 @@ def test_compact_tombstones(spark, tmp_dir):
     rep.compact_tombstones(older_than_seq=8, version="c1")
     assert rep.state().where("op = 'D'").count() == 0
     assert rep.current().count() == t.orderline.count() - 1
+    # after the compaction every bucket is at c1: older folders can go
+    assert rep.table.vacuum() == ["v=b0", "v=base"]
+    assert rep.current().count() == t.orderline.count() - 1
