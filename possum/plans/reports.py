@@ -61,11 +61,13 @@ def vip_customers(cust_docs: DataFrame) -> DataFrame:
         "CustomerID", "CustomerName", "totalOrderCost")
 
 
-def product_recall(prod_docs: DataFrame, product_id: int) -> DataFrame:
+def product_recall(prod_docs: DataFrame, product_id: int, buyers_as_text: bool = True) -> DataFrame:
     """QRY8 (q3): buyers of one product (FLT6, PRJ3). The id filter is pushed
-    through the aggregation into the order-line scan."""
+    through the aggregation into the order-line scan. ``buyers_as_text`` gives
+    the buyer array as JSON text (one comparable value), else as an array."""
+    buyers = F.to_json("ProductBuyers") if buyers_as_text else F.col("ProductBuyers")
     return prod_docs.where(F.col("ProductID") == F.lit(product_id)).select(
-        "ProductID", _page(prod_docs), "ProductName", F.to_json("ProductBuyers").alias("ProductBuyers"))
+        "ProductID", _page(prod_docs), "ProductName", buyers.alias("ProductBuyers"))
 
 
 def order_anomalies(cust_docs: DataFrame, fields: list[str], total_over: float, quantity_over: int) -> DataFrame:
