@@ -74,15 +74,20 @@ class BuyerViewMaintainer:
         version = f"b{batch_id}"
         if self.lines.version() == version and self.view_table.version() == version:
             return
-        log = self.lines.prepare(batch.select(*ORDERLINE_CHANGE.fieldNames()))
-        touched = self.lines.apply(log, version)
-        if self.view_table.version() != version:
-            products = changes.touched_products(orderline_changes=log)
-            mv = views.refresh_product_buyers(self.view(touched).drop(BUCKET), products, self.product,
-                                              self.customer, self.order, self.orderline(touched),
-                                              self.page_size)
-            self.view_table.write_buckets(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)),
-                                          version, touched)
+        # the batch is used three times (buckets, merge, touched products):
+        # keep it for the length of this call instead of reading it again
+        log = self.lines.prepare(batch.select(*ORDERLINE_CHANGE.fieldNames())).persist()
+        try:
+            touched = self.lines.apply(log, version)
+            if self.view_table.version() != version:
+                products = changes.touched_products(orderline_changes=log)
+                mv = views.refresh_product_buyers(self.view(touched).drop(BUCKET), products, self.product,
+                                                  self.customer, self.order, self.orderline(touched),
+                                                  self.page_size)
+                self.view_table.write_buckets(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)),
+                                              version, touched)
+        finally:
+            log.unpersist()
 
     def start(self, log_path: str, trigger: dict | None = None, max_files_per_trigger: int = 1) -> StreamingQuery:
         """Run the upkeep as a streaming query over parquet change files

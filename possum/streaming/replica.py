@@ -74,6 +74,17 @@ class TableReplica:
             self.table.write_buckets(merged.select(*self.state_schema.fieldNames()), version, touched)
         return touched
 
+    def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """``foreachBatch`` handler: the batch is kept for the call (it is read
+        twice, for its buckets and for the merge) and released after."""
+        if self.version() == f"b{batch_id}":
+            return
+        log = self.prepare(batch).persist()
+        try:
+            self.apply(log, f"b{batch_id}")
+        finally:
+            log.unpersist()
+
     def compact_tombstones(self, older_than_seq: int, version: str) -> None:
         """Drop tombstones of changes older than ``older_than_seq``."""
         keep = (F.col("op") != F.lit(changes.DELETE)) | (F.col("seq") >= F.lit(older_than_seq))
@@ -87,7 +98,7 @@ class TableReplica:
         ``trigger``: default ``availableNow`` (drain and stop, for any
         scheduler); ``{"processingTime": "15 minutes"}`` runs on the
         reference's cadence (CHG7). A query never overlaps itself."""
-        handler = on_batch or (lambda df, bid: self.apply(self.prepare(df), f"b{bid}"))
+        handler = on_batch or self.apply_batch
         stream = (self.spark.readStream.schema(log_schema)
                   .option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path))
         writer = (stream.writeStream.foreachBatch(handler)
