@@ -106,3 +106,15 @@ def test_state_filter_reaches_city_scan(spark, tmp_dir):
     plan = reports.state_top_products(facts, city, "TX", 5)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(state), EqualTo(state,TX)" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_hot_order_items_paged_with_full_total(spark):
+    t = pos(spark)
+    lines = t.orderline.unionByName(spark.createDataFrame(
+        [(300, p, 1) for p in (1, 2, 3, 4)], t.orderline.schema))
+    orders = t.order.unionByName(spark.createDataFrame([(300, None, None, 11)], t.order.schema))
+    docs = D.cust_documents(t.customer, t.city, orders, lines, t.product, page_size=2)
+    eleven = [o for r in docs.where("CustomerID = 11").collect() for o in r["Orders"]]
+    assert [o["OrderID"] for o in eleven] == [300, 300, 300]           # three items pages
+    assert [[i["ProductID"] for i in o["Items"]] for o in eleven] == [[1], [2, 3], [4]]
+    assert {o["OrderTotal"] for o in eleven} == {Decimal("26.00")}     # 10 + 2.5 + 12.5 + 1 on every page
