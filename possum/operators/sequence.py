@@ -42,7 +42,8 @@ def previous_value(
     ``has_prev`` (false for the key's first row). ``seq_col`` must be integral."""
     keys = list(key_cols)
     order = [F.col(seq_col)] + [F.col(c) for c in tie_cols]
-    bucketed = df.withColumn("_b", F.floor(F.col(seq_col) / F.lit(bucket_width)).cast("long"))
+    # integral division: seq values may exceed the range a double holds exactly
+    bucketed = df.withColumn("_b", F.expr(f"`{seq_col}` div {int(bucket_width)}"))
 
     w_in = Window.partitionBy(*keys, "_b").orderBy(*order)
     local = (
