@@ -39,6 +39,8 @@ pos_order AS (
            AS dateShipped,
          o_custkey AS customer_id
   FROM orders),
+pos_lines AS (
+  SELECT l_orderkey AS order_id, l_partkey AS product_id FROM lineitem),
 pos_orderline AS (
   SELECT l_orderkey AS order_id, l_partkey AS product_id,
          CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity,
@@ -80,7 +82,7 @@ def product_buyers_sql(*ctes: str, orderline: str = "pos_orderline") -> str:
     )
 
 
-PRODUCT_BUYERS = product_buyers_sql()
+PRODUCT_BUYERS = product_buyers_sql(orderline="pos_lines")
 
 
 
@@ -128,13 +130,13 @@ FROM pos_product""")
 
 PROD_CTES = (
     """pairs AS (SELECT DISTINCT ol.product_id, o.customer_id
-                 FROM pos_orderline ol JOIN pos_order o ON o.id = ol.order_id)""",
+                 FROM pos_lines ol JOIN pos_order o ON o.id = ol.order_id)""",
     """buyers AS (SELECT pr.product_id, pr.customer_id, c.firstName || ' ' || c.lastName AS CustomerName
                   FROM pairs pr JOIN pos_customer c ON c.id = pr.customer_id)""",
     f"""parr AS (SELECT product_id, page,
                   list({{'CustomerID': customer_id, 'CustomerName': CustomerName}} ORDER BY customer_id)
                     AS ProductBuyers
-                FROM {paged('buyers', 'product_id', 'customer_id', 'pos_orderline')} GROUP BY product_id, page)""",
+                FROM {paged('buyers', 'product_id', 'customer_id', 'pos_lines')} GROUP BY product_id, page)""",
     """prod AS (SELECT a.product_id AS ProductID, a.page, p.name AS ProductName, a.ProductBuyers
                 FROM parr a JOIN pos_product p ON p.id = a.product_id)""",
 )

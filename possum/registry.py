@@ -58,9 +58,16 @@ def _iso(df: DataFrame) -> DataFrame:
 
 # --- views (QRY1) -----------------------------------------------------------------
 
+def _sold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order_id, product_id) of every raw order line. Buyer lists only need the
+    set of pairs, so the raw lines serve without summing them into order lines
+    first (one shuffle less); their count per product still bounds the buyers."""
+    return td.line_units(spark, sf_dir).select("order_id", "product_id")
+
+
 def product_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
-    return views.product_buyers(t.product, t.customer, t.order, t.orderline)
+    return views.product_buyers(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
 
 
 # --- cleaning (SRC, F1-F8, AG1, AG3, CHG6) ------------------------------------------
@@ -125,7 +132,7 @@ def csv_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
-    docs = D.prod_documents(t.product, t.customer, t.order, t.orderline)
+    docs = D.prod_documents(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
     return json_documents(docs, D.DOC_FIELDS["prod"], ["ProductID", "page"])
 
 
@@ -167,7 +174,7 @@ def vip_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
-    docs = D.prod_documents(t.product, t.customer, t.order, t.orderline)
+    docs = D.prod_documents(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
     return reports.product_recall(docs, PRODUCT_ID)
 
 

@@ -40,9 +40,9 @@ def test_columns_pruned_at_scan(spark):
 
 
 def test_view_shuffles_only_on_its_keys(spark):
-    # order lines (order, product), buyer pairs (product, customer), buyer
-    # lists (product) and the product side of the final join: four shuffles.
-    assert shuffles(plan(registry.product_buyers(spark, SF_SMALL))) <= 4
+    # buyer pairs (product, customer), buyer lists (product) and the product
+    # side of the final join: three shuffles.
+    assert shuffles(plan(registry.product_buyers(spark, SF_SMALL))) <= 3
 
 
 def test_change_apply_pushes_anti_join_below_snapshot_aggregate(spark):
