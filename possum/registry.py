@@ -30,9 +30,9 @@ from possum.sources.sinks import json_documents
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Report parameters. The reference's reports use the state TX; the test data's
-# states are regions, so AMERICA plays that part. Thresholds of q4 are set for these tables:
-# an order total above 400,000 and an item above 50 units (only repeated
-# (order, product) pairs reach that, one raw line holds at most 50).
+# states are regions, so AMERICA plays that part. The q4 thresholds are set for
+# these tables: an order total above 400,000 and an item above 50 units (only
+# repeated (order, product) pairs reach that; one raw line holds at most 50).
 STATE = "AMERICA"
 MONTH = 5
 PRODUCT_ID = 1
