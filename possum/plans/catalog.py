@@ -9,23 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from possum.operators.collect import DEFAULT_PAGE_SIZE
+
 # Spark SQL text of ``v_ProductBuyers`` over tables named Customer, `Order`,
-# Orderline and Product (QRY1 for users who keep writing SQL). Unlike the
-# DataFrame version it does not split hot products into pages.
+# Orderline and Product (QRY1 for users who keep writing SQL). Like the
+# DataFrame version, a product with more than {page} order lines has its buyers
+# split into pages by windows of {page} customer ids, so no group is unbounded.
 PRODUCT_BUYERS_VIEW_SQL = """
-SELECT P.id AS productID, P.name AS productName,
-       nullif(array_join(transform(array_sort(collect_set(
-         CASE WHEN B.buyer IS NOT NULL THEN named_struct('k', B.customer_id, 'v', B.buyer) END)),
-         x -> x.v), ','), '') AS customers
-FROM {db}.Product P
-LEFT JOIN (
+WITH pairs AS (
   SELECT DISTINCT OL.product_id, C.id AS customer_id,
          concat(C.id, ' ', C.firstName, ' ', C.lastName) AS buyer
   FROM {db}.Customer C
   JOIN {db}.`Order` O ON O.customer_id = C.id
   JOIN {db}.Orderline OL ON OL.order_id = O.id
-) B ON B.product_id = P.id
-GROUP BY P.id, P.name
+), sizes AS (
+  SELECT product_id, count(*) AS n FROM {db}.Orderline GROUP BY product_id
+), lists AS (
+  SELECT pairs.product_id,
+         CASE WHEN sizes.n > {page} THEN CAST(floor(pairs.customer_id / {page}) AS BIGINT) ELSE 0L END AS page,
+         nullif(array_join(transform(array_sort(collect_set(
+           CASE WHEN pairs.buyer IS NOT NULL THEN named_struct('k', pairs.customer_id, 'v', pairs.buyer) END)),
+           x -> x.v), ','), '') AS customers
+  FROM pairs JOIN sizes ON sizes.product_id = pairs.product_id
+  GROUP BY 1, 2
+)
+SELECT P.id AS productID, P.name AS productName, coalesce(L.page, 0L) AS page, L.customers
+FROM {db}.Product P LEFT JOIN lists L ON L.product_id = P.id
 """
 
 
@@ -55,7 +64,8 @@ def save_tables(spark: SparkSession, db: str, tables: dict[str, DataFrame], mode
 
 def create_product_buyers_view(spark: SparkSession, db: str) -> DataFrame:
     """DDL3: CREATE OR REPLACE VIEW v_ProductBuyers over the catalog tables."""
-    spark.sql(f"CREATE OR REPLACE VIEW `{db}`.v_ProductBuyers AS {PRODUCT_BUYERS_VIEW_SQL.format(db=db)}")
+    sql = PRODUCT_BUYERS_VIEW_SQL.format(db=db, page=DEFAULT_PAGE_SIZE)
+    spark.sql(f"CREATE OR REPLACE VIEW `{db}`.v_ProductBuyers AS {sql}")
     return spark.table(f"`{db}`.v_ProductBuyers")
 
 

@@ -76,6 +76,13 @@ def test_catalog_objects(spark, tmp_dir):
     view = catalog.create_product_buyers_view(spark, db)
     rows = {r["productID"]: r["customers"] for r in view.collect()}
     assert rows[1] == "9 Nina Nine,10 Ten Tenor" and rows[4] is None
+    # the SQL text pages hot products exactly like the DataFrame version
+    from possum.operators.checks import table_diff
+    from possum.plans import views
+    paged_sql = spark.sql(catalog.PRODUCT_BUYERS_VIEW_SQL.format(db=db, page=1))
+    paged_df = views.product_buyers(t.product, t.customer, t.order, t.orderline, page_size=1)
+    assert paged_sql.where("productID = 1").count() == 2
+    assert table_diff(paged_df, paged_sql).count() == 0
     catalog.cache_view(spark, db, buckets=4)
     catalog.cache_view(spark, db, buckets=4)  # IF NOT EXISTS: second call keeps the table
     assert spark.table(f"{db}.mv_ProductBuyers").count() == 4
