@@ -3,7 +3,7 @@
 Layout under ``root``::
 
     v=<version>/bucket=<k>/part-*.parquet   the buckets one write touched
-    _MANIFEST                               {"version": ..., "buckets": {k: version or null}}
+    _MANIFEST                               {"version": ..., "n_buckets": n, "buckets": {k: version or null}}
 
 A write puts the buckets it touches under a new ``v=<version>`` folder (one
 Spark job, partitioned by bucket) and then replaces the manifest in one
@@ -28,6 +28,14 @@ from possum.sources.sinks import _replace
 
 BUCKET = "bucket"
 MANIFEST = "_MANIFEST"
+ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 4, 4096
+
+
+def buckets_for(rows: int) -> int:
+    """A bucket count for a table of ``rows`` rows: about a million rows per
+    bucket, between 4 and 4096 (so the manifest stays small)."""
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
 
 
 def bucket_of(col: str | Column, n_buckets: int) -> Column:
@@ -36,14 +44,18 @@ def bucket_of(col: str | Column, n_buckets: int) -> Column:
 
 
 class BucketedTable:
-    def __init__(self, spark: SparkSession, root: str, n_buckets: int):
+    """``n_buckets=None``: the count stored in the manifest of an existing
+    table; a new table must get one before its first write."""
+
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.n_buckets = n_buckets
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._Path(self.root).getFileSystem(self._conf)
+        m = self.manifest()
+        self.n_buckets = int(m["n_buckets"]) if m is not None and "n_buckets" in m else n_buckets
 
     # --- manifest ------------------------------------------------------------
     def manifest(self) -> dict | None:
@@ -101,7 +113,7 @@ class BucketedTable:
         new_buckets = dict(old["buckets"])
         for k in buckets:
             new_buckets[str(k)] = version if f"{BUCKET}={k}" in written else None
-        self._write_manifest({"version": version, "buckets": new_buckets})
+        self._write_manifest({"version": version, "n_buckets": self.n_buckets, "buckets": new_buckets})
 
     def write_all(self, df: DataFrame, version: str) -> None:
         self.write_buckets(df, version, range(self.n_buckets))

@@ -32,30 +32,35 @@ from possum.operators.collect import DEFAULT_PAGE_SIZE
 from possum.plans import changes, views
 from possum.schemas import ORDERLINE, ORDERLINE_CHANGE
 from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of
-from possum.streaming.replica import DEFAULT_BUCKETS, TableReplica
+from possum.streaming.replica import TableReplica
 
 ORDERLINE_KEY = ["order_id", "product_id"]
 
 
 class BuyerViewMaintainer:
     def __init__(self, spark: SparkSession, root: str, product: DataFrame, customer: DataFrame,
-                 order: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE, n_buckets: int = DEFAULT_BUCKETS):
+                 order: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE, n_buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.product = product
         self.customer = customer
         self.order = order
         self.page_size = page_size
-        self.n_buckets = n_buckets
-        # order lines and view share the bucketing by product id
+        # order lines and view share the bucketing by product id; without a
+        # count it is sized from the order lines at bootstrap
         self.lines = TableReplica(spark, f"{self.root}/orderline", ORDERLINE, ORDERLINE_KEY, "product_id",
                                   n_buckets, tie_cols=["quantity"])
-        self.view_table = BucketedTable(spark, f"{self.root}/product_buyers", n_buckets)
+        self.view_table = BucketedTable(spark, f"{self.root}/product_buyers", self.lines.n_buckets)
         self._view_schema: T.StructType | None = None
 
+    @property
+    def n_buckets(self) -> int | None:
+        return self.lines.n_buckets
+
     def bootstrap(self, orderline: DataFrame, base_seq: int = -1) -> None:
         """Write the starting order lines and the view computed from them."""
         self.lines.bootstrap(orderline, base_seq)
+        self.view_table.n_buckets = self.lines.n_buckets
         mv = views.product_buyers(self.product, self.customer, self.order, self.orderline(), self.page_size)
         self.view_table.write_all(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)), "base")
 

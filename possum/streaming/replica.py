@@ -18,30 +18,36 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from possum.plans import changes
-from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of
-
-DEFAULT_BUCKETS = 64
+from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of, buckets_for
 
 
 class TableReplica:
+    """``n_buckets=None`` sizes the buckets from the snapshot at bootstrap
+    (``buckets_for``); the count is kept in the manifest from then on."""
+
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key_cols: Sequence[str],
-                 bucket_key: str, n_buckets: int = DEFAULT_BUCKETS, tie_cols: Sequence[str] = ()):
+                 bucket_key: str, n_buckets: int | None = None, tie_cols: Sequence[str] = ()):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
         self.key_cols = list(key_cols)
         self.bucket_key = bucket_key
-        self.n_buckets = n_buckets
         self.tie_cols = list(tie_cols)
         self.table = BucketedTable(spark, self.root, n_buckets)
         self.state_schema = T.StructType(
             [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())]
             + list(schema.fields) + [T.StructField(BUCKET, T.IntegerType())])
 
+    @property
+    def n_buckets(self) -> int | None:
+        return self.table.n_buckets
+
     def bucket(self) -> F.Column:
         return bucket_of(self.bucket_key, self.n_buckets)
 
     def bootstrap(self, snapshot: DataFrame, base_seq: int = -1, version: str = "base") -> None:
+        if self.table.n_buckets is None:
+            self.table.n_buckets = buckets_for(snapshot.count())
         state = snapshot.select(F.lit(base_seq).cast("long").alias("seq"), F.lit("I").alias("op"),
                                 *self.schema.fieldNames()).withColumn(BUCKET, self.bucket())
         self.table.write_all(state, version)
