@@ -45,5 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="possum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:  # each call would add a new sub-folder
+        sc.setCheckpointDir(current)
     return current
