@@ -139,3 +139,14 @@ def test_compact_tombstones(spark, tmp_dir):
     # after the compaction every bucket is at c1: older folders can go
     assert rep.table.vacuum() == ["v=b0", "v=base"]
     assert rep.current().count() == t.orderline.count() - 1
+
+
+def test_empty_batch_changes_nothing(spark, tmp_dir):
+    t = pos(spark)
+    m = BuyerViewMaintainer(spark, f"{tmp_dir}/state", t.product, t.customer, t.order, n_buckets=4)
+    m.bootstrap(t.orderline)
+    before = m.view().drop("bucket")
+    m.apply_batch(spark.createDataFrame([], schemas.ORDERLINE_CHANGE), 0)
+    assert m.lines.version() == "b0" and m.view_table.version() == "b0"
+    assert checks.table_diff(before, m.view().drop("bucket")).count() == 0
+    assert checks.table_diff(t.orderline, m.orderline()).count() == 0
