@@ -1,8 +1,9 @@
 """Property tests: the cleaning rules against plain-Python statements of the
 same rules, many generated values per Spark job."""
 
+import os
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,11 +37,11 @@ def price_rule(s):
         return None
     if not d.is_finite():
         return None
-    q = d.quantize(Decimal("0.01"))
+    q = d.quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
     return q if abs(q) < Decimal("10000") else None
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=int(os.environ.get("PROPERTY_EXAMPLES", "5")), deadline=None)
 @given(st.lists(ZIPS, min_size=1, max_size=200))
 def test_zip_rule(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
@@ -48,7 +49,7 @@ def test_zip_rule(spark, values):
     assert got == [zip_rule(v) for v in values]
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=int(os.environ.get("PROPERTY_EXAMPLES", "5")), deadline=None)
 @given(st.lists(PRICES, min_size=1, max_size=200))
 def test_price_rule(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
