@@ -40,6 +40,11 @@ DOC_FIELDS = {
 ZIP_SPAN = 100_000
 
 
+def _named_struct(names: list[str], values: list[Column]) -> Column:
+    """A struct whose fields carry the fixed names, in the fixed order."""
+    return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+
+
 # --- prod ---------------------------------------------------------------------
 
 def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, orderline: DataFrame,
@@ -52,7 +57,7 @@ def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, or
         customer.select(F.col("id").alias("customer_id"),
                         full_name("firstName", "lastName").alias("CustomerName")),
         "customer_id", "inner")
-    element = F.struct(F.col("customer_id").alias("CustomerID"), F.col("CustomerName"))
+    element = _named_struct(fixed.BUYER_FIELDS, [F.col("customer_id"), F.col("CustomerName")])
     arrays, _ = collect_paged(buyers, ["product_id"], "customer_id",
                               [sorted_array("customer_id", element).alias("ProductBuyers")], page_size,
                               group_sizes(orderline, ["product_id"]))
@@ -72,8 +77,7 @@ def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
                        F.col("currentPrice")),
         "product_id", "inner",
     ).withColumn("amount", F.col("currentPrice") * F.col("quantity"))
-    item = F.struct(F.col("product_id").alias("ProductID"), F.col("quantity").alias("Quantity"),
-                    F.col("ProductName"))
+    item = _named_struct(fixed.ITEM_FIELDS, [F.col("product_id"), F.col("quantity"), F.col("ProductName")])
     pages, split = collect_paged(
         lines, ["order_id"], "product_id",
         [F.sum("amount").alias("amount"), sorted_array("product_id", item).alias("Items")], page_size,
@@ -87,13 +91,10 @@ def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
         "customer_id",
         F.col("order_id").alias("OrderID"),
         F.col(PAGE).alias("item_page"),
-        F.struct(
-            F.col("order_id").alias("OrderID"),
-            round_money(F.col("amount")).alias("OrderTotal"),
-            F.col("datePlaced").alias("OrderDate"),
-            F.col("dateShipped").alias("ShippingDate"),
+        _named_struct(fixed.ORDER_FIELDS, [
+            F.col("order_id"), round_money(F.col("amount")), F.col("datePlaced"), F.col("dateShipped"),
             F.col("Items"),
-        ).alias("element"),
+        ]).alias("element"),
     )
 
 
@@ -182,8 +183,7 @@ def _price_facts(sums: DataFrame, product: DataFrame, keys: list[str]) -> DataFr
 
 
 def _popular() -> Column:
-    return F.struct(
-        F.col("TotalPurchases"), F.col("TotalSales"), F.col("ProductID"), F.col("ProductName"))
+    return _named_struct(fixed.POPULAR_FIELDS, [F.col(c) for c in fixed.POPULAR_FIELDS])
 
 
 def zip_documents(facts: DataFrame, city: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,

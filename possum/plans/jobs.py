@@ -139,7 +139,7 @@ def register_views(spark: SparkSession, table_dir: str | None = None, publish_ro
 
 
 def run_reports(spark: SparkSession, publish_root: str, out_dir: str, state: str, month: int, product_id: int,
-                total_over: float, quantity_over: int, top_k: int = 20, fmt: str = "json") -> None:
+                total_over: float, quantity_over: int, top_k: int = fixed.REPORT_TOP_K, fmt: str = "json") -> None:
     """SNK8: q1..q6 over the published collections, written as JSON files."""
     docs = read_documents(spark, publish_root, fmt)
     cust_fields = D.DOC_FIELDS["cust"]
@@ -206,7 +206,8 @@ def main(argv: list[str] | None = None) -> None:
     st.add_argument("table_dir")
     st.add_argument("state_root")
     st.add_argument("log_path")
-    st.add_argument("--every", default=None, help="e.g. '15 minutes'; default: drain once and stop")
+    st.add_argument("--every", default=None,
+                    help=f"e.g. '{fixed.REFRESH_EVERY}' (the reference's cadence); default: drain once and stop")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
     if args.job == "etl":

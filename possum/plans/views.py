@@ -55,12 +55,13 @@ def product_buyers(
     lines (an upper bound of its distinct buyers, from one table)."""
     lists = buyer_strings(buyer_pairs(orderline, order), customer, page_size,
                           group_sizes(orderline, ["product_id"]))
-    p = product.select(F.col("id").alias("product_id"), F.col("name").alias("productName"))
+    product_id, product_name, customers = fixed.VIEW_COLUMNS
+    p = product.select(F.col("id").alias("product_id"), F.col("name").alias(product_name))
     return p.join(lists, "product_id", "left").select(
-        F.col("product_id").alias("productID"),
-        "productName",
+        F.col("product_id").alias(product_id),
+        product_name,
         F.coalesce(F.col(PAGE), F.lit(0).cast("long")).alias(PAGE),
-        "customers",
+        F.col("customers").alias(customers),
     )
 
 

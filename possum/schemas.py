@@ -130,43 +130,17 @@ CUSTOMER_CHANGE = T.StructType(
 
 # Document schemas (section 1.3 of the blueprint), for reading published sets
 # back with exact types (SRC6): decimals stay decimals, dates stay dates.
-BUYER = T.StructType([_f("CustomerID", T.LongType()), _f("CustomerName", T.StringType())])
-PROD_DOC = T.StructType([
-    _f("ProductID", T.LongType()),
-    _f("ProductName", T.StringType()),
-    _f("ProductBuyers", T.ArrayType(BUYER)),
-])
-ITEM = T.StructType([_f("ProductID", T.LongType()), _f("Quantity", T.IntegerType()),
-                     _f("ProductName", T.StringType())])
-ORDER_ELEMENT = T.StructType([
-    _f("OrderID", T.LongType()),
-    _f("OrderTotal", MONEY),
-    _f("OrderDate", T.DateType()),
-    _f("ShippingDate", T.DateType()),
-    _f("Items", T.ArrayType(ITEM)),
-])
-CUST_DOC = T.StructType([
-    _f("CustomerID", T.LongType()),
-    _f("CustomerName", T.StringType()),
-    _f("PrintedAddress1", T.StringType()),
-    _f("PrintedAddress2", T.StringType()),
-    _f("Orders", T.ArrayType(ORDER_ELEMENT)),
-])
-POPULAR_PRODUCT = T.StructType([
-    _f("TotalPurchases", T.LongType()),
-    _f("TotalSales", MONEY),
-    _f("ProductID", T.LongType()),
-    _f("ProductName", T.StringType()),
-])
-ZIP_DOC = T.StructType([
-    _f("ZIP", T.StringType()),
-    _f("State", T.StringType()),
-    _f("City", T.StringType()),
-    _f("PopularProducts", T.ArrayType(POPULAR_PRODUCT)),
-])
-STATE_MONTH_DOC = T.StructType([
-    _f("OrderMonth", T.IntegerType()),
-    _f("State", T.StringType()),
-    _f("PopularProducts", T.ArrayType(POPULAR_PRODUCT)),
-])
-DOCS = {"prod": PROD_DOC, "cust": CUST_DOC, "custom1": ZIP_DOC, "custom2": STATE_MONTH_DOC}
+def _doc(names: list[str], types: list[T.DataType]) -> T.StructType:
+    return T.StructType([_f(n, t) for n, t in zip(names, types, strict=True)])
+
+
+BUYER = _doc(fixed.BUYER_FIELDS, [T.LongType(), T.StringType()])
+PROD_DOC = _doc(fixed.PROD_FIELDS, [T.LongType(), T.StringType(), T.ArrayType(BUYER)])
+ITEM = _doc(fixed.ITEM_FIELDS, [T.LongType(), T.IntegerType(), T.StringType()])
+ORDER_ELEMENT = _doc(fixed.ORDER_FIELDS, [T.LongType(), MONEY, T.DateType(), T.DateType(), T.ArrayType(ITEM)])
+CUST_DOC = _doc(fixed.CUST_FIELDS, [T.LongType(), T.StringType(), T.StringType(), T.StringType(),
+                                    T.ArrayType(ORDER_ELEMENT)])
+POPULAR_PRODUCT = _doc(fixed.POPULAR_FIELDS, [T.LongType(), MONEY, T.LongType(), T.StringType()])
+ZIP_DOC = _doc(fixed.ZIP_FIELDS, [T.StringType(), T.StringType(), T.StringType(), T.ArrayType(POPULAR_PRODUCT)])
+STATE_MONTH_DOC = _doc(fixed.STATE_MONTH_FIELDS, [T.IntegerType(), T.StringType(), T.ArrayType(POPULAR_PRODUCT)])
+DOCS = dict(zip(fixed.COLLECTIONS, [PROD_DOC, CUST_DOC, ZIP_DOC, STATE_MONTH_DOC], strict=True))
