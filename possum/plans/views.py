@@ -95,6 +95,10 @@ def refresh_one_product(mv: DataFrame, product_id: int, product: DataFrame, cust
                         order: DataFrame, orderline: DataFrame,
                         page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
     """UDF1 with the procedure's signature: recompute one product's buyers.
-    The id becomes a one-row key table and the set-based refresh does the rest."""
-    keys = mv.sparkSession.range(1).select(F.lit(product_id).cast("long").alias("product_id"))
-    return refresh_product_buyers(mv, keys, product, customer, order, orderline, page_size)
+    For one id, plain filters replace the semi and anti joins of the set-based
+    refresh; they reach the scans of the order lines and the product table."""
+    pid = F.lit(product_id).cast("long")
+    kept = mv.where(F.col("productID") != pid)
+    fresh = product_buyers(product.where(F.col("id") == pid), customer, order,
+                           orderline.where(F.col("product_id") == pid), page_size)
+    return kept.unionByName(fresh.select(*mv.columns))
