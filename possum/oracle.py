@@ -405,6 +405,7 @@ VIEW_INSERT_DEMO = "SELECT * FROM (" + product_buyers_sql(
 
 SQL: dict[str, str] = {
     "product_buyers": PRODUCT_BUYERS,
+    "product_buyers_sql": product_buyers_sql(),
     "order_lines": ORDER_LINES,
     "clean_customers": CLEAN_CUSTOMERS,
     "clean_orders": CLEAN_ORDERS,

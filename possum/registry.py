@@ -77,6 +77,18 @@ def product_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.product_buyers(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
 
 
+def product_buyers_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DDL3: the view as SQL text over the POS tables (global temp views)."""
+    from possum.operators.collect import DEFAULT_PAGE_SIZE
+    from possum.plans.catalog import PRODUCT_BUYERS_VIEW_SQL
+
+    t = td.pos_tables(spark, sf_dir)
+    for name, df in {"Customer": t.customer, "Order": t.order, "Orderline": t.orderline,
+                     "Product": t.product}.items():
+        df.createOrReplaceGlobalTempView(name)
+    return spark.sql(PRODUCT_BUYERS_VIEW_SQL.format(db="global_temp", page=DEFAULT_PAGE_SIZE))
+
+
 # --- cleaning (SRC, F1-F8, AG1, AG3, CHG6) ------------------------------------------
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,6 +395,7 @@ def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "product_buyers": product_buyers,
+    "product_buyers_sql": product_buyers_sql,
     "order_lines": order_lines,
     "clean_customers": clean_customers,
     "clean_orders": clean_orders,
