@@ -159,7 +159,7 @@ def cust_ctes(customer_filter: str = "TRUE") -> tuple[str, ...]:
         f"""opages AS (SELECT order_id, page, SUM(amount) AS amount,
                              list({{'ProductID': product_id, 'Quantity': quantity, 'ProductName': ProductName}}
                                   ORDER BY product_id) AS Items
-                      FROM {paged('lines', 'order_id', 'product_id', 'pos_orderline')} GROUP BY order_id, page)""",
+                      FROM {paged('lines', 'order_id', 'product_id', 'pos_lines')} GROUP BY order_id, page)""",
         """ototal AS (SELECT order_id, SUM(amount) AS total FROM opages GROUP BY order_id)""",
         """elems AS (SELECT o.customer_id, op.order_id AS OrderID, op.page AS item_page,
                            {'OrderID': op.order_id,

@@ -69,9 +69,11 @@ def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, or
 # --- cust ---------------------------------------------------------------------
 
 def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
-                    page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
+                    page_size: int | None = DEFAULT_PAGE_SIZE, line_bound: DataFrame | None = None) -> DataFrame:
     """One element per (order, items page): customer_id, OrderID, item page, and
-    the Orders element struct. Orders without lines are absent (inner joins)."""
+    the Orders element struct. Orders without lines are absent (inner joins).
+    ``line_bound``: raw (order_id, ...) lines whose count per order bounds the
+    items (cheaper to count than the summed order lines); default the order lines."""
     lines = orderline.select("order_id", "product_id", "quantity").join(
         product.select(F.col("id").alias("product_id"), F.col("name").alias("ProductName"),
                        F.col("currentPrice")),
@@ -81,7 +83,7 @@ def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
     pages, split = collect_paged(
         lines, ["order_id"], "product_id",
         [F.sum("amount").alias("amount"), sorted_array("product_id", item).alias("Items")], page_size,
-        group_sizes(orderline, ["order_id"]))
+        group_sizes(line_bound if line_bound is not None else orderline, ["order_id"]))
     if split:
         # A split order repeats its full total on every items page.
         totals = pages.groupBy("order_id").agg(F.sum("amount").alias("total"))
@@ -100,7 +102,7 @@ def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
 
 def cust_documents(customer: DataFrame, city: DataFrame, order: DataFrame, orderline: DataFrame,
                    product: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,
-                   restrict: bool = False) -> DataFrame:
+                   restrict: bool = False, line_bound: DataFrame | None = None) -> DataFrame:
     """QRY3: customers having a City (JN9), with their orders (JN4); a customer
     without orders gets ``Orders = []`` (Q4).
 
@@ -121,7 +123,7 @@ def cust_documents(customer: DataFrame, city: DataFrame, order: DataFrame, order
         ids = customer.select(F.col("id").alias("customer_id"))
         o = order.join(ids, "customer_id", "left_semi")
         ol = orderline.join(o.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    elements = order_documents(o, ol, product, page_size)
+    elements = order_documents(o, ol, product, page_size, line_bound)
     # A customer with more than page_size orders is paged by order id windows
     # (an order split into item pages appears once per items page).
     arrays, _ = collect_paged(

@@ -157,7 +157,8 @@ def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cust_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
-    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product)
+    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
+                             line_bound=_sold_pairs(spark, sf_dir))
     return json_documents(docs, D.DOC_FIELDS["cust"], ["CustomerID", "page"])
 
 
@@ -181,13 +182,15 @@ def customers_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
     zips = t.city.where(F.col("state") == F.lit(STATE)).select("zip")
     customers = t.customer.join(zips, "zip", "left_semi")
-    docs = D.cust_documents(customers, t.city, t.order, t.orderline, t.product, restrict=True)
+    docs = D.cust_documents(customers, t.city, t.order, t.orderline, t.product, restrict=True,
+                            line_bound=_sold_pairs(spark, sf_dir))
     return reports.customers_in_state(docs, STATE, D.DOC_FIELDS["cust"])
 
 
 def vip_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
-    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product)
+    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
+                             line_bound=_sold_pairs(spark, sf_dir))
     return _iso(reports.vip_customers(docs))
 
 
@@ -199,7 +202,8 @@ def product_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
-    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product)
+    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
+                             line_bound=_sold_pairs(spark, sf_dir))
     return reports.order_anomalies(docs, D.DOC_FIELDS["cust"], TOTAL_OVER, QUANTITY_OVER)
 
 
