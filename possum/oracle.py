@@ -3,7 +3,10 @@
 The driver pre-registers the parquet tables as views (``part``, ``customer``,
 ``orders``, ``lineitem``, ``nation``, ``region``, ...). ``POS`` restates the
 mapping of ``possum.sources.testdata`` in SQL; the bodies below restate each
-query. Column names match the Spark side one for one.
+query. Column names match the Spark side one for one. Where the Spark side
+reads raw order lines (buyer lists, hot-order bounds) the SQL uses
+``pos_lines``; the sales facts are summed from ``pos_orderline`` here and from
+raw lines in Spark, which must agree.
 """
 
 from __future__ import annotations
