@@ -43,6 +43,7 @@ AS_OF = dt.datetime(2024, 1, 1, 0, 0, 0)
 
 
 def _iso(df: DataFrame) -> DataFrame:
+    """Flat output for the cross-engine check: decimals as double, dates and timestamps as ISO text."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DecimalType):
@@ -73,6 +74,7 @@ def _line_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY1: every product with its comma-joined buyers (JN1, JN2, AG7, AG15)."""
     t = td.pos_tables(spark, sf_dir)
     return views.product_buyers(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
 
@@ -92,29 +94,35 @@ def product_buyers_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cleaning (SRC, F1-F8, AG1, AG3, CHG6) ------------------------------------------
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG1: raw lines counted into (order, product) rows with their quantity."""
     return etl.order_lines_from_units(td.line_units(spark, sf_dir))
 
 
 def clean_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, F1, F2, F4, F6: the customer extract cleaned; rejects left out."""
     good, _ = etl.split_rejects(etl.clean_customers(td.raw_customers(spark, sf_dir)))
     return _iso(good)
 
 
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG3, Q1: one City row per normalized zip."""
     return etl.cities(td.raw_customers(spark, sf_dir))
 
 
 def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2, F3, F5: the order extract cleaned."""
     good, _ = etl.split_rejects(etl.clean_orders(td.raw_orders(spark, sf_dir)))
     return _iso(good)
 
 
 def clean_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3, F7, F8: the product extract cleaned."""
     good, _ = etl.split_rejects(etl.clean_products(td.raw_products(spark, sf_dir)))
     return _iso(good)
 
 
 def price_history_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG6: one history row per product at load time."""
     good, _ = etl.split_rejects(etl.clean_products(td.raw_products(spark, sf_dir)))
     return _iso(etl.price_history_initial(good, AS_OF))
 
@@ -150,12 +158,14 @@ def csv_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents (QRY2-QRY5) ------------------------------------------------------------
 
 def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY2: prod documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     docs = D.prod_documents(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
     return json_documents(docs, D.DOC_FIELDS["prod"], ["ProductID", "page"])
 
 
 def cust_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY3: cust documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
                              line_bound=_sold_pairs(spark, sf_dir))
@@ -163,6 +173,7 @@ def cust_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zip_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY4: custom1 documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
     docs = D.zip_documents(facts, t.city, n_products=t.product.count())
@@ -170,6 +181,7 @@ def zip_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_month_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY5: custom2 documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
     docs = D.state_month_documents(facts, t.city, n_products=t.product.count())
@@ -179,6 +191,7 @@ def state_month_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports (QRY6-QRY11) ---------------------------------------------------------------
 
 def customers_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY6 (q1): customer documents of one state."""
     t = td.pos_tables(spark, sf_dir)
     zips = t.city.where(F.col("state") == F.lit(STATE)).select("zip")
     customers = t.customer.join(zips, "zip", "left_semi")
@@ -188,6 +201,7 @@ def customers_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vip_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY7 (q2): customers with the highest total spend, ties included."""
     t = td.pos_tables(spark, sf_dir)
     docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
                              line_bound=_sold_pairs(spark, sf_dir))
@@ -195,12 +209,14 @@ def vip_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY8 (q3): the buyers of one product."""
     t = td.pos_tables(spark, sf_dir)
     docs = D.prod_documents(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
     return reports.product_recall(docs, PRODUCT_ID)
 
 
 def order_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY9 (q4): customers with a very large order or item."""
     t = td.pos_tables(spark, sf_dir)
     docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
                              line_bound=_sold_pairs(spark, sf_dir))
@@ -208,6 +224,7 @@ def order_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY10 (q5): top products of a state, from the flat facts."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
     return reports.state_top_products(facts, t.city, STATE, TOP_K)
@@ -230,6 +247,7 @@ def state_month_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY11 (q6): products of a state in one month, from the flat facts."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
     return reports.state_month_products(facts, t.city, STATE, MONTH)
@@ -245,15 +263,18 @@ PRICE_BUCKET = td.SEQ_DAY // 100
 
 
 def _final_orderline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines after the change log."""
     return changes.apply_changes(td.orderline_base(spark, sf_dir), td.orderline_log(spark, sf_dir),
                                  ORDERLINE_KEY, tie_cols=["quantity"])
 
 
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG4: the order-line snapshot after the change log (last change per key wins)."""
     return _final_orderline(spark, sf_dir)
 
 
 def price_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG3: a history row for every logged price that differs from the one before."""
     out = changes.price_history_changes(td.product(spark, sf_dir), td.price_log(spark, sf_dir),
                                         bucket_width=PRICE_BUCKET)
     return _iso(out)
@@ -274,6 +295,7 @@ STREAM_FILES = 4
 
 
 def _stream_maintainer(spark: SparkSession, sf_dir: str):
+    """Bootstrap the streaming upkeep, write the log as files and drain it."""
     from possum.streaming.refresh import BuyerViewMaintainer, write_log
 
     t = td.pos_tables(spark, sf_dir)
@@ -345,6 +367,7 @@ def view_insert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks (CHK1-CHK3) -----------------------------------------------------------------------
 
 def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK1: duplicate and null keys of the POS tables and of the raw line number."""
     t = td.pos_tables(spark, sf_dir)
     li = td.read_table(spark, sf_dir, "lineitem")
     parts = [
@@ -363,6 +386,7 @@ def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK2: child keys without a parent row."""
     t = td.pos_tables(spark, sf_dir)
     tables = {"customer": t.customer, "city": t.city, "order": t.order, "orderline": t.orderline,
               "product": t.product}
