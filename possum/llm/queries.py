@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from possum.llm import chat, sharding, urls, vectors, wfst
+from possum.llm import chat, quality, sharding, simhash, urls, vectors, wfst
 from possum.llm.common import table
 
 URL_RULES = [
@@ -17,6 +17,11 @@ URL_RULES = [
 ]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, 4-word shingles, fingerprints linked at 4 bits or fewer."""
+    return simhash.near_documents(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7 formatted, then read back."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -25,6 +30,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(given.unionByName(extra)))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the base rules and the likelihood ratio."""
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 7, and where nine shards would put them."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
@@ -46,7 +56,9 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_vectors": op9_vectors,
