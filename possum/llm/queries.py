@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from possum.llm import chat, quality, sharding, simhash, urls, vectors, wfst
+from possum.llm import chat, mixing, pii, quality, sharding, simhash, urls, vectors, wfst
 from possum.llm.common import table
 
 URL_RULES = [
@@ -35,11 +35,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+TARGET_WEIGHTS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for the target shares of the labelled domains, at the corpus's own total of words."""
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), mixing.quality_domains(table(spark, sf_dir, "labels")), TARGET_WEIGHTS)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 7, and where nine shards would put them."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and discovered spans of every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, with the digest of its decoded text."""
     return wfst.encode_documents(table(spark, sf_dir, "documents"))
@@ -59,7 +72,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_vectors": op9_vectors,
     "op10_urls": op10_urls,
