@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from possum.llm import chat, mixing, pii, quality, sharding, simhash, urls, vectors, wfst
+from possum.llm import chat, mixing, pii, quality, sharding, simhash, suffix, urls, vectors, wfst
 from possum.llm.common import table
 
 URL_RULES = [
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_documents(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that start twice."""
+    return suffix.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7 formatted, then read back."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -70,6 +75,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffix": op2_suffix,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
