@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from possum.llm.common import Scratch, doc_key
+from possum.llm.common import Scratch, doc_key, packed
 
 # Bounds of the classifier: labelled documents it is fitted on, and words it knows.
 LABELLED_ROWS, FEATURES = 30_000, 4_096
@@ -152,6 +152,5 @@ def remix(df: DataFrame, labelled: DataFrame, factors: dict[str, float], id_col:
     now = soft.agg(*(F.sum(F.col("n_words") * F.col(f"p{i}")).alias(f"g{i}") for i in range(len(domains)))).first()
     targets = np.array([(now[f"g{i}"] or 0.0) * factors[d] for i, d in enumerate(domains)])
     copies = _rated(soft, targets).groupBy("k_id", "k_text").agg(F.max("copies").alias("k_copies")).where("k_copies > 0")
-    keys = dict(zip(("k_id", "k_text"), doc_key(F.col(id_col), F.col(text_col)), strict=True))
-    used = df.withColumns(keys).join(copies, ["k_id", "k_text"])
-    return used.withColumn("k_copy", F.explode(F.array_repeat(F.lit(0), F.col("k_copies").cast("int")))).select(*df.columns)
+    used = packed(df, id_col, text_col).join(copies, ["k_id", "k_text"])
+    return used.withColumn("k_copy", F.explode(F.array_repeat(F.lit(0), F.col("k_copies").cast("int")))).select("row.*")

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from possum.llm.common import Scratch, doc_key
+from possum.llm.common import Scratch, doc_key, packed
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"  # kind of a span that a pattern discovered
@@ -184,13 +184,13 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     apart = spans.withColumn("from", F.greatest("start", reach)).where("end > from")
     cuts = apart.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("from", "end", "kind"))).alias("k_cuts"))
-    keys = dict(zip(KEY, doc_key(F.col(id_col), F.col(text_col)), strict=True))
-    joined = df.withColumns(keys).join(cuts, KEY, "left")
-    text, all_ = F.col(text_col), F.col("k_cuts")
+    joined = packed(df, id_col, text_col).join(cuts, KEY, "left")
+    text, all_ = F.col("row")[text_col], F.col("k_cuts")
     gap = lambda x, i: F.substr(text, F.coalesce(F.get(all_, i - 1)["end"], F.lit(0)) + 1, x["from"] - F.coalesce(F.get(all_, i - 1)["end"], F.lit(0)))
     parts = F.transform(all_, lambda x, i: F.concat(gap(x, i), F.lit("["), F.upper(x["kind"]), F.lit("]")))
     whole = F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(all_, -1)["end"] + 1))
-    out = joined.withColumn(text_col, F.when(all_.isNull(), text).otherwise(whole))
+    row = F.col("row").withField(text_col, F.when(all_.isNull(), text).otherwise(whole))
     if count_col:
-        out = out.withColumn(count_col, F.when(all_.isNull(), F.col(count_col)).otherwise(F.length(text_col)).cast(df.schema[count_col].dataType))
-    return out.select(*df.columns)
+        n = F.when(all_.isNull(), F.col("row")[count_col]).otherwise(F.length(whole))
+        row = row.withField(count_col, n.cast(df.schema[count_col].dataType))
+    return joined.select(row.alias("row")).select("row.*")

@@ -91,7 +91,8 @@ def assign_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     rows = with_shard(rows, "shard", "doc_id", Tree.of(shards))
     rows = with_shard(rows, "grown_shard", "doc_id", Tree.of(shards + 1))
     # repeated ids would share a cell: the content spreads what it can
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SLOT_CELLS)).cast("int"))
+    content = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string"), F.col("size").cast("string"))
+    rows = rows.withColumn("cell", (F.conv(F.substring(F.md5(content.cast("binary")), 1, 6), 16, 10).cast("int") % SLOT_CELLS).cast("int"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from possum.llm.blocks import Forest, deal, pairs_in, whole_blocks
-from possum.llm.common import Scratch, doc_key, ship
+from possum.llm.common import Scratch, doc_key, packed, ship
 from possum.llm.components import components
 
 POSITIONS, WIDTH = 8, 3
@@ -143,6 +143,6 @@ def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "
     """
     near = _clustered(df, shingle, max_bits, id_col, text_col)
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k_id", "k_text")).alias("f")).select("f.k_id", "f.k_text")
-    kept = df.withColumns(dict(zip(("k_id", "k_text"), doc_key(F.col(id_col), F.col(text_col)), strict=True))).join(first, ["k_id", "k_text"], "left_semi")
+    kept = packed(df, id_col, text_col).join(first, ["k_id", "k_text"], "left_semi")
     one = Window.partitionBy("k_id", "k_text").orderBy("k_id")
-    return kept.withColumn("k_row", F.row_number().over(one)).where("k_row = 1").select(*df.columns)
+    return kept.withColumn("k_row", F.row_number().over(one)).where("k_row = 1").select("row.*")

@@ -1,0 +1,77 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_fixture import no_documents, odd_documents, odd_texts
+from possum.llm import suffix
+from pyspark.sql import functions as F
+
+
+def brute(rows):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(t[s : s + 200] for _, t in texts for s in range(len(t) - 199))
+    out = Counter()
+    for i, t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for s in range(len(t) - 199):
+            if seen[t[s : s + 200]] > 1:
+                gone[s : s + 200] = True
+        runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])
+        out[(i, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest())] += 1
+    return out
+
+
+def digests(df, **how):
+    out = suffix.remove_repeats(df, **how)
+    return Counter(map(tuple, out.select("doc_id", "n_bytes", F.col("n_bytes") - F.length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()))
+
+
+def planted():
+    r = random.Random(3)
+    p = "".join(r.choice("abcdé fgh") for _ in range(700))
+    return odd_texts() + [
+        (101, p), (102, p[:350] + "ZZ" + p[350:]), (103, p[100:320]), (104, p[100:320]), (104, p[100:320]), (105, p[300:499]),
+        (106, "q" + p[200:410] + "r"), (107, "ab" * 400), (108, "x" * 199), (109, "x" * 200),
+    ]
+
+
+@pytest.mark.parametrize("hot_rows", [suffix.HOT_ROWS, 1])
+def test_planted_repeats_both_ways(spark, hot_rows):
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bytes", F.lit(1)).repartition(4)
+    assert digests(df, hot_rows=hot_rows) == brute(rows)
+
+
+def test_odd_documents_and_empty(spark):
+    assert digests(odd_documents(spark)) == brute(odd_texts())
+    assert suffix.remove_repeats(no_documents(spark)).count() == 0
+
+
+def test_parse_covers_every_window_and_ignores_what_is_around():
+    r = random.Random(1)
+    a = bytes(r.choice(b"abcd ") for _ in range(3000))
+    lo, hi, at = suffix.parse(a)
+    assert lo[0] == 0 and hi[-1] == len(a) - 200 and (lo[1:] == hi[:-1] + 1).all()
+    assert ((lo <= hi) & (hi <= at) & (at <= lo + 168)).all()
+    where = dict()
+    for i, j, x in zip(lo, hi, at, strict=True):
+        where.update({s: x - s for s in range(i, j + 1)})
+    lo, hi, at = suffix.parse(b"zz" + a[500:1500])
+    for i, j, x in zip(lo, hi, at, strict=True):
+        assert all(where[s + 498] == x - s for s in range(max(i, 2), j + 1))
+
+
+def test_interleave_is_the_sorted_order_with_common_prefixes():
+    r = np.random.default_rng(2)
+    symbols = r.integers(0, 3, (200, 12)).astype(np.int16)
+    group = np.sort(r.integers(0, 5, 200))
+    order, common = suffix.interleave(symbols, group)
+    rows = [(group[i], *symbols[i]) for i in order]
+    assert rows == sorted(rows) and sorted(order) == list(range(200))
+    for k in range(1, 200):
+        a, b = rows[k - 1], rows[k]
+        want = -1 if a[0] != b[0] else next((i for i in range(12) if a[1 + i] != b[1 + i]), 12)
+        assert common[k] == want
