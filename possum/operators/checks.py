@@ -72,13 +72,15 @@ def length_violations(df: DataFrame, max_len: dict[str, int], table: str, key_co
 
 def table_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """CHK3: rows of ``expected`` missing from ``actual`` (side ``missing``) and
-    rows of ``actual`` not in ``expected`` (side ``extra``), duplicates counted
-    (``exceptAll``). Both empty means the copy agrees."""
+    rows of ``actual`` not in ``expected`` (side ``extra``), duplicates counted.
+    Both empty means the copy agrees. One aggregate over signed counts, so each
+    table is read once and equal rows are combined map-side."""
     cols = expected.columns
-    actual = actual.select(*cols)
-    missing = expected.exceptAll(actual).withColumn("side", F.lit("missing"))
-    extra = actual.exceptAll(expected).withColumn("side", F.lit("extra"))
-    return missing.unionByName(extra)
+    signed = expected.select(*cols, F.lit(1).alias("_n")).unionByName(actual.select(*cols, F.lit(-1).alias("_n")))
+    odd = signed.groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, F.lit("missing")).otherwise(F.lit("extra"))
+    each = F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side")
+    return odd.select(*cols, each)
 
 
 def count_check(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -1,150 +1,44 @@
-"""Bounded nested arrays and ordered string aggregates (AG7-AG10, AG15).
+"""Nested arrays and ordered string aggregates (AG7-AG10, AG15), one row per key.
 
-A document array (a product's buyers, a customer's orders, a zip's products) is
-one group collected into one task. To keep every collected group bounded even
-when one key holds a third of all rows, groups are split into *pages*:
+A document array (a product's buyers, a customer's orders, a zip's products)
+is one value of one row, as in the reference, however large its group is. The
+array is always built in two levels: first per (key, hash of the element's
+key), so a key that holds a third of the rows is collected and sorted by
+``PARTS`` tasks, then the parts are merged per key. The levels and their
+number are fixed; nothing depends on the size of a group.
 
-* a group with at most ``page_size`` elements keeps ``page = 0`` (one document,
-  the reference's shape);
-* a larger ("hot") group is cut by windows of its element key,
-  ``page = floor(element_key / page_size)``. Element keys are distinct within a
-  group, so no page holds more than ``page_size`` elements.
-
-Which groups are hot is decided by counting elements per group, or, cheaper,
-by an upper bound the caller computes from one base table (``counts``: the
-group columns plus ``_n``), e.g. order lines per product bound the distinct
-buyers of a product. A group under the bound is certainly under the page size;
-a group over it is paged, which still keeps every page within ``page_size``.
-
-The hot-key list has at most ``rows / page_size`` entries. It is broadcast only
-after its size was counted against ``BROADCAST_KEY_LIMIT``; beyond that it is
-joined by a shuffle, where adaptive skew-join handling splits the hot keys.
-The final ``groupBy(keys + page)`` hashes on the page too, so the pages of a
-hot group go to different tasks.
+For keys too large for one row the flat element tables stay the way to work:
+``views.buyer_pairs``, ``documents.order_totals`` and the fact tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_PAGE_SIZE = 10_000
-BROADCAST_KEY_LIMIT = 200_000
-PAGE = "page"
-
-
-def assign_pages(
-    elements: DataFrame,
-    group_cols: Sequence[str],
-    element_key: str | Column,
-    page_size: int | None = DEFAULT_PAGE_SIZE,
-    counts: DataFrame | None = None,
-    max_group_size: int | None = None,
-    key_window: int | None = None,
-) -> DataFrame:
-    """Add a ``page`` column so that no (group, page) holds more than
-    ``page_size`` elements. ``page_size=None`` turns paging off (page 0)."""
-    return assign_pages_info(elements, group_cols, element_key, page_size, counts, max_group_size, key_window)[0]
-
-
-def assign_pages_info(
-    elements: DataFrame,
-    group_cols: Sequence[str],
-    element_key: str | Column,
-    page_size: int | None = DEFAULT_PAGE_SIZE,
-    counts: DataFrame | None = None,
-    max_group_size: int | None = None,
-    key_window: int | None = None,
-) -> tuple[DataFrame, bool]:
-    """``assign_pages`` plus whether any group was split (then per-group totals
-    must be summed over pages).
+PARTS = 32
 
-    ``key_window``: width of a page in element-key units (default
-    ``page_size``), for keys that are not unique within a group: with at most
-    ``m`` elements per key value, a window of ``page_size // m`` keeps pages
-    within ``page_size``.
 
-    ``max_group_size``: a bound on every group known without a job (for
-    example one element per product); at or under ``page_size`` nothing is
-    counted. Without ``counts`` the elements are checkpointed into the shared
-    checkpoint folder first, so counting and collecting read the same files
-    instead of computing the elements twice."""
-    if page_size is None or (max_group_size is not None and max_group_size <= page_size):
-        return elements.withColumn(PAGE, F.lit(0).cast("long")), False
-    key = F.col(element_key) if isinstance(element_key, str) else element_key
-    if counts is None:
-        from possum.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(elements.sparkSession)
-        elements = elements.checkpoint(eager=True)
-        counts = elements.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > F.lit(page_size)).select(*group_cols)
-    n_hot = hot.limit(BROADCAST_KEY_LIMIT + 1).count()
-    if n_hot == 0:
-        return elements.withColumn(PAGE, F.lit(0).cast("long")), False
-    hot = hot.withColumn("_hot", F.lit(True))
-    side = F.broadcast(hot) if n_hot <= BROADCAST_KEY_LIMIT else hot
-    page = (
-        F.when(F.col("_hot"), F.floor(key / F.lit(key_window or page_size)))
-        .otherwise(F.lit(0))
-        .cast("long")
-    )
-    return elements.join(side, list(group_cols), "left").withColumn(PAGE, page).drop("_hot"), True
-
-
-def sorted_array(sort_key: Column | str, value: Column) -> Column:
-    """Aggregate: the group's values as an array ordered by ``sort_key``.
-
-    ``collect_list`` keeps duplicates (AG9); the sort fixes the element order
-    the reference leaves open (Q5). Null values are dropped.
-    """
+def collect_arrays(elements: DataFrame, group_cols: Sequence[str], sort_key: Column | str, value: Column, name: str,
+                   sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per group: ``name``, the group's values ordered by ``sort_key``,
+    and the named ``sums``. Duplicates stay (AG9), null values are dropped; the
+    order fixes what the reference leaves open (Q5)."""
     key = F.col(sort_key) if isinstance(sort_key, str) else sort_key
-    pairs = F.collect_list(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v"))))
-    return F.transform(F.array_sort(pairs), lambda x: x["v"])
-
-
-def sorted_distinct_array(sort_key: Column | str, value: Column) -> Column:
-    """Aggregate: distinct values ordered by ``sort_key`` (AG8, JSON_ARRAYAGG DISTINCT)."""
-    key = F.col(sort_key) if isinstance(sort_key, str) else sort_key
-    pairs = F.collect_set(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v"))))
-    return F.transform(F.array_sort(pairs), lambda x: x["v"])
-
-
-def ordered_concat(sort_key: Column | str, text: Column, sep: str = ",") -> Column:
-    """Aggregate: ``GROUP_CONCAT(DISTINCT text ORDER BY sort_key SEPARATOR sep)``.
-
-    Null texts are skipped; a group without any text gives null, not '' (AG15).
-    """
-    return F.nullif(F.array_join(sorted_distinct_array(sort_key, text), sep), F.lit(""))
-
-
-def collect_paged(
-    elements: DataFrame,
-    group_cols: Sequence[str],
-    element_key: str | Column,
-    aggs: Sequence[Column],
-    page_size: int | None = DEFAULT_PAGE_SIZE,
-    counts: DataFrame | None = None,
-    max_group_size: int | None = None,
-    key_window: int | None = None,
-) -> tuple[DataFrame, bool]:
-    """Group ``elements`` by ``group_cols`` (and ``page`` where a group is split)
-    and apply ``aggs``. Returns the grouped frame, which always has ``page``,
-    and whether any group was split.
-
-    Without a split the grouping is by ``group_cols`` alone, so a following
-    join on the same keys reuses the aggregate's hash partitioning.
-    """
-    paged, split = assign_pages_info(elements, group_cols, element_key, page_size, counts, max_group_size,
-                                     key_window)
-    if split:
-        return paged.groupBy(*group_cols, PAGE).agg(*aggs), True
-    grouped = paged.groupBy(*group_cols).agg(*aggs)
-    return grouped.withColumn(PAGE, F.lit(0).cast("long")), False
-
-
-def group_sizes(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Rows per group of one table, the usual upper bound for ``counts``."""
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    pair = F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v")))
+    sums = dict(sums or {})
+    parts = elements.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).groupBy(*group_cols, "_part").agg(
+        F.array_sort(F.collect_list(pair)).alias("_pairs"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    whole = parts.groupBy(*group_cols).agg(
+        F.array_sort(F.flatten(F.collect_list("_pairs"))).alias("_pairs"), *(F.sum(n).alias(n) for n in sums))
+    return whole.select(*group_cols, F.transform("_pairs", lambda x: x["v"]).alias(name), *sums)
+
+
+def collect_text(elements: DataFrame, group_cols: Sequence[str], sort_key: str, text: Column, name: str,
+                 sep: str = ",") -> DataFrame:
+    """``GROUP_CONCAT(text ORDER BY sort_key SEPARATOR sep)`` per group. Null texts
+    are skipped; a group without any text gives null, not '' (AG15)."""
+    lists = collect_arrays(elements, group_cols, sort_key, text, name)
+    return lists.withColumn(name, F.nullif(F.array_join(name, sep), F.lit("")))

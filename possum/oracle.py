@@ -11,9 +11,7 @@ raw lines in Spark, which must agree.
 
 from __future__ import annotations
 
-PAGE_SIZE = 10000
-
-POS = f"""
+POS = """
 pos_product AS (
   SELECT p_partkey AS id, p_name AS name,
          TRY_CAST(p_retailprice AS DECIMAL(6,2)) AS currentPrice,
@@ -57,19 +55,6 @@ def with_pos(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-def paged(source: str, group: str, key: str, bound: str | None = None, window: str | None = None) -> str:
-    """SQL twin of ``assign_pages``: page 0 unless the group is hot. A group is
-    hot when its row count in ``bound`` (default: ``source``) exceeds the page
-    size; a hot group is cut by windows of ``window`` (default: the page size)."""
-    bound = bound or source
-    window = window or str(PAGE_SIZE)
-    return f"""
-    (SELECT s.*, CASE WHEN COALESCE(n.n, 0) > {PAGE_SIZE} THEN CAST(floor(s.{key} / ({window})) AS BIGINT)
-                     ELSE CAST(0 AS BIGINT) END AS page
-     FROM {source} s LEFT JOIN (SELECT {group}, COUNT(*) AS n FROM {bound} GROUP BY {group}) n USING ({group}))
-    """
-
-
 def product_buyers_sql(*ctes: str, orderline: str = "pos_orderline") -> str:
     return with_pos(*ctes,
     f"""pairs AS (SELECT DISTINCT ol.product_id, o.customer_id
@@ -77,10 +62,9 @@ def product_buyers_sql(*ctes: str, orderline: str = "pos_orderline") -> str:
     """named AS (SELECT pr.product_id, pr.customer_id,
                         CAST(c.id AS VARCHAR) || ' ' || c.firstName || ' ' || c.lastName AS buyer
                  FROM pairs pr JOIN pos_customer c ON c.id = pr.customer_id)""",
-    f"""lists AS (SELECT product_id, page,
-                        NULLIF(string_agg(buyer, ',' ORDER BY customer_id), '') AS customers
-                 FROM {paged('named', 'product_id', 'customer_id', orderline)} GROUP BY product_id, page)""",
-    body="""SELECT p.id AS productID, p.name AS productName, COALESCE(l.page, 0) AS page, l.customers
+    """lists AS (SELECT product_id, NULLIF(string_agg(buyer, ',' ORDER BY customer_id), '') AS customers
+                 FROM named GROUP BY product_id)""",
+    body="""SELECT p.id AS productID, p.name AS productName, l.customers
             FROM pos_product p LEFT JOIN lists l ON l.product_id = p.id""",
     )
 
@@ -136,49 +120,46 @@ PROD_CTES = (
                  FROM pos_lines ol JOIN pos_order o ON o.id = ol.order_id)""",
     """buyers AS (SELECT pr.product_id, pr.customer_id, c.firstName || ' ' || c.lastName AS CustomerName
                   FROM pairs pr JOIN pos_customer c ON c.id = pr.customer_id)""",
-    f"""parr AS (SELECT product_id, page,
-                  list({{'CustomerID': customer_id, 'CustomerName': CustomerName}} ORDER BY customer_id)
+    """parr AS (SELECT product_id, list({'CustomerID': customer_id, 'CustomerName': CustomerName} ORDER BY customer_id)
                     AS ProductBuyers
-                FROM {paged('buyers', 'product_id', 'customer_id', 'pos_lines')} GROUP BY product_id, page)""",
-    """prod AS (SELECT a.product_id AS ProductID, a.page, p.name AS ProductName, a.ProductBuyers
+                FROM buyers GROUP BY product_id)""",
+    """prod AS (SELECT a.product_id AS ProductID, p.name AS ProductName, a.ProductBuyers
                 FROM parr a JOIN pos_product p ON p.id = a.product_id)""",
 )
 
 PROD_DOCS = with_pos(*PROD_CTES, body="""
-SELECT ProductID, page,
+SELECT ProductID,
        to_json({'ProductID': ProductID, 'ProductName': ProductName, 'ProductBuyers': ProductBuyers}) AS doc
 FROM prod""")
 
 PRODUCT_RECALL = with_pos(*PROD_CTES, body=f"""
-SELECT ProductID, page, ProductName, to_json(ProductBuyers) AS ProductBuyers
+SELECT ProductID, ProductName, to_json(ProductBuyers) AS ProductBuyers
 FROM prod WHERE ProductID = {PRODUCT_ID}""")
 
 
-def cust_ctes(customer_filter: str = "TRUE") -> tuple[str, ...]:
+def cust_ctes(customer_filter: str = "TRUE", orderline: str = "pos_orderline") -> tuple[str, ...]:
     return (
-        """lines AS (SELECT ol.order_id, ol.product_id, ol.quantity, p.name AS ProductName,
+        f"""lines AS (SELECT ol.order_id, ol.product_id, ol.quantity, p.name AS ProductName,
                            p.currentPrice * ol.quantity AS amount
-                    FROM pos_orderline ol JOIN pos_product p ON p.id = ol.product_id)""",
-        f"""opages AS (SELECT order_id, page, SUM(amount) AS amount,
-                             list({{'ProductID': product_id, 'Quantity': quantity, 'ProductName': ProductName}}
+                    FROM {orderline} ol JOIN pos_product p ON p.id = ol.product_id)""",
+        """oitems AS (SELECT order_id, SUM(amount) AS total,
+                             list({'ProductID': product_id, 'Quantity': quantity, 'ProductName': ProductName}
                                   ORDER BY product_id) AS Items
-                      FROM {paged('lines', 'order_id', 'product_id', 'pos_lines')} GROUP BY order_id, page)""",
-        """ototal AS (SELECT order_id, SUM(amount) AS total FROM opages GROUP BY order_id)""",
-        """elems AS (SELECT o.customer_id, op.order_id AS OrderID, op.page AS item_page,
-                           {'OrderID': op.order_id,
-                            'OrderTotal': CAST(ROUND(t.total, 2) AS DECIMAL(18,2)),
+                      FROM lines GROUP BY order_id)""",
+        """elems AS (SELECT o.customer_id, i.order_id AS OrderID,
+                           {'OrderID': i.order_id,
+                            'OrderTotal': CAST(ROUND(i.total, 2) AS DECIMAL(18,2)),
                             'OrderDate': o.datePlaced, 'ShippingDate': o.dateShipped,
-                            'Items': op.Items} AS element
-                    FROM opages op JOIN ototal t USING (order_id) JOIN pos_order o ON o.id = op.order_id)""",
-        f"""carr AS (SELECT customer_id, page, list(element ORDER BY OrderID, item_page) AS Orders
-                    FROM {paged('elems', 'customer_id', 'OrderID', 'pos_order')} GROUP BY customer_id, page)""",
+                            'Items': i.Items} AS element
+                    FROM oitems i JOIN pos_order o ON o.id = i.order_id)""",
+        """carr AS (SELECT customer_id, list(element ORDER BY OrderID) AS Orders FROM elems GROUP BY customer_id)""",
         f"""cbase AS (SELECT cu.id AS customer_id, cu.firstName || ' ' || cu.lastName AS CustomerName,
                             cu.address1 || CASE WHEN cu.address2 IS NOT NULL THEN ' #' || cu.address2 ELSE '' END
                               AS PrintedAddress1,
                             ci.city || ', ' || ci.state || '   ' || cu.zip AS PrintedAddress2, ci.state
                      FROM pos_customer cu JOIN pos_city ci ON ci.zip = cu.zip
                      WHERE {customer_filter})""",
-        """cust AS (SELECT b.customer_id AS CustomerID, COALESCE(a.page, 0) AS page, b.state, b.CustomerName,
+        """cust AS (SELECT b.customer_id AS CustomerID, b.state, b.CustomerName,
                           b.PrintedAddress1, b.PrintedAddress2, COALESCE(a.Orders, []) AS Orders
                    FROM cbase b LEFT JOIN carr a USING (customer_id))""",
     )
@@ -188,10 +169,24 @@ CUST_JSON = """to_json({'CustomerID': CustomerID, 'CustomerName': CustomerName,
                         'PrintedAddress1': PrintedAddress1, 'PrintedAddress2': PrintedAddress2,
                         'Orders': Orders})"""
 
-CUST_DOCS = with_pos(*cust_ctes(), body=f"SELECT CustomerID, page, {CUST_JSON} AS doc FROM cust")
+CUST_DOCS = with_pos(*cust_ctes(), body=f"SELECT CustomerID, {CUST_JSON} AS doc FROM cust")
+
+WEEK_LINES = """week_lines AS (
+  SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity
+  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' AND l_shipdate < TIMESTAMP '1998-06-08' GROUP BY 1, 2)"""
+
+PRODUCT_BUYERS_WEEK = product_buyers_sql(WEEK_LINES, orderline="week_lines")
+
+CUST_DOCS_WEEK = with_pos(WEEK_LINES, *cust_ctes(orderline="week_lines"), body=f"SELECT CustomerID, {CUST_JSON} AS doc FROM cust")
+
+CSV_REJECTS = """
+SELECT reason, COUNT(*) AS n FROM (
+  SELECT CASE WHEN c_custkey % 40 IN (1, 2) THEN 'malformed row' WHEN c_custkey % 40 = 3 THEN 'bad or missing id'
+              WHEN c_custkey % 40 = 4 THEN 'bad zip' WHEN c_custkey % 40 = 5 THEN 'no email' END AS reason
+  FROM customer) WHERE reason IS NOT NULL GROUP BY reason"""
 
 CUSTOMERS_IN_STATE = with_pos(*cust_ctes(f"ci.state = '{STATE}'"), body=f"""
-SELECT CustomerID, page, {CUST_JSON} AS doc FROM cust
+SELECT CustomerID, {CUST_JSON} AS doc FROM cust
 WHERE regexp_matches(PrintedAddress2, '.* {STATE}   .*')""")
 
 VIP_CUSTOMERS = with_pos(*cust_ctes(), """tot AS (
@@ -203,7 +198,7 @@ SELECT CustomerID, CustomerName, CAST(totalOrderCost AS DOUBLE) AS totalOrderCos
 WHERE totalOrderCost = (SELECT MAX(totalOrderCost) FROM tot)""")
 
 ORDER_ANOMALIES = with_pos(*cust_ctes(), body=f"""
-SELECT CustomerID, page, {CUST_JSON} AS doc FROM cust
+SELECT CustomerID, {CUST_JSON} AS doc FROM cust
 WHERE len(list_filter(Orders, lambda o: o.OrderTotal > {TOTAL_OVER}
           OR len(list_filter(o.Items, lambda i: i.Quantity > {QUANTITY_OVER})) > 0)) > 0""")
 
@@ -228,22 +223,17 @@ POPULAR = """{'TotalPurchases': TotalPurchases, 'TotalSales': TotalSales,
               'ProductID': ProductID, 'ProductName': ProductName}"""
 
 ZIP_POPULARITY = with_pos(*sales_ctes(False), f"""zarr AS (
-  SELECT zip, page, list({POPULAR} ORDER BY ProductID) AS PopularProducts
-  FROM {paged('facts', 'zip', 'ProductID')} GROUP BY zip, page)""", body="""
-SELECT a.zip AS ZIP, a.page,
+  SELECT zip, list({POPULAR} ORDER BY ProductID) AS PopularProducts
+  FROM facts GROUP BY zip)""", body="""
+SELECT a.zip AS ZIP,
        to_json({'ZIP': a.zip, 'State': ci.state, 'City': ci.city, 'PopularProducts': a.PopularProducts}) AS doc
 FROM zarr a JOIN pos_city ci ON ci.zip = a.zip""")
 
-# page width of custom2 in product ids: page size // most zips of any state
-SM_WINDOW = (f"(SELECT greatest(1, {PAGE_SIZE} // max(n)) FROM "
-             "(SELECT state, COUNT(*) AS n FROM pos_city GROUP BY state))")
-
 STATE_MONTH_POPULARITY = with_pos(*sales_ctes(True), """keyed AS (
-  SELECT f.*, ci.state, f.ProductID * 100000 + CAST(f.zip AS BIGINT) AS k
-  FROM facts f JOIN pos_city ci ON ci.zip = f.zip)""", f"""smarr AS (
-  SELECT state, OrderMonth, page, list({POPULAR} ORDER BY k) AS PopularProducts
-  FROM {paged('keyed', 'state, OrderMonth', 'ProductID', window=SM_WINDOW)} GROUP BY state, OrderMonth, page)""", body="""
-SELECT OrderMonth, state AS State, page,
+  SELECT f.*, ci.state FROM facts f JOIN pos_city ci ON ci.zip = f.zip)""", f"""smarr AS (
+  SELECT state, OrderMonth, list({POPULAR} ORDER BY ProductID, zip) AS PopularProducts
+  FROM keyed GROUP BY state, OrderMonth)""", body="""
+SELECT OrderMonth, state AS State,
        to_json({'OrderMonth': OrderMonth, 'State': state, 'PopularProducts': PopularProducts}) AS doc
 FROM smarr""")
 
@@ -256,11 +246,11 @@ ORDER BY TotalStatePurchases DESC, f.ProductID
 LIMIT {TOP_K}""")
 
 STATE_MONTH_PRODUCTS = with_pos(*sales_ctes(True), body=f"""
-SELECT f.ProductID, min(f.ProductName) AS ProductName, CAST(SUM(f.TotalPurchases) AS BIGINT) AS TotalStatePurchases
+SELECT f.ProductID, min(f.ProductName) AS ProductName, CAST(SUM(f.TotalPurchases) AS BIGINT) AS TotalStatePurchases,
+       row_number() OVER (ORDER BY SUM(f.TotalPurchases) DESC, f.ProductID) AS rank
 FROM facts f JOIN pos_city ci ON ci.zip = f.zip
 WHERE ci.state = '{STATE}' AND f.OrderMonth = {MONTH}
-GROUP BY f.ProductID
-ORDER BY TotalStatePurchases DESC, f.ProductID""")
+GROUP BY f.ProductID""")
 
 
 # --- changes ------------------------------------------------------------------------
@@ -378,6 +368,13 @@ def _len(table: str, source: str, key: str, limits: dict[str, int]) -> str:
         for col, limit in limits.items())
 
 
+FK_VIOLATIONS_INJECTED = with_pos("""broken AS (
+  SELECT CASE WHEN order_id % 50 = 1 THEN -order_id ELSE order_id END AS order_id,
+         CASE WHEN product_id % 40 = 1 THEN -product_id ELSE product_id END AS product_id FROM pos_orderline)""",
+    body=_fk("orderline.order_id", "broken", ["order_id"], "pos_order", ["id"]) + " UNION ALL "
+    + _fk("orderline.product_id", "broken", ["product_id"], "pos_product", ["id"]))
+
+
 LENGTH_VIOLATIONS = with_pos(body=" UNION ALL ".join([
     _len("customer", "pos_customer", "id",
          {"firstName": 32, "lastName": 30, "email": 128, "address1": 100, "address2": 50, "phone": 32}),
@@ -415,7 +412,18 @@ SQL: dict[str, str] = {
     "clean_products": CLEAN_PRODUCTS,
     "cities": CITIES,
     "csv_customers": CLEAN_CUSTOMERS,
+    "csv_orders": CLEAN_ORDERS,
+    "csv_rejects": CSV_REJECTS,
     "csv_products": CLEAN_PRODUCTS,
+    "product_buyers_week": PRODUCT_BUYERS_WEEK,
+    "cust_docs_week": CUST_DOCS_WEEK,
+    "published_customers_in_state": CUSTOMERS_IN_STATE,
+    "published_vip_customers": VIP_CUSTOMERS,
+    "published_product_recall": PRODUCT_RECALL,
+    "published_order_anomalies": ORDER_ANOMALIES,
+    "published_state_top_products": STATE_TOP_PRODUCTS,
+    "published_state_month_products": STATE_MONTH_PRODUCTS,
+    "fk_violations_injected": FK_VIOLATIONS_INJECTED,
     "csv_order_lines": CSV_ORDER_LINES,
     "price_history_initial": PRICE_HISTORY_INITIAL,
     "prod_docs": PROD_DOCS,

@@ -9,31 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from possum.operators.collect import DEFAULT_PAGE_SIZE
+from possum.operators.collect import PARTS
 
 # Spark SQL text of ``v_ProductBuyers`` over tables named Customer, `Order`,
-# Orderline and Product (QRY1 for users who keep writing SQL). Like the
-# DataFrame version, a product with more than {page} order lines has its buyers
-# split into pages by windows of {page} customer ids, so no group is unbounded.
+# Orderline and Product (QRY1 for users who keep writing SQL). The pairs of ids
+# are made distinct before names join; the list is built in two levels like
+# the DataFrame version.
 PRODUCT_BUYERS_VIEW_SQL = """
 WITH pairs AS (
-  SELECT DISTINCT OL.product_id, C.id AS customer_id,
-         concat(C.id, ' ', C.firstName, ' ', C.lastName) AS buyer
-  FROM {db}.Customer C
-  JOIN {db}.`Order` O ON O.customer_id = C.id
-  JOIN {db}.Orderline OL ON OL.order_id = O.id
-), sizes AS (
-  SELECT product_id, count(*) AS n FROM {db}.Orderline GROUP BY product_id
+  SELECT DISTINCT OL.product_id, O.customer_id
+  FROM {db}.Orderline OL JOIN {db}.`Order` O ON OL.order_id = O.id
+), parts AS (
+  SELECT product_id, array_sort(collect_list(named_struct('k', C.id, 'v', concat(C.id, ' ', C.firstName, ' ', C.lastName)))) AS part
+  FROM pairs JOIN {db}.Customer C ON C.id = pairs.customer_id
+  GROUP BY product_id, pmod(xxhash64(C.id), {parts})
 ), lists AS (
-  SELECT pairs.product_id,
-         CASE WHEN sizes.n > {page} THEN CAST(floor(pairs.customer_id / {page}) AS BIGINT) ELSE 0L END AS page,
-         nullif(array_join(transform(array_sort(collect_set(
-           CASE WHEN pairs.buyer IS NOT NULL THEN named_struct('k', pairs.customer_id, 'v', pairs.buyer) END)),
-           x -> x.v), ','), '') AS customers
-  FROM pairs JOIN sizes ON sizes.product_id = pairs.product_id
-  GROUP BY 1, 2
+  SELECT product_id, nullif(array_join(transform(filter(array_sort(flatten(collect_list(part))), x -> x.v IS NOT NULL), x -> x.v), ','), '') AS customers
+  FROM parts GROUP BY product_id
 )
-SELECT P.id AS productID, P.name AS productName, coalesce(L.page, 0L) AS page, L.customers
+SELECT P.id AS productID, P.name AS productName, L.customers
 FROM {db}.Product P LEFT JOIN lists L ON L.product_id = P.id
 """
 
@@ -64,7 +58,7 @@ def save_tables(spark: SparkSession, db: str, tables: dict[str, DataFrame], mode
 
 def create_product_buyers_view(spark: SparkSession, db: str) -> DataFrame:
     """DDL3: CREATE OR REPLACE VIEW v_ProductBuyers over the catalog tables."""
-    sql = PRODUCT_BUYERS_VIEW_SQL.format(db=db, page=DEFAULT_PAGE_SIZE)
+    sql = PRODUCT_BUYERS_VIEW_SQL.format(db=db, parts=PARTS)
     spark.sql(f"CREATE OR REPLACE VIEW `{db}`.v_ProductBuyers AS {sql}")
     return spark.table(f"`{db}`.v_ProductBuyers")
 

@@ -38,13 +38,17 @@ def latest_changes(log: DataFrame, key_cols: Sequence[str], seq_col: str = "seq"
 
 def apply_changes(snapshot: DataFrame, log: DataFrame, key_cols: Sequence[str], seq_col: str = "seq",
                   op_col: str = "op", tie_cols: Sequence[str] = ()) -> DataFrame:
-    """CHG4: the snapshot after the log. Untouched rows pass through a left
-    anti join; touched keys take their last image unless it is a delete."""
+    """CHG4: the snapshot after the log: per key the last change's image, the
+    snapshot's where the log has none, nothing after a delete. Keys are unique
+    in the snapshot; log and snapshot are each read once."""
     keys = list(key_cols)
-    last = latest_changes(log, keys, seq_col, op_col, tie_cols)
-    kept = snapshot.join(last.select(*keys), keys, "left_anti")
-    put = last.where(F.col(op_col) != F.lit(DELETE)).select(*snapshot.columns)
-    return kept.unionByName(put)
+    # the snapshot is the oldest change of every key, so one aggregate decides
+    first = snapshot.select(*snapshot.columns, F.lit(None).cast("long").alias(seq_col), F.lit("").alias(op_col))
+    both = first.unionByName(log.select(*first.columns))
+    rank = F.struct(F.col(seq_col), *[F.col(c) for c in tie_cols], F.col(op_col))
+    images = [c for c in snapshot.columns if c not in keys]
+    last = both.groupBy(*keys).agg(*[F.max_by(c, rank).alias(c) for c in images], F.max_by(op_col, rank).alias(op_col))
+    return last.where(F.col(op_col) != F.lit(DELETE)).select(*snapshot.columns)
 
 
 def updates_where(snapshot: DataFrame, condition: Column, assignments: dict[str, Column],
@@ -79,18 +83,22 @@ def price_history_changes(product: DataFrame, log: DataFrame, bucket_width: int
 
 
 def touched_products(orderline_changes: DataFrame | None = None,
+                     product_changes: DataFrame | None = None,
                      orderline: DataFrame | None = None,
                      order_changes: DataFrame | None = None,
                      customer_changes: DataFrame | None = None,
                      order: DataFrame | None = None) -> DataFrame:
     """Q8: product ids whose buyer list may change.
 
-    Order-line changes touch their product. An order change (moved to another
+    Order-line changes touch their product, and so does a new or renamed
+    product. An order change (moved to another
     customer) and a customer change (renamed) touch every product of the
     affected orders, found through the order lines by semi joins."""
     parts = []
     if orderline_changes is not None:
         parts.append(orderline_changes.select("product_id"))
+    if product_changes is not None:
+        parts.append(product_changes.select(F.col("id").alias("product_id")))
     if orderline is not None:
         order_ids = None
         if order_changes is not None:

@@ -2,9 +2,8 @@
 
 Documents are DataFrames with typed ``struct``/``array`` columns; JSON text is
 made only at the sink (``possum.sources.sinks``). Each builder aggregates the
-facts first and joins dimensions after (JN5), and collects arrays per
-(document key, page) with ``possum.operators.collect`` so that no collected
-group grows without bound.
+facts first and joins dimensions after (JN5), and collects one document per
+key with ``possum.operators.collect``.
 
 Shapes (field order as in the reference):
 
@@ -15,8 +14,8 @@ Shapes (field order as in the reference):
 * custom1: ZIP, State, City, PopularProducts[{TotalPurchases, TotalSales, ProductID, ProductName}]
 * custom2: OrderMonth, State, PopularProducts[same struct, one per (zip, product)]
 
-Every builder also returns its document key columns and ``page`` outside the
-document fields; ``DOC_FIELDS`` lists the fields that make up the JSON text.
+Every builder also returns its document key columns outside the document
+fields; ``DOC_FIELDS`` lists the fields that make up the JSON text.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from possum import fixed
 from possum.functions.cleaning import full_name, printed_address1, printed_address2, round_money
-from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, group_sizes, sorted_array
+from possum.operators.collect import collect_arrays
 from possum.plans.views import buyer_pairs
 
 DOC_FIELDS = {
@@ -36,10 +35,6 @@ DOC_FIELDS = {
     "custom2": fixed.STATE_MONTH_FIELDS,
 }
 
-# Zip codes are five digits, so (product, zip) packs into one ordered long key.
-ZIP_SPAN = 100_000
-
-
 def _named_struct(names: list[str], values: list[Column]) -> Column:
     """A struct whose fields carry the fixed names, in the fixed order."""
     return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
@@ -47,52 +42,50 @@ def _named_struct(names: list[str], values: list[Column]) -> Column:
 
 # --- prod ---------------------------------------------------------------------
 
-def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, orderline: DataFrame,
-                   page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """QRY2: products with at least one buyer (the left join acts as inner, JN3/Q2).
-    Paged like the view: by customer id windows for products with more than
-    ``page_size`` order lines."""
+def prod_documents(product: DataFrame, customer: DataFrame, order: DataFrame, orderline: DataFrame) -> DataFrame:
+    """QRY2: products with at least one buyer (the left join acts as inner, JN3/Q2)."""
     pairs = buyer_pairs(orderline, order)
     buyers = pairs.join(
         customer.select(F.col("id").alias("customer_id"),
                         full_name("firstName", "lastName").alias("CustomerName")),
         "customer_id", "inner")
     element = _named_struct(fixed.BUYER_FIELDS, [F.col("customer_id"), F.col("CustomerName")])
-    arrays, _ = collect_paged(buyers, ["product_id"], "customer_id",
-                              [sorted_array("customer_id", element).alias("ProductBuyers")], page_size,
-                              group_sizes(orderline, ["product_id"]))
+    arrays = collect_arrays(buyers, ["product_id"], "customer_id", element, "ProductBuyers")
     p = product.select(F.col("id").alias("product_id"), F.col("name").alias("ProductName"))
     return arrays.join(p, "product_id", "inner").select(
-        F.col("product_id").alias("ProductID"), PAGE, "ProductName", "ProductBuyers")
+        F.col("product_id").alias("ProductID"), "ProductName", "ProductBuyers")
 
 
 # --- cust ---------------------------------------------------------------------
 
-def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
-                    page_size: int | None = DEFAULT_PAGE_SIZE, line_bound: DataFrame | None = None) -> DataFrame:
-    """One element per (order, items page): customer_id, OrderID, item page, and
-    the Orders element struct. Orders without lines are absent (inner joins).
-    ``line_bound``: raw (order_id, ...) lines whose count per order bounds the
-    items (cheaper to count than the summed order lines); default the order lines."""
-    lines = orderline.select("order_id", "product_id", "quantity").join(
+def _priced_lines(orderline: DataFrame, product: DataFrame) -> DataFrame:
+    return orderline.select("order_id", "product_id", "quantity").join(
         product.select(F.col("id").alias("product_id"), F.col("name").alias("ProductName"),
                        F.col("currentPrice")),
         "product_id", "inner",
     ).withColumn("amount", F.col("currentPrice") * F.col("quantity"))
+
+
+def order_totals(order: DataFrame, orderline: DataFrame, product: DataFrame) -> DataFrame:
+    """AG4, flat: (order_id, customer_id, OrderTotal, most) per order with lines;
+    ``most`` is the largest quantity of one of its items."""
+    lines = _priced_lines(orderline, product)
+    sums = lines.groupBy("order_id").agg(F.sum("amount").alias("amount"), F.max("quantity").alias("most"))
+    o = order.select(F.col("id").alias("order_id"), "customer_id")
+    return sums.join(o, "order_id", "inner").select(
+        "order_id", "customer_id", round_money(F.col("amount")).alias("OrderTotal"), "most")
+
+
+def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame) -> DataFrame:
+    """One element per order: customer_id, OrderID and the Orders element
+    struct. Orders without lines are absent (inner joins)."""
+    lines = _priced_lines(orderline, product)
     item = _named_struct(fixed.ITEM_FIELDS, [F.col("product_id"), F.col("quantity"), F.col("ProductName")])
-    pages, split = collect_paged(
-        lines, ["order_id"], "product_id",
-        [F.sum("amount").alias("amount"), sorted_array("product_id", item).alias("Items")], page_size,
-        group_sizes(line_bound if line_bound is not None else orderline, ["order_id"]))
-    if split:
-        # A split order repeats its full total on every items page.
-        totals = pages.groupBy("order_id").agg(F.sum("amount").alias("total"))
-        pages = pages.join(totals, "order_id").withColumn("amount", F.col("total")).drop("total")
+    whole = collect_arrays(lines, ["order_id"], "product_id", item, "Items", {"amount": F.col("amount")})
     o = order.select(F.col("id").alias("order_id"), "customer_id", "datePlaced", "dateShipped")
-    return pages.join(o, "order_id", "inner").select(
+    return whole.join(o, "order_id", "inner").select(
         "customer_id",
         F.col("order_id").alias("OrderID"),
-        F.col(PAGE).alias("item_page"),
         _named_struct(fixed.ORDER_FIELDS, [
             F.col("order_id"), round_money(F.col("amount")), F.col("datePlaced"), F.col("dateShipped"),
             F.col("Items"),
@@ -101,8 +94,7 @@ def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame,
 
 
 def cust_documents(customer: DataFrame, city: DataFrame, order: DataFrame, orderline: DataFrame,
-                   product: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,
-                   restrict: bool = False, line_bound: DataFrame | None = None) -> DataFrame:
+                   product: DataFrame, restrict: bool = False) -> DataFrame:
     """QRY3: customers having a City (JN9), with their orders (JN4); a customer
     without orders gets ``Orders = []`` (Q4).
 
@@ -123,16 +115,10 @@ def cust_documents(customer: DataFrame, city: DataFrame, order: DataFrame, order
         ids = customer.select(F.col("id").alias("customer_id"))
         o = order.join(ids, "customer_id", "left_semi")
         ol = orderline.join(o.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    elements = order_documents(o, ol, product, page_size, line_bound)
-    # A customer with more than page_size orders is paged by order id windows
-    # (an order split into item pages appears once per items page).
-    arrays, _ = collect_paged(
-        elements, ["customer_id"], "OrderID",
-        [sorted_array(F.struct("OrderID", "item_page"), F.col("element")).alias("Orders")], page_size,
-        group_sizes(o, ["customer_id"]))
+    elements = order_documents(o, ol, product)
+    arrays = collect_arrays(elements, ["customer_id"], "OrderID", F.col("element"), "Orders")
     return c.join(arrays, "customer_id", "left").select(
         F.col("customer_id").alias("CustomerID"),
-        F.coalesce(F.col(PAGE), F.lit(0).cast("long")).alias(PAGE),
         "state",
         "CustomerName", "PrintedAddress1", "PrintedAddress2",
         F.coalesce(F.col("Orders"), F.array().cast(arrays.schema["Orders"].dataType)).alias("Orders"),
@@ -188,36 +174,17 @@ def _popular() -> Column:
     return _named_struct(fixed.POPULAR_FIELDS, [F.col(c) for c in fixed.POPULAR_FIELDS])
 
 
-def zip_documents(facts: DataFrame, city: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,
-                  n_products: int | None = None) -> DataFrame:
-    """QRY4 (custom1): one document per zip with sales (JN5 inner join to City).
-    A zip holds at most one element per product, so with ``n_products`` (the
-    product count) at most ``page_size`` no zip is counted."""
-    arrays, _ = collect_paged(facts, ["zip"], "ProductID",
-                              [sorted_array("ProductID", _popular()).alias("PopularProducts")], page_size,
-                              max_group_size=n_products)
+def zip_documents(facts: DataFrame, city: DataFrame) -> DataFrame:
+    """QRY4 (custom1): one document per zip with sales (JN5 inner join to City)."""
+    arrays = collect_arrays(facts, ["zip"], "ProductID", _popular(), "PopularProducts")
     return arrays.join(city.select("zip", "city", "state"), "zip", "inner").select(
-        F.col("zip").alias("ZIP"), PAGE, F.col("state").alias("State"), F.col("city").alias("City"),
-        "PopularProducts")
+        F.col("zip").alias("ZIP"), F.col("state").alias("State"), F.col("city").alias("City"), "PopularProducts")
 
 
-def state_month_documents(facts: DataFrame, city: DataFrame,
-                          page_size: int | None = DEFAULT_PAGE_SIZE, n_products: int | None = None) -> DataFrame:
+def state_month_documents(facts: DataFrame, city: DataFrame) -> DataFrame:
     """QRY5 (custom2): one document per (state, order month); one element per
     (zip, product), so a product may repeat within a state (Q7). Elements are
-    ordered by (ProductID, zip).
-
-    A product brings at most Z elements (Z = most zips of any state, read from
-    the small City table), so a hot (state, month) is paged by windows of
-    ``page_size // Z`` product ids, which keeps every page within
-    ``page_size``. With ``n_products``, a state-month under Z x products
-    elements is not counted at all."""
-    most_zips = city.groupBy("state").count().agg(F.max("count")).first()[0] or 1
-    bound = most_zips * n_products if n_products is not None else None
-    window = max(1, (page_size or 1) // most_zips)
-    keyed = facts.join(city.select("zip", "state"), "zip", "inner").withColumn(
-        "_k", F.col("ProductID") * F.lit(ZIP_SPAN) + F.col("zip").cast("long"))
-    arrays, _ = collect_paged(keyed, ["state", "OrderMonth"], "ProductID",
-                              [sorted_array("_k", _popular()).alias("PopularProducts")], page_size,
-                              max_group_size=bound, key_window=window)
-    return arrays.select(F.col("OrderMonth"), F.col("state").alias("State"), PAGE, "PopularProducts")
+    ordered by (ProductID, zip)."""
+    keyed = facts.join(city.select("zip", "state"), "zip", "inner")
+    arrays = collect_arrays(keyed, ["state", "OrderMonth"], F.struct("ProductID", "zip"), _popular(), "PopularProducts")
+    return arrays.select(F.col("OrderMonth"), F.col("state").alias("State"), "PopularProducts")

@@ -38,8 +38,10 @@ def _corrupt(df: DataFrame) -> Column:
     return F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
 
 
-def clean_customers(raw: DataFrame) -> DataFrame:
-    """Customer rows: F1 quotes, F2 empty email/address2, F4 birthdate, F6 zip."""
+def clean_customers(raw: DataFrame, with_city: bool = False) -> DataFrame:
+    """Customer rows: F1 quotes, F2 empty email/address2, F4 birthdate, F6 zip.
+    ``with_city`` carries the extract's city and state along for ``cities_of``."""
+    carried = [F.col("city").alias("rawCity"), F.col("state").alias("rawState")] if with_city else []
     rid = C.parse_long(F.col("id"))
     zip_ = C.parse_zip(C.strip_quotes(F.col("zip")))
     reject = _reasons(
@@ -59,10 +61,16 @@ def clean_customers(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("phone"),
         C.parse_us_date(C.strip_quotes(F.col("birthdate"))).alias("birthdate"),
         zip_.alias("zip"),
+        *carried,
         reject.alias("_reject"),
     )
 
 
+def cities_of(customers: DataFrame) -> DataFrame:
+    """AG3 over cleaned customers (``with_city``): rejected rows name no city."""
+    return cities(customers.select("zip", F.col("rawCity").alias("city"), F.col("rawState").alias("state")))
+
+
 def cities(raw: DataFrame) -> DataFrame:
     """AG3 and Q1: one City row per normalized zip.
 

@@ -1,8 +1,8 @@
 """The reference's three entry points as Spark jobs.
 
 * ``run_etl``: the four CSV extracts to typed Parquet tables, rejects kept
-  aside, the initial price history, the cached view, and the key checks
-  (``run_etl.sh``).
+  aside, the initial price history, the cached view, and the key checks. Every
+  table is published: a new version folder, then the pointer.
 * ``run_export``: the four document sets built from the tables and published
   atomically (``export_json.sh`` + ``sync.sh``): a new version per run, the
   pointer switched last.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,37 +41,44 @@ def run_etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str = "
     """CSV extracts -> typed tables. Returns the number of rejects per extract."""
     raw = {k: csv_source.read_extract(spark, f"{extract_dir}/{k}.csv", k, escape=escape) for k in schemas.RAW}
     cleaned = {
-        "customer": etl.clean_customers(raw["customers"]),
+        "customer": etl.clean_customers(raw["customers"], with_city=True),
         "order": etl.clean_orders(raw["orders"]),
         "product": etl.clean_products(raw["products"]),
         "orderline_units": etl.clean_orderline_units(raw["orderlines"]),
     }
-    rejects = {}
+    # each run stages into a folder of its own: nothing of an earlier run is read
+    stage = f"{out_dir}/_stage/{uuid.uuid4().hex}"
+    good, rejects = {}, {}
     for name, df in cleaned.items():
-        # one pass writes good and bad rows, split by a partition column
-        status = F.when(df["_reject"].isNull(), F.lit("good")).otherwise(F.lit("rejected"))
-        df.withColumn("_status", status).write.mode("overwrite").partitionBy("_status").parquet(
-            f"{out_dir}/_stage/{name}")
-    staged = {n: spark.read.parquet(f"{out_dir}/_stage/{n}") for n in cleaned}
-    good = {n: df.where(F.col("_status") == "good").drop("_status", "_reject") for n, df in staged.items()}
-    for n, df in staged.items():
-        rejects[n] = df.where(F.col("_status") == "rejected").count()
+        df.write.parquet(f"{stage}/{name}")
+        kept, bad = etl.split_rejects(spark.read.parquet(f"{stage}/{name}"))
+        sinks.publish(spark, bad, f"{out_dir}/_rejects/{name}")
+        good[name], rejects[name] = kept, bad.count()
     tables = {
-        "customer": good["customer"],
-        "city": etl.cities(raw["customers"]),
+        "customer": good["customer"].drop("rawCity", "rawState"),
+        "city": etl.cities_of(good["customer"]),
         "order": good["order"],
         "orderline": etl.order_lines_from_units(good["orderline_units"].drop("units")).drop("n_rows"),
         "product": good["product"],
     }
     tables["price_history"] = etl.price_history_initial(tables["product"], as_of)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        sinks.publish(spark, df, f"{out_dir}/{name}")
+    t = read_tables(spark, out_dir)
+    sinks.publish(spark, views.product_buyers(t.product, t.customer, t.order, t.orderline), f"{out_dir}/mv_ProductBuyers")
+    sinks.publish(spark, check_tables(t), f"{out_dir}/_violations")
     return rejects
 
 
 def read_tables(spark: SparkSession, table_dir: str) -> PosTables:
-    r = {n: spark.read.parquet(f"{table_dir}/{n}") for n in ("customer", "city", "order", "orderline", "product")}
-    return PosTables(**r)
+    """The published version of each table, or a plain Parquet folder of its name."""
+    def one(name: str) -> DataFrame:
+        path = f"{table_dir}/{name}"
+        if sinks.current_version(spark, path) is None:
+            return spark.read.parquet(path)
+        return sinks.read_published(spark, path)
+
+    return PosTables(**{n: one(n) for n in ("customer", "city", "order", "orderline", "product")})
 
 
 def check_tables(t: PosTables) -> DataFrame:
@@ -91,12 +99,11 @@ def check_tables(t: PosTables) -> DataFrame:
 def build_documents(t: PosTables) -> dict[str, DataFrame]:
     zf = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
     mf = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
-    n_products = t.product.count()
     return {
         "prod": D.prod_documents(t.product, t.customer, t.order, t.orderline),
         "cust": D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product),
-        "custom1": D.zip_documents(zf, t.city, n_products=n_products),
-        "custom2": D.state_month_documents(mf, t.city, n_products=n_products),
+        "custom1": D.zip_documents(zf, t.city),
+        "custom2": D.state_month_documents(mf, t.city),
     }
 
 
@@ -159,18 +166,17 @@ def run_reports(spark: SparkSession, publish_root: str, out_dir: str, state: str
 
 
 def run_stream(spark: SparkSession, table_dir: str, state_root: str, log_path: str,
-               every: str | None = None) -> None:
+               every: str | None = None, max_files: int | None = None) -> None:
     """CHG5/CHG7: keep the order lines and the view under ``state_root`` from
     the change files in ``log_path``. The first run starts from the tables in
     ``table_dir``; later runs continue from the stream checkpoint."""
     from possum.streaming.refresh import BuyerViewMaintainer
 
-    t = read_tables(spark, table_dir)
-    m = BuyerViewMaintainer(spark, state_root, t.product, t.customer, t.order)
-    if m.lines.version() is None:
-        m.bootstrap(t.orderline)
+    m = BuyerViewMaintainer(spark, state_root, lambda: read_tables(spark, table_dir))
+    if m.version() is None:
+        m.bootstrap(read_tables(spark, table_dir).orderline)
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    m.start(log_path, trigger=trigger).awaitTermination()
+    m.start(log_path, trigger=trigger, max_files_per_trigger=max_files).awaitTermination()
 
 
 def materialize_view(spark: SparkSession, table_dir: str, out_dir: str) -> None:
@@ -208,6 +214,10 @@ def main(argv: list[str] | None = None) -> None:
     st.add_argument("log_path")
     st.add_argument("--every", default=None,
                     help=f"e.g. '{fixed.REFRESH_EVERY}' (the reference's cadence); default: drain once and stop")
+    st.add_argument("--max-files", type=int, default=None, help="files a micro-batch takes at most (default: all there are)")
+    mv = sub.add_parser("view")
+    mv.add_argument("table_dir")
+    mv.add_argument("out_dir")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
     if args.job == "etl":
@@ -216,8 +226,10 @@ def main(argv: list[str] | None = None) -> None:
         print(run_export(spark, args.table_dir, args.out_root))
     elif args.job == "check":
         check_tables(read_tables(spark, args.table_dir)).write.mode("overwrite").json(args.out_dir)
+    elif args.job == "view":
+        materialize_view(spark, args.table_dir, args.out_dir)
     elif args.job == "stream":
-        run_stream(spark, args.table_dir, args.state_root, args.log_path, args.every)
+        run_stream(spark, args.table_dir, args.state_root, args.log_path, args.every, args.max_files)
     else:
         run_reports(spark, args.publish_root, args.out_dir, args.state, args.month, args.product_id,
                     args.total_over, args.quantity_over)

@@ -1,7 +1,7 @@
 """The six document queries (QRY6-QRY11) of the reference's ``run_queries``.
 
 q1-q4 read customer and product documents: nested DataFrames as built by
-``possum.plans.documents`` (with a typed ``state`` and a ``page`` column) or
+``possum.plans.documents`` (with a typed ``state``) or
 read back from a published set (document fields only). q5 and q6 "unwind then
 group" the popularity documents (``*_from_docs``); when the flat fact tables
 the documents are made from are at hand, the same answer is a group-by over
@@ -10,17 +10,14 @@ them, without building and exploding the arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from possum import fixed
+from possum.functions.cleaning import full_name
 from possum.sources.sinks import json_text
 
 
-def _page(docs: DataFrame):
-    return F.col("page") if "page" in docs.columns else F.lit(0).cast("long").alias("page")
-
-
 def customers_in_state(cust_docs: DataFrame, state: str, fields: list[str]) -> DataFrame:
     """QRY6 (q1): customer documents of one state.
 
@@ -32,42 +29,57 @@ def customers_in_state(cust_docs: DataFrame, state: str, fields: list[str]) -> D
     cond = F.col("PrintedAddress2").rlike(fixed.REPORT_STATE_PATTERN.format(state=state))
     if "state" in cust_docs.columns:
         cond = (F.col("state") == F.lit(state)) & cond
-    return cust_docs.where(cond).select("CustomerID", _page(cust_docs), json_text(fields).alias("doc"))
+    return cust_docs.where(cond).select("CustomerID", json_text(fields).alias("doc"))
 
 
 def order_cost_totals(cust_docs: DataFrame) -> DataFrame:
-    """AG12: per customer, the sum of its Orders' OrderTotal (0 without orders).
-
-    Summed inside each document page with a higher-order function, then over a
-    customer's pages by a partial aggregate."""
-    per_page = F.aggregate(
+    """AG12: per customer, the sum of its Orders' OrderTotal (0 without orders),
+    inside the document with a higher-order function."""
+    total = F.aggregate(
         F.transform("Orders", lambda o: o["OrderTotal"]),
         F.lit(0).cast("decimal(28,2)"),
         lambda acc, x: (acc + F.coalesce(x, F.lit(0))).cast("decimal(28,2)"),
     )
-    return cust_docs.select("CustomerID", "CustomerName", per_page.alias("t")).groupBy(
-        "CustomerID", "CustomerName").agg(F.sum("t").cast("decimal(28,2)").alias("totalOrderCost"))
-
+    return cust_docs.select("CustomerID", "CustomerName", total.alias("totalOrderCost"))
 
-def vip_customers(cust_docs: DataFrame) -> DataFrame:
-    """QRY7 (q2): every customer whose total spend equals the maximum (TOP1).
 
-    The reference sorts all documents and pushes them into one array; here the
-    maximum is a one-row global aggregate (partial per task) joined back by
-    broadcast, whose size is exactly one row (JN6)."""
-    totals = order_cost_totals(cust_docs)
+def _top(totals: DataFrame) -> DataFrame:
+    """Every row whose total equals the maximum (TOP1). The maximum is a one-row
+    global aggregate (partial per task) joined back by broadcast (JN6)."""
     top = totals.agg(F.max("totalOrderCost").alias("totalOrderCost"))
     return totals.join(F.broadcast(top), "totalOrderCost", "inner").select(
         "CustomerID", "CustomerName", "totalOrderCost")
 
 
+def vip_customers(cust_docs: DataFrame) -> DataFrame:
+    """QRY7 (q2) over documents: the customers with the highest total spend."""
+    return _top(order_cost_totals(cust_docs))
+
+
+def vip_customers_flat(customer: DataFrame, city: DataFrame, totals: DataFrame) -> DataFrame:
+    """q2 from flat order totals (``documents.order_totals``): summed per customer
+    before the customers with a City join, so no document is built."""
+    c = customer.join(city.select("zip"), "zip", "left_semi").select(
+        F.col("id").alias("CustomerID"), full_name("firstName", "lastName").alias("CustomerName"))
+    sums = totals.groupBy(F.col("customer_id").alias("CustomerID")).agg(F.sum("OrderTotal").alias("t"))
+    return _top(c.join(sums, "CustomerID", "left").select(
+        "CustomerID", "CustomerName", F.coalesce("t", F.lit(0)).cast("decimal(28,2)").alias("totalOrderCost")))
+
+
+def anomalous_customers(totals: DataFrame, total_over: float, quantity_over: int) -> DataFrame:
+    """q4's customer ids from flat order totals: (id) with an order above
+    ``total_over`` or an item above ``quantity_over`` units."""
+    odd = totals.where((F.col("OrderTotal") > F.lit(total_over)) | (F.col("most") > F.lit(quantity_over)))
+    return odd.select(F.col("customer_id").alias("id")).distinct()
+
+
 def product_recall(prod_docs: DataFrame, product_id: int, buyers_as_text: bool = True) -> DataFrame:
     """QRY8 (q3): buyers of one product (FLT6, PRJ3). The id filter is pushed
     through the aggregation into the order-line scan. ``buyers_as_text`` gives
     the buyer array as JSON text (one comparable value), else as an array."""
     buyers = F.to_json("ProductBuyers") if buyers_as_text else F.col("ProductBuyers")
     return prod_docs.where(F.col("ProductID") == F.lit(product_id)).select(
-        "ProductID", _page(prod_docs), "ProductName", buyers.alias("ProductBuyers"))
+        "ProductID", "ProductName", buyers.alias("ProductBuyers"))
 
 
 def order_anomalies(cust_docs: DataFrame, fields: list[str], total_over: float, quantity_over: int) -> DataFrame:
@@ -75,8 +87,7 @@ def order_anomalies(cust_docs: DataFrame, fields: list[str], total_over: float,
     a quantity above ``quantity_over`` (FLT7, ``$or`` over dotted paths)."""
     big_order = F.exists("Orders", lambda o: o["OrderTotal"] > F.lit(total_over))
     big_item = F.exists("Orders", lambda o: F.exists(o["Items"], lambda i: i["Quantity"] > F.lit(quantity_over)))
-    return cust_docs.where(big_order | big_item).select("CustomerID", _page(cust_docs),
-                                                        json_text(fields).alias("doc"))
+    return cust_docs.where(big_order | big_item).select("CustomerID", json_text(fields).alias("doc"))
 
 
 def _state_products(facts: DataFrame, city: DataFrame, state: str) -> DataFrame:
@@ -95,11 +106,28 @@ def state_top_products(zip_facts: DataFrame, city: DataFrame, state: str, k: int
         F.col("TotalStatePurchases").desc(), F.col("ProductID").asc()).limit(k)
 
 
+def ranked(products: DataFrame) -> DataFrame:
+    """SRT3 for all rows: ``rank`` 1, 2, ... by purchases, ties by ProductID,
+    and the rows in that order.
+
+    A row's rank is its place among equal purchases after the counts of all
+    larger ones: only the counts by distinct number of purchases meet in one
+    window, not the products."""
+    order = [F.col("TotalStatePurchases").desc(), F.col("ProductID").asc()]
+    purchases = products.groupBy("TotalStatePurchases").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.orderBy(F.col("TotalStatePurchases").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = purchases.select("TotalStatePurchases", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("TotalStatePurchases").orderBy("ProductID")
+    placed = products.withColumn("inside", F.row_number().over(inside)).join(before, "TotalStatePurchases")
+    return placed.select("ProductID", "ProductName", "TotalStatePurchases",
+                         (F.col("before") + F.col("inside")).cast("long").alias("rank")).orderBy(*order)
+
+
 def state_month_products(zip_month_facts: DataFrame, city: DataFrame, state: str, month: int) -> DataFrame:
     """QRY11 (q6): products of a state in one order month, ranked, all of them.
     The product name is the real name (the reference's q6 printed a constant, Q10)."""
     facts = zip_month_facts.where(F.col("OrderMonth") == F.lit(month))
-    return _state_products(facts, city, state)
+    return ranked(_state_products(facts, city, state))
 
 
 def _unwind_state(docs: DataFrame, state: str) -> DataFrame:
@@ -124,4 +152,4 @@ def state_top_products_from_docs(zip_docs: DataFrame, state: str, k: int = 20) -
 def state_month_products_from_docs(state_month_docs: DataFrame, state: str, month: int) -> DataFrame:
     """QRY11 (q6) over custom2 documents: match state and month, unwind, group."""
     docs = state_month_docs.where(F.col("OrderMonth") == F.lit(month))
-    return _group_products(_unwind_state(docs, state))
+    return ranked(_group_products(_unwind_state(docs, state)))

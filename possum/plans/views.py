@@ -5,8 +5,9 @@ The view lists every product with its buyers as one comma-separated string,
 
 Plan shape: order lines join orders on ``order_id``; the (product, customer)
 pairs are made distinct (a partial aggregate, so a best-selling product is
-combined map-side); customers join by id; the strings are built per (product,
-page); products join last with a left join so unsold products stay (JN2).
+combined map-side); customers join by id; the strings are built per product
+in two levels; products join last with a left join so unsold products stay
+(JN2). ``buyer_pairs`` is the flat form for products too large for one row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from possum import fixed
 from possum.functions.cleaning import full_name
-from possum.operators.collect import DEFAULT_PAGE_SIZE, PAGE, collect_paged, group_sizes, ordered_concat
+from possum.operators.collect import collect_text
 
 
 def buyer_pairs(orderline: DataFrame, order: DataFrame) -> DataFrame:
@@ -26,20 +27,14 @@ def buyer_pairs(orderline: DataFrame, order: DataFrame) -> DataFrame:
     return ol.join(o, "order_id", "inner").select("product_id", "customer_id").distinct()
 
 
-def buyer_strings(pairs: DataFrame, customer: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE,
-                  counts: DataFrame | None = None) -> DataFrame:
-    """(product_id, page, customers): the ordered, comma-joined buyer list.
-    ``counts`` bounds the buyers per product (see ``collect_paged``)."""
+def buyer_strings(pairs: DataFrame, customer: DataFrame) -> DataFrame:
+    """(product_id, customers): the ordered, comma-joined buyer list."""
     c = customer.select(
         F.col("id").alias("customer_id"),
         F.concat(F.col("id").cast("string"), F.lit(fixed.NAME_SEP), full_name("firstName", "lastName")).alias("buyer"),
     )
     named = pairs.join(c, "customer_id", "inner")
-    lists, _ = collect_paged(named, ["product_id"], "customer_id",
-                             [ordered_concat("customer_id", F.col("buyer"), fixed.BUYER_LIST_SEP).alias("customers")],
-                             page_size,
-                             counts)
-    return lists
+    return collect_text(named, ["product_id"], "customer_id", F.col("buyer"), "customers", fixed.BUYER_LIST_SEP)
 
 
 def product_buyers(
@@ -47,20 +42,14 @@ def product_buyers(
     customer: DataFrame,
     order: DataFrame,
     orderline: DataFrame,
-    page_size: int | None = DEFAULT_PAGE_SIZE,
 ) -> DataFrame:
-    """QRY1: productID, productName, page, customers (null when never sold).
-
-    A product's buyers are paged when it has more than ``page_size`` order
-    lines (an upper bound of its distinct buyers, from one table)."""
-    lists = buyer_strings(buyer_pairs(orderline, order), customer, page_size,
-                          group_sizes(orderline, ["product_id"]))
+    """QRY1: productID, productName, customers (null when never sold)."""
+    lists = buyer_strings(buyer_pairs(orderline, order), customer)
     product_id, product_name, customers = fixed.VIEW_COLUMNS
     p = product.select(F.col("id").alias("product_id"), F.col("name").alias(product_name))
     return p.join(lists, "product_id", "left").select(
         F.col("product_id").alias(product_id),
         product_name,
-        F.coalesce(F.col(PAGE), F.lit(0).cast("long")).alias(PAGE),
         F.col("customers").alias(customers),
     )
 
@@ -72,7 +61,6 @@ def refresh_product_buyers(
     customer: DataFrame,
     order: DataFrame,
     orderline: DataFrame,
-    page_size: int | None = DEFAULT_PAGE_SIZE,
 ) -> DataFrame:
     """UDF1, CHG1, CHG2: recompute the cached view only for touched products.
 
@@ -87,18 +75,17 @@ def refresh_product_buyers(
     kept = mv.join(keys.withColumnRenamed("product_id", "productID"), "productID", "left_anti")
     ol = orderline.join(keys, "product_id", "left_semi")
     p = product.join(keys.withColumnRenamed("product_id", "id"), "id", "left_semi")
-    fresh = product_buyers(p, customer, order, ol, page_size)
+    fresh = product_buyers(p, customer, order, ol)
     return kept.unionByName(fresh.select(*mv.columns))
 
 
 def refresh_one_product(mv: DataFrame, product_id: int, product: DataFrame, customer: DataFrame,
-                        order: DataFrame, orderline: DataFrame,
-                        page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
+                        order: DataFrame, orderline: DataFrame) -> DataFrame:
     """UDF1 with the procedure's signature: recompute one product's buyers.
     For one id, plain filters replace the semi and anti joins of the set-based
     refresh; they reach the scans of the order lines and the product table."""
     pid = F.lit(product_id).cast("long")
     kept = mv.where(F.col("productID") != pid)
     fresh = product_buyers(product.where(F.col("id") == pid), customer, order,
-                           orderline.where(F.col("product_id") == pid), page_size)
+                           orderline.where(F.col("product_id") == pid))
     return kept.unionByName(fresh.select(*mv.columns))

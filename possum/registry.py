@@ -62,7 +62,7 @@ def _iso(df: DataFrame) -> DataFrame:
 def _sold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order_id, product_id) of every raw order line. Buyer lists only need the
     set of pairs, so the raw lines serve without summing them into order lines
-    first (one shuffle less); their count per product still bounds the buyers."""
+    first (one shuffle less)."""
     return td.line_units(spark, sf_dir).select("order_id", "product_id")
 
 
@@ -81,14 +81,14 @@ def product_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_buyers_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DDL3: the view as SQL text over the POS tables (global temp views)."""
-    from possum.operators.collect import DEFAULT_PAGE_SIZE
+    from possum.operators.collect import PARTS
     from possum.plans.catalog import PRODUCT_BUYERS_VIEW_SQL
 
     t = td.pos_tables(spark, sf_dir)
     for name, df in {"Customer": t.customer, "Order": t.order, "Orderline": t.orderline,
                      "Product": t.product}.items():
         df.createOrReplaceGlobalTempView(name)
-    return spark.sql(PRODUCT_BUYERS_VIEW_SQL.format(db="global_temp", page=DEFAULT_PAGE_SIZE))
+    return spark.sql(PRODUCT_BUYERS_VIEW_SQL.format(db="global_temp", parts=PARTS))
 
 
 # --- cleaning (SRC, F1-F8, AG1, AG3, CHG6) ------------------------------------------
@@ -140,6 +140,30 @@ def csv_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(good)
 
 
+def csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: the order extract through a CSV file and the cleaning."""
+    good, _ = etl.split_rejects(etl.clean_orders(_roundtrip(spark, td.raw_orders(spark, sf_dir), "orders")))
+    return _iso(good)
+
+
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: every customer as a CSV line, some of them short, long, with a bad
+    id, a bad zip or ``\\N`` for the email: reasons and null emails, counted."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/{uuid.uuid4().hex}/customers"
+    raw = td.raw_customers(spark, sf_dir).fillna("")
+    fault = F.col("id").cast("long") % 40
+    bad_id = F.when(fault == 3, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id"))
+    bad_zip = F.when(fault == 4, F.lit("unknown")).otherwise(F.col("zip"))
+    email = F.when(fault == 5, F.lit("\\N")).otherwise(F.col("email"))
+    cells = {"id": bad_id, "zip": bad_zip, "email": email}
+    line = F.concat_ws(",", *[cells.get(c, F.col(c)) for c in raw.columns])
+    line = F.when(fault == 1, F.concat_ws(",", "id", "firstName")).when(fault == 2, F.concat(line, F.lit(",one more"))).otherwise(line)
+    raw.select(line.alias("value")).write.text(path)
+    cleaned = etl.clean_customers(csv_source.read_extract(spark, path, "customers", header=False))
+    reason = F.coalesce("_reject", F.when(F.col("email").isNull(), F.lit("no email")))
+    return cleaned.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def csv_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC3: quoted names and ``"$1,234.50"`` prices through a CSV file."""
     good, _ = etl.split_rejects(etl.clean_products(_roundtrip(spark, td.raw_products(spark, sf_dir), "products")))
@@ -161,31 +185,57 @@ def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY2: prod documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     docs = D.prod_documents(t.product, t.customer, t.order, _sold_pairs(spark, sf_dir))
-    return json_documents(docs, D.DOC_FIELDS["prod"], ["ProductID", "page"])
+    return json_documents(docs, D.DOC_FIELDS["prod"], ["ProductID"])
 
 
 def cust_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY3: cust documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
-    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
-                             line_bound=_sold_pairs(spark, sf_dir))
-    return json_documents(docs, D.DOC_FIELDS["cust"], ["CustomerID", "page"])
+    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product)
+    return json_documents(docs, D.DOC_FIELDS["cust"], ["CustomerID"])
 
 
 def zip_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY4: custom1 documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
-    docs = D.zip_documents(facts, t.city, n_products=t.product.count())
-    return json_documents(docs, D.DOC_FIELDS["custom1"], ["ZIP", "page"])
+    docs = D.zip_documents(facts, t.city)
+    return json_documents(docs, D.DOC_FIELDS["custom1"], ["ZIP"])
 
 
 def state_month_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY5: custom2 documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
-    docs = D.state_month_documents(facts, t.city, n_products=t.product.count())
-    return json_documents(docs, D.DOC_FIELDS["custom2"], ["OrderMonth", "State", "page"])
+    docs = D.state_month_documents(facts, t.city)
+    return json_documents(docs, D.DOC_FIELDS["custom2"], ["OrderMonth", "State"])
+
+
+# One week of order lines: most products have no buyer and most customers no
+# order then, the outer sides of QRY1 and QRY3 (JN2, JN4, AG15, F13, F19, Q4).
+WEEK = ("1998-06-01", "1998-06-08")
+
+
+def _week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = td.read_table(spark, sf_dir, "lineitem")
+    day = F.col("l_shipdate")
+    li = li.where((day >= F.lit(WEEK[0]).cast("timestamp_ntz")) & (day < F.lit(WEEK[1]).cast("timestamp_ntz")))
+    units = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+                      F.col("l_quantity").cast("int").alias("units"))
+    return etl.order_lines_from_units(units).select("order_id", "product_id", "quantity")
+
+
+def product_buyers_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY1 over the lines of one week: unsold products keep a row with null."""
+    t = td.pos_tables(spark, sf_dir)
+    return views.product_buyers(t.product, t.customer, t.order, _week(spark, sf_dir))
+
+
+def cust_docs_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY3 over the lines of one week: customers without any get ``Orders = []``."""
+    t = td.pos_tables(spark, sf_dir)
+    docs = D.cust_documents(t.customer, t.city, t.order, _week(spark, sf_dir), t.product)
+    return json_documents(docs, D.DOC_FIELDS["cust"], ["CustomerID"])
 
 
 # --- reports (QRY6-QRY11) ---------------------------------------------------------------
@@ -195,17 +245,15 @@ def customers_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td.pos_tables(spark, sf_dir)
     zips = t.city.where(F.col("state") == F.lit(STATE)).select("zip")
     customers = t.customer.join(zips, "zip", "left_semi")
-    docs = D.cust_documents(customers, t.city, t.order, t.orderline, t.product, restrict=True,
-                            line_bound=_sold_pairs(spark, sf_dir))
+    docs = D.cust_documents(customers, t.city, t.order, t.orderline, t.product, restrict=True)
     return reports.customers_in_state(docs, STATE, D.DOC_FIELDS["cust"])
 
 
 def vip_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY7 (q2): customers with the highest total spend, ties included."""
     t = td.pos_tables(spark, sf_dir)
-    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
-                             line_bound=_sold_pairs(spark, sf_dir))
-    return _iso(reports.vip_customers(docs))
+    totals = D.order_totals(t.order, t.orderline, t.product)
+    return _iso(reports.vip_customers_flat(t.customer, t.city, totals))
 
 
 def product_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +266,9 @@ def product_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY9 (q4): customers with a very large order or item."""
     t = td.pos_tables(spark, sf_dir)
-    docs = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product,
-                             line_bound=_sold_pairs(spark, sf_dir))
+    odd = reports.anomalous_customers(D.order_totals(t.order, t.orderline, t.product), TOTAL_OVER, QUANTITY_OVER)
+    customers = t.customer.join(odd, "id", "left_semi")
+    docs = D.cust_documents(customers, t.city, t.order, t.orderline, t.product, restrict=True)
     return reports.order_anomalies(docs, D.DOC_FIELDS["cust"], TOTAL_OVER, QUANTITY_OVER)
 
 
@@ -234,7 +283,7 @@ def state_top_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q5 as the reference runs it: over custom1 documents, with ``explode``."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
-    docs = D.zip_documents(facts, t.city, n_products=t.product.count())
+    docs = D.zip_documents(facts, t.city)
     return reports.state_top_products_from_docs(docs, STATE, TOP_K)
 
 
@@ -242,7 +291,7 @@ def state_month_products_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q6 over custom2 documents, with ``explode``."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_month_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
-    docs = D.state_month_documents(facts, t.city, n_products=t.product.count())
+    docs = D.state_month_documents(facts, t.city)
     return reports.state_month_products_from_docs(docs, STATE, MONTH)
 
 
@@ -253,6 +302,48 @@ def state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.state_month_products(facts, t.city, STATE, MONTH)
 
 
+# --- the reports over published collections (SNK1, SNK5, SNK8, SRC6) -------------------------
+
+def _published(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """One document set built, published as JSON, and read back from the published version."""
+    from possum.plans.jobs import build_documents
+    from possum.sources.sinks import publish, read_published
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/published/{uuid.uuid4().hex}/{kind}"
+    publish(spark, build_documents(td.pos_tables(spark, sf_dir))[kind], root, fmt="json", fields=D.DOC_FIELDS[kind])
+    return read_published(spark, root, "json", schema=schemas.DOCS[kind])
+
+
+def published_customers_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q1 over the published cust collection."""
+    return reports.customers_in_state(_published(spark, sf_dir, "cust"), STATE, D.DOC_FIELDS["cust"])
+
+
+def published_vip_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q2 over the published cust collection."""
+    return _iso(reports.vip_customers(_published(spark, sf_dir, "cust")))
+
+
+def published_product_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q3 over the published prod collection."""
+    return reports.product_recall(_published(spark, sf_dir, "prod"), PRODUCT_ID)
+
+
+def published_order_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q4 over the published cust collection."""
+    return reports.order_anomalies(_published(spark, sf_dir, "cust"), D.DOC_FIELDS["cust"], TOTAL_OVER, QUANTITY_OVER)
+
+
+def published_state_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q5 over the published custom1 collection."""
+    return reports.state_top_products_from_docs(_published(spark, sf_dir, "custom1"), STATE, TOP_K)
+
+
+def published_state_month_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q6 over the published custom2 collection."""
+    return reports.state_month_products_from_docs(_published(spark, sf_dir, "custom2"), STATE, MONTH)
+
+
 # --- changes (CHG1-CHG4, UDF1) -------------------------------------------------------------
 
 ORDERLINE_KEY = ["order_id", "product_id"]
@@ -291,18 +382,14 @@ def buyers_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.refresh_product_buyers(mv, touched, t.product, t.customer, t.order, final)
 
 
-STREAM_FILES = 4
-
-
 def _stream_maintainer(spark: SparkSession, sf_dir: str):
     """Bootstrap the streaming upkeep, write the log as files and drain it."""
     from possum.streaming.refresh import BuyerViewMaintainer, write_log
 
-    t = td.pos_tables(spark, sf_dir)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
-    m = BuyerViewMaintainer(spark, root, t.product, t.customer, t.order)
+    m = BuyerViewMaintainer(spark, root, lambda: td.pos_tables(spark, sf_dir))
     m.bootstrap(td.orderline_base(spark, sf_dir))
-    write_log(td.orderline_log(spark, sf_dir), f"{root}/log", STREAM_FILES)
+    write_log(td.orderline_log(spark, sf_dir), f"{root}/log")
     q = m.start(f"{root}/log")
     q.awaitTermination()
     return m
@@ -310,21 +397,21 @@ def _stream_maintainer(spark: SparkSession, sf_dir: str):
 
 def stream_product_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHG5: a copy of the product table kept from the price-change stream."""
+    from possum.streaming.change_table import ChangeTable
     from possum.streaming.refresh import write_log
-    from possum.streaming.replica import TableReplica
 
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/replica/{uuid.uuid4().hex}"
-    replica = TableReplica(spark, f"{root}/product", schemas.PRODUCT, ["id"], "id", tie_cols=["currentPrice"])
-    replica.bootstrap(td.product(spark, sf_dir))
-    write_log(td.price_log(spark, sf_dir), f"{root}/log", STREAM_FILES)
-    replica.start(f"{root}/log", schemas.PRODUCT_CHANGE).awaitTermination()
-    return _iso(replica.current())
+    copy = ChangeTable(spark, f"{root}/product", schemas.PRODUCT, ["id"], tie_cols=["currentPrice"])
+    copy.bootstrap(td.product(spark, sf_dir))
+    write_log(td.price_log(spark, sf_dir), f"{root}/log")
+    copy.start(f"{root}/log").awaitTermination()
+    return _iso(copy.current())
 
 
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHG5/CHG7: the change log as a file stream, applied micro-batch by
     micro-batch; the view read back from its published version."""
-    return _stream_maintainer(spark, sf_dir).view().drop("bucket")
+    return _stream_maintainer(spark, sf_dir).view()
 
 
 # --- the reference's demonstration statements (CHK4) -----------------------------------------
@@ -400,6 +487,16 @@ def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def fk_violations_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK2 on order lines of which some name a product or an order that isn't there."""
+    t = td.pos_tables(spark, sf_dir)
+    broken = t.orderline.select(
+        F.when(F.col("order_id") % 50 == 1, -F.col("order_id")).otherwise(F.col("order_id")).alias("order_id"),
+        F.when(F.col("product_id") % 40 == 1, -F.col("product_id")).otherwise(F.col("product_id")).alias("product_id"))
+    return checks.fk_violations(broken, ["order_id"], t.order, ["id"], "orderline.order_id").unionByName(
+        checks.fk_violations(broken, ["product_id"], t.product, ["id"], "orderline.product_id"))
+
+
 def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q16: text longer than its declared VARCHAR size (reported, not cut)."""
     t = td.pos_tables(spark, sf_dir)
@@ -430,7 +527,11 @@ QUERIES: dict[str, Query] = {
     "clean_products": clean_products,
     "cities": cities,
     "csv_customers": csv_customers,
+    "csv_orders": csv_orders,
+    "csv_rejects": csv_rejects,
     "csv_products": csv_products,
+    "product_buyers_week": product_buyers_week,
+    "cust_docs_week": cust_docs_week,
     "csv_order_lines": csv_order_lines,
     "price_history_initial": price_history_initial,
     "prod_docs": prod_docs,
@@ -445,6 +546,12 @@ QUERIES: dict[str, Query] = {
     "state_month_products": state_month_products,
     "state_top_products_docs": state_top_products_docs,
     "state_month_products_docs": state_month_products_docs,
+    "published_customers_in_state": published_customers_in_state,
+    "published_vip_customers": published_vip_customers,
+    "published_product_recall": published_product_recall,
+    "published_order_anomalies": published_order_anomalies,
+    "published_state_top_products": published_state_top_products,
+    "published_state_month_products": published_state_month_products,
     "apply_changes": apply_changes,
     "price_history_changes": price_history_changes,
     "buyers_refresh": buyers_refresh,
@@ -452,6 +559,7 @@ QUERIES: dict[str, Query] = {
     "stream_product_replica": stream_product_replica,
     "pk_violations": pk_violations,
     "fk_violations": fk_violations,
+    "fk_violations_injected": fk_violations_injected,
     "table_diff": table_diff,
     "length_violations": length_violations,
     "copy_counts": copy_counts,

@@ -39,10 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system folder and is left
-    alone. Only where it is unset (local tests) a fresh scratch folder is made.
+    alone; without it a cluster session is refused. Only a local session gets a
+    fresh scratch folder where the setting is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="possum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     sc = spark.sparkContext

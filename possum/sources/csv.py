@@ -5,20 +5,23 @@ corrupt-record column, in PERMISSIVE mode: a malformed, short or over-long row
 keeps its raw text in ``_corrupt_record`` and becomes a reject in the cleaning
 step instead of failing the job. Spark parses only the selected columns of a
 CSV file by default, and then a short row goes unnoticed when its missing
-fields are not selected; ``read_extract`` therefore turns CSV column pruning
-off for the session (``spark.sql.csv.parser.columnPruning.enabled``). Files
-are split by Spark, so one large extract is read by many tasks; there is no
-per-file or driver-side loop.
+fields are not selected; the reader's ``columnPruning`` option is therefore
+off. ``\\N`` is null, as the reference's loader reads it. A quoted field may hold
+line breaks (``multi_line``), which reads every file in one task; extracts
+come as many files, or without line breaks and with ``multi_line=False``, and
+Spark then splits the files. There is no per-file or driver-side loop.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from possum.schemas import RAW
 
 CORRUPT = "_corrupt_record"
+NULL_TEXT = "\\N"
 
 
 def extract_schema(kind: str) -> T.StructType:
@@ -26,12 +29,11 @@ def extract_schema(kind: str) -> T.StructType:
 
 
 def read_extract(spark: SparkSession, path: str, kind: str, escape: str = "\\", header: bool = True,
-                 sep: str = ",") -> DataFrame:
+                 sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Read one extract (``customers``, ``orders``, ``products`` or
     ``orderlines``). ``escape`` is the character before a quote inside a quoted
     field: backslash (default) or ``"`` for doubled quotes (Q15)."""
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return (
+    rows = (
         spark.read.schema(extract_schema(kind))
         .option("header", header)
         .option("sep", sep)
@@ -39,9 +41,12 @@ def read_extract(spark: SparkSession, path: str, kind: str, escape: str = "\\",
         .option("escape", escape)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)
         .csv(path)
     )
+    fields = [F.nullif(F.col(c), F.lit(NULL_TEXT)).alias(c) for c in RAW[kind].fieldNames()]
+    return rows.select(*fields, CORRUPT)
 
 
 def write_extract(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -16,6 +16,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,7 +115,9 @@ def _replace(spark: SparkSession, src, dst) -> None:
         opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         fc.rename(src, dst, opts)
-    except Exception:  # noqa: BLE001 - store without atomic overwrite-rename
+    except Py4JJavaError as e:
+        if "Unsupported" not in e.java_exception.getClass().getName():
+            raise  # a network or permission error leaves the live pointer as it is
         fs = dst.getFileSystem(conf)
         if fs.exists(dst):
             fs.delete(dst, False)

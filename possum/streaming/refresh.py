@@ -3,107 +3,92 @@
 The reference keeps ``mv_ProductBuyers`` current with row triggers and ships
 changes to replicas through the binary log. Here the order-line change log is
 a Structured Streaming source and each micro-batch is applied in
-``foreachBatch``. Both tables are kept in hash buckets of the product id
-(``possum.streaming.buckets``), so a batch rewrites only the buckets it
-touches, not the whole state:
-
-1. the touched buckets (at most ``n_buckets`` small integers) are listed;
-2. the order-line rows of those buckets are merged with the batch's changes
-   (highest ``seq`` per key wins) and written as bucket version ``b<batch id>``;
-3. the view rows of those buckets are refreshed for the touched products (left
-   anti join of untouched rows, recompute of the touched ones from the order
-   lines of the same buckets) and written likewise.
-
-Each step first checks whether its table already is at ``b<batch id>``; a
-replayed batch redoes only what is missing. Order of batches does not matter:
-state rows carry the ``seq`` of the change they show and deletes leave
-tombstones, so a change that arrives after a newer one of the same key loses.
-``compact_tombstones`` drops tombstones older than a given seq. State is read
-from files every batch, so lineage never grows across batches.
+``foreachBatch``:
+
+1. the batch is appended to the order lines (``ChangeTable``);
+2. the products it touches are listed as a DataFrame: those of its lines, those
+   of earlier lines whose order wasn't there yet, and those whose name in the
+   product table isn't the view's;
+3. the view is refreshed for these products from the order lines of the same
+   products, and published as a new version named by the batch.
+
+Product, customer and order tables are read again for every batch. A replayed
+batch is appended again under its name and refreshed only if the view isn't
+at its version.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from possum.operators.collect import DEFAULT_PAGE_SIZE
 from possum.plans import changes, views
-from possum.schemas import ORDERLINE, ORDERLINE_CHANGE
-from possum.streaming.buckets import BUCKET, BucketedTable, bucket_of
-from possum.streaming.replica import TableReplica
+from possum.schemas import ORDERLINE
+from possum.sources import sinks
+from possum.sources.testdata import PosTables
+from possum.streaming.change_table import ChangeTable
 
 ORDERLINE_KEY = ["order_id", "product_id"]
 
 
 class BuyerViewMaintainer:
-    def __init__(self, spark: SparkSession, root: str, product: DataFrame, customer: DataFrame,
-                 order: DataFrame, page_size: int | None = DEFAULT_PAGE_SIZE, n_buckets: int | None = None):
+    """``tables`` gives the current dimension tables whenever it is called."""
+
+    def __init__(self, spark: SparkSession, root: str, tables: Callable[[], PosTables]):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.product = product
-        self.customer = customer
-        self.order = order
-        self.page_size = page_size
-        # order lines and view share the bucketing by product id; without a
-        # count it is sized from the order lines at bootstrap
-        self.lines = TableReplica(spark, f"{self.root}/orderline", ORDERLINE, ORDERLINE_KEY, "product_id",
-                                  n_buckets, tie_cols=["quantity"])
-        self.view_table = BucketedTable(spark, f"{self.root}/product_buyers", self.lines.n_buckets)
-        self._view_schema: T.StructType | None = None
-
-    @property
-    def n_buckets(self) -> int | None:
-        return self.lines.n_buckets
+        self.tables = tables
+        self.lines = ChangeTable(spark, f"{self.root}/orderline", ORDERLINE, ORDERLINE_KEY, tie_cols=["quantity"])
+        self.view_root = f"{self.root}/product_buyers"
+        self.waiting_root = f"{self.root}/waiting"
 
     def bootstrap(self, orderline: DataFrame, base_seq: int = -1) -> None:
         """Write the starting order lines and the view computed from them."""
         self.lines.bootstrap(orderline, base_seq)
-        self.view_table.n_buckets = self.lines.n_buckets
-        mv = views.product_buyers(self.product, self.customer, self.order, self.orderline(), self.page_size)
-        self.view_table.write_all(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)), "base")
+        t, lines = self.tables(), self.lines.current()
+        self._publish(views.product_buyers(t.product, t.customer, t.order, lines), self._without_order(lines, t), "base")
+
+    def _without_order(self, lines: DataFrame, t: PosTables) -> DataFrame:
+        orders = t.order.select(F.col("id").alias("order_id"))
+        return lines.select(*ORDERLINE_KEY).join(orders, "order_id", "left_anti").distinct()
+
+    def _publish(self, view: DataFrame, waiting: DataFrame, version: str) -> None:
+        sinks.publish(self.spark, waiting, self.waiting_root, version=version)
+        sinks.publish(self.spark, view, self.view_root, version=version)
 
-    def state(self, buckets=None) -> DataFrame:
-        return self.lines.state(buckets)
+    def orderline(self) -> DataFrame:
+        return self.lines.current()
 
-    def orderline(self, buckets=None) -> DataFrame:
-        return self.lines.current(buckets)
+    def view(self) -> DataFrame:
+        return sinks.read_published(self.spark, self.view_root)
 
-    def view(self, buckets=None) -> DataFrame:
-        if self._view_schema is None:
-            self._view_schema = self.view_table.read().schema
-        return self.view_table.read(buckets, self._view_schema)
+    def version(self) -> str | None:
+        return sinks.current_version(self.spark, self.view_root)
 
-    def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
-        version = f"b{batch_id}"
-        if self.lines.version() == version and self.view_table.version() == version:
+    def apply_batch(self, batch: DataFrame, name: str) -> None:
+        log = self.lines.append(batch, name)
+        before = self.version()
+        if before == name:
             return
-        # the batch is used three times (buckets, merge, touched products):
-        # keep it for the length of this call instead of reading it again
-        log = self.lines.prepare(batch.select(*ORDERLINE_CHANGE.fieldNames())).persist()
-        try:
-            touched = self.lines.apply(log, version)
-            if self.view_table.version() != version:
-                products = changes.touched_products(orderline_changes=log)
-                mv = views.refresh_product_buyers(self.view(touched).drop(BUCKET), products, self.product,
-                                                  self.customer, self.order, self.orderline(touched),
-                                                  self.page_size)
-                self.view_table.write_buckets(mv.withColumn(BUCKET, bucket_of("productID", self.n_buckets)),
-                                              version, touched)
-        finally:
-            log.unpersist()
-
-    def start(self, log_path: str, trigger: dict | None = None, max_files_per_trigger: int = 1) -> StreamingQuery:
-        """Run the upkeep as a streaming query over parquet change files
-        (trigger as in ``TableReplica.start``)."""
-        return self.lines.start(log_path, ORDERLINE_CHANGE, self.apply_batch, trigger, max_files_per_trigger)
-
-    def compact_tombstones(self, older_than_seq: int, version: str) -> None:
-        self.lines.compact_tombstones(older_than_seq, version)
-
-
-def write_log(log: DataFrame, path: str, n_files: int) -> None:
-    """Write a change log as ``n_files`` files, ranges of ``seq`` (a stand-in
-    for a change feed landing files over time)."""
-    log.repartitionByRange(n_files, "seq").write.mode("append").parquet(path)
+        t, view = self.tables(), self.view()
+        waiting = self.spark.read.schema("order_id long, product_id long").parquet(f"{self.waiting_root}/v={before}")
+        named = view.select(F.col("productID").alias("id"), F.col("productName").alias("_name"), F.lit(1).alias("_in"))
+        renamed = t.product.join(named, "id", "left").where("_in is null or not (name <=> _name)")
+        touched = changes.touched_products(orderline_changes=log, product_changes=renamed).union(waiting.select("product_id")).distinct()
+        lines = self.lines.current(only=touched)
+        fresh = views.refresh_product_buyers(view, touched, t.product, t.customer, t.order, lines)
+        self._publish(fresh, self._without_order(waiting.union(log.select(*ORDERLINE_KEY)), t), name)
+
+    def start(self, log_path: str, trigger: dict | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+        """Run the upkeep as a streaming query over parquet change files (see ``ChangeTable.start``)."""
+        return self.lines.start(log_path, self.apply_batch, trigger, max_files_per_trigger)
+
+
+def write_log(log: DataFrame, path: str, n_files: int | None = None) -> None:
+    """Write a change log as files of ``seq`` ranges, as many as the data makes
+    (or ``n_files``): a stand-in for a change feed landing files over time."""
+    ranged = log.repartitionByRange(n_files, "seq") if n_files else log.repartitionByRange("seq")
+    ranged.write.mode("append").parquet(path)

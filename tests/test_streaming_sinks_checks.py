@@ -1,54 +1,112 @@
 """Streaming upkeep (CHG5, CHG7), publish and JSON sinks (SNK1-SNK5, SRC6), checks (CHK1-CHK3)."""
 
+import dataclasses
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from possum import schemas
 from possum.operators import checks
 from possum.plans import changes, documents as D, views
 from possum.sources import sinks
+from possum.session import ensure_checkpoint_dir
+from possum.streaming.change_table import ChangeTable, folders, remove
 from possum.streaming.refresh import BuyerViewMaintainer, write_log
 from pos_fixture import pos
 
 
-def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_dir):
-    t = pos(spark)
-    m = BuyerViewMaintainer(spark, f"{tmp_dir}/state", t.product, t.customer, t.order, n_buckets=16)
+def maintainer(spark, root, t):
+    m = BuyerViewMaintainer(spark, root, lambda: t)
     m.bootstrap(t.orderline)
-    log = spark.createDataFrame([
-        (1, "I", 103, 1, 1), (2, "D", 100, 2, None), (3, "I", 104, 4, 2), (4, "D", 103, 1, None),
-        (5, "I", 101, 2, 3), (6, "I", 100, 2, 1),
-    ], schemas.ORDERLINE_CHANGE)
-    write_log(log, f"{tmp_dir}/log", 3)
-    m.start(f"{tmp_dir}/log").awaitTermination()
-    expect_ol = changes.apply_changes(t.orderline, log, ["order_id", "product_id"])
+    return m
+
+
+def lines(spark, *rows):
+    return spark.createDataFrame(list(rows), schemas.ORDERLINE_CHANGE)
+
+
+def same_as_rebuild(m, t, expect_ol):
     assert checks.table_diff(expect_ol, m.orderline()).count() == 0
-    expect_mv = views.product_buyers(t.product, t.customer, t.order, expect_ol)
-    assert checks.table_diff(expect_mv, m.view().drop("bucket")).count() == 0
-    # replay the last batch: versions say it is done, nothing changes
-    before = m.view_table.manifest()
-    last = int(before["version"][1:])
-    m.apply_batch(log, last)
-    assert m.view_table.manifest() == before
-    assert checks.table_diff(expect_mv, m.view().drop("bucket")).count() == 0
-    # only touched buckets got new versions
-    assert set(before["buckets"].values()) - {None} > {"base"}
-    assert "base" in before["buckets"].values()
+    rebuilt = views.product_buyers(t.product, t.customer, t.order, expect_ol)
+    return checks.table_diff(rebuilt, m.view()).count() == 0
 
 
-def test_late_change_loses(spark, tmp_dir):
+def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_dir):
     t = pos(spark)
-    m = BuyerViewMaintainer(spark, f"{tmp_dir}/state", t.product, t.customer, t.order)
+    m = maintainer(spark, f"{tmp_dir}/state", t)
+    log = lines(spark, (1, "I", 103, 1, 1), (2, "D", 100, 2, None), (3, "I", 104, 4, 2), (4, "D", 103, 1, None),
+                (5, "I", 101, 2, 3), (6, "I", 100, 2, 1))
+    write_log(log, f"{tmp_dir}/log", 3)
+    m.start(f"{tmp_dir}/log", max_files_per_trigger=1).awaitTermination()
+    names = folders(spark, f"{tmp_dir}/state/orderline/changes")
+    assert len(names) == 3 and len({n.rsplit("-", 1)[0] for n in names}) == 1
+    expect = changes.apply_changes(t.orderline, log, ["order_id", "product_id"])
+    assert same_as_rebuild(m, t, expect)
+    # replays of the last batch and of an earlier one change nothing
+    m.apply_batch(log, m.version())
+    m.apply_batch(lines(spark, (1, "I", 103, 1, 1)), "again")
+    assert same_as_rebuild(m, t, expect)
+    assert checks.table_diff(expect, m.lines.current()).count() == 0
+    m.lines.compact("c1")
+    assert folders(spark, f"{tmp_dir}/state/orderline/changes") == []
+    assert same_as_rebuild(m, t, expect)
+
+
+@pytest.mark.parametrize("mode", ["static", "dynamic"])
+def test_new_checkpoint_over_an_old_state(spark, tmp_dir, mode):
+    """Batch numbers begin anew with a new query; nothing live is overwritten."""
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        t = pos(spark)
+        m = maintainer(spark, f"{tmp_dir}/state", t)
+        first, second = lines(spark, (1, "I", 103, 1, 1)), lines(spark, (2, "D", 100, 2, None))
+        write_log(first, f"{tmp_dir}/log1", 1)
+        m.start(f"{tmp_dir}/log1").awaitTermination()
+        remove(spark, f"{tmp_dir}/state/orderline/_stream_checkpoint")
+        write_log(second, f"{tmp_dir}/log2", 1)
+        m.start(f"{tmp_dir}/log2").awaitTermination()
+        assert same_as_rebuild(m, t, changes.apply_changes(t.orderline, first.union(second), ["order_id", "product_id"]))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+
+def test_order_that_arrives_later_and_product_rename(spark, tmp_dir):
+    t = pos(spark)
+    now = {"t": t}
+    m = BuyerViewMaintainer(spark, f"{tmp_dir}/state", lambda: now["t"])
     m.bootstrap(t.orderline)
-    newer = spark.createDataFrame([(9, "I", 100, 1, 9)], schemas.ORDERLINE_CHANGE)
-    older = spark.createDataFrame([(5, "D", 100, 1, None)], schemas.ORDERLINE_CHANGE)
-    m.apply_batch(newer, 0)
-    m.apply_batch(older, 1)
+    m.apply_batch(lines(spark, (1, "I", 900, 4, 1)), "q-0")  # no such order yet
+    assert m.view().where("productID = 4").first()["customers"] is None
+    order = t.order.unionByName(spark.createDataFrame([(900, None, None, 9)], t.order.schema))
+    product = t.product.withColumn("name", F.when(F.col("id") == 1, F.lit("Renamed")).otherwise(F.col("name")))
+    product = product.unionByName(spark.createDataFrame([(77, "New", None, 1)], t.product.schema))
+    now["t"] = dataclasses.replace(t, order=order, product=product)
+    m.apply_batch(lines(spark, (2, "I", 101, 2, 1)), "q-1")
+    got = {r["productID"]: r for r in m.view().collect()}
+    assert got[4]["customers"] == "9 Nina Nine" and got[1]["productName"] == "Renamed" and got[77]["customers"] is None
+    assert same_as_rebuild(m, now["t"], m.orderline())
+
+
+def test_late_change_loses(spark, tmp_dir):
+    m = maintainer(spark, f"{tmp_dir}/state", pos(spark))
+    m.apply_batch(lines(spark, (9, "I", 100, 1, 9)), "q-0")
+    m.apply_batch(lines(spark, (5, "D", 100, 1, None)), "q-1")
     assert m.orderline().where("order_id = 100 AND product_id = 1").first()["quantity"] == 9
 
 
+def test_deletes_by_predicate_reach_the_table(spark, tmp_dir):
+    """FLT3: DELETE FROM Orderline WHERE order_id = 100."""
+    t = pos(spark)
+    m = maintainer(spark, f"{tmp_dir}/state", t)
+    gone = changes.deletes_where(t.orderline, F.col("order_id") == 100, F.lit(3))
+    m.apply_batch(gone, "q-0")
+    assert same_as_rebuild(m, t, t.orderline.where("order_id <> 100"))
+
+
 def test_json_sink_modes_and_read_back(spark, tmp_dir):
     t = pos(spark)
     cust = D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product)
@@ -99,54 +157,48 @@ def test_length_violations(spark):
     assert [(r["column"], r["length"], r["max"]) for r in got] == [("name", 130, 128)]
 
 
-def test_customer_replica_update_delete_late(spark, tmp_dir):
-    from pyspark.sql import functions as F
+def test_customer_copy_update_delete_late(spark, tmp_dir):
+    t = pos(spark)
+    copy = ChangeTable(spark, f"{tmp_dir}/cust", schemas.CUSTOMER, ["id"])
+    copy.bootstrap(t.customer)
+    image = lambda i, seq, op: t.customer.where(f"id = {i}").select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), *t.customer.columns)
+    copy.append(image(9, 5, "U").withColumn("firstName", F.lit("Nia")).unionByName(image(10, 6, "D")), "b0")
+    for _ in range(2):  # older than the delete: loses, also when replayed
+        copy.append(image(10, 2, "U"), "b1")
+    now = {r["id"]: r["firstName"] for r in copy.current().collect()}
+    assert now[9] == "Nia" and 10 not in now and len(now) == 5
+    copy.compact("c1", drop_deletes_before=7)
+    assert copy.state().where("op = 'D'").count() == 0
+    assert {r["id"] for r in copy.current().collect()} == set(now)
+    assert {r["id"] for r in copy.current(only=t.customer.where("id = 9").select("id")).collect()} == {9}
 
-    from possum.streaming.replica import TableReplica
 
+def test_empty_batch_changes_nothing(spark, tmp_dir):
     t = pos(spark)
-    rep = TableReplica(spark, f"{tmp_dir}/cust", schemas.CUSTOMER, ["id"], "id", n_buckets=8)
-    rep.bootstrap(t.customer)
-    upd = t.customer.where("id = 9").select(F.lit(5).cast("long").alias("seq"), F.lit("U").alias("op"),
-                                            *[F.lit("Nia").alias(c) if c == "firstName" else F.col(c)
-                                              for c in t.customer.columns])
-    dele = t.customer.where("id = 10").select(F.lit(6).cast("long").alias("seq"), F.lit("D").alias("op"),
-                                              *t.customer.columns)
-    late = t.customer.where("id = 10").select(F.lit(2).cast("long").alias("seq"), F.lit("U").alias("op"),
-                                              *t.customer.columns)
-    rep.apply(rep.prepare(upd.unionByName(dele)), "b0")
-    before = rep.table.manifest()
-    rep.apply(rep.prepare(late), "b1")          # older than the delete: loses
-    rep.apply(rep.prepare(late), "b1")          # replay: skipped
-    now = {r["id"]: r["firstName"] for r in rep.current().collect()}
-    assert now[9] == "Nia" and 10 not in now and len(now) == 5
-    assert rep.table.manifest()["version"] == "b1" and before["version"] == "b0"
+    m = maintainer(spark, f"{tmp_dir}/state", t)
+    m.apply_batch(lines(spark), "q-0")
+    assert m.version() == "q-0" and same_as_rebuild(m, t, t.orderline)
 
 
-def test_compact_tombstones(spark, tmp_dir):
-    from possum.streaming.replica import TableReplica
+def test_failed_pointer_switch_keeps_the_old_pointer(spark, tmp_dir, monkeypatch):
+    """Only a store without overwriting renames falls back; other errors are raised."""
+    root = f"{tmp_dir}/pub"
+    sinks.publish(spark, spark.range(5), root, version="v1")
+    jvm = spark.sparkContext._jvm
+    missing = jvm.org.apache.hadoop.fs.Path(f"{root}/not-there")
+    with pytest.raises(Exception, match="not-there"):
+        sinks._replace(spark, missing, jvm.org.apache.hadoop.fs.Path(f"{root}/{sinks.POINTER}"))
+    assert sinks.current_version(spark, root) == "v1" and sinks.read_published(spark, root).count() == 5
 
-    t = pos(spark)
-    rep = TableReplica(spark, f"{tmp_dir}/ol", schemas.ORDERLINE, ["order_id", "product_id"], "product_id",
-                       n_buckets=4)
-    rep.bootstrap(t.orderline)
-    dele = spark.createDataFrame([(7, "D", 100, 1, None)], schemas.ORDERLINE_CHANGE)
-    rep.apply(rep.prepare(dele), "b0")
-    assert rep.state().where("op = 'D'").count() == 1
-    rep.compact_tombstones(older_than_seq=8, version="c1")
-    assert rep.state().where("op = 'D'").count() == 0
-    assert rep.current().count() == t.orderline.count() - 1
-    # after the compaction every bucket is at c1: older folders can go
-    assert rep.table.vacuum() == ["v=b0", "v=base"]
-    assert rep.current().count() == t.orderline.count() - 1
 
+def test_cluster_session_without_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
 
-def test_empty_batch_changes_nothing(spark, tmp_dir):
-    t = pos(spark)
-    m = BuyerViewMaintainer(spark, f"{tmp_dir}/state", t.product, t.customer, t.order, n_buckets=4)
-    m.bootstrap(t.orderline)
-    before = m.view().drop("bucket")
-    m.apply_batch(spark.createDataFrame([], schemas.ORDERLINE_CHANGE), 0)
-    assert m.lines.version() == "b0" and m.view_table.version() == "b0"
-    assert checks.table_diff(before, m.view().drop("bucket")).count() == 0
-    assert checks.table_diff(t.orderline, m.orderline()).count() == 0
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Fake())

@@ -1,4 +1,4 @@
-"""QRY1-QRY11 on literal rows: view, documents, reports, paging."""
+"""QRY1-QRY11 on literal rows: view, documents, reports."""
 
 import json
 from decimal import Decimal
@@ -18,63 +18,44 @@ def test_product_buyers_view(spark):
     assert rows[3]["customers"] == "13 Tie Two"
 
 
-def test_paging_splits_hot_groups_and_keeps_everything(spark):
-    t = pos(spark)
-    whole = views.product_buyers(t.product, t.customer, t.order, t.orderline)
-    paged = views.product_buyers(t.product, t.customer, t.order, t.orderline, page_size=1)
-    p1 = paged.where("productID = 1").orderBy("page").collect()
-    assert [r["page"] for r in p1] == [9, 10]  # windows of width 1 over the customer id
-    assert ",".join(r["customers"] for r in p1) == whole.where("productID = 1").first()["customers"]
-
-
 def docs(df, kind, keys):
     return {tuple(r[k] for k in keys): json.loads(r["doc"]) for r in json_documents(df, D.DOC_FIELDS[kind], keys).collect()}
 
 
 def test_prod_documents(spark):
     t = pos(spark)
-    d = docs(D.prod_documents(t.product, t.customer, t.order, t.orderline), "prod", ["ProductID", "page"])
-    assert (4, 0) not in d  # never sold: absent (Q2)
-    assert d[(1, 0)] == {"ProductID": 1, "ProductName": "Widget", "ProductBuyers": [
+    d = docs(D.prod_documents(t.product, t.customer, t.order, t.orderline), "prod", ["ProductID"])
+    assert (4,) not in d  # never sold: absent (Q2)
+    assert d[(1,)] == {"ProductID": 1, "ProductName": "Widget", "ProductBuyers": [
         {"CustomerID": 9, "CustomerName": "Nina Nine"}, {"CustomerID": 10, "CustomerName": "Ten Tenor"}]}
 
 
 def test_cust_documents(spark):
     t = pos(spark)
-    d = docs(D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product), "cust", ["CustomerID", "page"])
-    assert (14, 0) not in d  # no City row: no document (JN9)
-    assert d[(11, 0)]["Orders"] == []  # no orders: empty array (Q4)
-    nine = d[(9, 0)]
+    d = docs(D.cust_documents(t.customer, t.city, t.order, t.orderline, t.product), "cust", ["CustomerID"])
+    assert (14,) not in d  # no City row: no document (JN9)
+    assert d[(11,)]["Orders"] == []  # no orders: empty array (Q4)
+    nine = d[(9,)]
     assert nine["PrintedAddress1"] == "9 Elm"
     assert nine["PrintedAddress2"] == "Springfield, TX   55501"
     assert [o["OrderID"] for o in nine["Orders"]] == [100]  # order 104 has no lines
     assert nine["Orders"][0]["OrderTotal"] == 22.5 and nine["Orders"][0]["ShippingDate"] is None
     assert nine["Orders"][0]["Items"] == [{"ProductID": 1, "Quantity": 2, "ProductName": "Widget"},
                                           {"ProductID": 2, "Quantity": 1, "ProductName": "Gadget"}]
-    assert d[(10, 0)]["PrintedAddress1"] == "10 Oak #B"
-
-
-def test_cust_documents_paged_keep_all_orders(spark):
-    t = pos(spark)
-    many = t.order.unionByName(spark.createDataFrame([(200 + i, None, None, 9) for i in range(5)], t.order.schema))
-    lines = t.orderline.unionByName(spark.createDataFrame([(200 + i, 1, 1) for i in range(5)], t.orderline.schema))
-    paged = D.cust_documents(t.customer, t.city, many, lines, t.product, page_size=2).where("CustomerID = 9")
-    rows = paged.collect()
-    assert len(rows) > 1 and all(len(r["Orders"]) <= 2 for r in rows)
-    assert sorted(o["OrderID"] for r in rows for o in r["Orders"]) == [100, 200, 201, 202, 203, 204]
+    assert d[(10,)]["PrintedAddress1"] == "10 Oak #B"
 
 
 def test_zip_and_state_month_documents(spark):
     t = pos(spark)
     facts = D.zip_product_facts(t.customer, t.order, t.orderline, t.product)
-    z = docs(D.zip_documents(facts, t.city), "custom1", ["ZIP", "page"])
-    assert z[("55501", 0)]["PopularProducts"] == [
+    z = docs(D.zip_documents(facts, t.city), "custom1", ["ZIP"])
+    assert z[("55501",)]["PopularProducts"] == [
         {"TotalPurchases": 3, "TotalSales": 30.0, "ProductID": 1, "ProductName": "Widget"},
         {"TotalPurchases": 1, "TotalSales": 2.5, "ProductID": 2, "ProductName": "Gadget"}]
     mfacts = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
-    sm = docs(D.state_month_documents(mfacts, t.city), "custom2", ["State", "OrderMonth", "page"])
-    assert set(sm) == {("TX", 5, 0), ("TX", 6, 0), ("NY", 5, 0)}
-    assert [p["ProductID"] for p in sm[("TX", 5, 0)]["PopularProducts"]] == [1, 2]
+    sm = docs(D.state_month_documents(mfacts, t.city), "custom2", ["State", "OrderMonth"])
+    assert set(sm) == {("TX", 5), ("TX", 6), ("NY", 5)}
+    assert [p["ProductID"] for p in sm[("TX", 5)]["PopularProducts"]] == [1, 2]
 
 
 def test_reports(spark):
@@ -94,8 +75,8 @@ def test_reports(spark):
     top = [tuple(r) for r in reports.state_top_products(facts, t.city, "TX", 1).collect()]
     assert top == [(2, "Gadget", 51)]
     mfacts = D.zip_month_product_facts(t.customer, t.order, t.orderline, t.product)
-    may = sorted(tuple(r) for r in reports.state_month_products(mfacts, t.city, "TX", 5).collect())
-    assert may == [(1, "Widget", 3), (2, "Gadget", 1)]
+    may = [tuple(r) for r in reports.state_month_products(mfacts, t.city, "TX", 5).collect()]
+    assert may == [(1, "Widget", 3, 1), (2, "Gadget", 1, 2)]  # ranked, in that order
 
 
 def test_state_filter_reaches_city_scan(spark, tmp_dir):
@@ -106,15 +87,3 @@ def test_state_filter_reaches_city_scan(spark, tmp_dir):
     plan = reports.state_top_products(facts, city, "TX", 5)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(state), EqualTo(state,TX)" in plan
     assert "TakeOrderedAndProject" in plan
-
-
-def test_hot_order_items_paged_with_full_total(spark):
-    t = pos(spark)
-    lines = t.orderline.unionByName(spark.createDataFrame(
-        [(300, p, 1) for p in (1, 2, 3, 4)], t.orderline.schema))
-    orders = t.order.unionByName(spark.createDataFrame([(300, None, None, 11)], t.order.schema))
-    docs = D.cust_documents(t.customer, t.city, orders, lines, t.product, page_size=2)
-    eleven = [o for r in docs.where("CustomerID = 11").collect() for o in r["Orders"]]
-    assert [o["OrderID"] for o in eleven] == [300, 300, 300]           # three items pages
-    assert [[i["ProductID"] for i in o["Items"]] for o in eleven] == [[1], [2, 3], [4]]
-    assert {o["OrderTotal"] for o in eleven} == {Decimal("26.00")}     # 10 + 2.5 + 12.5 + 1 on every page
