@@ -280,17 +280,20 @@ def find_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(k_id, k_text, runs): runs of window starts whose 200 bytes start elsewhere too."""
     scratch = Scratch(docs.sparkSession, "suffix")
     parsed = scratch.save(_blocks(docs))
-    grams = parsed.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    # key lists are written before they are joined: an aggregate inside the join
+    # would keep adaptive execution from splitting a gram with very many rows
+    grams = scratch.save(parsed.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"))
     parsed = scratch.save(parsed.join(grams, "gram", "left_semi"))
     scratch.drop(f"{scratch.root}/t0")
+    scratch.drop(f"{scratch.root}/t1")
     owner = F.min(F.struct("k_id", "k_text", "place"))
     blocks = scratch.save(parsed.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), owner.alias("o")))
     whole = parsed.join(blocks.where("n > 1").select("gram", "block"), ["gram", "block"], "left_semi")
     lo, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     whole = scratch.save(whole.groupBy("k_id", "k_text").agg(F.collect_set(F.struct(lo.alias("lo"), (lo + more).alias("hi"))).alias("runs")))
-    scratch.drop(f"{scratch.root}/t1")
+    scratch.drop(f"{scratch.root}/t2")
     # blocks of their own, and one of each repeated block, of grams that hold both sorts or several blocks of their own
-    mixed = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("gram")
+    mixed = scratch.save(blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("gram"))
     left = blocks.join(mixed, "gram", "left_semi").select("o.k_id", "o.k_text", F.struct("o.place", "n").alias("b"))
     cores = scratch.save(_cores(docs, left.groupBy("k_id", "k_text").agg(F.collect_list("b").alias("blocks"))))
     sizes = cores.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows).select("h1", "h2")
