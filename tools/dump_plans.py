@@ -16,7 +16,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
+from possum.registry import QUERIES  # noqa: E402
 from possum.session import local_session  # noqa: E402
 
 
@@ -26,7 +26,7 @@ def main() -> None:
     print(f"# Physical plans of the registered queries\n\nTables: `{sf_dir}`, Spark {spark.version}, "
           "`explain(\"formatted\")` before execution. Streaming queries run their micro-batches while the "
           "DataFrame is built; their plan is the read of the published state.\n")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
