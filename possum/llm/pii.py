@@ -47,12 +47,15 @@ def _pieces(text: Column, kind: str, worth: Column) -> Column:
     """Array of (kind, gap, match, before, after) for the matches of a kind; nulls none."""
     pattern = F.lit(PATTERNS[kind])
     matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    one = lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("value"),
-        F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"),
+    n = F.size(matches)
+    # zipped outside the lambda, so a text is split once and not for every match
+    zipped = F.arrays_zip(matches, F.slice(gaps, 1, n), F.slice(gaps, 2, n))
+    one = lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(x["1"]).alias("gap"), x["0"].alias("value"),
+        F.right(x["1"], F.lit(CONTEXT)).alias("before"), F.left(x["2"], F.lit(CONTEXT)).alias("after"),
     )
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,value:string,before:string,after:string>>")
-    return F.when(worth, F.transform(matches, one)).otherwise(none)
+    return F.when(worth, F.transform(zipped, one)).otherwise(none)
 
 
 def _valid() -> Column:

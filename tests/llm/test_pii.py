@@ -1,6 +1,7 @@
 import hashlib
 import re
 from collections import Counter
+from functools import cache
 
 from conftest import SF_SMALL
 from llm_fixture import no_documents, odd_documents, odd_texts
@@ -23,6 +24,7 @@ def valid(kind, m):
     return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.split(".")), "phone": 10 <= len(d) <= 15}[kind]
 
 
+@cache
 def brute(text):
     found = sorted((m.start(), i, k, m.end()) for i, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, text or "") if valid(k, m[0]))
     spans = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
