@@ -4,14 +4,18 @@ A labelled table names a domain for some documents. A naive Bayes classifier
 over the most informative words predicts every document's domain posteriors
 p. With t words in a document and a rate r of how often it is used, a domain's
 expected words are the sum of r * t * p. Projected-gradient least squares
-finds rates of 0 or more that bring these sums to the targets:
-
-    r <- max(0, r - p . y),   y = M^-1 (sums - targets),   M = sum of t p p'
-
-over the documents with a positive rate. That is the gradient of the squared
-error, scaled by 1/t and by the small matrix M instead of a step size. A round
-is one aggregate over the documents; what reaches the driver is the sums and
-M, whose size is the number of domains. DataFrame functions only.
+finds rates of 0 or more that bring these sums as near the targets as can be:
+
+    r <- max(0, r - p . y),   y = (sums - targets) / step
+
+p . gap is the gradient of the squared error, scaled by 1/t. The gap is that
+of the new rates, so a step of any length is stable and a few steps do. The
+gap is found by Newton's method with a line search: a round is one aggregate
+over the documents, and what reaches the driver is the sums and the matrix of
+t p p' over the positive rates, whose size is the number of domains. The steps
+end when the targets are met, or when the optimality conditions (no document's
+gradient below 0, none above 0 at a positive rate) bound the distance to the
+least-squares sums. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -29,7 +33,11 @@ LABELLED_ROWS, FEATURES = 30_000, 4_096
 # A word of the classifier tells so many nats about the domains of the labelled documents, and
 # is so many times as common in one of them: common words of a language say little, and together.
 MIN_GAIN, MIN_LIFT = 10.0, 3.0
-MAX_ROUNDS, TOLERANCE = 30, 1e-9
+# Of the largest target: the gap at which targets are met, and the bound on the distance to the least-squares sums.
+TOLERANCE, OPTIMAL = 1e-9, 1e-4
+# Of the trace of the matrix: the first step's length is 1 / STEP, every later one ten times as long, up to 1 / LAST_STEP.
+STEP, LAST_STEP = 1e-6, 1e-12
+MAX_STEPS, MAX_ROUNDS, SHORTEST = 16, 40, 1e-4
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -94,22 +102,71 @@ def posteriors(docs: DataFrame, features: DataFrame, prior: dict[str, int]) -> D
     return odds.select("doc_id", "k_id", "k_text", "n_words", *((F.col(f"o{i}") / whole).alias(f"p{i}") for i in k))
 
 
+def _dot(p: list[Column], y: np.ndarray) -> Column:
+    return reduce(lambda a, b: a + b, (x * F.lit(float(v)) for x, v in zip(p, y, strict=True)))
+
+
+def _step(at, eps: float, targets: np.ndarray, start: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """y and the new sums, with eps * y = gap of the rates max(0, r - p . y): the least of a convex function of y, whose gradient is the difference."""
+    scale, y, (value, sums, m, _) = float(np.abs(targets).max()) or 1.0, np.zeros(len(targets)), start
+    cost = lambda value, y: value + targets @ y + eps / 2 * (y @ y)
+    for _ in range(MAX_ROUNDS):
+        slope = eps * y - (sums - targets)
+        if np.linalg.norm(slope) <= max(1e-12 * scale, 1e-9 * eps * np.linalg.norm(y)):
+            break
+        newton, length, best = np.linalg.solve(m + eps * np.eye(len(y)), slope), 1.0, cost(value, y)
+        while True:
+            new = y - length * newton
+            value, sums, m, _ = at(new, new)
+            if cost(value, new) <= best - 1e-4 * length * (slope @ newton) + 1e-13 * abs(best) or length < SHORTEST:
+                break
+            length /= 2
+        still, y = np.allclose(y, new, rtol=1e-15, atol=0), new
+        if still:
+            break
+    return y, sums
+
+
 def fit_rates(soft: DataFrame, targets: np.ndarray) -> Column:
-    """The rate as a column over (n_words, p0, p1, ...); every document begins at rate 1."""
+    """The rate as a column over (n_words, p0, p1, ...); every document begins at rate 1.
+
+    No gradient holds back a document without words; its rate is at most the
+    largest of the others. Raises if the sums aren't known to be within OPTIMAL of the least-squares
+    ones after MAX_STEPS steps.
+    """
     k = range(len(targets))
-    p = [F.col(f"p{i}") for i in k]
+    p, t = [F.col(f"p{i}") for i in k], F.col("n_words")
     rate, scale = F.lit(1.0), float(np.abs(targets).max()) or 1.0
-    for _ in range(MAX_ROUNDS):
-        used = soft.withColumn("r", rate)
-        free = F.when(F.col("r") > 0, F.col("n_words")).otherwise(0)
-        got = used.agg(*(F.sum(F.col("r") * F.col("n_words") * x).alias(f"g{i}") for i, x in enumerate(p)), *(F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k)).first()
-        gap = np.array([got[f"g{i}"] or 0.0 for i in k]) - targets
+    moved = lambda rate, y: F.greatest(F.lit(0.0), rate - _dot(p, y))
+
+    def at(y: np.ndarray, along: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, tuple[float, float]]:
+        used = soft.withColumn("r", moved(rate, y))
+        free = F.when(F.col("r") > 0, t).otherwise(0)
+        got = used.agg(
+            F.sum(F.col("r") * F.col("r") * t).alias("value"), F.min(F.when(t > 0, _dot(p, along))).alias("least"), F.max(F.when(t > 0, F.col("r"))).alias("top"),
+            *(F.sum(F.col("r") * t * x).alias(f"g{i}") for i, x in enumerate(p)), *(F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k),
+        ).first()
+        return (got["value"] or 0.0) / 2, np.array([got[f"g{i}"] or 0.0 for i in k]), np.array([[got[f"m{i}_{j}"] or 0.0 for j in k] for i in k]), (got["least"] or 0.0, got["top"] or 0.0)
+
+    fitted = lambda: F.when(t > 0, rate).otherwise(F.least(rate, F.lit(float(start[3][1]))))
+    start = at(np.zeros(len(targets)), np.zeros(len(targets)))
+    size, off = float(np.trace(start[2])), float("inf")
+    if size == 0:
+        return rate  # no document has words
+    for n in range(MAX_STEPS):
+        gap = start[1] - targets
         if np.abs(gap).max() <= TOLERANCE * scale:
-            break
-        m = np.array([[got[f"m{i}_{j}"] or 0.0 for j in k] for i in k])
-        y = np.linalg.pinv(m, rcond=1e-12) @ gap
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, (x * F.lit(float(v)) for x, v in zip(p, y, strict=True))))
-    return rate
+            return fitted()
+        y, sums = _step(at, max(STEP / 10**n, LAST_STEP) * size, targets, start)
+        rate, gap = moved(rate, y), sums - targets
+        start = at(np.zeros(len(targets)), sums - targets)
+        # for sums s and the nearest reachable ones s*: |s - s*|^2 <= gap . (s - s*), and s* is a sum of t r p with no more words than the targets' length allows
+        off = float(np.sqrt(abs(start[1] @ gap) + max(0.0, -start[3][0]) * np.sqrt(len(targets)) * np.linalg.norm(targets)))
+        if off <= OPTIMAL * scale and np.linalg.norm(gap) > off:
+            return fitted()
+    if np.abs(start[1] - targets).max() <= TOLERANCE * scale or off <= OPTIMAL * scale:
+        return fitted()
+    raise RuntimeError(f"rates did not settle in {MAX_STEPS} steps: sums {start[1].tolist()}, targets {targets.tolist()}, up to {off} off the nearest")
 
 
 def _soft(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -132,8 +189,9 @@ def mixing_rates(df: DataFrame, labelled: DataFrame, weights: dict[str, float],
     to aim at (default: what the corpus has). A null or empty text has no
     words and keeps rate about 1; its posteriors are the priors. Without
     labels every domain has the same posterior. Targets that no rates of 0 or
-    more can reach are met as closely as least squares does. Repeated rows
-    get equal results; an empty table gives an empty result.
+    more can reach are met as closely as least squares does, to OPTIMAL of the
+    largest; an error says if that isn't reached. Repeated rows get equal
+    results; an empty table gives an empty result.
     """
     if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
         raise ValueError("weights must be 0 or more, and one above 0")

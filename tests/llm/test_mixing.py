@@ -50,6 +50,25 @@ def test_fit_against_plain_projected_gradient(spark):
     assert np.allclose((plain_rates(t, p, targets) * t) @ p, targets, rtol=1e-3)
 
 
+def test_unreachable_targets_are_met_as_least_squares_does(spark):
+    r = np.random.default_rng(5)
+    t, p = r.integers(1, 50, 40).astype(float), r.dirichlet([2, 2, 2], 40)
+    soft = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p, strict=True)], "n_words long, p0 double, p1 double, p2 double")
+    for targets in np.array([[500.0, 300, 0], [0, 0, 1000], [0, 900, 0]]):
+        got = np.array([x.rate for x in soft.select(mixing.fit_rates(soft, targets).alias("rate")).collect()])
+        best = (plain_rates(t, p, targets) * t) @ p
+        assert np.linalg.norm(best - targets) > 10  # not reachable
+        assert (got >= 0).all() and np.linalg.norm((got * t) @ p - best) < 1e-3 * targets.max()
+
+
+def test_rates_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    monkeypatch.setattr(mixing, "STEP", 1.0)
+    soft = spark.createDataFrame([(5, 0.5, 0.5), (7, 0.9, 0.1)], "n_words long, p0 double, p1 double")
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(soft, np.array([0.0, 100.0]))
+
+
 def test_odd_documents(spark):
     known = labels(spark, [(4, "a"), (15, "a"), (6, "b"), (6, "a"), (None, "b"), (99, "b"), (7, None), (8, "other")])
     rows = mixing.mixing_rates(odd_documents(spark), known, {"a": 1.0, "b": 3.0}).collect()
