@@ -5,7 +5,7 @@ lexical patterns: the two words before it, and the word before with the word
 after. Identifier-like tokens elsewhere are instances of the patterns around
 them. A pattern's score is the share of its distinct instances that are known;
 well supported patterns of high score make their other instances known, round
-after round. DataFrame and SQL functions only.
+after round until nothing is added. DataFrame and SQL functions only.
 
 Positions come from splitting a text at the matches: the lengths of the pieces
 between and of the matches before add up to the start. The patterns carry
@@ -40,7 +40,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]+"
 CONTEXT = 96  # characters kept on each side for the context words
 MIN_DIGITS, MIN_LENGTH = 4, 6  # of an identifier-like instance
-MIN_SUPPORT, MIN_SCORE, ROUNDS = 3, 0.5, 3
+MIN_SUPPORT, MIN_SCORE = 3, 0.5
+ROUNDS = 200  # in which nothing more must be found at last; more are an error
 
 
 def _pieces(text: Column, kind: str, worth: Column) -> Column:
@@ -124,7 +125,10 @@ def _patterns() -> Column:
 
 
 def _discover(rows: DataFrame, min_support: int, min_score: float, rounds: int) -> DataFrame:
-    """(value): instances that high-confidence patterns make known, from the pattern-instance graph."""
+    """(value): instances that high-confidence patterns make known, from the pattern-instance graph.
+
+    Raises if the known values still grow in the last of ``rounds`` rounds.
+    """
     scratch = Scratch(rows.sparkSession, "pii-graph")
     seed = F.col("kind") != "token"
     at = rows.select(F.explode(_patterns()).alias("pattern"), F.lower("value").alias("value"), seed.alias("seed"))
@@ -132,13 +136,17 @@ def _discover(rows: DataFrame, min_support: int, min_score: float, rounds: int)
     # a pattern needs instances of both sorts to discover anything, now or later
     known = scratch.save(edges.where("seed").select("value").distinct())
     open_ = edges.where("not seed").select("value").distinct().join(known, "value", "left_anti")
+    n = known.count()
     for _ in range(rounds):
         marked = edges.select("pattern", "value").join(known.withColumn("known", F.lit(1)), "value", "left")
         scores = marked.groupBy("pattern").agg(F.count("known").alias("support"), F.count(F.lit(1)).alias("n"))
         good = scores.where((F.col("support") >= min_support) & (F.col("support") >= min_score * F.col("n")))
         fresh = edges.select("pattern", "value").join(good.select("pattern"), "pattern", "left_semi").select("value").distinct()
         known = scratch.save(known.union(fresh).distinct())
-    return open_.join(known, "value", "left_semi")
+        before, n = n, known.count()
+        if n == before:
+            return open_.join(known, "value", "left_semi")
+    raise RuntimeError(f"patterns still found new values in round {rounds}")
 
 
 def _joined(spans: DataFrame, where: Column, name: str) -> Column:

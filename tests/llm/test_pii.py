@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from functools import cache
 
+import pytest
 from conftest import SF_SMALL
 from llm_fixture import no_documents, odd_documents, odd_texts
 from possum.llm import pii
@@ -66,6 +67,18 @@ def test_patterns_discover_what_base_rules_miss(spark):
     assert got[300] == f"{pii.FOUND}:6:16"  # a known value, wherever it stands
 
 
+def test_rounds_go_on_until_nothing_is_found(spark):
+    names = ("ant", "bee", "cat", "dog", "elk")
+    ident = lambda c, i: f"{c}-77{i}31-X"
+    rows = [f"x here ant mail user{i}@x.org" for i in range(3)] + [f"x here ant mail {ident('ant', i)}" for i in range(3)]
+    rows += [f"x here {b} mail {ident(c, i)}" for a, b in zip(names, names[1:], strict=False) for c in (a, b) for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = pii.find_personal_data(df).collect()
+    assert sum(r.n_context for r in got) == 3 + 6 * 4  # every mention of all 15 identifiers
+    with pytest.raises(RuntimeError):
+        pii.find_personal_data(df, rounds=3)
+
+
 def test_redaction(spark):
     df = odd_documents(spark)
     out = pii.redact(df, count_col="n_chars")
