@@ -8,7 +8,9 @@ well supported patterns of high score make their other instances known, round
 after round until nothing is added. DataFrame and SQL functions only.
 
 Positions come from splitting a text at the matches: the lengths of the pieces
-between and of the matches before add up to the start. The patterns carry
+between and of the matches before add up to the start, and their blanks to the
+place of the match among the words of the text, where its context is read: the
+whole words before and after, for seeds and tokens alike. The patterns carry
 lookbehinds and possessive repeats that leave the matches as they are and keep
 the matching linear on long runs.
 """
@@ -36,26 +38,27 @@ PATTERNS = {
     "token": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]+"
-CONTEXT = 96  # characters kept on each side for the context words
 MIN_DIGITS, MIN_LENGTH = 4, 6  # of an identifier-like instance
 MIN_SUPPORT, MIN_SCORE = 3, 0.5
 ROUNDS = 200  # in which nothing more must be found at last; more are an error
 
 
+def _breaks(piece: Column) -> Column:
+    return F.size(F.split(piece, _SPACE, -1)) - 1
+
+
 def _pieces(text: Column, kind: str, worth: Column) -> Column:
-    """Array of (kind, gap, match, before, after) for the matches of a kind; nulls none."""
+    """Array of (kind, i, gap, breaks, value) for the matches of a kind; nulls none."""
     pattern = F.lit(PATTERNS[kind])
     matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
     n = F.size(matches)
     # zipped outside the lambda, so a text is split once and not for every match
-    zipped = F.arrays_zip(matches, F.slice(gaps, 1, n), F.slice(gaps, 2, n))
+    zipped = F.arrays_zip(matches, F.slice(gaps, 1, n))
     one = lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(x["1"]).alias("gap"), x["0"].alias("value"),
-        F.right(x["1"], F.lit(CONTEXT)).alias("before"), F.left(x["2"], F.lit(CONTEXT)).alias("after"),
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(x["1"]).alias("gap"), _breaks(x["1"]).alias("breaks"), x["0"].alias("value"),
     )
-    none = F.array().cast("array<struct<kind:string,i:int,gap:int,value:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<kind:string,i:int,gap:int,breaks:int,value:string>>")
     return F.when(worth, F.transform(zipped, one)).otherwise(none)
 
 
@@ -83,7 +86,7 @@ KEY = ["k_id", "k_text"]
 
 
 def _spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, keys), and the rows (keys, kind, start, end, value, before, after) of valid matches and free tokens."""
+    """All documents (doc_id, keys), and the rows (keys, kind, start, end, value, two, one, following) of valid matches and free tokens."""
     scratch = Scratch(df.sparkSession, "pii")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *doc_key(F.col(id_col), F.col(text_col)))
     text = F.col("text")
@@ -96,7 +99,10 @@ def _spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     rows = found.where("size(found) > 0").select(*KEY, "found").dropDuplicates(KEY).select(*KEY, F.inline("found"))
     so_far = Window.partitionBy(*KEY, "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("value")).over(so_far)
+    # a match begins and ends with a character of a word, so no break spans two pieces
+    last = F.sum(F.col("breaks") + _breaks(F.col("value"))).over(so_far)
     rows = rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("value"))
+    rows = rows.withColumn("last", last.cast("int")).withColumn("first", F.col("last") - _breaks(F.col("value")))
     # an instance is a token without the punctuation around it
     lead, tail = (F.length(F.regexp_extract("value", p, 0)) for p in (r"^[^\p{L}\p{N}]*", r"[^\p{L}\p{N}]*$"))
     cut = lambda n: F.when(F.col("kind") == "token", n).otherwise(0)
@@ -110,16 +116,30 @@ def _spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     next_ = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(F.col("reach"), F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("next"), F.lit(2**62)) >= F.col("end"))
     rows = rows.withColumn("reach", reach).withColumn("next", next_).where(base | free)
-    return found.select("doc_id", *KEY), scratch.save(rows.select(*KEY, "kind", "start", "end", "value", "before", "after"))
+    return found.select("doc_id", *KEY), scratch.save(_contexts(rows, docs))
+
+
+def _contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(keys, kind, start, end, value, two, one, following): with the second and the first word before, and the word after; null or empty at the ends of a text."""
+    by_doc = rows.groupBy(*KEY).agg(F.collect_list(F.struct("kind", "start", "end", "value", "first", "last")).alias("found"))
+    texts = docs.select(*KEY, "text").dropDuplicates(KEY)
+    # a lambda's variable holds the words, so a text is split once and not for every match
+    word = lambda words, i: F.when(i >= 0, F.get(words, i))
+    near = lambda words: F.transform(
+        F.col("found"),
+        lambda x: F.struct(
+            *(x[c].alias(c) for c in ("kind", "start", "end", "value")),
+            word(words, x["first"] - 2).alias("two"), word(words, x["first"] - 1).alias("one"), word(words, x["last"] + 1).alias("following"),
+        ),
+    )
+    words = F.array(F.split("text", _SPACE, -1))
+    return by_doc.join(texts, KEY).select(*KEY, F.inline(F.flatten(F.transform(words, near))))
 
 
 def _patterns() -> Column:
     """Lexical patterns around a match; only contexts with the words they need."""
-    before, after = F.lower("before"), F.lower("after")
-    two = F.regexp_extract(before, f"({_WORD}){_SPACE}({_WORD}){_SPACE}$", 0)
-    one = F.regexp_extract(before, f"({_WORD}){_SPACE}$", 1)
-    following = F.regexp_extract(after, f"^{_SPACE}({_WORD})", 1)
-    left = F.when(two != "", F.concat(F.lit("l:"), F.regexp_replace(F.trim(two), _SPACE, " ")))
+    two, one, following = (F.lower(c) for c in ("two", "one", "following"))
+    left = F.when((two != "") & (one != ""), F.concat(F.lit("l:"), two, F.lit(" "), one))
     around = F.when((one != "") & (following != ""), F.concat(F.lit("a:"), one, F.lit(" _ "), following))
     return F.array_compact(F.array(left, around))
 

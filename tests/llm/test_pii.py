@@ -67,6 +67,20 @@ def test_patterns_discover_what_base_rules_miss(spark):
     assert got[300] == f"{pii.FOUND}:6:16"  # a known value, wherever it stands
 
 
+def test_contexts_are_the_words_of_the_text(spark):
+    rows = [(i, f"note office 12 mail user{i}@x.org") for i in range(8)] + [(100 + i, f"note office 12 mail UK-77{i}31-X") for i in range(3)]
+    # seeds in a list of one, in a word, behind a long word and at the ends of a text
+    rows += [(200, " \t 10.0.0.1 10.0.0.2,10.0.0.3  b7 (a@b.c) 4111 1111 1111 1111 z"), (201, f"q {'x' * 200} c@d.e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_context for r in pii.find_personal_data(df).collect()}
+    assert got == {i: int(100 <= i < 103) for i, _ in rows}
+    near = {(r.value, r.kind): (r.two or "", r.one or "", r.following or "") for r in pii._spans(df.where("doc_id >= 200"), "doc_id", "text")[1].collect()}
+    assert near == {
+        ("10.0.0.1", "ip"): ("", "", "10.0.0.2,10.0.0.3"), ("10.0.0.2", "ip"): ("", "10.0.0.1", "b7"), ("10.0.0.3", "ip"): ("", "10.0.0.1", "b7"),
+        ("4111 1111 1111 1111", "card"): ("b7", "(a@b.c)", "z"), ("a@b.c", "email"): ("10.0.0.2,10.0.0.3", "b7", "4111"), ("c@d.e", "email"): ("q", "x" * 200, ""),
+    }
+
+
 def test_rounds_go_on_until_nothing_is_found(spark):
     names = ("ant", "bee", "cat", "dog", "elk")
     ident = lambda c, i: f"{c}-77{i}31-X"
