@@ -1,4 +1,4 @@
-"""Suffix-array dedup: repeated byte strings from merged Burrows-Wheeler orders.
+"""Suffix-array dedup: repeated byte strings from a parse, hash counts and a radix sort.
 
 Which 200-byte strings start twice in the corpus? All suffixes of all texts
 would have to be ordered; only a few of them decide.
@@ -11,13 +11,12 @@ would have to be ordered; only a few of them decide.
 2. Blocks that occur twice as a whole are settled by one count of the parse
    symbols; blocks of a gram that occurs once are settled as well.
 3. The windows of the blocks left are strings around a 100-byte core. The
-   rows of a core come from many map tasks, the shards. Their suffixes from
-   the core's end on, and their reversed prefixes from its start on, are
-   brought into one Burrows-Wheeler order by refining the interleave of the
-   shards symbol by symbol: a round splits the intervals that still hold
-   several rows by their next byte and leaves all others alone, and the round
-   in which two neighbours part is their common prefix. No suffix is sorted
-   anew. Intervals of at least ``l`` bytes on the left and ``100 - l`` on the
+   rows of a core meet in one task. Their suffixes from the core's end on, and
+   their reversed prefixes from its start on, are radix sorted from the first
+   byte: a round splits the intervals that still hold several rows by their
+   next byte and leaves all others alone, and the round in which two
+   neighbours part is their common prefix. No shard has a Burrows-Wheeler
+   transform or an order of its own. Intervals of at least ``l`` bytes on the left and ``100 - l`` on the
    right give the repeated windows, byte for byte.
 
 A core with very many rows is spread over tasks as single windows instead.
