@@ -1,0 +1,67 @@
+"""The entry point with the training-data operators hidden or deleted."""
+
+import os
+import shutil
+import subprocess
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+LIST = """
+import sys
+sys.path.insert(0, {root!r})
+{before}
+import __spark_entry__ as E
+from possum import oracle, registry
+assert set(E.queries()) == set(registry.QUERIES), set(E.queries()) ^ set(registry.QUERIES)
+assert set(E.oracle_sql()) == set(oracle.SQL)
+"""
+
+HIDE = """
+import importlib.abc
+
+class Hide(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name == "possum.llm" or name.startswith("possum.llm."):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+sys.meta_path.insert(0, Hide())
+"""
+
+
+def run(code: str) -> None:
+    done = subprocess.run([sys.executable, "-B", "-c", code], capture_output=True, text=True, cwd="/", timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
+def copy(tmp_path) -> str:
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
+    shutil.copytree(f"{ROOT}/possum", tmp_path / "possum", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    return str(tmp_path)
+
+
+def test_package_hidden():
+    run(LIST.format(root=ROOT, before=HIDE))
+
+
+def test_package_deleted_with_and_without_the_pipeline(tmp_path):
+    root = copy(tmp_path)
+    run(LIST.format(root=root, before=""))
+    (tmp_path / "possum" / "llm" / "__pycache__").mkdir(parents=True)  # a folder that holds no module
+    run(LIST.format(root=root, before=""))
+    if os.path.exists(f"{root}/corpus_pipeline.py"):
+        os.remove(f"{root}/corpus_pipeline.py")
+        run(LIST.format(root=root, before=""))
+
+
+def test_other_import_errors_are_raised(tmp_path):
+    root = copy(tmp_path)
+    (tmp_path / "possum" / "llm").mkdir()
+    (tmp_path / "possum" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "possum" / "llm" / "queries.py").write_text("import no_such_module\n")
+    with pytest.raises(AssertionError, match="no_such_module"):
+        run(LIST.format(root=root, before=""))
