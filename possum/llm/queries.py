@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from possum.llm import chat, mixing, pii, quality, sharding, simhash, suffix, urls, vectors, wfst
+from possum.llm import chat, clusters, lexical, mixing, pii, quality, sharding, simhash, suffix, topk, urls, vectors, wfst
 from possum.llm.common import table
 
 URL_RULES = [
@@ -73,6 +73,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other embeddings for every 50th vec_id."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after three rounds."""
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), 16, 3)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffix": op2_suffix,
@@ -84,4 +99,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_vectors": op9_vectors,
     "op10_urls": op10_urls,
+    "op11_lexical": op11_lexical,
+    "op12_topk": op12_topk,
+    "op13_clusters": op13_clusters,
 }

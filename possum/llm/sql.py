@@ -94,10 +94,67 @@ m AS (SELECT r, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY r ORD
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN m ON h.r = m.r AND m.k = 1
 """
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{_UPPER}', '{_UPPER.lower()}'), '{_TERMS}')"
+
+
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("coalesce(text, '')")} AS terms FROM documents),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (
+  SELECT row_number() OVER () AS q, item_id, unnest({_terms_sql("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, size),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM held JOIN w USING (term) JOIN asked USING (term), size GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+_USABLE = "e IS NOT NULL AND list_count(e) = len(e) AND list_bool_and(list_transform(e, lambda x: isfinite(x)))"
+
+_OP12 = f"""
+WITH v AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def _clusters_sql(rounds: int, k: int = 16) -> str:
+    """Assignment and update written out round by round; every row of ``c<i>`` is a centroid after i rounds."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda x: CAST(floor(64 * x) AS BIGINT)) AS v
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) WHERE len(e) = 64 AND {_USABLE}),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster, v FROM v QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT r, vec_id, v, near.cluster AS cluster, near.distance AS distance FROM (
+  SELECT v.r, any_value(v.vec_id) AS vec_id, any_value(v.v) AS v, min({{'distance': CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'cluster': c.cluster}}) AS near
+  FROM v, c{i} AS c GROUP BY v.r))""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v FROM (
+    SELECT cluster, place, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY cluster, place)
+  GROUP BY cluster) AS m USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c USING (cluster)
+"""
+
+
 SQL = {
     "op2_suffix": _OP2,
     "op3_chat": _OP3,
     "op6_sharding": _OP6,
     "op9_vectors": _OP9,
     "op10_urls": _OP10,
+    "op11_lexical": _OP11,
+    "op12_topk": _OP12,
+    "op13_clusters": _clusters_sql(3),
 }
