@@ -203,18 +203,18 @@ WHERE len(list_filter(Orders, lambda o: o.OrderTotal > {TOTAL_OVER}
           OR len(list_filter(o.Items, lambda i: i.Quantity > {QUANTITY_OVER})) > 0)) > 0""")
 
 
-def sales_ctes(with_month: bool) -> tuple[str, ...]:
+def sales_ctes(with_month: bool, orderline: str = "pos_orderline", product: str = "pos_product") -> tuple[str, ...]:
     month = "CAST(month(o.datePlaced) AS INTEGER) AS OrderMonth," if with_month else ""
     mkey = "zl.OrderMonth," if with_month else ""
     qty = "zl.quantity" if with_month else "COALESCE(zl.quantity, 0)"
     return (
         f"""zl AS (SELECT c.zip, {month} ol.product_id, ol.quantity
-                  FROM pos_orderline ol JOIN pos_order o ON o.id = ol.order_id
+                  FROM {orderline} ol JOIN pos_order o ON o.id = ol.order_id
                        JOIN pos_customer c ON c.id = o.customer_id)""",
         f"""facts AS (SELECT zl.zip, {mkey} p.id AS ProductID, p.name AS ProductName,
                             CAST(SUM({qty}) AS BIGINT) AS TotalPurchases,
                             CAST(ROUND(SUM({qty} * p.currentPrice), 2) AS DECIMAL(18,2)) AS TotalSales
-                     FROM zl JOIN pos_product p ON p.id = zl.product_id
+                     FROM zl JOIN {product} p ON p.id = zl.product_id
                      GROUP BY zl.zip, {mkey} p.id, p.name)""",
     )
 
@@ -403,7 +403,68 @@ VIEW_INSERT_DEMO = "SELECT * FROM (" + product_buyers_sql(
     orderline="ol_demo") + ") WHERE productID = 3"
 
 
+CSV_LINE_BREAKS = with_pos(body="""
+SELECT id, address1 || chr(10) || chr(10) || 'floor ' || CAST(id % 9 AS VARCHAR) || ', "rear"' || chr(10) AS address1, zip, 'good' AS kind
+FROM pos_customer""")
+
+BUYER_PAIRS = with_pos(body="""
+SELECT DISTINCT ol.product_id, o.customer_id FROM pos_lines ol JOIN pos_order o ON o.id = ol.order_id""")
+
+ORDER_TOTALS = with_pos(body="""
+SELECT ol.order_id, any_value(o.customer_id) AS customer_id, CAST(ROUND(SUM(p.currentPrice * ol.quantity), 2) AS DOUBLE) AS OrderTotal,
+       max(ol.quantity) AS most
+FROM pos_orderline ol JOIN pos_product p ON p.id = ol.product_id JOIN pos_order o ON o.id = ol.order_id
+GROUP BY ol.order_id""")
+
+ZIP_FACTS = with_pos(*sales_ctes(False), body="SELECT * REPLACE (CAST(TotalSales AS DOUBLE) AS TotalSales) FROM facts")
+ZIP_MONTH_FACTS = with_pos(*sales_ctes(True), body="SELECT * REPLACE (CAST(TotalSales AS DOUBLE) AS TotalSales) FROM facts")
+
+PRICE_LOG = f"""plog AS (
+  SELECT {SEQ} AS seq, p_partkey AS id, CAST(l_shipdate AS DATE) AS day,
+         TRY_CAST(ROUND(TRY_CAST(p_retailprice AS DECIMAL(6,2)) * (1 - TRY_CAST(l_discount AS DECIMAL(3,2))), 2)
+                  AS DECIMAL(6,2)) AS price
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+ORDER_TOTALS_AS_OF = with_pos(PRICE_LOG, """daily AS (
+  SELECT id, day, arg_max(price, {'s': seq, 'p': price}) AS price FROM plog WHERE price IS NOT NULL GROUP BY id, day)""", """priced AS (
+  SELECT l.order_id, l.customer_id, l.quantity * COALESCE(d.price, p.currentPrice) AS amount
+  FROM (SELECT ol.*, o.customer_id, o.datePlaced FROM pos_orderline ol JOIN pos_order o ON o.id = ol.order_id) l
+       JOIN pos_product p ON p.id = l.product_id
+       ASOF LEFT JOIN daily d ON d.id = l.product_id AND l.datePlaced >= d.day)""", body="""
+SELECT order_id, any_value(customer_id) AS customer_id, CAST(ROUND(SUM(amount), 2) AS DOUBLE) AS OrderTotal
+FROM priced GROUP BY order_id""")
+
+LAST_PRICES = """new_product AS (
+  SELECT p.id, p.name, COALESCE(l.price, p.currentPrice) AS currentPrice
+  FROM pos_product p LEFT JOIN (SELECT id, arg_max(price, {'s': seq, 'p': price}) AS price FROM plog GROUP BY id) l ON l.id = p.id)"""
+
+
+def facts_after_sql(with_month: bool) -> str:
+    return with_pos(*CHANGE_CTES, PRICE_LOG, LAST_PRICES, *sales_ctes(with_month, "ol_final", "new_product"),
+                    body="SELECT * REPLACE (CAST(TotalSales AS DOUBLE) AS TotalSales) FROM facts")
+
+
+FK_VIOLATIONS_AFTER_LOG = with_pos(
+    *(c.replace("l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity",
+                "CASE WHEN l_partkey % 37 = 5 THEN -l_partkey ELSE l_partkey END AS product_id, CAST(l_quantity AS INTEGER) AS quantity")
+      for c in CHANGE_CTES),
+    """new_product AS (SELECT id FROM pos_product WHERE id % 40 <> 1 UNION ALL SELECT -id FROM pos_product WHERE id % 74 = 5)""",
+    body=_fk("orderline.product_id", "ol_final", ["product_id"], "new_product", ["id"]))
+
+
 SQL: dict[str, str] = {
+    "csv_one_file": CSV_ORDER_LINES,
+    "csv_line_breaks": CSV_LINE_BREAKS,
+    "buyer_pairs": BUYER_PAIRS,
+    "order_totals": ORDER_TOTALS,
+    "order_totals_as_of": ORDER_TOTALS_AS_OF,
+    "zip_facts": ZIP_FACTS,
+    "zip_month_facts": ZIP_MONTH_FACTS,
+    "buyers_by_counts": BUYERS_REFRESH,
+    "price_history_stream": PRICE_HISTORY_CHANGES,
+    "zip_facts_after_log": facts_after_sql(False),
+    "zip_month_facts_after_log": facts_after_sql(True),
+    "fk_violations_after_log": FK_VIOLATIONS_AFTER_LOG,
     "product_buyers": PRODUCT_BUYERS,
     "product_buyers_sql": product_buyers_sql(),
     "order_lines": ORDER_LINES,

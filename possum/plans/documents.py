@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from possum import fixed
 from possum.functions.cleaning import full_name, printed_address1, printed_address2, round_money
+from possum.operators.asof import as_of
 from possum.operators.collect import collect_arrays
 from possum.plans.views import buyer_pairs
 
@@ -76,6 +77,33 @@ def order_totals(order: DataFrame, orderline: DataFrame, product: DataFrame) ->
         "order_id", "customer_id", round_money(F.col("amount")).alias("OrderTotal"), "most")
 
 
+PRICE_DAYS = 64  # days of one range of the price lookup
+
+
+def order_totals_as_of(order: DataFrame, orderline: DataFrame, product: DataFrame, price_log: DataFrame,
+                       days: int = PRICE_DAYS) -> DataFrame:
+    """AG4 at the price of purchase: (order_id, customer_id, OrderTotal).
+
+    A line counts at its product's last logged price on or before the order's
+    date, by ``seq`` within a day, ties by price. Before the first logged
+    price, and for an order without a date, it is the price of ``product``, the
+    table before the log. A logged null is no price. Orders without lines and
+    lines without a product are absent, as in ``order_totals``.
+
+    ``price_log``: (seq, id, currentPrice, ts). The lookup sees each
+    (product, day) once, in ranges of ``days``."""
+    day = F.unix_date(F.col("ts").cast("date")).cast("long")
+    last = F.max_by("currentPrice", F.struct("seq", "currentPrice")).alias("price")
+    daily = price_log.where("currentPrice is not null").groupBy(F.col("id").alias("product_id"), day.alias("day")).agg(last)
+    o = order.select(F.col("id").alias("order_id"), "customer_id", F.unix_date("datePlaced").cast("long").alias("day"))
+    lines = orderline.select("order_id", "product_id", "quantity").join(o, "order_id")
+    prices = as_of(lines, daily, ["product_id"], "day", "price", days)
+    base = product.select(F.col("id").alias("product_id"), "currentPrice")
+    amount = F.coalesce("price", "currentPrice") * F.col("quantity")
+    priced = lines.join(prices, ["product_id", "day"], "left").join(base, "product_id").withColumn("amount", amount)
+    return priced.groupBy("order_id").agg(F.min("customer_id").alias("customer_id"), round_money(F.sum("amount")).alias("OrderTotal"))
+
+
 def order_documents(order: DataFrame, orderline: DataFrame, product: DataFrame) -> DataFrame:
     """One element per order: customer_id, OrderID and the Orders element
     struct. Orders without lines are absent (inner joins)."""

@@ -37,17 +37,18 @@ TABLES = ("customer", "city", "order", "orderline", "product", "price_history")
 
 
 def run_etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str = "\\",
-            as_of: dt.datetime | None = None) -> dict[str, int]:
+            as_of: dt.datetime | None = None, line_breaks: str = "split") -> dict[str, int]:
     """CSV extracts -> typed tables. Returns the number of rejects per extract."""
-    raw = {k: csv_source.read_extract(spark, f"{extract_dir}/{k}.csv", k, escape=escape) for k in schemas.RAW}
+    # each run stages into a folder of its own: nothing of an earlier run is read
+    stage = f"{out_dir}/_stage/{uuid.uuid4().hex}"
+    raw = {k: csv_source.read_extract(spark, f"{extract_dir}/{k}.csv", k, escape=escape, line_breaks=line_breaks,
+                                      stage=f"{stage}/records/{k}") for k in schemas.RAW}
     cleaned = {
         "customer": etl.clean_customers(raw["customers"], with_city=True),
         "order": etl.clean_orders(raw["orders"]),
         "product": etl.clean_products(raw["products"]),
         "orderline_units": etl.clean_orderline_units(raw["orderlines"]),
     }
-    # each run stages into a folder of its own: nothing of an earlier run is read
-    stage = f"{out_dir}/_stage/{uuid.uuid4().hex}"
     good, rejects = {}, {}
     for name, df in cleaned.items():
         df.write.parquet(f"{stage}/{name}")
@@ -67,6 +68,7 @@ def run_etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str = "
     t = read_tables(spark, out_dir)
     sinks.publish(spark, views.product_buyers(t.product, t.customer, t.order, t.orderline), f"{out_dir}/mv_ProductBuyers")
     sinks.publish(spark, check_tables(t), f"{out_dir}/_violations")
+    sinks.remove(spark, stage)
     return rejects
 
 
@@ -187,13 +189,15 @@ def materialize_view(spark: SparkSession, table_dir: str, out_dir: str) -> None:
 
 
 def main(argv: list[str] | None = None) -> None:
-    from possum.session import local_session
+    from possum.session import job_session
 
     ap = argparse.ArgumentParser(prog="possum.plans.jobs")
     sub = ap.add_subparsers(dest="job", required=True)
     e = sub.add_parser("etl")
     e.add_argument("extract_dir")
     e.add_argument("out_dir")
+    e.add_argument("--line-breaks", choices=csv_source.LINE_BREAKS, default="split",
+                   help="quoted line breaks: found over the splits of a file (default), none in the files, or one task a file")
     x = sub.add_parser("export")
     x.add_argument("table_dir")
     x.add_argument("out_root")
@@ -219,9 +223,9 @@ def main(argv: list[str] | None = None) -> None:
     mv.add_argument("table_dir")
     mv.add_argument("out_dir")
     args = ap.parse_args(argv)
-    spark = SparkSession.getActiveSession() or local_session()
+    spark = job_session()
     if args.job == "etl":
-        print(run_etl(spark, args.extract_dir, args.out_dir))
+        print(run_etl(spark, args.extract_dir, args.out_dir, line_breaks=args.line_breaks))
     elif args.job == "export":
         print(run_export(spark, args.table_dir, args.out_root))
     elif args.job == "check":

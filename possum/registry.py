@@ -21,7 +21,7 @@ from possum import schemas
 from possum.operators import checks
 from possum.plans import changes
 from possum.plans import documents as D
-from possum.plans import etl, reports, views
+from possum.plans import differences, etl, reports, views
 from possum.session import ensure_checkpoint_dir
 from possum.sources import csv as csv_source
 from possum.sources import testdata as td
@@ -128,10 +128,11 @@ def price_history_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, raw: DataFrame, kind: str) -> DataFrame:
-    """Write a raw extract as CSV into the shared checkpoint folder, read it back."""
+    """Write a raw extract as CSV into the shared checkpoint folder, read it back.
+    These fields hold no line breaks, so Spark's reader splits the files itself."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/{uuid.uuid4().hex}/{kind}"
     csv_source.write_extract(raw, path)
-    return csv_source.read_extract(spark, path, kind)
+    return csv_source.read_extract(spark, path, kind, line_breaks="none")
 
 
 def csv_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +160,7 @@ def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(",", *[cells.get(c, F.col(c)) for c in raw.columns])
     line = F.when(fault == 1, F.concat_ws(",", "id", "firstName")).when(fault == 2, F.concat(line, F.lit(",one more"))).otherwise(line)
     raw.select(line.alias("value")).write.text(path)
-    cleaned = etl.clean_customers(csv_source.read_extract(spark, path, "customers", header=False))
+    cleaned = etl.clean_customers(csv_source.read_extract(spark, path, "customers", header=False, line_breaks="none"))
     reason = F.coalesce("_reject", F.when(F.col("email").isNull(), F.lit("no email")))
     return cleaned.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,6 +180,30 @@ def csv_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.order_lines_from_units(good.drop("units")).select("order_id", "product_id", "quantity")
 
 
+def csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4 from a single file: one task writes the extract, as a server's export
+    would, and many read it."""
+    li = td.read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_partkey").cast("string").alias("product_id"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/{uuid.uuid4().hex}/orderlines"
+    csv_source.write_extract(li.coalesce(1), path)
+    good, _ = etl.split_rejects(etl.clean_orderline_units(csv_source.read_extract(spark, path, "orderlines")))
+    return etl.order_lines_from_units(good.drop("units")).select("order_id", "product_id", "quantity")
+
+
+def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, SRC5: one customer file whose quoted addresses hold line breaks,
+    separators and escaped quotes, read over its splits."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/{uuid.uuid4().hex}/customers"
+    raw = td.raw_customers(spark, sf_dir).fillna("")
+    floor = F.concat(F.lit("\n\nfloor "), (F.col("id").cast("long") % 9).cast("string"), F.lit(', \\"rear\\"\n"'))
+    address = F.concat(F.expr("substring(address1, 1, length(address1) - 1)"), floor)
+    line = F.concat_ws(",", *[address if c == "address1" else F.col(c) for c in raw.columns])
+    raw.select(line.alias("value")).coalesce(1).write.text(path)
+    good, bad = etl.split_rejects(etl.clean_customers(csv_source.read_extract(spark, path, "customers", header=False)))
+    return good.select("id", "address1", "zip", F.lit("good").alias("kind")).unionByName(bad.select("id", "address1", "zip", F.lit("bad").alias("kind")))
+
+
 # --- documents (QRY2-QRY5) ------------------------------------------------------------
 
 def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +236,37 @@ def state_month_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_documents(docs, D.DOC_FIELDS["custom2"], ["OrderMonth", "State"])
 
 
+# --- the flat facts under the documents: the form for keys too large for one row -------------
+
+def buyer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN1, AG14: who bought what, one row a pair (flat QRY1 and QRY2)."""
+    return views.buyer_pairs(_sold_pairs(spark, sf_dir), td.order(spark, sf_dir))
+
+
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG4: every order's total and largest quantity (flat QRY3)."""
+    t = td.pos_tables(spark, sf_dir)
+    return _iso(D.order_totals(t.order, t.orderline, t.product))
+
+
+def zip_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG5: purchases and sales by zip and product (flat QRY4)."""
+    t = td.pos_tables(spark, sf_dir)
+    return _iso(D.zip_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product))
+
+
+def zip_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG6: purchases and sales by zip, month and product (flat QRY5)."""
+    t = td.pos_tables(spark, sf_dir)
+    return _iso(D.zip_month_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product))
+
+
+def order_totals_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG4 at the price of purchase: each line at its product's price on the order's date."""
+    t = td.pos_tables(spark, sf_dir)
+    return _iso(D.order_totals_as_of(t.order, _line_quantities(spark, sf_dir), t.product, td.price_log(spark, sf_dir)))
+
+
 # One week of order lines: most products have no buyer and most customers no
 # order then, the outer sides of QRY1 and QRY3 (JN2, JN4, AG15, F13, F19, Q4).
 WEEK = ("1998-06-01", "1998-06-08")
@@ -414,6 +470,58 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_maintainer(spark, sf_dir).view()
 
 
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-line log with row images, as a change feed of the source carries them."""
+    return differences.with_images(td.orderline_base(spark, sf_dir), td.orderline_log(spark, sf_dir), ORDERLINE_KEY, ["quantity"], ["quantity"], PRICE_BUCKET)
+
+
+def buyers_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG1, CHG2: the view kept from counts per (product, customer) while the feed is drained as a stream."""
+    from possum.streaming.counts import BuyerCounts
+    from possum.streaming.refresh import write_log
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/counts/{uuid.uuid4().hex}"
+    m = BuyerCounts(spark, root, lambda: td.pos_tables(spark, sf_dir))
+    m.bootstrap(td.orderline_base(spark, sf_dir))
+    write_log(_feed(spark, sf_dir), f"{root}/log")
+    m.start(f"{root}/log").awaitTermination()
+    return m.view()
+
+
+def price_history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG3 as a stream: the price log in two parts, the later half first, late changes repaired."""
+    from possum.streaming.prices import PriceHistoryStream
+    from possum.streaming.refresh import write_log
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prices/{uuid.uuid4().hex}"
+    m = PriceHistoryStream(spark, root, td.product(spark, sf_dir), PRICE_BUCKET)
+    log = td.price_log(spark, sf_dir)
+    # every second order's changes come late
+    for part in (F.col("seq") % 200 < 100, F.col("seq") % 200 >= 100):
+        write_log(log.where(part), f"{root}/in")
+        m.start(f"{root}/in").awaitTermination()
+    return _iso(m.history())
+
+
+def _facts_after_log(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    t = td.pos_tables(spark, sf_dir)
+    state = differences.fact_state(t.customer, t.order, td.orderline_base(spark, sf_dir), t.product, keys)
+    after = changes.apply_changes(t.product, td.price_log(spark, sf_dir).drop("ts"), ["id"], tie_cols=["currentPrice"])
+    prices = differences.price_differences(t.product, after)
+    lines = differences.line_differences(_feed(spark, sf_dir))
+    return _iso(differences.facts_of(differences.facts_after(state, lines, prices, t.order, t.customer, keys), after, keys))
+
+
+def zip_facts_after_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG5 kept by differences: the facts before the order-line and price logs, plus what the logs change."""
+    return _facts_after_log(spark, sf_dir, differences.FACT_KEYS)
+
+
+def zip_month_facts_after_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG6 kept by differences."""
+    return _facts_after_log(spark, sf_dir, differences.MONTH_FACT_KEYS)
+
+
 # --- the reference's demonstration statements (CHK4) -----------------------------------------
 
 DEMO_PRODUCT = 3
@@ -497,6 +605,24 @@ def fk_violations_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.fk_violations(broken, ["product_id"], t.product, ["id"], "orderline.product_id"))
 
 
+def fk_violations_after_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK2 under changes: order lines by their log, of which some name a product
+    that isn't there; products of which some go and some of the missing come."""
+    base, product = td.orderline_base(spark, sf_dir), td.product(spark, sf_dir)
+    lost = F.col("product_id") % 37 == 5
+    log = td.orderline_log(spark, sf_dir).withColumn("product_id", F.when(lost, -F.col("product_id")).otherwise(F.col("product_id")))
+    cols = ["product_id"]
+    feed = differences.with_images(base, log, ORDERLINE_KEY, ["quantity"], ["quantity"], PRICE_BUCKET)
+    children = differences.line_differences(feed).groupBy(*cols).agg(F.sum("lines").alias("n")).where("n <> 0")
+    gone = product.where("id % 40 = 1").select(F.col("id").alias("product_id"), F.lit(-1).cast("long").alias("n"))
+    come = product.where("id % 74 = 5").select((-F.col("id")).alias("product_id"), F.lit(1).cast("long").alias("n"))
+    counts = differences.key_counts(base, cols)
+    parents = differences.key_counts(product.select(F.col("id").alias("product_id")), cols)
+    before = differences.missing_parents(counts, parents, cols)
+    found = differences.fk_violations_after(before, counts, parents, children, gone.unionByName(come), cols)
+    return found.select(F.lit("orderline.product_id").alias("constraint"), F.col("product_id").cast("string").alias("key"), "n")
+
+
 def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q16: text longer than its declared VARCHAR size (reported, not cut)."""
     t = td.pos_tables(spark, sf_dir)
@@ -533,11 +659,18 @@ QUERIES: dict[str, Query] = {
     "product_buyers_week": product_buyers_week,
     "cust_docs_week": cust_docs_week,
     "csv_order_lines": csv_order_lines,
+    "csv_one_file": csv_one_file,
+    "csv_line_breaks": csv_line_breaks,
     "price_history_initial": price_history_initial,
     "prod_docs": prod_docs,
     "cust_docs": cust_docs,
     "zip_popularity": zip_popularity,
     "state_month_popularity": state_month_popularity,
+    "buyer_pairs": buyer_pairs,
+    "order_totals": order_totals,
+    "order_totals_as_of": order_totals_as_of,
+    "zip_facts": zip_facts,
+    "zip_month_facts": zip_month_facts,
     "customers_in_state": customers_in_state,
     "vip_customers": vip_customers,
     "product_recall": product_recall,
@@ -554,12 +687,17 @@ QUERIES: dict[str, Query] = {
     "published_state_month_products": published_state_month_products,
     "apply_changes": apply_changes,
     "price_history_changes": price_history_changes,
+    "price_history_stream": price_history_stream,
     "buyers_refresh": buyers_refresh,
     "stream_refresh": stream_refresh,
+    "buyers_by_counts": buyers_by_counts,
+    "zip_facts_after_log": zip_facts_after_log,
+    "zip_month_facts_after_log": zip_month_facts_after_log,
     "stream_product_replica": stream_product_replica,
     "pk_violations": pk_violations,
     "fk_violations": fk_violations,
     "fk_violations_injected": fk_violations_injected,
+    "fk_violations_after_log": fk_violations_after_log,
     "table_diff": table_diff,
     "length_violations": length_violations,
     "copy_counts": copy_counts,

@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and the shared checkpoint folder."""
+"""Sessions for jobs and for tests, and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -35,6 +35,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "possu
     return spark
 
 
+def job_session(app: str = "possum") -> SparkSession:
+    """The session of a job started from the command line: the active one, or
+    one with the master and settings of its launcher (``spark-submit``).
+
+    Settings of ``DEFAULT_CONF`` that a running session can still take are made
+    where the launcher left them unset."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName(app).getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULT_CONF.items():
+        if not given.contains(key) and spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

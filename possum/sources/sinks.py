@@ -60,6 +60,26 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath, jvm
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under ``path``, the least recently changed first; none if it doesn't exist."""
+    fs, p, _ = _fs(spark, path)
+    found = [f for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+    return [n for _, n in sorted((f.getModificationTime(), f.getPath().getName()) for f in found)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def prune(spark: SparkSession, root: str, keep: int) -> None:
+    """Remove published versions but the current one and the ``keep`` newest others, for readers still on them."""
+    current = f"v={current_version(spark, root)}"
+    others = [n for n in folders(spark, root) if n.startswith("v=") and n != current]
+    for n in others[: max(0, len(others) - keep)]:
+        remove(spark, f"{root.rstrip('/')}/{n}")
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The published version folder name under ``root``, or None."""
     fs, _, jvm = _fs(spark, root)

@@ -19,20 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from possum.plans import changes
 from possum.sources import sinks
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders under ``path``; none if it doesn't exist."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from possum.sources.sinks import folders, remove
 
 
 class ChangeTable:
@@ -63,7 +50,7 @@ class ChangeTable:
     def rows(self) -> DataFrame:
         """Base and all changes, one row each."""
         out = sinks.read_published(self.spark, f"{self.root}/base", schema=self.log_schema)
-        names = folders(self.spark, f"{self.root}/changes")
+        names = sorted(folders(self.spark, f"{self.root}/changes"))
         if names:
             paths = [f"{self.root}/changes/{n}" for n in names]
             out = out.unionByName(self.spark.read.schema(self.log_schema).parquet(*paths))
@@ -79,6 +66,14 @@ class ChangeTable:
         """The table after all changes."""
         return self.state(only).where(F.col("op") != F.lit(changes.DELETE)).select(*self.schema.fieldNames())
 
+    def compact_if(self, folders_at_most: int, version: str, keep_versions: int) -> bool:
+        """Compact if there are more change folders than that; older base versions but ``keep_versions`` go."""
+        if len(folders(self.spark, f"{self.root}/changes")) <= folders_at_most:
+            return False
+        self.compact(version)
+        sinks.prune(self.spark, f"{self.root}/base", keep_versions)
+        return True
+
     def compact(self, version: str, drop_deletes_before: int | None = None) -> None:
         """Publish the state as base ``version``, then remove the change folders it holds.
 

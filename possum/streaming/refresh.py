@@ -35,9 +35,14 @@ ORDERLINE_KEY = ["order_id", "product_id"]
 
 
 class BuyerViewMaintainer:
-    """``tables`` gives the current dimension tables whenever it is called."""
+    """``tables`` gives the current dimension tables whenever it is called.
 
-    def __init__(self, spark: SparkSession, root: str, tables: Callable[[], PosTables]):
+    A batch that leaves more than ``compact_after`` change folders compacts
+    them into the next base. Of replaced versions of the base, the view and the
+    waiting lines the ``keep_versions`` newest stay for readers, the others go."""
+
+    def __init__(self, spark: SparkSession, root: str, tables: Callable[[], PosTables], compact_after: int = 32, keep_versions: int = 2):
+        self.compact_after, self.keep_versions = compact_after, keep_versions
         self.spark = spark
         self.root = root.rstrip("/")
         self.tables = tables
@@ -81,6 +86,9 @@ class BuyerViewMaintainer:
         lines = self.lines.current(only=touched)
         fresh = views.refresh_product_buyers(view, touched, t.product, t.customer, t.order, lines)
         self._publish(fresh, self._without_order(waiting.union(log.select(*ORDERLINE_KEY)), t), name)
+        self.lines.compact_if(self.compact_after, f"base-{name}", self.keep_versions)
+        for root in (self.view_root, self.waiting_root):
+            sinks.prune(self.spark, root, self.keep_versions)
 
     def start(self, log_path: str, trigger: dict | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
         """Run the upkeep as a streaming query over parquet change files (see ``ChangeTable.start``)."""
