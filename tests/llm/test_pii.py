@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import cache
 
 import pytest
+import regex
 from conftest import SF_SMALL
 from llm_fixture import no_documents, odd_documents, odd_texts
 from possum.llm import pii
@@ -74,7 +76,7 @@ def test_contexts_are_the_words_of_the_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_context for r in pii.find_personal_data(df).collect()}
     assert got == {i: int(100 <= i < 103) for i, _ in rows}
-    near = {(r.value, r.kind): (r.two or "", r.one or "", r.following or "") for r in pii._spans(df.where("doc_id >= 200"), "doc_id", "text")[1].collect()}
+    near = {(r.value, r.kind): (r.two or "", r.one or "", r.following or "") for r in pii._spans(df.where("doc_id >= 200"), "doc_id", "text")[1].where("kind <> 'token'").collect()}
     assert near == {
         ("10.0.0.1", "ip"): ("", "", "10.0.0.2,10.0.0.3"), ("10.0.0.2", "ip"): ("", "10.0.0.1", "b7"), ("10.0.0.3", "ip"): ("", "10.0.0.1", "b7"),
         ("4111 1111 1111 1111", "card"): ("b7", "(a@b.c)", "z"), ("a@b.c", "email"): ("10.0.0.2,10.0.0.3", "b7", "4111"), ("c@d.e", "email"): ("q", "x" * 200, ""),
@@ -93,6 +95,106 @@ def test_rounds_go_on_until_nothing_is_found(spark):
         pii.find_personal_data(df, rounds=3)
 
 
+SHAPES = ["078 05 1120", "A-123", "johndoe_at_mail", "(555) 123-4567", "UK-77031-X"]
+
+
+def test_instances_are_found_by_their_place(spark):
+    rows = [(i, f"reach me at user{i}@mail.org") for i in range(8)] + [(100 + i, f"so reach me at {x}, thanks") for i, x in enumerate(SHAPES)]
+    rows += [(200, "so reach me at home"), (201, "home is home 7")]  # a common word at the place stays
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).where("doc_id >= 100").collect()}
+    assert got == dict.fromkeys(range(100, 105), "so reach me at [CONTEXT], thanks") | dict(rows[-2:])
+    limited = pii.find_personal_data(df, min_digits=5, min_length=10).where("doc_id between 100 and 104").orderBy("doc_id").collect()
+    assert [r.n_context for r in limited] == [1, 0, 0, 1, 1]
+
+
+def plain_discovery(texts, min_support=3, min_score=0.5):
+    """Spans of every text by the docstring of the module, with plain loops."""
+    space, rows = regex.compile(r"[\x20\x09-\x0D]+"), []
+    for n, t in enumerate(texts):
+        base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute(t)[1].split(",") if s)]
+        words = space.split(t)
+        starts = [m.end() for m in space.finditer(t)]
+        starts = [0, *starts]
+
+        def add(kind, a, b, n=n, t=t, words=words):
+            first, last = len(space.findall(t[:a])), len(space.findall(t[:b]))
+            near = lambda i: words[i].lower() if 0 <= i < len(words) else ""
+            two, one, following = near(first - 2), near(first - 1), near(last + 1)
+            found = ([f"l:{two} {one}"] if two and one else []) + ([f"a:{one} _ {following}"] if one and following else [])
+            rows.append((n, kind, a, b, t[a:b].lower(), frozenset(p for p in found if any(c.isalpha() for c in p[2:]))))
+
+        for k, a, b in base:
+            add(k, a, b)
+        for m in regex.finditer(pii.PATTERNS["token"], t):
+            a, b = m.start() + len(regex.search(pii.LEAD, m[0])[0]) if regex.search(pii.LEAD, m[0]) else m.start(), m.end() - len(regex.search(pii.TAIL, m[0])[0])
+            if all(e <= a or b <= s for _, s, e in base):
+                add("token", a, b)
+        for i, w in enumerate(words):
+            bare = w.strip(pii.PUNCTUATION)
+            if any(c.isalpha() for c in bare) and not any(c.isdigit() for c in w):
+                a = starts[i] + len(w) - len(w.lstrip(pii.PUNCTUATION))
+                if all(e <= a or a + len(bare) <= s for _, s, e in base):
+                    add("word", a, a + len(bare))
+    values = defaultdict(set)
+    for _, kind, _, _, v, patterns in rows:
+        for p in patterns:
+            if kind in pii.KINDS:
+                values[p].add(v)
+    seeded = {p for p, v in values.items() if len(v) >= min_support}
+    total = Counter(r[4] for r in rows if r[1] not in pii.KINDS)
+    rows = [r for r in rows if r[1] != "word" or r[5] & seeded]
+    edges = defaultdict(set)
+    for *_, v, patterns in rows:
+        for p in patterns:
+            edges[p].add(v)
+    known = {r[4] for r in rows if r[1] in pii.KINDS}
+    while True:
+        good = {p for p, v in edges.items() if len(v & known) >= min_support and len(v & known) >= min_score * len(v)}
+        at_good = Counter(r[4] for r in rows if r[1] not in pii.KINDS and r[5] & good)
+        fresh = {v for v, n in at_good.items() if n >= min_score * total[v]} - known
+        if not fresh:
+            break
+        known |= fresh
+    seeds = {r[4] for r in rows if r[1] in pii.KINDS}
+    return [sorted((a, b) for m, kind, a, b, v, _ in rows if m == n and kind not in pii.KINDS and v in known - seeds) for n in range(len(texts))]
+
+
+def planted(seed, n=250):
+    """Texts with identifiers at the places of base entities, and the (text, start, end) of the planted ones."""
+    r, texts, true = random.Random(seed), [], set()
+    words = [a + b for a in ("lo", "mi", "ka", "tu", "re") for b in ("na", "so", "vel", "dra", "pin")]
+    for i in range(n):
+        body = " ".join(r.choices(words, k=r.randint(3, 12)))
+        lead = r.choice(["please call me at", "my account is", "write to", "the total of", "on page"])
+        base = r.choice([f"u{i}@mail.org", f"+1 (980) 555-{1000 + i}", f"10.0.{i % 250}.{i % 99}"])
+        other = r.choice([f"{100 + i % 900} {10 + i % 90} {1000 + i}", f"{r.choice('ABC')}-{100 + i}", f"who{r.choice(words)}_{r.choice(words)}_{r.choice(words)}", f"({200 + i}) 555-{1000 + i}"])
+        if lead in ("the total of", "on page"):
+            end = str(r.randint(1, 40))  # numbers at places without seeds
+        else:
+            end = base if r.random() < 0.7 else other
+        texts.append(f"{body} {lead} {end}{r.choice(['', ',', '.'])} {r.choice(words)}")
+        if end == other and end != base:
+            a = len(f"{body} {lead} ")
+            true.add((i, a, a + len(end)))
+    return texts, true
+
+
+def test_discovery_on_planted_identifiers(spark):
+    texts, true = planted(4)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = {i: sorted((int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(",") if x) if k == pii.FOUND) for i, s in got.items()}
+    assert spans == dict(enumerate(plain_discovery(texts)))
+    found = {(i, a, b) for i, s in spans.items() for a, b in s}
+    assert len(found & true) >= 0.95 * len(true) and len(found & true) >= 0.95 * len(found)
+
+
+def test_discovery_on_the_table(spark):
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.n_context for r in pii.find_personal_data(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).collect()}
+    assert got == {r.doc_id: len(s) for r, s in zip(rows, plain_discovery([r.text or "" for r in rows]), strict=True)}
+
+
 def test_redaction(spark):
     df = odd_documents(spark)
     out = pii.redact(df, count_col="n_chars")
