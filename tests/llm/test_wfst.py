@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import random
+import struct
 
+import pytest
 import sentencepiece
 from conftest import SF_SMALL
 from hypothesis import given, settings
@@ -75,6 +77,77 @@ def test_table_decodes_back(spark):
     assert {(r.doc_id, r.text) for r in back.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
 
 
+def _message(parts):
+    """A protocol buffer message from (number, value) pairs; floats as 4 bytes."""
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    out = b""
+    for n, v in parts:
+        if isinstance(v, float):
+            out += varint(n << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(n << 3) + varint(v)
+        else:
+            out += varint(n << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def _with_normaliser(rule, **flags):
+    """The vocabulary file with another normaliser: a rule of the library and changed fields."""
+    own = dict(wfst.fields(dict(wfst.fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]))
+    own |= {{"prefix": 3, "folds": 4, "marks": 5}[k]: v for k, v in flags.items()}
+    with open(wfst.MODEL, "rb") as f:
+        parts = wfst.fields(f.read())
+    return _message([(n, _message(sorted(own.items())) if n == 3 else v) for n, v in parts])
+
+
+ODD = ["", " ", "ﬁ a", "  two  spaces ", "①②  ½ Ａｂｃ", "\u00a0x\u3000y\t\n", "e\u0301 é が ｶﾞ", "▁ mark", "한국 ㎏ ™ …", "\u200b\u00ad z", "ǅ ŒÆ İ"]
+
+
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize("flags", [{}, {"prefix": 0}, {"folds": 0}])
+def test_normaliser_is_the_files(rule, flags):
+    model = _with_normaliser(rule, **flags)
+    t, sp, r = wfst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(1)
+    points = [c for c in range(1, 0x3400) if not 0xD800 <= c < 0xE000] + list(range(0xF900, 0xFFFE))
+    texts = ODD + ["".join(r.choice([" ", "a", chr(r.choice(points))]) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    for text in texts:
+        assert t.normalise(text) == sp.normalize(text), (rule, flags, text)
+        back = t.decode(t.encode(text).tolist())
+        assert wfst._same(t, text, back)
+
+
+def test_unigram_scores_decide():
+    r = random.Random(3)
+    pieces = [(b"<unk>", 0.0, 2), (b"<s>", 0.0, 3), (b"</s>", 0.0, 3)] + [(f"<0x{b:02X}>".encode(), 0.0, 6) for b in range(256)]
+    words = sorted({"".join(r.choices("▁abcdé", k=r.randint(1, 4))) for _ in range(150)} | set("▁abcd"))
+    pieces += [(w.encode(), -r.uniform(0.5, 9.0), 1) for w in words]
+    parts = [(1, _message([(1, p), (2, s), (3, k)])) for p, s, k in pieces]
+    trainer = _message([(3, wfst.UNIGRAM), (35, 1), (40, 0), (41, 1), (42, 2)])  # byte fallback, ids of the marks
+    model = _message([*parts, (2, trainer), (3, _message([(1, b"identity"), (4, 0)]))])
+    t, sp = wfst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    score = lambda ids: sum(-sp.get_score(i) for i in ids)
+    for _ in range(300):
+        text = "".join(r.choice("abcdé  z") for _ in range(r.randint(1, 25)))
+        got, want = t.encode(text).tolist(), sp.encode(text)
+        assert got == want or abs(score(got) - score(want)) < 1e-3, text
+
+
+def test_files_of_other_kinds_are_refused():
+    with open(wfst.MODEL, "rb") as f:
+        parts = wfst.fields(f.read())
+    word = [(n, _message([(a, 3 if a == 3 else b) for a, b in wfst.fields(v)]) if n == 2 else v) for n, v in parts]
+    user = [(n, _message([(1, b"<own>"), (2, 0.0), (3, 4)]) if i == 1000 else v) for i, (n, v) in enumerate(parts)]
+    for broken in (_message(word), _message(user), _with_normaliser("identity", marks=0)):
+        with pytest.raises((ValueError, RuntimeError)):
+            wfst.Transducer(broken)
+
+
 def test_ids_are_close_in_number_to_the_library():
     text = " ".join(itertools.islice(itertools.cycle(["the", "and", "nothing", "window"]), 100))
     assert len(T.encode(text)) <= len(SP.encode(text))
