@@ -3,13 +3,13 @@
 Base entities (email, ip, card, phone) are seeds. The words around a seed make
 lexical patterns: the two words before it, and the word before with the word
 after; one of them holds a letter. What else stands at a pattern's place is an
-instance of it, whatever it looks like: tokens with a digit and groups of
-digits ("078 05 1120") at any pattern, tokens without a digit at the patterns
-that seeds support. A pattern's score is the share of its distinct instances
-that are known; well supported patterns of high score are good. An instance
-becomes known if enough of its places in the whole corpus are at good
-patterns, so that a common word that once stands at such a place stays a word.
-Rounds go on until nothing is added. DataFrame and SQL functions only.
+instance of it, if it is more than a plain word: a token with a digit, with a
+sign between letters ("johndoe_at_mail"), or a group of digits ("078 05 1120").
+A pattern's score is the share of its distinct instances that are known; well
+supported patterns of high score are good. An instance becomes known if enough
+of its places in the whole corpus are at good patterns, so that a number that
+once stands at such a place stays a number. Rounds go on until nothing is
+added. DataFrame and SQL functions only.
 
 Positions come from splitting a text at the matches: the lengths of the pieces
 between and of the matches before add up to the start, and their blanks to the
@@ -31,6 +31,7 @@ from possum.llm.common import Scratch, doc_key, packed
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"  # kind of a span that a pattern discovered
 _EMAIL_CHARS = "[A-Za-z0-9._%+-]"
+_SIGN = r"\p{L}[_.@/:#~&=+|\\-]++\p{L}"
 # A match may start where the last one ended or where its first run starts.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_EMAIL_CHARS})){_EMAIL_CHARS}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -38,16 +39,14 @@ PATTERNS = {
     # the maximal runs of 14 to 19 digits; others are matches that fail
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # neighbouring groups of digits, or a token with a digit, for the instances
-    "token": r"(?<![^\x20\x09-\x0D])(?:[(+]?[0-9][0-9().+-]*+(?![\p{L}\p{N}])(?:\x20\(?[0-9][0-9().+-]*+(?![\p{L}\p{N}]))++|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)",
+    # for the instances: neighbouring groups of digits, a token with a digit, a token with a sign between letters
+    "token": r"(?<![^\x20\x09-\x0D])(?:[(+]?[0-9][0-9().+-]*+(?![\p{L}\p{N}])(?:\x20\(?[0-9][0-9().+-]*+(?![\p{L}\p{N}]))++"
+    rf"|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+|[^\x20\x09-\x0D]*?{_SIGN}[^\x20\x09-\x0D]*+)",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _SPACE = r"[\x20\x09-\x0D]+"
 MIN_SUPPORT, MIN_SCORE = 3, 0.5
 LEAD, TAIL = r"^(?!\+[0-9]|\([0-9]+\)[^\p{L}\p{N}]*[0-9])[^\p{L}\p{N}]*", r"[^\p{L}\p{N}]*$"  # punctuation around an instance
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # the same around a word without digits
-WORD_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
-BITS = 1 << 18  # of the filter that picks places worth a join; a chance hit costs a row, no result
 ROUNDS = 200  # in which nothing more must be found at last; more are an error
 
 
@@ -97,11 +96,11 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, keys), and the rows (keys, kind, start, end, value, two, one, following) of valid matches and free tokens with digits."""
+    """All documents (doc_id, keys), and the rows (keys, kind, start, end, value, two, one, following) of valid matches and free tokens."""
     scratch = Scratch(df.sparkSession, "pii")
     docs, text = _documents(df, id_col, text_col), F.col("text")
     digit, at, plus = text.rlike("[0-9]"), F.contains(text, F.lit("@")), F.contains(text, F.lit("+"))
-    worth = {"email": at, "ip": F.col("digit") & F.contains(text, F.lit(".")), "card": F.col("digit"), "phone": F.col("digit") & plus, "token": F.col("digit")}
+    worth = {"email": at, "ip": F.col("digit") & F.contains(text, F.lit(".")), "card": F.col("digit"), "phone": F.col("digit") & plus, "token": F.col("digit") | text.rlike(_SIGN)}
     found = docs.withColumn("digit", digit)
     found = found.select("doc_id", *KEY, "text", *(_pieces(text, k, w).alias(k) for k, w in worth.items()))
     found = found.select("doc_id", *KEY, "text", F.concat(*worth).alias("found"))
@@ -156,84 +155,20 @@ def _patterns() -> Column:
     return F.filter(F.array_compact(F.array(left, around)), lambda p: F.substr(p, F.lit(3)).rlike(r"\p{L}"))
 
 
-def _marks(values: DataFrame, col: str) -> Column | None:
-    """An array of longs with a bit for the hash of every value, for ``_marked``; None without values."""
-    set_ = [r["b"] for r in values.select(F.pmod(F.xxhash64(col), F.lit(BITS)).alias("b")).distinct().collect()]  # at most BITS numbers
-    longs = [0] * (BITS // 64)
-    for b in set_:
-        longs[b // 64] |= 1 << b % 64
-    return F.expr(f"array({', '.join(f'{x - (1 << 64) if x >> 63 else x}' + 'L' if x != 1 << 63 else 'bigint(-9223372036854775808)' for x in longs)})") if set_ else None
-
-
-def _marked(marks: Column, value: Column) -> Column:
-    b = F.pmod(F.xxhash64(value), F.lit(BITS))
-    return F.getbit(F.get(marks, F.shiftright(b, 6).cast("int")), (b % 64).cast("int")) == 1
-
-
-def _bare(word: Column) -> Column:
-    return F.btrim(word, F.lit(PUNCTUATION))
-
-
-def _pointed(docs: DataFrame, rows: DataFrame, min_support: int, scratch: Scratch) -> DataFrame | None:
-    """Rows as in ``_spans`` for the tokens without a digit at a pattern that ``min_support`` seed values support; None without such patterns."""
-    seeds = rows.where("kind <> 'token'").select(F.explode(_patterns()).alias("pattern"), F.lower("value").alias("value")).distinct()
-    seeded = scratch.save(seeds.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support).select("pattern"))
-    marks = _marks(seeded, "pattern")
-    if marks is None:
-        return None
-    one, two, following = (lambda w, i: F.get(w, i - 1)), (lambda w, i: F.get(w, i - 2)), (lambda w, i: F.get(w, i + 1))
-    left = lambda w, i: F.concat(F.lit("l:"), two(w, i), F.lit(" "), one(w, i))
-    around = lambda w, i: F.concat(F.lit("a:"), one(w, i), F.lit(" _ "), following(w, i))
-    here = lambda w, i: (_marked(marks, left(w, i)) | _marked(marks, around(w, i))) & ~F.get(w, i).rlike("[0-9]")
-    low = F.array(F.split(F.lower("text"), _SPACE, -1))
-    at = F.flatten(F.transform(low, lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: here(w, i))))
-    hits = docs.select(*KEY, "text", at.alias("at")).where("size(at) > 0")
-    # words with the blanks after them: what stands before a word is its start
-    parts = F.array(F.split("text", WORD_START, -1))
-    word = lambda p, i: F.regexp_extract(F.get(p, i), r"^[^\x20\x09-\x0D]*", 0)
-    place = lambda p, i: F.struct(
-        F.length(F.array_join(F.slice(p, F.lit(1), i), "")).alias("from"), word(p, i).alias("word"), F.when(i > 1, word(p, i - 2)).alias("two"),
-        F.when(i > 0, word(p, i - 1)).alias("one"), F.when(i + 1 < F.size(p), word(p, i + 1)).alias("following"),
-    )
-    found = hits.select(*KEY, F.inline(F.flatten(F.transform(parts, lambda p: F.transform("at", lambda i: place(p, i))))))
-    start = F.col("from") + F.length("word") - F.length(F.ltrim(F.col("word"), F.lit(PUNCTUATION)))
-    found = found.select(*KEY, F.lit("token").alias("kind"), start.cast("long").alias("start"), _bare(F.col("word")).alias("value"), "two", "one", "following")
-    found = found.where(F.col("value").rlike(r"\p{L}")).withColumn("end", F.col("start") + F.length("value")).distinct()
-    exact = found.withColumn("pattern", F.explode(_patterns())).join(seeded, "pattern", "left_semi").drop("pattern").distinct()
-    base = rows.where("kind <> 'token'").select(*KEY, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    free = exact.join(base, (F.array(*[exact[k] for k in KEY]) == F.array(*[base[k] for k in KEY])) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
-    return scratch.save(free.select(*rows.columns))
-
-
-def _places(docs: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value, places): how often each of these words without a digit stands in the texts; equal rows count once."""
-    marks = _marks(values, "value")
-    if marks is None:
-        return values.select("value", F.lit(0).cast("long").alias("places"))
-    words = F.transform(F.split(F.lower("text"), _SPACE, -1), _bare)
-    hit = docs.select(*KEY, F.filter(words, lambda w: _marked(marks, w)).alias("w")).where("size(w) > 0")
-    each = hit.dropDuplicates(KEY).select(F.explode("w").alias("value"))
-    return scratch.save(each.join(values, "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("places")))
-
-
-def _discover(rows: DataFrame, words: DataFrame | None, places: DataFrame | None, min_support: int, min_score: float, rounds: int) -> DataFrame:
+def _discover(rows: DataFrame, min_support: int, min_score: float, rounds: int) -> DataFrame:
     """(value): instances that high-confidence patterns make known, from the pattern-instance graph.
 
-    ``rows``: seeds and tokens with a digit, which are all of a value's places;
-    ``words``: tokens without one, whose ``places`` are counted apart. Raises
-    if the known values still grow in the last of ``rounds`` rounds.
+    ``rows`` hold all places of all values. Raises if the known values still
+    grow in the last of ``rounds`` rounds.
     """
     scratch = Scratch(rows.sparkSession, "pii-graph")
     seed = F.col("kind") != "token"
-    all_ = rows if words is None else rows.unionByName(words)
-    numbered = all_.select(F.lower("value").alias("value"), seed.alias("seed"), _patterns().alias("patterns"))
+    numbered = rows.select(F.lower("value").alias("value"), seed.alias("seed"), _patterns().alias("patterns"))
     # (pattern, value, seed), and for the tokens the sets of patterns of their places, equal places counted
     edges = scratch.save(numbered.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     tokens = numbered.where("not seed").groupBy("value", "patterns").agg(F.count(F.lit(1)).alias("n"))
     tokens = scratch.save(tokens.withColumn("set", F.xxhash64("value", "patterns")))
     total = tokens.groupBy("value").agg(F.sum("n").alias("total"))
-    if places is not None:
-        total = total.join(places, "value", "left").select("value", F.coalesce("places", "total").alias("total"))
     known = scratch.save(edges.where("seed").select("value").distinct())
     open_ = total.join(known, "value", "left_anti")
     n = known.count()
@@ -257,17 +192,12 @@ def _joined(spans: DataFrame, where: Column, name: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(where, item))), text), ",").alias(name)
 
 
-def all_spans(docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, rounds: int = ROUNDS, min_digits: int = 0, min_length: int = 1) -> DataFrame:
-    """Base spans and discovered ones: (keys, kind, start, end). ``docs``: (keys, text); ``min_digits`` and ``min_length`` of a discovered instance."""
-    scratch = Scratch(docs.sparkSession, "pii-places")
+def all_spans(rows: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, rounds: int = ROUNDS, min_digits: int = 0, min_length: int = 1) -> DataFrame:
+    """Base spans and discovered ones: (keys, kind, start, end). ``min_digits`` and ``min_length``: of a discovered instance."""
     fits = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= min_digits) & (F.length("value") >= min_length)
     rows = rows.where((F.col("kind") != "token") | fits)
-    words = _pointed(docs, rows, min_support, scratch) if min_digits < 1 else None
-    words = words.where(fits) if words is not None else None
-    places = _places(docs, words.select(F.lower("value").alias("value")).distinct(), scratch) if words is not None else None
-    found = _discover(rows, words, places, min_support, min_score, rounds)
-    tokens = rows.where("kind = 'token'")
-    tokens = (tokens if words is None else tokens.unionByName(words)).withColumn("low", F.lower("value"))
+    found = _discover(rows, min_support, min_score, rounds)
+    tokens = rows.where("kind = 'token'").withColumn("low", F.lower("value"))
     new = tokens.join(found.withColumnRenamed("value", "low"), "low", "left_semi").select(*KEY, F.lit(FOUND).alias("kind"), "start", "end")
     return rows.where("kind <> 'token'").select(*KEY, "kind", "start", "end").unionByName(new)
 
@@ -279,12 +209,11 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Spans are ``kind:start:end`` in code points with the end exclusive. A null
     or empty text has none: counts 0, an empty ``spans``, the digest of the
     empty string. Repeated rows get equal results and count once as evidence;
-    other columns are ignored; an empty table gives an empty result. A word
-    without digits is marked at the places its patterns point at, an instance
-    with digits wherever it stands.
+    other columns are ignored; an empty table gives an empty result. A
+    discovered instance is marked wherever it stands.
     """
     docs, rows = _spans(df, id_col, text_col)
-    spans = all_spans(_documents(df, id_col, text_col), rows, min_support, min_score, rounds, min_digits, min_length)
+    spans = all_spans(rows, min_support, min_score, rounds, min_digits, min_length)
     count = lambda k: F.count(F.when(F.col("kind") == k, 1))
     base = F.col("kind") != FOUND
     by_doc = spans.groupBy(*KEY).agg(*(count(k).alias(f"n_{k}") for k in (*KINDS, FOUND)), _joined(spans, base, "base"), _joined(spans, F.lit(True), "spans"))
@@ -303,7 +232,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     length of the changed texts.
     """
     _, rows = _spans(df, id_col, text_col)
-    spans = all_spans(_documents(df, id_col, text_col), rows)
+    spans = all_spans(rows)
     order = Window.partitionBy(*KEY).orderBy("start", _rank(), "end")
     reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     apart = spans.withColumn("from", F.greatest("start", reach)).where("end > from")

@@ -114,8 +114,6 @@ def plain_discovery(texts, min_support=3, min_score=0.5):
     for n, t in enumerate(texts):
         base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute(t)[1].split(",") if s)]
         words = space.split(t)
-        starts = [m.end() for m in space.finditer(t)]
-        starts = [0, *starts]
 
         def add(kind, a, b, n=n, t=t, words=words):
             first, last = len(space.findall(t[:a])), len(space.findall(t[:b]))
@@ -130,20 +128,7 @@ def plain_discovery(texts, min_support=3, min_score=0.5):
             a, b = m.start() + len(regex.search(pii.LEAD, m[0])[0]) if regex.search(pii.LEAD, m[0]) else m.start(), m.end() - len(regex.search(pii.TAIL, m[0])[0])
             if all(e <= a or b <= s for _, s, e in base):
                 add("token", a, b)
-        for i, w in enumerate(words):
-            bare = w.strip(pii.PUNCTUATION)
-            if any(c.isalpha() for c in bare) and not any(c.isdigit() for c in w):
-                a = starts[i] + len(w) - len(w.lstrip(pii.PUNCTUATION))
-                if all(e <= a or a + len(bare) <= s for _, s, e in base):
-                    add("word", a, a + len(bare))
-    values = defaultdict(set)
-    for _, kind, _, _, v, patterns in rows:
-        for p in patterns:
-            if kind in pii.KINDS:
-                values[p].add(v)
-    seeded = {p for p, v in values.items() if len(v) >= min_support}
     total = Counter(r[4] for r in rows if r[1] not in pii.KINDS)
-    rows = [r for r in rows if r[1] != "word" or r[5] & seeded]
     edges = defaultdict(set)
     for *_, v, patterns in rows:
         for p in patterns:
