@@ -10,11 +10,13 @@ them, without building and exploding the arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from possum import fixed
 from possum.functions.cleaning import full_name
+from possum.operators.ranks import ranked_by_ranges
+from possum.session import ensure_checkpoint_dir
 from possum.sources.sinks import json_text
 
 
@@ -110,17 +112,13 @@ def ranked(products: DataFrame) -> DataFrame:
     """SRT3 for all rows: ``rank`` 1, 2, ... by purchases, ties by ProductID,
     and the rows in that order.
 
-    A row's rank is its place among equal purchases after the counts of all
-    larger ones: only the counts by distinct number of purchases meet in one
-    window, not the products."""
-    order = [F.col("TotalStatePurchases").desc(), F.col("ProductID").asc()]
-    purchases = products.groupBy("TotalStatePurchases").agg(F.count(F.lit(1)).alias("n"))
-    above = Window.orderBy(F.col("TotalStatePurchases").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = purchases.select("TotalStatePurchases", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("TotalStatePurchases").orderBy("ProductID")
-    placed = products.withColumn("inside", F.row_number().over(inside)).join(before, "TotalStatePurchases")
-    return placed.select("ProductID", "ProductName", "TotalStatePurchases",
-                         (F.col("before") + F.col("inside")).cast("long").alias("rank")).orderBy(*order)
+    Ranks are counted by ranges (``operators.ranks``): no window runs over all
+    rows or over all products of one total. The totals are checkpointed, as
+    the ranges read them more than once."""
+    ensure_checkpoint_dir(products.sparkSession)
+    placed = ranked_by_ranges(products.checkpoint(), "TotalStatePurchases", "ProductID", "rank")
+    return placed.select("ProductID", "ProductName", "TotalStatePurchases", "rank").orderBy(
+        F.col("TotalStatePurchases").desc(), F.col("ProductID").asc())
 
 
 def state_month_products(zip_month_facts: DataFrame, city: DataFrame, state: str, month: int) -> DataFrame:
