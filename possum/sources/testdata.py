@@ -4,7 +4,7 @@ part -> Product, customer -> Customer, nation + region -> City (zip, city,
 state), orders -> Order, lineitem -> order lines. Every projection below is a
 narrow ``select`` over a parquet scan, so Catalyst prunes the read schema and
 pushes filters into the scan. The same rules are spelled out in SQL for the
-DuckDB oracle in ``possum.plans.oracle``; both sides must change together.
+DuckDB oracle in ``possum.oracle``; both sides must change together.
 
 Two raw forms are built:
 
