@@ -116,7 +116,7 @@ def ranked(products: DataFrame) -> DataFrame:
     rows or over all products of one total. The totals are checkpointed, as
     the ranges read them more than once."""
     ensure_checkpoint_dir(products.sparkSession)
-    placed = ranked_by_ranges(products.checkpoint(), "TotalStatePurchases", "ProductID", "rank")
+    placed = ranked_by_ranges(products, "TotalStatePurchases", "ProductID", "rank", counted=products.checkpoint())
     return placed.select("ProductID", "ProductName", "TotalStatePurchases", "rank").orderBy(
         F.col("TotalStatePurchases").desc(), F.col("ProductID").asc())
 
