@@ -507,6 +507,7 @@ SQL: dict[str, str] = {
     "pk_violations": PK_VIOLATIONS,
     "fk_violations": FK_VIOLATIONS,
     "table_diff": TABLE_DIFF,
+    "table_diff_digests": TABLE_DIFF,
     "length_violations": LENGTH_VIOLATIONS,
     "copy_counts": COPY_COUNTS,
     "price_update_demo": PRICE_UPDATE_DEMO,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from possum import schemas
-from possum.operators import checks
+from possum.operators import checks, digests
 from possum.plans import changes
 from possum.plans import documents as D
 from possum.plans import differences, etl, reports, views
@@ -644,6 +644,20 @@ def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.table_diff(td.orderline_base(spark, sf_dir), _final_orderline(spark, sf_dir))
 
 
+def table_diff_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by digests: each copy is stored with its own digest tree, and
+    only rows of leaves that differ are compared."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/copies/{uuid.uuid4().hex}"
+    for name, df in (("expected", td.orderline_base(spark, sf_dir)), ("actual", _final_orderline(spark, sf_dir))):
+        df.write.parquet(f"{root}/{name}/rows")
+    copies = [spark.read.parquet(f"{root}/{name}/rows") for name in ("expected", "actual")]
+    depth = digests.leaf_depth(max(c.count() for c in copies))
+    for name, copy in zip(("expected", "actual"), copies):
+        digests.digest_tree(copy, depth).write.parquet(f"{root}/{name}/tree")
+    trees = tuple(spark.read.parquet(f"{root}/{name}/tree") for name in ("expected", "actual"))
+    return digests.table_diff_digests(*copies, depth, trees)
+
+
 QUERIES: dict[str, Query] = {
     "product_buyers": product_buyers,
     "product_buyers_sql": product_buyers_sql,
@@ -699,6 +713,7 @@ QUERIES: dict[str, Query] = {
     "fk_violations_injected": fk_violations_injected,
     "fk_violations_after_log": fk_violations_after_log,
     "table_diff": table_diff,
+    "table_diff_digests": table_diff_digests,
     "length_violations": length_violations,
     "copy_counts": copy_counts,
     "price_update_demo": price_update_demo,
