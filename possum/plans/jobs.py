@@ -13,7 +13,9 @@
   for any scheduler) or every N minutes (the reference's 15-minute cron).
 
 Each job reads and writes a folder that all executors share; nothing passes
-through the driver. Run with ``python -m possum.plans.jobs <job> ...``.
+through the driver. A job holds a lease on the folder it publishes into, so a
+second run of it is refused until the first ends or its lease expires
+(``possum.sources.lease``). Run with ``python -m possum.plans.jobs <job> ...``.
 """
 
 from __future__ import annotations
@@ -31,14 +33,23 @@ from possum.plans import documents as D
 from possum.plans import etl, reports, views
 from possum.sources import csv as csv_source
 from possum.sources import sinks
+from possum.sources.lease import Lease
 from possum.sources.testdata import PosTables
 
+LEASE_SECONDS = 3600.0  # without a renewal; every published table renews it
+
 TABLES = ("customer", "city", "order", "orderline", "product", "price_history")
 
 
 def run_etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str = "\\",
-            as_of: dt.datetime | None = None, line_breaks: str = "split") -> dict[str, int]:
+            as_of: dt.datetime | None = None, line_breaks: str = "split", lease_seconds: float = LEASE_SECONDS) -> dict[str, int]:
     """CSV extracts -> typed tables. Returns the number of rejects per extract."""
+    with Lease(spark, out_dir, lease_seconds) as lease:
+        return _etl(spark, extract_dir, out_dir, escape, as_of, line_breaks, lease)
+
+
+def _etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str, as_of: dt.datetime | None, line_breaks: str,
+         lease: Lease) -> dict[str, int]:
     # each run stages into a folder of its own: nothing of an earlier run is read
     stage = f"{out_dir}/_stage/{uuid.uuid4().hex}"
     raw = {k: csv_source.read_extract(spark, f"{extract_dir}/{k}.csv", k, escape=escape, line_breaks=line_breaks,
@@ -53,7 +64,7 @@ def run_etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str = "
     for name, df in cleaned.items():
         df.write.parquet(f"{stage}/{name}")
         kept, bad = etl.split_rejects(spark.read.parquet(f"{stage}/{name}"))
-        sinks.publish(spark, bad, f"{out_dir}/_rejects/{name}")
+        sinks.publish(spark, bad, f"{out_dir}/_rejects/{name}", lease=lease)
         good[name], rejects[name] = kept, bad.count()
     tables = {
         "customer": good["customer"].drop("rawCity", "rawState"),
@@ -64,10 +75,11 @@ def run_etl(spark: SparkSession, extract_dir: str, out_dir: str, escape: str = "
     }
     tables["price_history"] = etl.price_history_initial(tables["product"], as_of)
     for name, df in tables.items():
-        sinks.publish(spark, df, f"{out_dir}/{name}")
+        sinks.publish(spark, df, f"{out_dir}/{name}", lease=lease)
     t = read_tables(spark, out_dir)
-    sinks.publish(spark, views.product_buyers(t.product, t.customer, t.order, t.orderline), f"{out_dir}/mv_ProductBuyers")
-    sinks.publish(spark, check_tables(t), f"{out_dir}/_violations")
+    sinks.publish(spark, views.product_buyers(t.product, t.customer, t.order, t.orderline), f"{out_dir}/mv_ProductBuyers",
+                  lease=lease)
+    sinks.publish(spark, check_tables(t), f"{out_dir}/_violations", lease=lease)
     sinks.remove(spark, stage)
     return rejects
 
@@ -110,15 +122,15 @@ def build_documents(t: PosTables) -> dict[str, DataFrame]:
 
 
 def run_export(spark: SparkSession, table_dir: str, out_root: str, version: str | None = None,
-               fmt: str = "json") -> dict[str, str]:
+               fmt: str = "json", lease_seconds: float = LEASE_SECONDS) -> dict[str, str]:
     """Build and publish the four collections; returns the published versions.
     A run whose version is already published is skipped collection by
     collection, so a failed run can simply be started again."""
-    t = read_tables(spark, table_dir)
     out = {}
-    for name, docs in build_documents(t).items():
-        out[name] = sinks.publish(spark, docs, f"{out_root}/{name}", version=version, fmt=fmt,
-                                  fields=D.DOC_FIELDS[name])
+    with Lease(spark, out_root, lease_seconds) as lease:
+        for name, docs in build_documents(read_tables(spark, table_dir)).items():
+            out[name] = sinks.publish(spark, docs, f"{out_root}/{name}", version=version, fmt=fmt,
+                                      fields=D.DOC_FIELDS[name], lease=lease)
     return out
 
 
@@ -168,17 +180,18 @@ def run_reports(spark: SparkSession, publish_root: str, out_dir: str, state: str
 
 
 def run_stream(spark: SparkSession, table_dir: str, state_root: str, log_path: str,
-               every: str | None = None, max_files: int | None = None) -> None:
+               every: str | None = None, max_files: int | None = None, lease_seconds: float = LEASE_SECONDS) -> None:
     """CHG5/CHG7: keep the order lines and the view under ``state_root`` from
     the change files in ``log_path``. The first run starts from the tables in
     ``table_dir``; later runs continue from the stream checkpoint."""
     from possum.streaming.refresh import BuyerViewMaintainer
 
-    m = BuyerViewMaintainer(spark, state_root, lambda: read_tables(spark, table_dir))
-    if m.version() is None:
-        m.bootstrap(read_tables(spark, table_dir).orderline)
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    m.start(log_path, trigger=trigger, max_files_per_trigger=max_files).awaitTermination()
+    with Lease(spark, state_root, lease_seconds) as lease:
+        m = BuyerViewMaintainer(spark, state_root, lambda: read_tables(spark, table_dir), lease=lease)
+        if m.version() is None:
+            m.bootstrap(read_tables(spark, table_dir).orderline)
+        trigger = {"processingTime": every} if every else {"availableNow": True}
+        m.start(log_path, trigger=trigger, max_files_per_trigger=max_files).awaitTermination()
 
 
 def materialize_view(spark: SparkSession, table_dir: str, out_dir: str) -> None:
@@ -222,18 +235,21 @@ def main(argv: list[str] | None = None) -> None:
     mv = sub.add_parser("view")
     mv.add_argument("table_dir")
     mv.add_argument("out_dir")
+    for p in (e, x, st):
+        p.add_argument("--lease-seconds", type=float, default=LEASE_SECONDS,
+                       help="how long a run that died keeps others out; it must outlast the longest step between two published tables")
     args = ap.parse_args(argv)
     spark = job_session()
     if args.job == "etl":
-        print(run_etl(spark, args.extract_dir, args.out_dir, line_breaks=args.line_breaks))
+        print(run_etl(spark, args.extract_dir, args.out_dir, line_breaks=args.line_breaks, lease_seconds=args.lease_seconds))
     elif args.job == "export":
-        print(run_export(spark, args.table_dir, args.out_root))
+        print(run_export(spark, args.table_dir, args.out_root, lease_seconds=args.lease_seconds))
     elif args.job == "check":
         check_tables(read_tables(spark, args.table_dir)).write.mode("overwrite").json(args.out_dir)
     elif args.job == "view":
         materialize_view(spark, args.table_dir, args.out_dir)
     elif args.job == "stream":
-        run_stream(spark, args.table_dir, args.state_root, args.log_path, args.every, args.max_files)
+        run_stream(spark, args.table_dir, args.state_root, args.log_path, args.every, args.max_files, args.lease_seconds)
     else:
         run_reports(spark, args.publish_root, args.out_dir, args.state, args.month, args.product_id,
                     args.total_over, args.quantity_over)

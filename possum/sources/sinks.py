@@ -16,11 +16,14 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from possum.sources.files import file_system, read_text, replace_text
+from possum.sources.files import rename_over as _replace  # noqa: F401
+from possum.sources.lease import Lease, LeaseLost
+
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 PRETTY_OPTIONS = {"ignoreNullFields": "false", "pretty": "true"}
 
@@ -54,21 +57,15 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 POINTER = "_CURRENT"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath, jvm
-
-
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders under ``path``, the least recently changed first; none if it doesn't exist."""
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     found = [f for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
     return [n for _, n in sorted((f.getModificationTime(), f.getPath().getName()) for f in found)]
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     fs.delete(p, True)
 
 
@@ -80,22 +77,21 @@ def prune(spark: SparkSession, root: str, keep: int) -> None:
         remove(spark, f"{root.rstrip('/')}/{n}")
 
 
+def _pointer(spark: SparkSession, root: str) -> dict | None:
+    """What the pointer file under ``root`` says, or None."""
+    path = f"{root.rstrip('/')}/{POINTER}"
+    fs, p, _ = file_system(spark, path)
+    return json.loads(read_text(spark, path)) if fs.exists(p) else None
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The published version folder name under ``root``, or None."""
-    fs, _, jvm = _fs(spark, root)
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())["version"]
-    finally:
-        stream.close()
+    pointer = _pointer(spark, root)
+    return pointer["version"] if pointer else None
 
 
 def publish(spark: SparkSession, df: DataFrame, root: str, version: str | None = None,
-            fmt: str = "parquet", fields: Sequence[str] | None = None) -> str:
+            fmt: str = "parquet", fields: Sequence[str] | None = None, lease: Lease | None = None) -> str:
     """Write ``df`` as a new version under ``root`` and make it current.
 
     The data goes to ``root/v=<version>`` first; only after the write job
@@ -103,6 +99,10 @@ def publish(spark: SparkSession, df: DataFrame, root: str, version: str | None =
     rename, which is atomic on HDFS-like stores). Publishing a version that is
     already current does nothing, so a replayed batch is harmless. Old
     versions are left for readers still on them.
+
+    With a ``lease`` the pointer is switched only while the lease is held and
+    no later token has published here; else ``LeaseLost`` is raised and the
+    pointer stays.
     """
     version = version or uuid.uuid4().hex
     if current_version(spark, root) == version:
@@ -112,38 +112,16 @@ def publish(spark: SparkSession, df: DataFrame, root: str, version: str | None =
         write_json(df, fields or df.columns, target, mode="overwrite")
     else:
         df.write.mode("overwrite").format(fmt).save(target)
-    fs, _, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.{POINTER}.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(json.dumps({"version": version, "format": fmt}) + "\n", "utf-8"))
-    finally:
-        out.close()
-    final = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")
-    _replace(spark, tmp, final)
+    pointer = {"version": version, "format": fmt}
+    if lease is not None:
+        lease.check()
+        if ((_pointer(spark, root) or {}).get("token") or 0) > lease.token:
+            raise LeaseLost(f"{root}: published under a later token than {lease.token}")
+        pointer["token"] = lease.token
+    replace_text(spark, f"{root.rstrip('/')}/{POINTER}", json.dumps(pointer))
     return version
 
 
-def _replace(spark: SparkSession, src, dst) -> None:
-    """Rename ``src`` over ``dst`` in one step (``FileContext.rename`` with
-    OVERWRITE), so there is no moment without a pointer. Stores without that
-    operation fall back to delete then rename."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    try:
-        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), conf)
-        opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        fc.rename(src, dst, opts)
-    except Py4JJavaError as e:
-        if "Unsupported" not in e.java_exception.getClass().getName():
-            raise  # a network or permission error leaves the live pointer as it is
-        fs = dst.getFileSystem(conf)
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(src, dst)
-
-
 def read_published(spark: SparkSession, root: str, fmt: str = "parquet",
                    schema: T.StructType | None = None) -> DataFrame:
     """Read the current version under ``root``."""

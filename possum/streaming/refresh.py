@@ -28,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from possum.plans import changes, views
 from possum.schemas import ORDERLINE
 from possum.sources import sinks
+from possum.sources.lease import Lease
 from possum.sources.testdata import PosTables
 from possum.streaming.change_table import ChangeTable
 
@@ -39,9 +40,11 @@ class BuyerViewMaintainer:
 
     A batch that leaves more than ``compact_after`` change folders compacts
     them into the next base. Of replaced versions of the base, the view and the
-    waiting lines the ``keep_versions`` newest stay for readers, the others go."""
+    waiting lines the ``keep_versions`` newest stay for readers, the others go. With a ``lease`` every batch renews
+    it first, and fails once another run took it over."""
 
-    def __init__(self, spark: SparkSession, root: str, tables: Callable[[], PosTables], compact_after: int = 32, keep_versions: int = 2):
+    def __init__(self, spark: SparkSession, root: str, tables: Callable[[], PosTables], compact_after: int = 32, keep_versions: int = 2, lease: Lease | None = None):
+        self.lease = lease
         self.compact_after, self.keep_versions = compact_after, keep_versions
         self.spark = spark
         self.root = root.rstrip("/")
@@ -61,8 +64,8 @@ class BuyerViewMaintainer:
         return lines.select(*ORDERLINE_KEY).join(orders, "order_id", "left_anti").distinct()
 
     def _publish(self, view: DataFrame, waiting: DataFrame, version: str) -> None:
-        sinks.publish(self.spark, waiting, self.waiting_root, version=version)
-        sinks.publish(self.spark, view, self.view_root, version=version)
+        sinks.publish(self.spark, waiting, self.waiting_root, version=version, lease=self.lease)
+        sinks.publish(self.spark, view, self.view_root, version=version, lease=self.lease)
 
     def orderline(self) -> DataFrame:
         return self.lines.current()
@@ -74,6 +77,8 @@ class BuyerViewMaintainer:
         return sinks.current_version(self.spark, self.view_root)
 
     def apply_batch(self, batch: DataFrame, name: str) -> None:
+        if self.lease is not None:
+            self.lease.check()  # a run that was taken over appends nothing more
         log = self.lines.append(batch, name)
         before = self.version()
         if before == name:
