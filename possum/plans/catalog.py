@@ -6,10 +6,14 @@ are not enforced by the format; ``possum.operators.checks`` checks them.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from possum.operators.collect import PARTS
+from possum.sources import sinks
 
 # Spark SQL text of ``v_ProductBuyers`` over tables named Customer, `Order`,
 # Orderline and Product (QRY1 for users who keep writing SQL). The pairs of ids
@@ -70,6 +74,40 @@ def cache_view(spark: SparkSession, db: str, buckets: int = 16) -> None:
                bucket_by="productID", buckets=buckets)
 
 
+LOOKUP_FILE_BYTES = 256 << 20
+LOOKUP_GROUP_BYTES = 8 << 20
+BLOOM_BYTES = 1 << 20  # largest filter of a row group
+
+
+def write_lookup(df: DataFrame, key: str, path: str, file_bytes: int = LOOKUP_FILE_BYTES, group_bytes: int = LOOKUP_GROUP_BYTES) -> None:
+    """DDL6: ``df`` as Parquet under ``path`` (replaced) for point lookups by ``key``.
+
+    Files hold ranges of the key, sorted, in row groups of about
+    ``group_bytes``, so their minima and maxima leave one group for a key; a
+    Bloom filter a group leaves none for most keys that don't exist. ``df`` is
+    written once and measured, and the number of files and the size of the
+    filters follow from its rows and bytes. A null key sorts first and is never
+    found by equality; rows with equal keys lie side by side.
+    """
+    spark = df.sparkSession
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    rows, size = spark.read.parquet(stage), sinks.byte_size(spark, stage)
+    n = rows.count()
+    in_group = max(1, math.ceil(n * group_bytes / max(size, 1)))
+    (rows.repartitionByRange(max(1, math.ceil(size / file_bytes)), F.col(key)).sortWithinPartitions(key)
+     .write.mode("overwrite")
+     .option("parquet.block.size", str(group_bytes))
+     .option("parquet.page.size.row.check.min", str(max(1, min(100, in_group // 2))))
+     .option("parquet.block.size.row.check.min", str(max(1, min(100, in_group // 2))))
+     .option(f"parquet.bloom.filter.enabled#{key}", "true")
+     .option(f"parquet.bloom.filter.expected.ndv#{key}", str(min(n, in_group) or 1))
+     .option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
+     .option(f"parquet.enable.dictionary#{key}", "false")  # a filter is written only beside plain values
+     .parquet(path))
+    sinks.remove(spark, stage)
+
+
 def show_create(spark: SparkSession, name: str) -> str:
     """DDL7: the statement that defines a table or view."""
     return spark.sql(f"SHOW CREATE TABLE {name}").first()[0]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from possum import fixed, schemas
 from possum.operators import checks
 from possum.plans import documents as D
-from possum.plans import etl, reports, views
+from possum.plans import catalog, etl, reports, views
 from possum.sources import csv as csv_source
 from possum.sources import sinks
 from possum.sources.lease import Lease
@@ -121,6 +121,10 @@ def build_documents(t: PosTables) -> dict[str, DataFrame]:
     }
 
 
+# SRT1: the exports that come in order of their id, over all part files of a version
+EXPORT_ORDER = {"prod": "ProductID", "cust": "CustomerID"}
+
+
 def run_export(spark: SparkSession, table_dir: str, out_root: str, version: str | None = None,
                fmt: str = "json", lease_seconds: float = LEASE_SECONDS) -> dict[str, str]:
     """Build and publish the four collections; returns the published versions.
@@ -129,6 +133,8 @@ def run_export(spark: SparkSession, table_dir: str, out_root: str, version: str
     out = {}
     with Lease(spark, out_root, lease_seconds) as lease:
         for name, docs in build_documents(read_tables(spark, table_dir)).items():
+            if name in EXPORT_ORDER:
+                docs = docs.orderBy(EXPORT_ORDER[name])
             out[name] = sinks.publish(spark, docs, f"{out_root}/{name}", version=version, fmt=fmt,
                                       fields=D.DOC_FIELDS[name], lease=lease)
     return out
@@ -195,10 +201,10 @@ def run_stream(spark: SparkSession, table_dir: str, state_root: str, log_path: s
 
 
 def materialize_view(spark: SparkSession, table_dir: str, out_dir: str) -> None:
-    """mv_ProductBuyers as Parquet, bucketed by product id range for lookups."""
+    """mv_ProductBuyers as Parquet for lookups by product id (``catalog.write_lookup``)."""
     t = read_tables(spark, table_dir)
     mv = views.product_buyers(t.product, t.customer, t.order, t.orderline)
-    mv.repartitionByRange("productID").sortWithinPartitions("productID").write.mode("overwrite").parquet(out_dir)
+    catalog.write_lookup(mv, "productID", out_dir)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -69,6 +69,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def byte_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``."""
+    fs, p, _ = file_system(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def prune(spark: SparkSession, root: str, keep: int) -> None:
     """Remove published versions but the current one and the ``keep`` newest others, for readers still on them."""
     current = f"v={current_version(spark, root)}"

@@ -50,6 +50,10 @@ def test_etl_export_reports(spark, tmp_dir):
     versions = jobs.run_export(spark, f"{tmp_dir}/tables", f"{tmp_dir}/pub", version="r1")
     assert versions == {"prod": "r1", "cust": "r1", "custom1": "r1", "custom2": "r1"}
     cust = [json.loads(x["value"]) for x in spark.read.text(f"{tmp_dir}/pub/cust/v=r1").collect()]
+    for name, key in jobs.EXPORT_ORDER.items():  # in order over the part files
+        parts = sorted(f for f in os.listdir(f"{tmp_dir}/pub/{name}/v=r1") if f.startswith("part-"))
+        ids = [json.loads(line)[key] for f in parts for line in open(f"{tmp_dir}/pub/{name}/v=r1/{f}")]
+        assert ids == sorted(ids) and len(ids) > 1
     nine = next(d for d in cust if d["CustomerID"] == 9)
     assert nine["Orders"][0]["OrderTotal"] == 22.5 and nine["Orders"][0]["ShippingDate"] is None
     assert sinks.current_version(spark, f"{tmp_dir}/pub/prod") == "r1"
