@@ -47,3 +47,25 @@ def test_written_shards_read_back(spark, tmp_dir):
     sharding.write_shards(docs, f"{tmp_dir}/out")
     total = sum(sharding.read_shard(spark, f"{tmp_dir}/out", s).count() for s in range(8))
     assert total == docs.count()
+
+
+def test_every_count_grows_into_the_new_shard_alone(spark):
+    ids = spark.range(4_000).selectExpr("id AS doc_id", "'t' AS text")
+    for n in (1, 3, 5, 7, 9):
+        got = sharding.assign_shards(ids, shards=n).groupBy("shard", "grown_shard").count().collect()
+        assert all(r.grown_shard in (r.shard, n) for r in got)
+        into = sum(r["count"] for r in got if r.grown_shard == n)
+        assert abs(into / 4_000 - 1 / (n + 1)) < 0.05
+    tree = sharding.Tree.of(8)
+    assert tree.grown() == sharding.Tree.of(9) and tree.grown().grown() != sharding.Tree.of(10)
+    twice = sharding.with_shard(sharding.with_shard(ids, "a", "doc_id", tree.grown()), "b", "doc_id", tree.grown().grown())
+    assert twice.where("a <> b and b <> 9").count() == 0 and twice.where("b = 9").count() > 0
+
+
+def test_columns_of_the_caller_stay(spark, tmp_dir):
+    docs = spark.createDataFrame([(i, "r", "k", 70 + i, i) for i in range(50)], "doc_id long, _region string, _rack string, shard int, Shard_ int")
+    marked = sharding.with_shard(docs, "at", "doc_id", sharding.Tree.of(8))
+    assert marked.columns == [*docs.columns, "at"] and marked.drop("at").exceptAll(docs).count() == 0
+    sharding.write_shards(docs, f"{tmp_dir}/out")
+    back = [r for s in range(8) for r in sharding.read_shard(spark, f"{tmp_dir}/out", s).select(*docs.columns).collect()]
+    assert sorted(map(tuple, back)) == sorted(map(tuple, docs.collect()))
