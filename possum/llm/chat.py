@@ -47,6 +47,11 @@ class Template:
         return [m for pair in self.turns.values() for m in pair] + list(self.other)
 
 
+def _overlap(a: str, b: str) -> bool:
+    """Whether text that ends in a part of ``a`` followed by ``b`` could be read as ``a`` first."""
+    return (a != b and b in a) or any(b.startswith(a[i:]) for i in range(1, len(a)))
+
+
 class Machine:
     """The template compiled: escape, format one turn, read one turn back, step the order."""
 
@@ -55,6 +60,8 @@ class Machine:
         marks = sorted(template.marks, key=len, reverse=True)
         if len(set(marks)) != len(marks) or any(len(m) < 2 or "\\" in m for m in marks):
             raise ValueError("marks must differ, have two characters or more and no backslash")
+        if any(_overlap(a, b) for a in marks for b in marks):
+            raise ValueError("a mark must not hold another, and no end of a mark may be the beginning of one")
         self._special = re.compile(r"\\|" + "|".join(map(re.escape, marks)))
         self._mark = re.compile(r"\\.|(" + "|".join(map(re.escape, marks)) + ")", re.S)
         self._opens = {pair[0]: role for role, pair in template.turns.items()}

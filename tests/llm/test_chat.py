@@ -59,3 +59,10 @@ def test_own_template(spark):
     df = spark.createDataFrame([(1, 0, "user", "<u>"), (1, 1, "bot", "ok")], "conv_id long, turn long, role string, text string")
     r = chat.conversation_digests(chat.format_turns(df, t), t).first()
     assert r.valid and r.loss_chars == 5 and r.formatted_chars == len("<u><\\u></u><b>ok</b>")
+
+
+def test_marks_that_run_into_each_other_are_refused():
+    for marks in (("##", "@@"), ("<a>", "><"), ("<a>", "x<a>y"), ("ab", "bc"), ("<b>", "<b>>")):
+        with pytest.raises(ValueError):
+            chat.Machine(chat.Template(turns={"user": marks}))
+    chat.Machine(chat.Template())
