@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from possum.llm.common import Scratch, doc_key, packed
 
-# Bounds of the classifier: labelled documents it is fitted on, and words it knows.
+# Default bounds of the classifier: labelled documents it is fitted on, and words it knows.
 LABELLED_ROWS, FEATURES = 30_000, 4_096
 # A word of the classifier tells so many nats about the domains of the labelled documents, and
 # is so many times as common in one of them: common words of a language say little, and together.
@@ -56,19 +56,19 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), *doc_key(F.col(id_col), F.col(text_col)), _words(text).alias("words"))
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, dict[str, int]]:
-    """(word, w0, w1, ...) of at most FEATURES words, and a score for a document with none of them.
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], labelled_rows: int = LABELLED_ROWS, max_words: int = FEATURES) -> tuple[DataFrame, dict[str, int]]:
+    """(word, w0, w1, ...) of at most ``max_words`` words, and a score for a document with none of them.
 
     Bernoulli naive Bayes in millionths: a word that is there adds the log
     odds of its share in a domain, and one that isn't counts as absent.
 
-    Fitted on the documents of LABELLED_ROWS labels at most (by least hash).
+    Fitted on the documents of ``labelled_rows`` labels at most (by least hash).
     An id with several labels takes the last in the order of ``domains``.
     """
     rank = F.array_position(F.array(*map(F.lit, domains)), F.col("domain"))
     one = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.max(rank).cast("int").alias("k"))
-    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    known = docs.join(F.broadcast(sample), "doc_id").select("k", F.array_distinct("words").alias("words"))  # at most 30,000 ids
+    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
+    known = docs.join(F.broadcast(sample), "doc_id").select("k", F.array_distinct("words").alias("words"))  # at most labelled_rows ids
     sizes = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [sizes.get(i + 1, 0) for i in range(len(domains))]
     total = sum(n)
@@ -77,7 +77,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) ->
     share = held / F.lit(float(max(total, 1)))
     gain = reduce(lambda a, b: a + b, (F.when((F.col(f"n{i}") > 0), F.col(f"n{i}") * F.log(F.col(f"n{i}") / F.lit(float(max(n[i], 1))) / share)).otherwise(0.0) for i in range(len(domains))))
     lift = F.greatest(F.lit(0.0), *(F.col(f"n{i}") / F.lit(float(max(n[i], 1))) / share for i in range(len(domains))))
-    best = seen.withColumn("gain", F.round(gain, 6)).where((F.col("gain") >= MIN_GAIN) & (lift >= MIN_LIFT)).orderBy(F.desc("gain"), "word").limit(FEATURES)
+    best = seen.withColumn("gain", F.round(gain, 6)).where((F.col("gain") >= MIN_GAIN) & (lift >= MIN_LIFT)).orderBy(F.desc("gain"), "word").limit(max_words)
     chance = lambda i: (F.col(f"n{i}") + 0.5) / F.lit(n[i] + 1.0)
     whole = lambda c: F.round(c * 1e6).cast("long")
     features = Scratch(docs.sparkSession, "mixing").save(
@@ -93,7 +93,7 @@ def posteriors(docs: DataFrame, features: DataFrame, prior: dict[str, int]) -> D
     k = range(len(prior))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())  # used within one job alone
     rows = numbered.select("row", "doc_id", "k_id", "k_text", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.array_distinct("words")).alias("word"))
-    hits = rows.join(F.broadcast(features), "word", "left")  # at most FEATURES rows
+    hits = rows.join(F.broadcast(features), "word", "left")  # at most max_words rows
     sums = hits.groupBy("row", "doc_id", "k_id", "k_text", "n_words").agg(*(F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"s{i}") for i in k))
     scores = [(F.col(f"s{i}") + F.lit(p)) / 1e6 for i, p in enumerate(prior.values())]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
@@ -169,10 +169,10 @@ def fit_rates(soft: DataFrame, targets: np.ndarray) -> Column:
     raise RuntimeError(f"rates did not settle in {MAX_STEPS} steps: sums {start[1].tolist()}, targets {targets.tolist()}, up to {off} off the nearest")
 
 
-def _soft(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str) -> DataFrame:
+def _soft(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, labelled_rows: int, max_words: int) -> DataFrame:
     scratch = Scratch(df.sparkSession, "mixing")
     docs = _documents(df, id_col, text_col)
-    features, prior = fit_classifier(docs, labelled, domains)
+    features, prior = fit_classifier(docs, labelled, domains, labelled_rows, max_words)
     return scratch.save(posteriors(docs, features, prior))
 
 
@@ -182,11 +182,12 @@ def _rated(soft: DataFrame, targets: np.ndarray) -> DataFrame:
     return soft.withColumn("rate", fit_rates(soft, targets)).withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
 
 
-def mixing_rates(df: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixing_rates(df: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS, max_words: int = FEATURES) -> DataFrame:
     """(doc_id, n_words, p_<domain> ..., rate, copies) for every row.
 
     ``weights`` are the target shares of the domains and ``total`` the words
-    to aim at (default: what the corpus has). A null or empty text has no
+    to aim at (default: what the corpus has). ``labelled_rows`` and
+    ``max_words`` bound the classifier's sample and its words. A null or empty text has no
     words and keeps rate about 1; its posteriors are the priors. Without
     labels every domain has the same posterior. Targets that no rates of 0 or
     more can reach are met as closely as least squares does, to OPTIMAL of the
@@ -196,17 +197,22 @@ def mixing_rates(df: DataFrame, labelled: DataFrame, weights: dict[str, float],
     if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
         raise ValueError("weights must be 0 or more, and one above 0")
     domains = list(weights)
-    soft = _soft(df, labelled, domains, id_col, text_col)
+    soft = _soft(df, labelled, domains, id_col, text_col, labelled_rows, max_words)
     words = float(soft.agg(F.sum("n_words").alias("n")).first()["n"] or 0) if total is None else total
     share = np.array([weights[d] for d in domains], float) / sum(weights.values())
     rated = _rated(soft, share * words)
     return rated.select("doc_id", "n_words", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", "copies")
 
 
-def remix(df: DataFrame, labelled: DataFrame, factors: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, each as often as its ``copies`` says, for targets of ``factors`` times what every domain has now."""
+def remix(df: DataFrame, labelled: DataFrame, factors: dict[str, float], id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS, max_words: int = FEATURES) -> DataFrame:
+    """The rows of ``df``, each as often as its ``copies`` says, for targets of ``factors`` times what every domain has now.
+
+    All columns stay as they are, whatever their names. Null and empty texts,
+    null ids, repeated rows and empty tables count as in ``mixing_rates``;
+    rows of equal id and text come equally often.
+    """
     domains = list(factors)
-    soft = _soft(df, labelled, domains, id_col, text_col)
+    soft = _soft(df, labelled, domains, id_col, text_col, labelled_rows, max_words)
     now = soft.agg(*(F.sum(F.col("n_words") * F.col(f"p{i}")).alias(f"g{i}") for i in range(len(domains)))).first()
     targets = np.array([(now[f"g{i}"] or 0.0) * factors[d] for i, d in enumerate(domains)])
     copies = _rated(soft, targets).groupBy("k_id", "k_text").agg(F.max("copies").alias("k_copies")).where("k_copies > 0")

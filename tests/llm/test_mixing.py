@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from conftest import SF_ORACLE
@@ -80,6 +84,41 @@ def test_odd_documents(spark):
     assert mixing.mixing_rates(no_documents(spark), known, {"a": 1.0}).count() == 0
 
 
+def test_posteriors_against_a_plain_classifier(spark):
+    """Bernoulli naive Bayes in plain Python over whole texts."""
+    docs, marks = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    domains = ["clean", "low", "toxic"]
+    rows = mixing.mixing_rates(docs, mixing.quality_domains(marks), dict.fromkeys(domains, 1.0)).collect()
+    words = {r.doc_id: set(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()}
+    kind = {r.doc_id: "toxic" if r.toxic == 1 else "low" if r.quality == 0 else "clean" for r in marks.collect()}
+    known = [(words[i], domains.index(d)) for i, d in kind.items() if i in words]
+    n = [sum(k == i for _, k in known) for i in range(3)]
+    seen = [Counter(w for ws, k in known if k == i for w in ws) for i in range(3)]
+    chosen = []
+    for w in set().union(*seen):
+        c = [s[w] for s in seen]
+        share = sum(c) / len(known)
+        gain = round(sum(x * math.log(x / m / share) for x, m in zip(c, n, strict=True) if x), 6)
+        if gain >= mixing.MIN_GAIN and max(x / m for x, m in zip(c, n, strict=True)) / share >= mixing.MIN_LIFT:
+            chosen.append((-gain, w))
+    chosen = [w for _, w in sorted(chosen)[: mixing.FEATURES]]
+    chance = {w: [(s[w] + 0.5) / (m + 1) for s, m in zip(seen, n, strict=True)] for w in chosen}
+    assert len(chosen) > 10
+    for r in rows:
+        score = [math.log((m + 1) / (len(known) + 3)) + sum(math.log(p[i] if w in words[r.doc_id] else 1 - p[i]) for w, p in chance.items()) for i, m in enumerate(n)]
+        odds = [math.exp(x - max(score)) for x in score]
+        for d, o in zip(domains, odds, strict=True):  # the weights are whole millionths
+            assert abs(r[f"p_{d}"] - o / sum(odds)) < 1e-3
+
+
+def test_bounds_of_the_classifier(spark):
+    docs = mixing._documents(odd_documents(spark), "doc_id", "text")
+    known = labels(spark, [(4, "a"), (15, "a"), (6, "b"), (10, "b")])
+    assert mixing.fit_classifier(docs, known, ["a", "b"], max_words=0)[0].count() == 0
+    prior = mixing.fit_classifier(docs, known, ["a", "b"], labelled_rows=0)[1]
+    assert prior["a"] == prior["b"]
+
+
 def test_remix_repeats_whole_rows(spark):
     docs = odd_documents(spark)
     same = mixing.remix(docs, labels(spark, []), {"a": 2.0})
