@@ -4,8 +4,12 @@ A vector is rotated pseudo-randomly (three rounds of random signs and a fast
 Walsh-Hadamard transform), and hashed to the signed axis nearest to it
 (Andoni et al., "Practical and Optimal LSH for Angular Distance", 2015). A
 table joins two such hashes. Multiprobe: a vector is stored under the
-``probes`` best keys of each table. Vectors that share a key are compared in
-double precision.
+``probes`` best keys of each table. Vectors that share a key are compared.
+
+What meets under a key are vectors rounded to 16 bits a part, a quarter of the
+doubles, as every vector travels to all its keys. The rounding moves a cosine by less than
+a proven bound (``rounding``): pairs further from the threshold are decided by
+it, and only the few nearer ones are compared again in double precision.
 """
 
 from __future__ import annotations
@@ -22,6 +26,19 @@ from possum.llm.common import Scratch, ship
 from possum.llm.components import components
 
 TABLES, PROBES, SEED = 10, 4, 20240229
+SCALE = 32767  # of a part of a unit vector, rounded to 16 bits
+WIDE = 1_000_003  # keys of different lengths differ in the remainder by it
+
+
+def axes(dim: np.ndarray | int) -> np.ndarray | int:
+    """Signed axes that a vector of ``dim`` parts can hash to: twice the next power of two, at least 4."""
+    return 2 << np.maximum(1, np.ceil(np.log2(np.maximum(dim, 1)))).astype(np.int64)
+
+
+def rounding(dim: np.ndarray | int) -> np.ndarray | float:
+    """Bound on the change of a cosine: each part is off by at most 1 / (2 SCALE), and the parts of a unit vector sum up to at most sqrt(dim)."""
+    off = 0.5 / SCALE
+    return 2 * np.sqrt(dim) * off + dim * off * off + 1e-12
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -39,7 +56,7 @@ def signatures(vectors: np.ndarray, tables: int, probes: int, seed: int = SEED)
     """(rows, tables * probes) keys; a table's keys are its best pairs of signed axes."""
     rng = np.random.default_rng(seed)
     n, dim = vectors.shape
-    size = 1 << max(1, (dim - 1).bit_length())
+    size = int(axes(dim)) // 2
     padded = np.zeros((n, size))
     padded[:, :dim] = vectors
     keys = np.empty((n, tables * probes), np.int64)
@@ -93,65 +110,88 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
     unit = rows.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / top + 0.0)))
     unit = unit.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / F.sqrt(norm2))))
-    unit = scratch.save(unit.withColumn("cid", F.when(F.col("ok"), F.xxhash64("v"))))
-    classes = scratch.save(unit.where("ok").groupBy("cid").agg(F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    names = [F.when(F.col("ok"), F.xxhash64(F.lit(seed), "v")).alias(h) for h, seed in (("h1", 1), ("h2", 2))]  # 128 bits
+    unit = scratch.save(unit.select("vec_id", "ok", "v", *names))
+    grouped = unit.where("ok").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.save(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"))  # numbered once, as it is written
+    widest = classes.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
+    code = next(np.dtype(t) for t in ("u2", "u4", "i8") if int(axes(widest)) ** 2 <= 1 << (8 * np.dtype(t).itemsize - (t == "i8")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths = np.diff(np.asarray(b.column(1).offsets))
             for width in np.unique(lengths):
-                at = np.flatnonzero(lengths == width)
-                part = b.take(pa.array(at))
-                keys = signatures(_matrix(part.column(1), np.float64), tables, probes)
-                keys = keys * 1_000_003 + int(width)  # a length has its own keys
-                yield pa.record_batch([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["cid", "keys"])
-
-    signed = scratch.save(classes.select("cid", "v").mapInArrow(sign, "cid long, keys array<long>"))
+                part = b.take(pa.array(np.flatnonzero(lengths == width)))
+                v = _matrix(part.column(1), np.float64)
+                keys = signatures(v, tables, probes)
+                codes = (keys % int(axes(width)) ** 2).astype(code)
+                short = np.round(v * SCALE).astype(np.int16)
+                keys = keys * WIDE + int(width)  # a length has its own keys
+                bytes_of = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(list(keys), pa.list_(pa.int64())), bytes_of(codes), bytes_of(short)], names=["cid", "n", "keys", "codes", "short"])
+
+    signed = scratch.save(classes.select("cid", "v", "n").mapInArrow(sign, "cid long, n long, keys array<long>, codes binary, short binary"))
     dealt = deal(signed.select("cid", F.explode(F.array_distinct("keys")).alias("key")), "cid")
-    full = dealt.join(signed, "cid").join(classes.select("cid", "v", "n"), "cid")
-    ready = full.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "cid").select("key", "c0", "c1", "c2", "cid", "n", "keys", "v")
+    full = dealt.join(signed.select("cid", "n", "codes", "short"), "cid")
+    ready = full.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "cid").select("key", "c0", "c1", "c2", "cid", "n", "codes", "short")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_blocks(batches, 1 << 14):
             key, cid, n = (t.column(c).to_numpy() for c in ("key", "cid", "n"))
-            v, keys = _matrix_of(t), _matrix(t.column("keys"), np.int64)
-            forest, count = Forest(len(cid)), np.zeros(len(cid), np.int64)
+            codes, _ = _rows_of(t.column("codes"), code)
+            v, width = _rows_of(t.column("short"), np.dtype(np.int16))
+            v, codes = v / SCALE, codes.astype(np.int64)
+            forest, count, doubts = Forest(len(cid)), np.zeros(len(cid), np.int64), []
             for a, b in pairs_in(t):
-                near = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
-                a, b = a[near], b[near]
+                cosine, bound = np.einsum("ij,ij->i", v[a], v[b]), rounding(width[a])
+                close = cosine >= threshold - bound
+                a, b, sure = a[close], b[close], (cosine >= threshold + bound)[close]
                 if not len(a):
                     continue
-                forest.join(a, b)
+                forest.join(a[sure], b[sure])
                 # a pair that shares several keys counts in the block of the least one
-                low = np.full(len(a), np.iinfo(np.int64).max)
+                low, square = np.full(len(a), np.iinfo(np.int64).max), axes(width[a]) ** 2
                 for p in range(tables):
-                    ka, kb = (keys[x, p * probes : (p + 1) * probes] for x in (a, b))
+                    ka, kb = (codes[x, p * probes : (p + 1) * probes] for x in (a, b))
                     shared = (ka[:, :, None] == kb[:, None, :]).any(axis=2)
-                    low = np.minimum(low, np.where(shared, ka, np.iinfo(np.int64).max).min(axis=1))
+                    least = np.where(shared, ka, np.iinfo(np.int64).max).min(axis=1)
+                    low = np.where(shared.any(axis=1), np.minimum(low, (p * square + least) * WIDE + width[a]), low)
                 once = low == key[a]
-                np.add.at(count, a[once], n[b[once]])
-                np.add.at(count, b[once], n[a[once]])
+                np.add.at(count, a[once & sure], n[b[once & sure]])
+                np.add.at(count, b[once & sure], n[a[once & sure]])
+                doubts.append((cid[a[once & ~sure]], cid[b[once & ~sure]]))
             at = np.flatnonzero((forest.root != np.arange(len(cid))) | (count > 0))
-            yield pa.record_batch([pa.array(cid[at]), pa.array(cid[forest.root[at]]), pa.array(count[at])], names=["a", "b", "links"])
-
-    found = scratch.save(ready.mapInArrow(compare, "a long, b long, links long"))
-    roots = components(found.select("a", "b"), scratch)
-    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    named = classes.select("cid", "rep", "n").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+            yield _found(cid[at], cid[forest.root[at]], count[at], True)
+            for a, b in doubts:
+                yield _found(a, b, np.zeros(len(a), np.int64), False)
+
+    found = scratch.save(ready.mapInArrow(compare, "a long, b long, links long, sure boolean"))
+    exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    ends = [classes.select(F.col("cid").alias(c), F.col("v").alias(f"v{c}"), F.col("n").alias(f"n{c}")) for c in ("a", "b")]
+    proven = scratch.save(found.where("not sure").select("a", "b").join(ends[0], "a").join(ends[1], "b").where(exact >= threshold).select("a", "b", "na", "nb"))
+    certain = found.where("sure")
+    roots = components(certain.select("a", "b").union(proven.select("a", "b")), scratch)
+    each = certain.select("a", "links").union(proven.select("a", "nb")).union(proven.select("b", "na"))
+    links = each.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    named = classes.select("cid", "h1", "h2", "rep", "n").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = named.join(least, "root").join(links, "cid", "left").select("cid", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return unit.join(known, "cid", "left").select(
+    known = named.join(least, "root").join(links, "cid", "left").select("h1", "h2", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return unit.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
     )
 
 
-def _matrix_of(t: pa.Table) -> np.ndarray:
-    """The vectors of a block table; shorter ones are padded, and no key is shared between lengths."""
-    col = t.column("v").combine_chunks()
-    lengths = np.diff(np.asarray(col.offsets))
-    flat = np.asarray(col.flatten(), np.float64)
-    out = np.zeros((len(lengths), lengths.max(initial=0)))
-    row = np.repeat(np.arange(len(lengths)), lengths)
+def _found(a: np.ndarray, b: np.ndarray, links: np.ndarray, sure: bool) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(links), pa.array(np.full(len(a), sure))], names=["a", "b", "links", "sure"])
+
+
+def _rows_of(col: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a binary column as numbers, padded with zeros, and their lengths."""
+    rows = col.combine_chunks().to_pylist()
+    lengths = np.array([len(r) for r in rows], np.int64) // kind.itemsize
+    flat = np.frombuffer(b"".join(rows), kind)
+    out = np.zeros((len(rows), lengths.max(initial=0)), kind)
+    row = np.repeat(np.arange(len(rows)), lengths)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-    return out
+    return out, lengths

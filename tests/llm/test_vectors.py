@@ -78,3 +78,31 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(vectors.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(vectors.hadamard(vectors.hadamard(x)), x)
+
+
+def near_threshold(dim, cosines, seed):
+    """Pairs with these cosines, far from each other."""
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, 2 * len(cosines))))
+    out = []
+    for i, c in enumerate(cosines):
+        a, b = q[:, 2 * i], q[:, 2 * i + 1]
+        out += [a, c * a + math.sqrt(1 - c * c) * b]
+    return [v.tolist() for v in out]
+
+
+def test_pairs_that_rounding_cannot_decide(spark):
+    cosines = [0.9 + s * d for d in (1e-9, 1e-7, 1e-5, 1e-4, 1e-3) for s in (-1, 1)]
+    rows = list(enumerate(near_threshold(64, cosines, 2) + near_threshold(300, cosines, 3)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    assert sum(n for _, n, *_ in want) == 2 * len(cosines)  # one of two each
+    assert sorted((tuple(r) for r in vectors.near_vectors(df).collect()), key=repr) == want
+
+
+def test_rounding_stays_inside_its_bound():
+    r = np.random.default_rng(4)
+    for dim in (1, 2, 24, 64, 1000):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in r.normal(size=(2, 2000, dim)))
+        short = lambda x: np.round(x * vectors.SCALE).astype(np.int16) / vectors.SCALE
+        assert np.abs((a * b).sum(axis=1) - (short(a) * short(b)).sum(axis=1)).max() <= vectors.rounding(dim)
+        assert vectors.axes(dim) == 2 << max(1, (dim - 1).bit_length())
