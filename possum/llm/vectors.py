@@ -14,11 +14,11 @@ it, and only the few nearer ones are compared again in double precision.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from possum.llm.blocks import Forest, deal, pairs_in, whole_blocks
@@ -86,6 +86,11 @@ def _matrix(col: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.asarray(col.flatten(), dtype=kind).reshape(n, -1) if n else np.empty((0, 0), kind)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, where a lambda of ``use`` would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -108,8 +113,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     usable = F.coalesce(finite & (F.size("v") > 0) & F.exists("v", lambda x: x != 0), F.lit(False))
     # scaled by the largest part first, so that squares neither overflow nor vanish
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    unit = rows.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / top + 0.0)))
-    unit = unit.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / F.sqrt(norm2))))
+    unit = rows.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), _once(top, lambda m: F.transform("v", lambda x: x / m + 0.0))))
+    unit = unit.withColumn("v", F.when(F.col("ok"), _once(F.sqrt(norm2), lambda m: F.transform("v", lambda x: x / m))))
     names = [F.when(F.col("ok"), F.xxhash64(F.lit(seed), "v")).alias(h) for h, seed in (("h1", 1), ("h2", 2))]  # 128 bits
     unit = scratch.save(unit.select("vec_id", "ok", "v", *names))
     grouped = unit.where("ok").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
