@@ -3,10 +3,12 @@
 A fingerprint is 8 bytes at 8 positions. Two fingerprints at most ``d`` bits
 apart differ in at most ``d`` bytes, so they share at least ``8 - d``
 (position, byte) entries. The index posts every fingerprint under sets of
-``WIDTH`` entries, chosen so that any ``8 - d`` shared entries hold one of the
+``width`` entries, chosen so that any ``8 - d`` shared entries hold one of the
 sets: that is the intersection of single-byte posting lists, which for random
 fingerprints are 1/256 of the table each and could not be tallied pair by
-pair. Pairs met in a posting are tallied over all 8 positions, kept from
+pair. Up to ``8 - d`` the width is free and the links found are the same:
+``n`` fingerprints at width ``w`` cost about ``sets * n**2 / 2**(8 * w + 1)``
+comparisons and ``sets`` postings each, so a larger table takes a larger one. Pairs met in a posting are tallied over all 8 positions, kept from
 ``8 - d`` shared entries on, and verified bit by bit.
 """
 
@@ -26,7 +28,8 @@ from possum.llm.blocks import Forest, deal, pairs_in, whole_blocks
 from possum.llm.common import Scratch, doc_key, packed, ship
 from possum.llm.components import components
 
-POSITIONS, WIDTH = 8, 3
+POSITIONS = 8
+WIDTH = 3  # default entries a posting stands under
 SEED = 42
 
 
@@ -51,12 +54,14 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 @cache
-def posting_sets(max_bits: int) -> tuple[tuple[int, ...], ...]:
+def posting_sets(max_bits: int, width: int = WIDTH) -> tuple[tuple[int, ...], ...]:
     """Sets of positions such that any ``8 - max_bits`` positions contain one of them."""
     sure = POSITIONS - max_bits
     if sure < 1:
         raise ValueError(f"at {max_bits} bits two fingerprints need not share a byte; the index covers up to {POSITIONS - 1}")
-    width = min(WIDTH, sure)
+    if width < 1:
+        raise ValueError(f"a posting stands under at least one entry, not {width}")
+    width = min(width, sure)
     open_ = {frozenset(c) for c in combinations(range(POSITIONS), sure)}
     chosen = []
     while open_:
@@ -80,11 +85,11 @@ def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     return cols.mapInArrow(run, "doc_id long, k_id long, k_text long, fp long")
 
 
-def _links(fps: DataFrame, max_bits: int) -> DataFrame:
+def _links(fps: DataFrame, max_bits: int, width: int = WIDTH) -> DataFrame:
     """(a, b): a spanning forest of the links inside every block of distinct fingerprints."""
     sure = POSITIONS - max_bits
     keys = []
-    for i, places in enumerate(posting_sets(max_bits)):
+    for i, places in enumerate(posting_sets(max_bits, width)):
         key = F.lit(i).cast("long")
         for p in places:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
@@ -109,21 +114,23 @@ def _links(fps: DataFrame, max_bits: int) -> DataFrame:
     return ready.select("key", "c0", "c1", "c2", "fp").mapInArrow(compare, "a long, b long")
 
 
-def _clustered(df: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+def _clustered(df: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, k_text, fp, root, component_id) for every row; ``root`` names the component even where ids are null."""
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.save(fingerprints(df, shingle, id_col, text_col))
     classes = scratch.save(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(scratch.save(_links(classes.select("fp"), max_bits)), scratch)
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    links = scratch.write(_links(classes.select("fp"), max_bits, width))
+    roots = components(df.sparkSession.read.schema("a long, b long").parquet(links), scratch)
+    scratch.drop(links)
+    named = scratch.save(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = scratch.save(named.groupBy("root").agg(F.min("rep").alias("component_id")))
     return docs.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
-def near_documents(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_documents(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
-    Fingerprints link at ``max_bits`` or fewer differing bits; equal
+    Fingerprints link at ``max_bits`` or fewer differing bits at any ``width``; equal
     fingerprints are one node, so exact copies make no pairs, and a dense
     posting is compared in blocks that hand on a spanning forest. A null or
     empty text has fingerprint zero and links like any other. ``component_id``
@@ -131,17 +138,17 @@ def near_documents(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: s
     component of null ids alone has a null one. Repeated rows stay. An empty
     table gives an empty result; other columns are ignored.
     """
-    near = _clustered(df, shingle, max_bits, id_col, text_col)
+    near = _clustered(df, shingle, max_bits, id_col, text_col, width)
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of each component, all columns as they are: the smallest id, null ids last.
 
     Of rows that repeat an id the text with the least hash counts first; of
     rows that repeat id and text any one stays.
     """
-    near = _clustered(df, shingle, max_bits, id_col, text_col)
+    near = _clustered(df, shingle, max_bits, id_col, text_col, width)
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k_id", "k_text")).alias("f")).select("f.k_id", "f.k_text")
     kept = packed(df, id_col, text_col).join(first, ["k_id", "k_text"], "left_semi")
     one = Window.partitionBy("k_id", "k_text").orderBy("k_id")

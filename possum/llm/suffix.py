@@ -123,7 +123,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def interleave(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): rows of all shards in one order by group and symbols, and each row's common prefix with the one before it.
+    """(order, common): the rows of one task's cores by group and symbols (a radix sort), and each row's common prefix with the one before it.
 
     ``group`` is sorted, so the rows begin as one interval for each group; -1
     marks the first row of a group.
@@ -223,7 +223,7 @@ _SPAN = "k_id long, k_text long, lo long, hi long"
 
 
 def _merged(cores: DataFrame) -> DataFrame:
-    """(k_id, k_text, lo, hi): runs of repeated windows, from the merged orders of every core."""
+    """(k_id, k_text, lo, hi): runs of repeated windows, from the order of the strings around every core."""
     ready = cores.withColumns({"key": F.col("h1"), "c1": F.col("h2"), "c2": F.lit(0)}).drop("h1", "h2").repartition("key", "c1").sortWithinPartitions("key", "c1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

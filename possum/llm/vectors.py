@@ -178,8 +178,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     roots = components(certain.select("a", "b").union(proven.select("a", "b")), scratch)
     each = certain.select("a", "links").union(proven.select("a", "nb")).union(proven.select("b", "na"))
     links = each.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    named = classes.select("cid", "h1", "h2", "rep", "n").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = scratch.save(classes.select("cid", "h1", "h2", "rep", "n").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "h1", "h2", "rep", "n", F.coalesce("root", "cid").alias("root")))
+    least = scratch.save(named.groupBy("root").agg(F.min("rep").alias("component_id")))
     known = named.join(least, "root").join(links, "cid", "left").select("h1", "h2", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return unit.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),

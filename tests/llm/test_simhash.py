@@ -63,15 +63,23 @@ def test_keep_one_keeps_the_smallest_id_of_each_component(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want - {None})
 
 
+@pytest.mark.parametrize("width", [1, 3, 4, 8])
 @pytest.mark.parametrize("bits", [0, 1, 4, 5, 7])
-def test_posting_sets_meet_every_pair(bits):
-    sets = simhash.posting_sets(bits)
+def test_posting_sets_meet_every_pair(bits, width):
+    sets = simhash.posting_sets(bits, width)
     assert all(any(set(s) <= set(c) for s in sets) for c in combinations(range(8), 8 - bits))
 
 
+@pytest.mark.parametrize("width", [1, 4])
+def test_width_changes_no_result(spark, width):
+    assert Counter(map(tuple, simhash.near_documents(odd_documents(spark), width=width).collect())) == brute(odd_texts())
+
+
 def test_too_many_bits():
     with pytest.raises(ValueError):
         simhash.posting_sets(8)
+    with pytest.raises(ValueError):
+        simhash.posting_sets(4, 0)
 
 
 def test_dense_bucket_in_small_blocks(spark, monkeypatch):
