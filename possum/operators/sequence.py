@@ -6,8 +6,8 @@ work. ``previous_value`` splits each key into ranges of ``seq`` (buckets):
 
 1. inside each (key, bucket) a window gives the previous row of the bucket;
 2. a partial aggregate gives each (key, bucket)'s last row (``max_by``);
-3. a window over those per-bucket summaries (``rows / bucket_width`` rows per
-   key at most) gives, for every bucket, the last row of the nearest earlier
+3. a window over those per-bucket summaries (one row per non-empty bucket of a
+   key) gives, for every bucket, the last row of the nearest earlier
    non-empty bucket;
 4. the first row of each bucket takes that value (one join of the small
    summary onto the window output, which is already partitioned by
@@ -25,7 +25,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 40
+RANGES = 1 << 12  # ranges the log's seq values are cut into where no width is given
+
+
+def measured_width(df: DataFrame, seq_col: str, ranges: int = RANGES) -> int:
+    """The bucket width that cuts the seq values of ``df`` into at most ``ranges + 1`` ranges.
+
+    One aggregate over one column; 1 for a table without seq values."""
+    ends = df.agg(F.min(seq_col).alias("lo"), F.max(seq_col).alias("hi")).first()
+    return 1 if ends["lo"] is None else (ends["hi"] - ends["lo"]) // ranges + 1
 
 
 def previous_value(
@@ -34,12 +42,17 @@ def previous_value(
     seq_col: str,
     value_col: str,
     tie_cols: Sequence[str] = (),
-    bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    bucket_width: int | None = None,
     prev_col: str = "prev",
     has_prev_col: str = "has_prev",
 ) -> DataFrame:
     """Add ``prev`` (the value of the row before in the key's order) and
-    ``has_prev`` (false for the key's first row). ``seq_col`` must be integral."""
+    ``has_prev`` (false for the key's first row). ``seq_col`` must be integral.
+    ``bucket_width``: seq values per range; by default the range the log spans
+    is measured and cut into ``RANGES``, so a key has that many summaries at
+    most and a hot key spread over time as many tasks."""
+    if bucket_width is None:
+        bucket_width = measured_width(df, seq_col)
     keys = list(key_cols)
     order = [F.col(seq_col)] + [F.col(c) for c in tie_cols]
     # integral division: seq values may exceed the range a double holds exactly

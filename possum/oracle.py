@@ -452,6 +452,21 @@ FK_VIOLATIONS_AFTER_LOG = with_pos(
     body=_fk("orderline.product_id", "ol_final", ["product_id"], "new_product", ["id"]))
 
 
+ETL_TABLES = f"""
+WITH c AS ({CLEAN_CUSTOMERS}), z AS ({CITIES}), o AS ({CLEAN_ORDERS}), l AS ({CSV_ORDER_LINES}),
+     p AS ({CLEAN_PRODUCTS}), h AS ({PRICE_HISTORY_INITIAL}), v AS ({PRODUCT_BUYERS})
+SELECT 'customer' AS source, CAST(id AS VARCHAR) AS key,
+       concat_ws('|', firstName, lastName, email, address1, address2, phone, birthdate, zip) AS value FROM c
+UNION ALL SELECT 'city', zip, concat_ws('|', city, state) FROM z
+UNION ALL SELECT 'order', CAST(id AS VARCHAR), concat_ws('|', datePlaced, dateShipped, customer_id) FROM o
+UNION ALL SELECT 'orderline', concat_ws(':', order_id, product_id), CAST(quantity AS VARCHAR) FROM l
+UNION ALL SELECT 'product', CAST(id AS VARCHAR),
+       concat_ws('|', name, CAST(round(currentPrice * 100) AS BIGINT), availableQuantity) FROM p
+UNION ALL SELECT 'price_history', CAST(product_id AS VARCHAR),
+       concat_ws('|', CAST(round(oldPrice * 100) AS BIGINT), CAST(round(newPrice * 100) AS BIGINT)) FROM h
+UNION ALL SELECT 'mv_ProductBuyers', CAST(productID AS VARCHAR), concat_ws('|', productName, customers) FROM v
+"""
+
 SQL: dict[str, str] = {
     "csv_one_file": CSV_ORDER_LINES,
     "csv_line_breaks": CSV_LINE_BREAKS,
@@ -486,6 +501,7 @@ SQL: dict[str, str] = {
     "published_state_month_products": STATE_MONTH_PRODUCTS,
     "fk_violations_injected": FK_VIOLATIONS_INJECTED,
     "csv_order_lines": CSV_ORDER_LINES,
+    "etl_tables": ETL_TABLES,
     "price_history_initial": PRICE_HISTORY_INITIAL,
     "prod_docs": PROD_DOCS,
     "cust_docs": CUST_DOCS,

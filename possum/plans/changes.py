@@ -73,8 +73,7 @@ def price_history_changes(product: DataFrame, log: DataFrame, bucket_width: int
     seq per product, ties by price. ``old != new`` is false for a null on
     either side, as in the reference's trigger (Q9)."""
     changes = log.select(F.col("id").alias("product_id"), "seq", F.col("currentPrice").alias("newPrice"), "ts")
-    kwargs = {"bucket_width": bucket_width} if bucket_width else {}
-    prev = previous_value(changes, ["product_id"], "seq", "newPrice", tie_cols=["newPrice"], **kwargs)
+    prev = previous_value(changes, ["product_id"], "seq", "newPrice", tie_cols=["newPrice"], bucket_width=bucket_width)
     base = product.select(F.col("id").alias("product_id"), F.col("currentPrice").alias("_base"))
     withbase = prev.join(base, "product_id", "left")
     old = F.when(F.col("has_prev"), F.col("prev")).otherwise(F.col("_base"))

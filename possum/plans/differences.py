@@ -29,7 +29,7 @@ MONTH_FACT_KEYS = ["zip", "OrderMonth", "product_id"]
 
 
 def with_images(base: DataFrame, log: DataFrame, key_cols: Sequence[str], image_cols: Sequence[str], tie_cols: Sequence[str] = (),
-                bucket_width: int = 1 << 40) -> DataFrame:
+                bucket_width: int | None = None) -> DataFrame:
     """The log with ``before``: the struct of ``image_cols`` that the change found, null if there was no row.
 
     ``base`` is the table before the log; ``seq`` of the log is 0 or more.

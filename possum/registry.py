@@ -12,8 +12,9 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +205,42 @@ def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("id", "address1", "zip", F.lit("good").alias("kind")).unionByName(bad.select("id", "address1", "zip", F.lit("bad").alias("kind")))
 
 
+def etl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK6, SNK7: the whole load: four CSV extracts through ``jobs.run_etl``, and
+    every row of the tables, the cached view and the violations that it
+    published, as text by table and key."""
+    from possum.plans import jobs
+    from possum.sources.sinks import read_published
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/etl/{uuid.uuid4().hex}"
+    lines = td.read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_partkey").cast("string").alias("product_id"))
+    raw = {"customers": td.raw_customers(spark, sf_dir), "orders": td.raw_orders(spark, sf_dir),
+           "products": td.raw_products(spark, sf_dir), "orderlines": lines}
+    for kind, df in raw.items():
+        csv_source.write_extract(df, f"{root}/extracts/{kind}.csv")
+    jobs.run_etl(spark, f"{root}/extracts", f"{root}/tables", as_of=AS_OF, line_breaks="none")
+
+    def cents(price: str) -> Column:
+        return (F.col(price) * 100).cast("long")
+
+    values = {
+        "customer": (["id"], ["firstName", "lastName", "email", "address1", "address2", "phone", "birthdate", "zip"]),
+        "city": (["zip"], ["city", "state"]),
+        "order": (["id"], ["datePlaced", "dateShipped", "customer_id"]),
+        "orderline": (["order_id", "product_id"], ["quantity"]),
+        "product": (["id"], ["name", cents("currentPrice"), "availableQuantity"]),
+        "price_history": (["product_id"], [cents("oldPrice"), cents("newPrice")]),
+        "mv_ProductBuyers": (["productID"], ["productName", "customers"]),
+        "_violations": (["source", "kind", "key"], ["n"]),
+    }
+    parts = [read_published(spark, f"{root}/tables/{name}").select(
+        F.lit(name).alias("source"), F.concat_ws(":", *keys).alias("key"),
+        F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]).alias("value"))
+        for name, (keys, cols) in values.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- documents (QRY2-QRY5) ------------------------------------------------------------
 
 def prod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "csv_order_lines": csv_order_lines,
     "csv_one_file": csv_one_file,
     "csv_line_breaks": csv_line_breaks,
+    "etl_tables": etl_tables,
     "price_history_initial": price_history_initial,
     "prod_docs": prod_docs,
     "cust_docs": cust_docs,

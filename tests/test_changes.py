@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from possum import schemas
-from possum.operators.sequence import previous_value
+from possum.operators.sequence import measured_width, previous_value
 from possum.plans import changes, views
 from possum.operators.checks import table_diff
 from pos_fixture import pos
@@ -32,6 +32,15 @@ def test_price_history_rules(spark):
     assert rows == [(2, 2, Decimal("5.00"), Decimal("15.00")), (2, 6, Decimal("7.00"), Decimal("8.00"))]
 
 
+def test_measured_width_spreads_a_hot_key(spark):
+    log = spark.range(20_000).selectExpr("0L as k", "id * 1000003 - 7 as seq", "id as v")
+    width = measured_width(log, "seq", ranges=64)
+    assert 64 <= log.selectExpr(f"seq div {width} as b").distinct().count() <= 65
+    got = previous_value(log, ["k"], "seq", "v")
+    assert got.where("prev = v - 1 and has_prev").count() == 19_999 and got.where("not has_prev and v = 0").count() == 1
+    assert measured_width(log.limit(0), "seq") == 1 and previous_value(log.limit(0), ["k"], "seq", "v").count() == 0
+
+
 def test_previous_value_matches_window_lag(spark):
     rng = random.Random(7)
     data = [(rng.randint(0, 3), i * 3 + rng.randint(0, 2), rng.choice([None, 1, 2, 3])) for i in range(300)]
