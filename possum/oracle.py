@@ -467,6 +467,16 @@ UNION ALL SELECT 'price_history', CAST(product_id AS VARCHAR),
 UNION ALL SELECT 'mv_ProductBuyers', CAST(productID AS VARCHAR), concat_ws('|', productName, customers) FROM v
 """
 
+REPORT_FILES = f"""
+SELECT 'q1' AS report, CAST(CustomerID AS VARCHAR) AS key, CAST(doc AS VARCHAR) AS value FROM ({CUSTOMERS_IN_STATE})
+UNION ALL SELECT 'q2', CAST(CustomerID AS VARCHAR),
+       concat_ws('|', CustomerName, CAST(round(totalOrderCost * 100) AS BIGINT)) FROM ({VIP_CUSTOMERS})
+UNION ALL SELECT 'q3', CAST(ProductID AS VARCHAR), concat_ws('|', ProductName, CAST(ProductBuyers AS VARCHAR)) FROM ({PRODUCT_RECALL})
+UNION ALL SELECT 'q4', CAST(CustomerID AS VARCHAR), CAST(doc AS VARCHAR) FROM ({ORDER_ANOMALIES})
+UNION ALL SELECT 'q5', CAST(ProductID AS VARCHAR), concat_ws('|', ProductName, TotalStatePurchases) FROM ({STATE_TOP_PRODUCTS})
+UNION ALL SELECT 'q6', CAST(ProductID AS VARCHAR), concat_ws('|', ProductName, TotalStatePurchases, "rank") FROM ({STATE_MONTH_PRODUCTS})
+"""
+
 SQL: dict[str, str] = {
     "csv_one_file": CSV_ORDER_LINES,
     "csv_line_breaks": CSV_LINE_BREAKS,
@@ -493,6 +503,7 @@ SQL: dict[str, str] = {
     "csv_products": CLEAN_PRODUCTS,
     "product_buyers_week": PRODUCT_BUYERS_WEEK,
     "cust_docs_week": CUST_DOCS_WEEK,
+    "report_files": REPORT_FILES,
     "published_customers_in_state": CUSTOMERS_IN_STATE,
     "published_vip_customers": VIP_CUSTOMERS,
     "published_product_recall": PRODUCT_RECALL,

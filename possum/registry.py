@@ -437,6 +437,36 @@ def published_state_month_products(spark: SparkSession, sf_dir: str) -> DataFram
     return reports.state_month_products_from_docs(_published(spark, sf_dir, "custom2"), STATE, MONTH)
 
 
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK8: tables to published collections to the six reports' JSON files
+    (``jobs.run_export``, ``jobs.run_reports``); every line of the files, as
+    text by report and key."""
+    from possum.plans import jobs
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports/{uuid.uuid4().hex}"
+    tables = td.pos_tables(spark, sf_dir)
+    for name in ("customer", "city", "order", "orderline", "product"):
+        getattr(tables, name).write.parquet(f"{root}/tables/{name}")
+    jobs.run_export(spark, f"{root}/tables", f"{root}/published")
+    jobs.run_reports(spark, f"{root}/published", f"{root}/out", STATE, MONTH, PRODUCT_ID, TOTAL_OVER, QUANTITY_OVER, TOP_K)
+    product = "ProductID long, ProductName string"
+    fields = {
+        "q2": ("CustomerID long, CustomerName string, totalOrderCost decimal(28,2)", "CustomerName", (F.col("totalOrderCost") * 100).cast("long")),
+        "q3": (f"{product}, ProductBuyers array<struct<CustomerID:long,CustomerName:string>>", "ProductName", F.to_json("ProductBuyers")),
+        "q5": (f"{product}, TotalStatePurchases long", "ProductName", F.col("TotalStatePurchases")),
+        "q6": (f"{product}, TotalStatePurchases long, rank long", "ProductName", F.concat_ws("|", F.col("TotalStatePurchases").cast("string"), F.col("rank").cast("string"))),
+    }
+    parts = []
+    for name in ("q1", "q4"):  # whole documents, as they lie in the file
+        lines = spark.read.text(f"{root}/out/{name}")
+        parts.append(lines.select(F.lit(name).alias("report"), F.get_json_object("value", "$.CustomerID").alias("key"), "value"))
+    for name, (schema, label, value) in fields.items():
+        rows = spark.read.schema(schema).json(f"{root}/out/{name}")
+        parts.append(rows.select(F.lit(name).alias("report"), F.col(rows.columns[0]).cast("string").alias("key"),
+                                 F.concat_ws("|", label, value.cast("string")).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- changes (CHG1-CHG4, UDF1) -------------------------------------------------------------
 
 ORDERLINE_KEY = ["order_id", "product_id"]
@@ -737,6 +767,7 @@ QUERIES: dict[str, Query] = {
     "published_order_anomalies": published_order_anomalies,
     "published_state_top_products": published_state_top_products,
     "published_state_month_products": published_state_month_products,
+    "report_files": report_files,
     "apply_changes": apply_changes,
     "price_history_changes": price_history_changes,
     "price_history_stream": price_history_stream,
