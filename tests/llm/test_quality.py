@@ -114,3 +114,16 @@ def test_bounds_of_the_samples(judged):
     assert len(few) == 40 and {r.held for r in few} == {True, False}
     with pytest.raises(ValueError):
         quality.trusted_ids(labels, held_rows=0)
+
+
+def test_every_trusted_document_counts(spark):
+    """No bound on the labelled documents: all are in the target counts, all set the threshold."""
+    labels = spark.range(30_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    ids = quality.trusted_ids(labels)
+    assert ids.count() == 30_000 and ids.where("held").count() == 0
+
+
+def test_lower_edge_counts_all_rows(spark):
+    means = spark.range(1000).selectExpr("id * 1000 * 10 as score", "10L as n_grams")
+    assert quality._lower_edge(means) == 5  # thousandths 0 to 4 are the 0.005 that may be lost
+    assert quality._lower_edge(means.where("score < 0")) is None
