@@ -37,7 +37,7 @@ def with_images(base: DataFrame, log: DataFrame, key_cols: Sequence[str], image_
     image = F.struct(*image_cols)
     first = base.select(F.lit(-1).cast("long").alias("seq"), F.lit("I").alias("op"), *key_cols, *image_cols)
     rows = first.unionByName(log.select(*first.columns)).withColumn("_now", F.when(F.col("op") != F.lit(DELETE), image))
-    seen = previous_value(rows, key_cols, "seq", "_now", tie_cols=[*tie_cols, "op"], bucket_width=bucket_width, prev_col="before", has_prev_col="_had")
+    seen = previous_value(rows, key_cols, "seq", "_now", tie_cols=[*tie_cols, "op"], bucket_width=bucket_width, prev_col="before", has_prev_col="_had", sizes=log)
     return seen.where("seq >= 0").drop("_now", "_had")
 
 

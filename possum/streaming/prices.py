@@ -6,11 +6,9 @@ its own row takes the price of the one before, and the row of the one after
 must be written again. So each batch
 
 1. appends its changes to the log;
-2. finds the nearest earlier and the nearest later logged change of each of
-   its rows (two as-of joins on the log of the batch's products);
-3. takes the previous price within (earlier, batch, later) rows and appends a
-   link for every batch row and every later row: the change, the place of the
-   change before it, and that one's price.
+2. takes the previous change of every logged change of the batch's products;
+3. appends a link for every batch row and every row that now follows a batch
+   row: the change, the place of the change before it, and that one's price.
 
 A change's true predecessor is the latest one before it, and more data can
 only move it closer. So of all links of a change the one with the latest
@@ -27,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from possum.operators.asof import as_of
-from possum.operators.sequence import previous_value
+from possum.operators.sequence import previous_in_ranges, range_cols, with_ranges
 from possum.schemas import PRICE, PRODUCT_CHANGE
 from possum.sources import sinks
 
 LOG = T.StructType([T.StructField("product_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("newPrice", PRICE),
                     T.StructField("ts", T.TimestampNTZType())])
+FEW_PRODUCTS = 1 << 19
 LINK = T.StructType([*LOG.fields, T.StructField("prev_seq", T.LongType()), T.StructField("oldPrice", PRICE)])
 
 
@@ -41,7 +39,7 @@ class PriceHistoryStream:
     """``product``: the table before the log, whose price comes before a
     product's first change. Several changes of one product at one ``seq`` are
     one, by the largest price (null only if all are). ``bucket_width``: the
-    range of ``seq`` that is one task's share of a product."""
+    range of ``seq`` that is one task's share of a product with many changes."""
 
     def __init__(self, spark: SparkSession, root: str, product: DataFrame, bucket_width: int, compact_after: int = 32):
         self.spark, self.root, self.product = spark, root.rstrip("/"), product
@@ -53,24 +51,22 @@ class PriceHistoryStream:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{n}" for n in names])
 
-    def _one_each(self, rows: DataFrame) -> DataFrame:
-        """One change a (product, seq)."""
-        top = F.max_by(F.struct("newPrice", "ts"), F.struct("newPrice", "ts"))
-        return rows.groupBy("product_id", "seq").agg(top.alias("_c")).select("product_id", "seq", "_c.newPrice", "_c.ts")
-
     def apply_batch(self, batch: DataFrame, name: str) -> None:
         changes = batch.select(F.col("id").alias("product_id"), "seq", F.col("currentPrice").alias("newPrice"), F.col("ts").cast("timestamp_ntz").alias("ts"))
         changes.where("product_id is not null and seq is not null").write.mode("overwrite").parquet(f"{self.root}/log/{name}")
-        new = self._one_each(self.spark.read.schema(LOG).parquet(f"{self.root}/log/{name}"))
-        # the log of the batch's products, the batch's own changes among it
-        known = self._one_each(self._read("log", LOG).join(new.select("product_id").distinct(), "product_id", "left_semi"))
-        marks = known.select("product_id", "seq", F.struct("seq", "newPrice", "ts").alias("c"))
-        around = [as_of(new, marks, ["product_id"], "seq", "c", self.bucket_width, forward=f, strict=True).where("c is not null") for f in (False, True)]
-        own = known.join(new.select("product_id", "seq"), ["product_id", "seq"], "left_semi").withColumn("_write", F.lit(True))
-        sides = [a.select("product_id", "c.*", F.lit(f).alias("_write")) for a, f in zip(around, (False, True), strict=True)]
-        rows = own.unionByName(sides[0]).unionByName(sides[1]).groupBy("product_id", "seq", "newPrice", "ts").agg(F.max("_write").alias("_write"))
-        here = rows.withColumn("_at", F.struct("seq", "newPrice"))
-        linked = previous_value(here, ["product_id"], "seq", "_at", bucket_width=self.bucket_width).where("_write")
+        new = self.spark.read.schema(LOG).parquet(f"{self.root}/log/{name}")
+        earlier = self._read("log", LOG, without=name)
+        products = new.select("product_id").distinct()
+        # links come of the batch's products alone; cutting the log to them pays where they are few enough to broadcast
+        if products.limit(FEW_PRODUCTS + 1).count() <= FEW_PRODUCTS:
+            earlier = earlier.join(F.broadcast(products), "product_id", "left_semi")
+        rows = earlier.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+        ranged = with_ranges(rows, ["product_id"], "seq", self.bucket_width)
+        # the rows move once: grouping to one change a (product, seq) and the window below find them where they are
+        parts = range_cols(ranged, ["product_id"])
+        known = ranged.repartition(*parts).groupBy(*parts, "seq").agg(F.max(F.struct("newPrice", "ts")).alias("_c"), F.max("_new").alias("_new"))
+        here = known.select(*parts, "seq", "_c.newPrice", "_c.ts", "_new", F.struct("seq", "_c.newPrice", "_new").alias("_at"))
+        linked = previous_in_ranges(here, ["product_id"], "seq", "_at").where(F.col("_new") | F.coalesce("prev._new", F.lit(False)))
         links = linked.select("product_id", "seq", "newPrice", "ts", F.col("prev.seq").alias("prev_seq"), F.col("prev.newPrice").alias("oldPrice"))
         links.write.mode("overwrite").parquet(f"{self.root}/links/{name}")
         if len(sinks.folders(self.spark, f"{self.root}/links")) > self.compact_after:

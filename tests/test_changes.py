@@ -4,10 +4,12 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from possum import schemas
+from possum.operators import sequence
 from possum.operators.sequence import measured_width, previous_value
 from possum.plans import changes, views
 from possum.operators.checks import table_diff
@@ -128,3 +130,16 @@ def test_customer_rename_refresh_equals_rebuild(spark):
     rebuilt = views.product_buyers(t.product, renamed, t.order, t.orderline)
     assert table_diff(rebuilt, refreshed).count() == 0
     assert rebuilt.where("productID = 1").first()["customers"] == "9 Nina Nueve,10 Ten Tenor"
+
+
+@pytest.mark.parametrize("hot_rows", [1, 40, 1 << 17])
+def test_previous_value_splits_frequent_keys_only(spark, monkeypatch, hot_rows):
+    """Whichever keys are split, the result is the plain lag; rows of other keys move once."""
+    monkeypatch.setattr(sequence, "HOT_ROWS", hot_rows)
+    rows = [(None if k == 3 else k, s, s * 7 % 11 or None) for k, n in ((1, 300), (2, 30), (3, 60), (4, 1)) for s in range(n)]
+    df = spark.createDataFrame(rows, "k long, seq long, v long")
+    got = previous_value(df, ["k"], "seq", "v", bucket_width=17)
+    want = {(k, s): (v[s - 1] if s else None, s > 0) for k in (1, 2, None, 4) for v in [[x[2] for x in rows if x[0] == k]] for s in range(len(v))}
+    assert {(r["k"], r["seq"]): (r["prev"], r["has_prev"]) for r in got.collect()} == want
+    moved = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in moved) == (hot_rows < 300)
