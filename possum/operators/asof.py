@@ -6,7 +6,8 @@ key would still bring a hot key's times into one task, so times are cut into
 ranges (``width``): a window inside each (key, range) finds the nearest row of
 the range, a partial aggregate gives each range's nearest-to-the-edge row, and
 a window over those, one row a non-empty range, carries it into the ranges
-that hold none.
+that hold none. Where a key has few times (days, say), no width is given and
+one window a key does it all.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def as_of(
     keys: Sequence[str],
     time: str,
     value: str,
-    width: int,
+    width: int | None,
     forward: bool = False,
     strict: bool = False,
 ) -> DataFrame:
@@ -50,12 +51,18 @@ def as_of(
     # at equal times the log row comes before the point that may see it
     marks = log.where(known).select(*keys, (F.col(time) * sign).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_v"))
     points = points.select(*keys, "_t", F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(marks.schema["_v"].dataType).alias("_v"))
-    both = marks.unionByName(points).withColumn("_r", _range("_t", width))
+    both = marks.unionByName(points)
+    here = F.col("_side") == (0 if strict else 1)
+    if width is None:
+        whole = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        near = both.withColumn("_near", F.last("_v", ignorenulls=True).over(whole)).where(here)
+        return near.select(*keys, (F.col("_t") * sign).alias(time), F.col("_near")["v"].alias(value))
+    both = both.withColumn("_r", _range("_t", width))
 
     order = Window.partitionBy(*keys, "_r").orderBy("_t", "_side")
     inside = both.withColumn("_near", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ends = both.groupBy(*keys, "_r").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_end"))
     ranges = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_r", F.last("_end", ignorenulls=True).over(ranges).alias("_carry"))
-    found = inside.where(F.col("_side") == (0 if strict else 1)).join(carried, [*keys, "_r"])
+    found = inside.where(here).join(carried, [*keys, "_r"])
     return found.select(*keys, (F.col("_t") * sign).alias(time), F.coalesce("_near", "_carry")["v"].alias(value))

@@ -81,7 +81,7 @@ PRICE_DAYS = 64  # days of one range of the price lookup
 
 
 def order_totals_as_of(order: DataFrame, orderline: DataFrame, product: DataFrame, price_log: DataFrame,
-                       days: int = PRICE_DAYS) -> DataFrame:
+                       days: int | None = PRICE_DAYS) -> DataFrame:
     """AG4 at the price of purchase: (order_id, customer_id, OrderTotal).
 
     A line counts at its product's last logged price on or before the order's
@@ -91,7 +91,8 @@ def order_totals_as_of(order: DataFrame, orderline: DataFrame, product: DataFram
     lines without a product are absent, as in ``order_totals``.
 
     ``price_log``: (seq, id, currentPrice, ts). The lookup sees each
-    (product, day) once, in ranges of ``days``."""
+    (product, day) once, in ranges of ``days``; with None a product is one
+    window, of no more rows than twice the days there are."""
     day = F.unix_date(F.col("ts").cast("date")).cast("long")
     last = F.max_by("currentPrice", F.struct("seq", "currentPrice")).alias("price")
     daily = price_log.where("currentPrice is not null").groupBy(F.col("id").alias("product_id"), day.alias("day")).agg(last)

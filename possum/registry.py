@@ -299,9 +299,10 @@ def zip_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_totals_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG4 at the price of purchase: each line at its product's price on the order's date."""
+    """AG4 at the price of purchase: each line at its product's price on the order's date.
+    A day is in the lookup once, so a few thousand days a product need no ranges."""
     t = td.pos_tables(spark, sf_dir)
-    return _iso(D.order_totals_as_of(t.order, _line_quantities(spark, sf_dir), t.product, td.price_log(spark, sf_dir)))
+    return _iso(D.order_totals_as_of(t.order, _line_quantities(spark, sf_dir), t.product, td.price_log(spark, sf_dir), days=None))
 
 
 # One week of order lines: most products have no buyer and most customers no

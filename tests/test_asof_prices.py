@@ -86,3 +86,15 @@ def test_several_changes_at_one_place_are_the_largest(spark, tmp_path):
     for i, part in enumerate([[row(5, D("2.00")), row(9, D("4.00"))], [row(5, D("3.00"))], [row(5, None)]]):
         m.apply_batch(spark.createDataFrame(part, LOG), f"b{i}")
     assert [(r["seq"], r["oldPrice"], r["newPrice"]) for r in m.history().orderBy("seq").collect()] == [(5, D("1.00"), D("3.00")), (9, D("3.00"), D("4.00"))]
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_as_of_in_one_window(spark, forward, strict):
+    """Without a width the lookup gives the same rows and moves each once."""
+    rng = random.Random(9)
+    asked = spark.createDataFrame([(rng.randrange(5), rng.randrange(-60, 60)) for _ in range(200)], "k long, t long")
+    log = spark.createDataFrame([(k, t, t) for k in range(4) for t in rng.sample(range(-60, 60), 20)], "k long, t long, v long")
+    whole, cut = (as_of(asked, log, ["k"], "t", "v", w, forward, strict) for w in (None, 16))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, cut.collect()))
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
