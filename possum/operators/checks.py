@@ -17,18 +17,25 @@ def _key_text(cols: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
 
-def pk_violations(df: DataFrame, key_cols: Sequence[str], table: str) -> DataFrame:
+TASK_KEYS = 1 << 19  # keys that one task counts
+
+
+def pk_violations(df: DataFrame, key_cols: Sequence[str], table: str, rows: int | None = None) -> DataFrame:
     """CHK1: (table, kind, key, n). ``duplicate``: a key held by n > 1 rows;
     ``null key``: n rows with a null in a key column (key is empty).
 
-    Both are partial aggregates: a key repeated a million times is counted
-    map-side first."""
+    Keys are counted in memory, and nearly all are there once, so a task takes
+    ``TASK_KEYS`` of them whatever the table's size. ``rows``: how many rows
+    the table has at most, counted here by default. A table of one task's keys
+    is a partial aggregate: a repeated key is counted map-side first."""
     keys = list(key_cols)
     any_null = F.lit(False)
     for c in keys:
         any_null = any_null | F.col(c).isNull()
     counted = df.select(*keys).withColumn("_null", any_null)
-    dups = (counted.where(~F.col("_null")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    tasks = -(-(df.count() if rows is None else rows) // TASK_KEYS)
+    known = counted.where(~F.col("_null"))
+    dups = ((known.repartition(tasks, *keys) if tasks > 1 else known).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > 1)
             .select(F.lit(table).alias("table"), F.lit("duplicate").alias("kind"),
                     _key_text(keys).alias("key"), F.col("n")))

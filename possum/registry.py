@@ -637,7 +637,7 @@ def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.pk_violations(t.customer, schemas.PRIMARY_KEYS["customer"], "customer"),
         checks.pk_violations(t.city, schemas.PRIMARY_KEYS["city"], "city"),
         checks.pk_violations(t.order, schemas.PRIMARY_KEYS["order"], "order"),
-        checks.pk_violations(t.orderline, schemas.PRIMARY_KEYS["orderline"], "orderline"),
+        checks.pk_violations(t.orderline, schemas.PRIMARY_KEYS["orderline"], "orderline", rows=li.count()),
         checks.pk_violations(t.product, schemas.PRIMARY_KEYS["product"], "product"),
         # The raw line number is not a key of the extract: its repeats are listed.
         checks.pk_violations(li, ["l_orderkey", "l_linenumber"], "lineitem"),
