@@ -50,9 +50,10 @@ def line_differences(feed: DataFrame) -> DataFrame:
 
 
 def _located(lines: DataFrame, order: DataFrame, customer: DataFrame) -> DataFrame:
+    """Lines with their zip and month. Orders meet their customers first, so the lines move for one join only."""
     o = order.select(F.col("id").alias("order_id"), "customer_id", F.month("datePlaced").alias("OrderMonth"))
     c = customer.select(F.col("id").alias("customer_id"), "zip")
-    return lines.join(o, "order_id").join(c, "customer_id")
+    return lines.join(o.join(c, "customer_id").drop("customer_id"), "order_id")
 
 
 def _price(col: str) -> Column:
