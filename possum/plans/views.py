@@ -44,7 +44,12 @@ def product_buyers(
     orderline: DataFrame,
 ) -> DataFrame:
     """QRY1: productID, productName, customers (null when never sold)."""
-    lists = buyer_strings(buyer_pairs(orderline, order), customer)
+    return product_buyers_of(product, customer, buyer_pairs(orderline, order))
+
+
+def product_buyers_of(product: DataFrame, customer: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``product_buyers`` from its distinct (product_id, customer_id) pairs."""
+    lists = buyer_strings(pairs, customer)
     product_id, product_name, customers = fixed.VIEW_COLUMNS
     p = product.select(F.col("id").alias("product_id"), F.col("name").alias(product_name))
     return p.join(lists, "product_id", "left").select(

@@ -58,8 +58,11 @@ class ChangeTable:
 
     def state(self, only: DataFrame | None = None) -> DataFrame:
         """The last change per key, deletes included. ``only``: rows to cut to, by
-        a semi join on its columns (part of the key) before anything is aggregated."""
+        a semi join on its columns (part of the key) before anything is aggregated.
+        The base holds a key once, so without change folders it is the state."""
         rows = self.rows() if only is None else self.rows().join(only, only.columns, "left_semi")
+        if not folders(self.spark, f"{self.root}/changes"):
+            return rows.select(*self.log_schema.fieldNames())
         return changes.latest_changes(rows, self.key_cols, tie_cols=self.tie_cols).select(*self.log_schema.fieldNames())
 
     def current(self, only: DataFrame | None = None) -> DataFrame:

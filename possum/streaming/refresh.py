@@ -54,10 +54,19 @@ class BuyerViewMaintainer:
         self.waiting_root = f"{self.root}/waiting"
 
     def bootstrap(self, orderline: DataFrame, base_seq: int = -1) -> None:
-        """Write the starting order lines and the view computed from them."""
+        """Write the starting order lines and the view computed from them.
+
+        Lines meet their orders once, for the view and for the waiting lines."""
         self.lines.bootstrap(orderline, base_seq)
-        t, lines = self.tables(), self.lines.current()
-        self._publish(views.product_buyers(t.product, t.customer, t.order, lines), self._without_order(lines, t), "base")
+        t = self.tables()
+        orders = t.order.select(F.col("id").alias("order_id"), "customer_id", F.lit(True).alias("_placed"))
+        lines = self.lines.current().select(*ORDERLINE_KEY).join(orders, "order_id", "left").persist()
+        pairs = lines.where("_placed").select("product_id", "customer_id").distinct()
+        waiting = lines.where("_placed is null").select(*ORDERLINE_KEY).distinct()
+        try:
+            self._publish(views.product_buyers_of(t.product, t.customer, pairs), waiting, "base")
+        finally:
+            lines.unpersist()
 
     def _without_order(self, lines: DataFrame, t: PosTables) -> DataFrame:
         orders = t.order.select(F.col("id").alias("order_id"))
