@@ -8,6 +8,9 @@ and sorted there; the elements move once. ``spread`` builds the array in two
 levels: first per (key, hash of the element's key), sorted by ``PARTS`` tasks a
 key, then the sorted parts are merged per key. Where all groups are large (a few
 zips or months hold all rows), ``collect_sorted`` moves rows once and sorts them as rows.
+``collect_pieces`` leaves an array in pieces, one row each: as JSON text
+(``possum.sources.sinks``) a document is then put together from the texts of
+its pieces, and no task holds its elements as rows.
 
 For keys too large for one row the flat element tables stay the way to work:
 ``views.buyer_pairs``, ``documents.order_totals`` and the fact tables.
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = 32
+PIECE = "_piece"  # number of a piece of an array, ascending in the array's order
+PIECE_BITS = 12  # a piece holds the keys that agree in all but their last 12 bits
 
 
 def collect_arrays(elements: DataFrame, group_cols: Sequence[str], sort_key: Column | str, value: Column, name: str,
@@ -51,6 +56,19 @@ def collect_sorted(elements: DataFrame, group_cols: Sequence[str], sort_cols: Se
     return whole.select(*group_cols, F.col("_pairs.v").alias(name))
 
 
+def collect_pieces(elements: DataFrame, group_cols: Sequence[str], sort_key: str, value: Column, name: str) -> DataFrame:
+    """``collect_arrays`` in pieces: one row per group and ``PIECE``, its array in
+    order. ``sort_key`` is a whole number; a piece is a range of 4,096 of them, so
+    where a group has each key once a piece has no more elements than that.
+
+    Rows move once, and as many partitions as the session's shuffles have are
+    kept, so that a task has no more than its share of the pieces."""
+    n = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, PIECE]
+    rows = elements.withColumn(PIECE, F.shiftright(F.col(sort_key).cast("long"), PIECE_BITS)).repartition(n, *keys)
+    return collect_arrays(rows, keys, sort_key, value, name)
+
+
 def collect_text(elements: DataFrame, group_cols: Sequence[str], sort_key: str, text: Column, name: str,
                  sep: str = ",") -> DataFrame:
     """``GROUP_CONCAT(text ORDER BY sort_key SEPARATOR sep)`` per group. Null texts

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from possum import fixed
 from possum.functions.cleaning import full_name, printed_address1, printed_address2, round_money
 from possum.operators.asof import as_of
-from possum.operators.collect import collect_arrays, collect_sorted
+from possum.operators.collect import PIECE, collect_arrays, collect_pieces, collect_sorted
 from possum.plans.views import buyer_pairs
 
 DOC_FIELDS = {
@@ -204,8 +204,18 @@ def _popular() -> Column:
     return _named_struct(fixed.POPULAR_FIELDS, [F.col(c) for c in fixed.POPULAR_FIELDS])
 
 
-def zip_documents(facts: DataFrame, city: DataFrame) -> DataFrame:
-    """QRY4 (custom1): one document per zip with sales (JN5 inner join to City)."""
+def zip_documents(facts: DataFrame, city: DataFrame, pieces: bool = False) -> DataFrame:
+    """QRY4 (custom1): one document per zip with sales (JN5 inner join to City).
+
+    With ``pieces`` a document is several rows, each with a piece of its
+    products (``collect_pieces``): the form whose JSON text the sink puts
+    together without holding a zip's products in one row."""
+    if pieces:
+        arrays = collect_pieces(facts, ["zip"], "ProductID", _popular(), "PopularProducts")
+        # broadcast: else the join moves the pieces by zip; numbered: each City row has a document
+        cities = F.broadcast(city.select("zip", "city", "state", F.monotonically_increasing_id().alias("_city")))
+        return arrays.join(cities, "zip", "inner").select(
+            F.col("zip").alias("ZIP"), F.col("state").alias("State"), F.col("city").alias("City"), "PopularProducts", PIECE, "_city")
     arrays = collect_sorted(facts, ["zip"], ["ProductID"], _popular(), "PopularProducts")
     return arrays.join(city.select("zip", "city", "state"), "zip", "inner").select(
         F.col("zip").alias("ZIP"), F.col("state").alias("State"), F.col("city").alias("City"), "PopularProducts")

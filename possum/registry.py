@@ -261,7 +261,7 @@ def zip_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY4: custom1 documents as JSON text."""
     t = td.pos_tables(spark, sf_dir)
     facts = D.zip_product_facts(t.customer, t.order, _line_quantities(spark, sf_dir), t.product)
-    docs = D.zip_documents(facts, t.city)
+    docs = D.zip_documents(facts, t.city, pieces=True)
     return json_documents(docs, D.DOC_FIELDS["custom1"], ["ZIP"])
 
 

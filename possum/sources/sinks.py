@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from possum.operators.collect import PIECE
 from possum.sources.files import file_system, read_text, replace_text
 from possum.sources.files import rename_over as _replace  # noqa: F401
 from possum.sources.lease import Lease, LeaseLost
@@ -34,10 +35,37 @@ def json_text(fields: Sequence[str], pretty: bool = False) -> Column:
 
 
 def json_documents(docs: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Key columns plus ``doc``, the JSON text of ``fields`` (SNK1 row form)."""
+    """Key columns plus ``doc``, the JSON text of ``fields`` (SNK1 row form).
+    Documents in pieces (``collect.collect_pieces``) become one text each."""
+    if PIECE in docs.columns:
+        return _joined_documents(docs, fields, keys)
     return docs.select(*[F.col(k) for k in keys], json_text(fields).alias("doc"))
 
 
+def _joined_documents(docs: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``json_documents`` of documents whose array field lies in pieces, one row
+    each: a piece becomes text where it is, and a document's task joins the
+    texts. All other columns are the same in the rows of a document and tell it from others."""
+    array = next(f for f in fields if isinstance(docs.schema[f].dataType, T.ArrayType))
+    at = list(fields).index(array)
+
+    def inner(json: Column) -> Column:
+        """JSON text without its outer brackets."""
+        return F.substring(json, F.lit(2), F.length(json) - 2)
+
+    def members(names: Sequence[str], before: str = "", after: str = "") -> Column:
+        return F.concat(F.lit(before), inner(json_text(names)), F.lit(after)) if names else F.lit("")
+
+    text = F.nullif(inner(F.to_json(F.col(array), JSON_OPTIONS)), F.lit(""))
+    piece = F.when(F.col(array).isNotNull(), F.struct(PIECE, F.col(array).alias("text")))
+    elements = F.concat_ws(",", F.sort_array(F.collect_list(piece))["text"])
+    head, tail = members(fields[:at], after=","), members(fields[at + 1:], before=",")
+    # in one concat: each copies the document
+    doc = F.concat(F.lit("{"), head, F.lit(f'"{array}":['), elements, F.lit("]"), tail, F.lit("}"))
+    same = [c for c in docs.columns if c not in (array, PIECE)]
+    return docs.withColumn(array, text).groupBy(*same).agg(doc.alias("doc")).select(*keys, "doc")
+
+
 def write_json(docs: DataFrame, fields: Sequence[str], path: str, mode: str = "overwrite",
                pretty_path: str | None = None) -> None:
     """SNK1/SNK3/SNK4: write one JSON document per line; SNK2 a pretty copy."""
